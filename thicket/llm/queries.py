@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from thicket.llm.common import table
+from thicket.llm.fingerprints import fingerprints
 from thicket.llm.jaccard import jaccard_components
+from thicket.llm.mixing import Mixture, mixed
 from thicket.llm.packing import pack, pieces
 from thicket.llm.substring_dedup import deduplicated
 from thicket.llm.token_counts import token_counts
@@ -38,5 +40,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE), limit=4096)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_jaccard_join, op5_best_fit_packing, op6_substring_dedup, op7_token_counts)}
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"), Mixture(max_repeats=4.0))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_jaccard_join, op5_best_fit_packing, op6_substring_dedup, op7_token_counts, op8_fingerprints, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
