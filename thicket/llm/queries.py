@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from thicket.llm.common import table
+from thicket.llm.embedding_dedup import near_duplicates
 from thicket.llm.fingerprints import fingerprints
 from thicket.llm.jaccard import jaccard_components
 from thicket.llm.mixing import Mixture, mixed
 from thicket.llm.packing import pack, pieces
 from thicket.llm.substring_dedup import deduplicated
 from thicket.llm.token_counts import token_counts
-from thicket.llm.token_output import read_shards, write_shards
+from thicket.llm.token_output import read_shards, write_shardsfrom thicket.llm.toxicity import toxicity, train
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -28,6 +29,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), capacity=2048, end_id=0), capacity=2048)
 
@@ -44,9 +50,26 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"), Mixture(max_repeats=4.0))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_jaccard_join, op5_best_fit_packing, op6_substring_dedup, op7_token_counts, op8_fingerprints, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_token_output,
+        op2_jaccard_join,
+        op3_toxicity,
+        op5_best_fit_packing,
+        op6_substring_dedup,
+        op7_token_counts,
+        op8_fingerprints,
+        op9_embedding_dedup,
+        op10_mixing,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
