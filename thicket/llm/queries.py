@@ -15,7 +15,8 @@ from thicket.llm.mixing import Mixture, mixed
 from thicket.llm.packing import pack, pieces
 from thicket.llm.substring_dedup import deduplicated
 from thicket.llm.token_counts import token_counts
-from thicket.llm.token_output import read_shards, write_shardsfrom thicket.llm.toxicity import toxicity, train
+from thicket.llm.token_output import read_shards, write_shards
+from thicket.llm.toxicity import toxicity, train
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
