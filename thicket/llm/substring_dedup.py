@@ -189,7 +189,7 @@ def covered_spans(docs: DataFrame, width: int) -> DataFrame:
             """Spans covered in one bucket: all its windows are sorted, equal ones meet."""
             if len(rows) < 2:
                 return
-            prints = np.concatenate([np.frombuffer(p, np.uint64).reshape(1, 2) if len(p) == 16 and k == 1 and b" " not in p else window_prints(words.of(p.split()), width) for _, _, _, k, p in rows])
+            prints = np.concatenate([np.frombuffer(p, np.uint64).reshape(1, 2) if len(p) == 16 else window_prints(words.of(p.split()), width) for _, _, _, k, p in rows])
             which = np.repeat(np.arange(len(rows)), [k for _, _, _, k, _ in rows])
             doc = np.array([d for d, *_ in rows], np.int64)[which]
             order = np.lexsort((doc, prints[:, 1], prints[:, 0]))
