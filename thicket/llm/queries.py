@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from thicket.llm.common import table
 from thicket.llm.embedding_dedup import near_duplicates
 from thicket.llm.fingerprints import fingerprints
+from thicket.llm.html_extraction import extracted
 from thicket.llm.jaccard import jaccard_components
 from thicket.llm.mixing import Mixture, mixed
 from thicket.llm.packing import pack, pieces
@@ -35,6 +36,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), capacity=2048, end_id=0), capacity=2048)
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_token_output,
         op2_jaccard_join,
         op3_toxicity,
+        op4_html_extraction,
         op5_best_fit_packing,
         op6_substring_dedup,
         op7_token_counts,
