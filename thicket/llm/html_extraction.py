@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from thicket.llm.html_pages import LABELLED
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
+PENALTY = 0.02
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -106,7 +107,7 @@ def weights() -> tuple[dict[str, float], float, dict[str, float], float]:
     each = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * 400
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + 0.3 * np.eye(len(w)), x.T @ (each * (p - y)) + 0.3 * w)
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + PENALTY * np.eye(len(w)), x.T @ (each * (p - y)) + PENALTY * w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
