@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from thicket.llm.html_pages import LABELLED
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
-PENALTY = 0.02
+PENALTY = 0.05
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -31,6 +31,7 @@ RAW = frozenset("script style title textarea noscript iframe template svg math o
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+PLAIN = frozenset("html body div section span p h1 h2 h3 h4 h5 h6 ul ol li table tbody tr td a b i".split())  # say nothing about the words in them
 HOLDS = frozenset("ul ol dl table select article section main div body td th aside nav".split())
 
 Part = tuple[str | None, tuple[str, ...], bool]  # text (null: a tag), names of its element and those around, starts a block
@@ -91,7 +92,7 @@ def weights() -> tuple[dict[str, float], float, dict[str, float], float]:
                 continue
             marks = [x for x in names if x.startswith("data-main")]
             main = bool(marks) and marks[-1] == "data-main=1"
-            own = frozenset(x for x in names if not x.startswith("data-main"))
+            own = frozenset(x for x in names if not x.startswith("data-main") and x not in PLAIN)
             for _ in text.split():
                 rows.append(own)
                 labels.append(main)
