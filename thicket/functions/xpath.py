@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
 def _nan() -> Column:
     return F.lit(float("nan"))
 
@@ -174,10 +175,10 @@ def decode_uri(text: Column) -> Column:
     return F.url_decode(F.replace(string(text), F.lit("+"), F.lit("%2B")))
 
 
-def escape(text: Column, attribute: bool = False) -> Column:
-    """Markup characters as entities."""
+def escape(text: Column, attribute: bool = False, canonical: bool = False) -> Column:
+    """Markup characters as entities; canonical attributes keep their ``>``."""
     out = text
-    for a, b in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *([('"', "&quot;"), ("\t", "&#9;"), ("\n", "&#10;")] if attribute else []), ("\r", "&#13;")]:
+    for a, b in [("&", "&amp;"), ("<", "&lt;"), *([] if attribute and canonical else [(">", "&gt;")]), *([('"', "&quot;"), ("\t", "&#x9;" if canonical else "&#9;"), ("\n", "&#xA;" if canonical else "&#10;")] if attribute else []), ("\r", "&#xD;" if canonical else "&#13;")]:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 

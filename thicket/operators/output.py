@@ -22,7 +22,7 @@ def serialized(nodes: DataFrame, html: bool = False, canonical: bool = False) ->
     a = nodes.where(F.col("kind") == ATTRIBUTE)
     declares = (F.col("name") == "xmlns") | F.startswith("name", F.lit("xmlns:"))
     rank = F.struct(F.when(declares, 0).otherwise(1), F.coalesce("ns_uri", F.lit("")), F.col("local")) if canonical else F.struct(F.lit(0), F.lit(""), F.lpad(F.col("pre").cast("string"), 10, "0"))
-    text = F.concat(F.lit(" "), F.col("name"), F.lit('="'), escape(F.coalesce("value", F.lit("")), True), F.lit('"'))
+    text = F.concat(F.lit(" "), F.col("name"), F.lit('="'), escape(F.coalesce("value", F.lit("")), True, canonical), F.lit('"'))
     attributes = a.groupBy("doc_id", F.col("parent").alias("pre")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), text.alias("t")))), lambda x: x["t"]), "").alias("_a"))
     inner = nodes.where(F.col("kind") != ATTRIBUTE).join(attributes, ["doc_id", "pre"], "left").withColumn("_a", F.coalesce("_a", F.lit("")))
     # An element with only attributes below it is empty.
@@ -33,7 +33,7 @@ def serialized(nodes: DataFrame, html: bool = False, canonical: bool = False) ->
     start = F.concat(F.lit("<"), F.col("name"), F.col("_a"), F.when(bare, "/>").otherwise(">"))
     end = F.when(bare | void, "").otherwise(F.concat(F.lit("</"), F.col("name"), F.lit(">")))
     leaf = (
-        F.when(F.col("kind") == TEXT, escape(F.col("value")))
+        F.when(F.col("kind") == TEXT, escape(F.col("value"), canonical=canonical))
         .when(F.col("kind") == COMMENT, F.lit("") if canonical else F.concat(F.lit("<!--"), F.col("value"), F.lit("-->")))
         .when(F.col("kind") == INSTRUCTION, F.concat(F.lit("<?"), F.col("name"), F.when(F.length("value") > 0, F.concat(F.lit(" "), F.col("value"))).otherwise(""), F.lit("?>")))
         .otherwise("")
