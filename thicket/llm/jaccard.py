@@ -6,11 +6,10 @@ three; of k differences, some part has at most one, so two of its three thirds a
 signature is the hash of the elements in two thirds of a part, so similar sets share one.
 A set signs for its own band and the next, which covers pairs across bands.
 
-Equal sets are one class and stand once. Sets that share a signature are linked as stars
-(to the smallest of a task, and these to the smallest of all), never as all pairs; stars are
-verified and joined to components. Only pairs of buckets whose members are still in different
-components are then compared one by one. So every two similar sets end in one component,
-and work in a group of near copies is in proportion to its members.
+Equal sets are one class and stand once. Sets that share a signature form a bucket and are
+compared with one hub at a time, never all with all: what links joins one component, and only members of
+other components are compared with the next hub. So every two similar sets end in one component, and work
+in a group of near copies is in proportion to its members.
 """
 
 from __future__ import annotations
@@ -32,6 +31,7 @@ SIGNED = "key long, sig long, hub long, id long"
 LINKS = "sig long, hub long, id long"
 FLUSH = 3_000_000  # signatures that a task combines at a time
 BROADCAST_ROWS = 500_000  # of 16 bytes each
+LEFT_PAIRS = 20_000  # pairs that may be compared one by one, besides four for each member of an open bucket
 
 
 @lru_cache(maxsize=4)
@@ -214,6 +214,55 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num:
     return stored(close.join(x, "a").join(y, "b").select("a", "b", "t_a", "t_b").mapInArrow(similar, "a long, b long"), "similar-pairs")
 
 
+def _linked(links: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Components of set hashes (those with links only), from the buckets of candidates.
+
+    In rounds, every bucket whose members are in several components takes one of them as its hub, and the members of
+    other components are compared with it: first the member that most buckets share (of an original and its edited
+    copies, the original), then the next. When few pairs are left, at most as many as some multiple of the members, they
+    are compared one by one. A pair of a bucket goes untested only if both already are in one component.
+    """
+    members = stored(links.select("sig", F.col("hub").alias("id")).union(links.select("sig", "id")).distinct(), "members")
+    scored = stored(members.join(members.groupBy("id").agg(F.count("*").alias("score")), "id"), "scored-members")
+    place = F.struct("score", "id")
+    hubs = stored(scored.groupBy("sig").agg(F.max(place).alias("last")), "hubs")
+    spokes = scored.join(hubs, "sig").where(F.col("id") != F.col("last.id"))
+    tried = stored(spokes.select(F.least("id", "last.id").alias("a"), F.greatest("id", "last.id").alias("b")).distinct(), "tried-pairs")
+    edges = verified(tried, classes, docs, n, num, den)
+    found = stored(connected_components(edges), "components")
+    while True:
+        labelled = scored.join(found, "id", "left").select("sig", "id", "score", F.coalesce("component", "id").alias("component"))
+        labelled = stored(labelled, "labelled-members")
+        mixed = stored(labelled.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig"), "mixed-buckets")
+        members = stored(labelled.join(mixed, "sig", "left_semi"), "open-members")
+        parts = members.groupBy("sig", "component").agg(F.count("*").alias("m"))
+        sizes = stored(parts.groupBy("sig").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q"), F.max(F.struct("m", "component")).alias("top")), "bucket-sizes")
+        count, left = sizes.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()
+        if not count:
+            return found
+        last = left <= 4 * count + LEFT_PAIRS
+        if last:
+            # All pairs across components: those outside a bucket's largest component, with all others.
+            one = members.join(sizes.select("sig", F.col("top.component").alias("top")), "sig")
+            other = members.select("sig", F.col("id").alias("b"), F.col("component").alias("c"))
+            across = one.where("component <> top").join(other, "sig").where((F.col("component") != F.col("c")) & ((F.col("c") == F.col("top")) | (F.col("id") < F.col("b"))))
+            pairs = across.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
+        else:
+            before = members.join(hubs.select("sig", "last"), "sig").where(place < F.col("last"))
+            hubs = stored(before.groupBy("sig").agg(F.max(F.struct("score", "id", "component")).alias("top")).select("sig", F.struct("top.score", "top.id").alias("last"), F.col("top.component").alias("hub_component")), "hubs")
+            across = members.join(hubs, "sig").where("component <> hub_component")
+            pairs = across.select(F.least("id", "last.id").alias("a"), F.greatest("id", "last.id").alias("b"))
+        pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "new-pairs")
+        more = verified(pairs, classes, docs, n, num, den)
+        if more.limit(1).count():
+            edges = edges.union(more)
+            found = stored(connected_components(edges), "components")
+        if last:
+            return found
+        # A bucket that has no further hub has had all its pairs across components tested.
+        tried, scored = tried.union(pairs), members.join(hubs.select("sig"), "sig", "left_semi").select("sig", "id", "score")
+
+
 def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Components of texts whose sets of ``n``-word shingles have den * intersection >= num * union.
 
@@ -228,21 +277,7 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame
     classes = stored(known.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "set-classes")
     named = docs.where("doc_id is not null")
     links = candidate_links(named, n, num, den)
-    # The stars.
-    edges = verified(links.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), classes, named, n, num, den)
-    found = stored(connected_components(edges), "star-components")
-    # What is left: buckets with members of several components.
-    member = links.select("sig", F.col("hub").alias("id")).union(links.select("sig", "id")).distinct()
-    labelled = stored(member.join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component")), "bucket-members")
-    mixed = stored(labelled.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig"), "mixed-buckets")
-    open_members = stored(labelled.join(mixed, "sig", "left_semi").join(classes.select(F.col("set_hash").alias("id"), "n_shingles"), "id"), "open-members")
-    left, right = (open_members.select("sig", F.col("id").alias(i), F.col("component").alias(f"c_{i}"), F.col("n_shingles").alias(f"n_{i}")) for i in "ab")
-    size = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (F.col("c_a") != F.col("c_b")) & (F.col("a") < F.col("b"))
-    pairs = left.join(right, "sig").where(size).select("a", "b").distinct()
-    tried = links.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-    more = verified(pairs.join(tried, ["a", "b"], "left_anti"), classes, named, n, num, den)
-    if more.limit(1).count():
-        found = stored(connected_components(edges.union(more)), "all-components")
+    found = _linked(links, classes, named, n, num, den)
     label = classes.join(found, classes.set_hash == found.id, "left").select("set_hash", "doc_id", F.coalesce("component", "set_hash").alias("component"))
     label = stored(label, "class-components")
     least = stored(label.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component-ids")
