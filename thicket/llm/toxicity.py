@@ -31,7 +31,7 @@ from thicket.llm.common import stored
 
 DECAY = 0.6
 COST = 3000.0
-EVIDENCE = 4  # different words before a toxic word, at least
+CHANCE = 0.05  # share of the training words taken for toxic that may be there by chance
 LONGEST = 14  # letters of a piece; longer words are cut into overlapping pieces
 MEMO = 400_000
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
@@ -240,6 +240,18 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def _evidence(counts: DataFrame, chosen: DataFrame, most: int = 12) -> int:
+    """How many different words must stand before a word of toxic rows only. A word that is used c times anywhere is in toxic
+    rows only with the probability share**c, which tells how many such words are there by chance."""
+    share = chosen.agg(F.avg("toxic")).first()[0] or 0.0
+    used = {r[0]: r[1] for r in counts.groupBy(F.least(F.col("p") + F.col("n"), F.lit(most)).alias("c")).count().collect()}
+    found = counts.where("n = 0").agg(*(F.count(F.when(F.col("p") >= t, 1)) for t in range(2, most + 1))).first()
+    for t, n in zip(range(2, most + 1), found, strict=True):
+        if sum(k * share**c for c, k in used.items() if c >= t) <= CHANCE * n:
+            return t
+    return most
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, clean_words: int = 40_000, toxic_words: int = 3_000) -> Model:
     """Fits on at most ``rows`` labelled rows, chosen by a hash of doc_id (a third of them toxic, if there are as many)."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -263,7 +275,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, clean_words: i
     spread = sample.repartition(32)
     pairs = spread.select("text", "toxic").mapInArrow(tokens, "word string, before string, toxic int").groupBy("word", "toxic", F.xxhash64("before")).agg(F.count("*").alias("c"))
     counts = stored(pairs.groupBy("word").agg(F.sum("toxic").alias("p"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("c"))), F.lit(0)).alias("n")), "word-evidence")
-    toxic = [r[0] for r in counts.where((F.col("p") >= EVIDENCE) & (F.col("n") == 0)).orderBy(F.desc("p"), "word").limit(toxic_words).collect()]
+    evidence = _evidence(counts, chosen)
+    toxic = [r[0] for r in counts.where((F.col("p") >= evidence) & (F.col("n") == 0)).orderBy(F.desc("p"), "word").limit(toxic_words).collect()]
     usual = [r[0] for r in counts.where("n >= 1").orderBy(F.desc("n"), "word").limit(clean_words // 8).collect()]
     rare = [r[0] for r in counts.where("n >= 1").orderBy(F.xxhash64("word"), "word").limit(clean_words).collect()]
     if not toxic or not usual:
