@@ -7,9 +7,9 @@ signature is the hash of the elements in two thirds of a part, so similar sets s
 A set signs for its own band and the next, which covers pairs across bands.
 
 Equal sets are one class and stand once. Sets that share a signature form a bucket and are
-compared with one hub at a time, never all with all: what links joins one component, and only members of
-other components are compared with the next hub. So every two similar sets end in one component, and work
-in a group of near copies is in proportion to its members.
+compared with one hub; what links joins one component. Only members of different components are
+compared further: in small buckets pair by pair, in large ones by exact bounds from sketches, in blocks inside of
+tasks. So every two similar sets end in one component, and no group's pairs are written out.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ SIGNED = "key long, sig long, hub long, id long"
 LINKS = "sig long, hub long, id long"
 FLUSH = 3_000_000  # signatures that a task combines at a time
 BROADCAST_ROWS = 500_000  # of 16 bytes each
-LEFT_PAIRS = 20_000  # pairs that may be compared one by one, besides four for each member of an open bucket
+SMALL_BUCKET = 24  # members of a bucket that may be paired by a join
+BLOCK = 1024
 
 
 @lru_cache(maxsize=4)
@@ -217,10 +218,10 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num:
 def _linked(links: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Components of set hashes (those with links only), from the buckets of candidates.
 
-    In rounds, every bucket whose members are in several components takes one of them as its hub, and the members of
-    other components are compared with it: first the member that most buckets share (of an original and its edited
-    copies, the original), then the next. When few pairs are left, at most as many as some multiple of the members, they
-    are compared one by one. A pair of a bucket goes untested only if both already are in one component.
+    First every bucket's members are compared with one of them, the one that most buckets share (of an original and its
+    edited copies, the original). Of buckets whose members are in several components after that, small ones are paired one
+    by one, and large ones are compared by their sketches, block by block in tasks, so that only pairs leave that can be
+    similar. A pair of a bucket goes untested only if both already are in one component.
     """
     members = stored(links.select("sig", F.col("hub").alias("id")).union(links.select("sig", "id")).distinct(), "members")
     scored = stored(members.join(members.groupBy("id").agg(F.count("*").alias("score")), "id"), "scored-members")
@@ -230,37 +231,82 @@ def _linked(links: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num:
     tried = stored(spokes.select(F.least("id", "last.id").alias("a"), F.greatest("id", "last.id").alias("b")).distinct(), "tried-pairs")
     edges = verified(tried, classes, docs, n, num, den)
     found = stored(connected_components(edges), "components")
-    while True:
-        labelled = scored.join(found, "id", "left").select("sig", "id", "score", F.coalesce("component", "id").alias("component"))
-        labelled = stored(labelled, "labelled-members")
-        mixed = stored(labelled.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig"), "mixed-buckets")
-        members = stored(labelled.join(mixed, "sig", "left_semi"), "open-members")
-        parts = members.groupBy("sig", "component").agg(F.count("*").alias("m"))
-        sizes = stored(parts.groupBy("sig").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q"), F.max(F.struct("m", "component")).alias("top")), "bucket-sizes")
-        count, left = sizes.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()
-        if not count:
-            return found
-        last = left <= 4 * count + LEFT_PAIRS
-        if last:
-            # All pairs across components: those outside a bucket's largest component, with all others.
-            one = members.join(sizes.select("sig", F.col("top.component").alias("top")), "sig")
-            other = members.select("sig", F.col("id").alias("b"), F.col("component").alias("c"))
-            across = one.where("component <> top").join(other, "sig").where((F.col("component") != F.col("c")) & ((F.col("c") == F.col("top")) | (F.col("id") < F.col("b"))))
-            pairs = across.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
-        else:
-            before = members.join(hubs.select("sig", "last"), "sig").where(place < F.col("last"))
-            hubs = stored(before.groupBy("sig").agg(F.max(F.struct("score", "id", "component")).alias("top")).select("sig", F.struct("top.score", "top.id").alias("last"), F.col("top.component").alias("hub_component")), "hubs")
-            across = members.join(hubs, "sig").where("component <> hub_component")
-            pairs = across.select(F.least("id", "last.id").alias("a"), F.greatest("id", "last.id").alias("b"))
-        pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "new-pairs")
-        more = verified(pairs, classes, docs, n, num, den)
-        if more.limit(1).count():
-            edges = edges.union(more)
-            found = stored(connected_components(edges), "components")
-        if last:
-            return found
-        # A bucket that has no further hub has had all its pairs across components tested.
-        tried, scored = tried.union(pairs), members.join(hubs.select("sig"), "sig", "left_semi").select("sig", "id", "score")
+    # Buckets whose members are still in several components.
+    labelled = stored(scored.join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component")), "labelled-members")
+    mixed = stored(labelled.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x < y").select("sig", "m"), "mixed-buckets")
+    members = stored(labelled.join(mixed, "sig"), "open-members")
+    small = members.where(F.col("m") <= SMALL_BUCKET)
+    one, other = (small.select("sig", F.col("id").alias(i), F.col("component").alias(f"c_{i}")) for i in "ab")
+    pairs = one.join(other, "sig").where("a < b and c_a <> c_b").select("a", "b")
+    large = members.where(F.col("m") > SMALL_BUCKET)
+    pairs = pairs.union(_near_in_clusters(large, classes, num, den))
+    pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "new-pairs")
+    more = verified(pairs, classes, docs, n, num, den)
+    return stored(connected_components(edges.union(more)), "components") if more.limit(1).count() else found
+
+
+def _near_in_clusters(members: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of ids that can be similar by their sketches, among ids that large buckets bring together.
+
+    Buckets with common members form a cluster, which is compared once: its ids are dealt to blocks, each pair of blocks is
+    a group of at most 2 * BLOCK rows with their sketches, and only pairs of different components within the bound leave it.
+    """
+    links = members.join(members.groupBy("sig").agg(F.min("id").alias("least")), "sig").select("least", "id").distinct()
+    cluster = stored(connected_components(links), "clusters")
+    rows = members.select("id", "component").distinct().join(cluster.withColumnRenamed("component", "cluster"), "id")
+    rows = stored(rows, "cluster-members")
+    sizes = stored(rows.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cluster-sizes")
+    dealt = rows.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(classes.select(F.col("set_hash").alias("id"), "n_shingles", "sketch"), "id")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n_shingles", "sketch")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def settle() -> pa.RecordBatch:
+            found = _near_pairs(held, num, den)
+            return pa.record_batch([pa.array(c, pa.int64()) for c in found], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:3] != held[0][:3]:
+                    yield settle()
+                    held = []
+                held.append(row)
+        if held:
+            yield settle()
+
+    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(compare, "a long, b long")
+
+
+def _near_pairs(rows: list[tuple], num: int, den: int) -> tuple[list[int], list[int]]:
+    """Of one pair of blocks (cluster, i, j, block, id, component, size, sketch): pairs of ids, the smaller first."""
+    first, second = rows[0][1], rows[0][2]
+    block, ids, component, size = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
+    widths = sorted({len(r[7]) for r in rows})
+    folded: dict[int, np.ndarray] = {}
+    for w in widths:  # each sketch at each narrower width that others have
+        out = np.zeros((len(rows), w // 8), np.uint64)
+        for k, r in enumerate(rows):
+            if len(r[7]) >= w:
+                out[k] = np.bitwise_xor.reduce(np.frombuffer(r[7], np.uint64).reshape(-1, w // 8), axis=0)
+        folded[w] = out
+    width = np.array([len(r[7]) for r in rows])
+    left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    a, b = [], []
+    for x in left:
+        y = right[(component[right] != component[x]) & (np.minimum(size[right], size[x]) * den >= np.maximum(size[right], size[x]) * num)]
+        if first == second:
+            y = y[y > x]
+        for w in widths:
+            z = y[np.minimum(width[y], width[x]) == w]
+            if len(z):
+                distance = np.bitwise_count(folded[w][z] ^ folded[w][x]).sum(axis=1, dtype=np.int64)
+                z = z[distance * (den + num) <= (size[z] + size[x]) * (den - num)]
+                a += np.minimum(ids[z], ids[x]).tolist()
+                b += np.maximum(ids[z], ids[x]).tolist()
+    return a, b
 
 
 def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
