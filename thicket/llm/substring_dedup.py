@@ -31,6 +31,7 @@ BITS = 28
 HOT_LIST = 1_000_000
 HOT_LEAST = 1_000
 FLUSH = 24_000_000  # bytes of packed strings that a task combines at a time
+TOGETHER = 4_000  # packed strings of whole buckets that are sorted in one go
 SENT = "bucket long, doc_id long, tie long, start int, n int, packed binary"
 SPANS = "doc_id long, tie long, start int, n int"
 M = 8
@@ -136,21 +137,27 @@ def covered_spans(docs: DataFrame, width: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             # Equal strings of a bucket next to each other, the smallest document first.
             waiting.sort(key=lambda r: (r[0], r[5], r[1]))
-            rows: list[list] = [[] for _ in range(6)]
-            before = None
+            rows, known, before = [], [], None
             for r in waiting:
-                known = before is not None and before[0] == r[0] and before[5] == r[5]
-                if known and before[1] < r[1]:  # covered by the copy in a smaller document
-                    r = (int(mix64(np.array([r[1] ^ r[3]], np.int64).view(np.uint64)).view(np.int64)[0]), *r[1:5], None)
-                elif not known:
+                if before is None or before[0] != r[0] or before[5] != r[5]:
                     before = r
-                for column, v in zip(rows, r, strict=True):
-                    column.append(v)
-                if len(rows[0]) >= 20_000:
-                    yield _batch(rows)
-                    rows = [[] for _ in range(6)]
-            if rows[0]:
-                yield _batch(rows)
+                    rows.append(r)
+                elif before[1] < r[1]:  # covered by the copy in a smaller document
+                    known.append(r[1:5])
+                else:
+                    rows.append(r)
+            # Neighbouring windows of a document that are known to be covered are one row.
+            known.sort()
+            merged: list[list[int]] = []
+            for doc_id, tie, start, n in known:
+                if merged and merged[-1][:2] == [doc_id, tie] and start <= merged[-1][2] + merged[-1][3]:
+                    merged[-1][3] = max(merged[-1][3], start + n - merged[-1][2])
+                else:
+                    merged.append([doc_id, tie, start, n])
+            spread = mix64(np.array([m[0] ^ m[2] for m in merged], np.int64).view(np.uint64)).view(np.int64).tolist()
+            rows += [(to, *m, None) for to, m in zip(spread, merged, strict=True)]
+            for k in range(0, len(rows), 20_000):
+                yield _batch([list(c) for c in zip(*rows[k : k + 20_000], strict=True)])
 
         for batch in batches:
             for doc_id, tie, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8_column(batch.column(2)), strict=True):
@@ -186,24 +193,31 @@ def covered_spans(docs: DataFrame, width: int) -> DataFrame:
         words, held, last = WordHashes(), [], None
 
         def settle(rows: list[tuple]) -> Iterator[tuple]:
-            """Spans covered in one bucket: all its windows are sorted, equal ones meet."""
+            """Spans covered in some whole buckets: all their windows are sorted, equal ones meet."""
             if len(rows) < 2:
                 return
-            prints = np.concatenate([np.frombuffer(p, np.uint64).reshape(1, 2) if len(p) == 16 else window_prints(words.of(p.split()), width) for _, _, _, k, p in rows])
-            which = np.repeat(np.arange(len(rows)), [k for _, _, _, k, _ in rows])
+            n = np.array([k for _, _, _, k, _ in rows])
+            which, at = np.repeat(np.arange(len(rows)), n), np.concatenate([[0], np.cumsum(n)])
+            alone = np.array([len(p) == 16 for *_, p in rows])  # a window's fingerprint; 50 words are longer
+            prints = np.zeros((at[-1], 2), np.uint64)
+            if alone.any():
+                prints[alone[which]] = np.frombuffer(b"".join(p for *_, p in rows if len(p) == 16), np.uint64).reshape(-1, 2)
+            if not alone.all():
+                h = words.of(b" ".join(p for *_, p in rows if len(p) != 16).split())
+                size = n[~alone]
+                start = np.concatenate([[0], np.cumsum(size + width - 1)])[:-1]
+                own = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                prints[~alone[which]] = window_prints(h, width)[own]
             doc = np.array([d for d, *_ in rows], np.int64)[which]
             order = np.lexsort((doc, prints[:, 1], prints[:, 0]))
             p, d = prints[order], doc[order]
             first = np.concatenate([[True], (p[1:] != p[:-1]).any(axis=1)])
             covered = np.zeros(len(order), bool)
             covered[order] = d > d[first][np.cumsum(first) - 1]
-            if not covered.any():
-                return
-            at = np.cumsum([0, *(k for _, _, _, k, _ in rows)])
             for r in np.unique(which[covered]):
                 d, tie, s, _, _ = rows[r]
-                for x, n in zip(*_runs(covered[at[r] : at[r + 1]]), strict=True):
-                    yield d, tie, s + int(x), int(n) + width - 1
+                for x, m in zip(*_runs(covered[at[r] : at[r + 1]]), strict=True):
+                    yield d, tie, s + int(x), int(m) + width - 1
 
         for batch in batches:
             out: list[tuple] = []
@@ -211,9 +225,10 @@ def covered_spans(docs: DataFrame, width: int) -> DataFrame:
                 if packed is None:
                     out.append((doc_id, tie, start, n + width - 1))
                     continue
-                if bucket != last:
+                if bucket != last and len(held) >= TOGETHER:
                     out += settle(held)
-                    held, last = [], bucket
+                    held = []
+                last = bucket
                 held.append((doc_id, tie, start, n, packed))
             if out:
                 yield _spans(out)
