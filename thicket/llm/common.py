@@ -37,6 +37,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8_column(column: pa.Array) -> list[bytes]:
     """The values of a string column as UTF-8 bytes, without decoding; null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.common import mix64, stored, utf8_column
+from thicket.llm.common import free, mix64, stored, utf8_column
 from thicket.llm.words import WordHashes, grams
 
 BITS = 28
@@ -290,13 +290,16 @@ def deduplicated(docs: DataFrame, width: int) -> DataFrame:
                 kept.append(text.decode())
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha), pa.array(kept)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return _with_spans(docs, width).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return _with_spans(docs.select("doc_id", "text"), width)[0].mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
-def _with_spans(docs: DataFrame, width: int) -> DataFrame:
-    spans = _joined_spans(docs, width)
-    keyed = docs.withColumn("tie", F.xxhash64("text"))
-    return keyed.join(spans.select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), "spans"), (F.col("doc_id") == F.col("_d")) & (F.col("tie") == F.col("_t")), "left").drop("_d", "_t", "tie")
+def _with_spans(docs: DataFrame, width: int) -> tuple[DataFrame, str]:
+    """``docs`` with the spans of each row in one more column, and that column's name."""
+    gathered = _joined_spans(docs, width)
+    tie, key, spans = (free(docs, c) for c in ("tie", "key", "spans"))
+    keyed = docs.withColumn(tie, F.xxhash64("text")).withColumn(key, F.col("doc_id").cast("long"))
+    found = gathered.select(F.col("doc_id").alias(key), F.col("tie").alias(tie), F.col("spans").alias(spans))
+    return keyed.join(found, [key, tie], "left").select(*docs.columns, spans), spans
 
 
 def without_repeats(docs: DataFrame, width: int) -> DataFrame:
@@ -310,13 +313,13 @@ def without_repeats(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             i = batch.schema.get_field_index("text")
             texts = []
-            for text, spans in zip(batch.column(i).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column(i).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 texts.append(b" ".join(_kept(text.encode().split(), spans)).decode() if spans else text)
             columns = list(batch.columns[:-1])
             columns[i] = pa.array(texts, pa.string())
             yield pa.record_batch(columns, names=batch.schema.names[:-1])
 
-    cut = _with_spans(docs, width).select(*docs.columns, "spans").mapInArrow(run, docs.schema)
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cut = _with_spans(docs, width)[0].mapInArrow(run, docs.schema)
+    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
