@@ -37,12 +37,9 @@ def strong_lanes(digests: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """A hash of each word of a paragraph with the two that follow it (fewer at its end)."""
-
-    def of(paragraph: Column) -> Column:
-        words = F.split(paragraph, " ")
-        return F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
-
-    return F.flatten(F.transform(F.split(text, "\n", -1), of))
+    # The words are an argument of the second function, so they are split once and not once for each word.
+    split = F.transform(F.split(text, "\n", -1), lambda p: F.split(p, " "))
+    return F.flatten(F.transform(split, lambda words: F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))))
 
 
 def likeness(a: Column, b: Column) -> Column:
