@@ -40,11 +40,11 @@ def resolved(uris: DataFrame, catalog: DataFrame, column: str = "uri") -> DataFr
     exact = catalog.where("kind <> 'rewrite'").groupBy("name").agg(F.min("target").alias("exact"))
     rules = catalog.where("kind = 'rewrite'").select(F.col("name").alias("rule"), F.col("target").alias("to"))
     distinct = uris.select(F.col(column).alias("name")).distinct()
-    # Prefixes of a URI end at its slashes, so the rules are found by an equi-join and not by comparing each with each.
-    parts = F.split("name", "/")
-    prefix = distinct.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("head"))
-    prefix = prefix.select("name", "head").union(prefix.select("name", F.concat("head", F.lit("/"))))
-    hit = prefix.join(rules, F.col("head") == F.col("rule")).where(F.col("name").startswith(F.col("rule"))).groupBy("name").agg(F.max_by(F.struct("rule", "to"), F.length("rule")).alias("best"))
+    # A URI has a head for each length that rules have, so the rules are found by an equi-join and not by comparing each with each.
+    lengths = rules.agg(F.collect_set(F.length("rule")).alias("lengths"))
+    prefix = distinct.crossJoin(F.broadcast(lengths)).select("name", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("name"))
+    prefix = prefix.select("name", F.substring(F.col("name"), F.lit(1), F.col("n")).alias("head"))
+    hit = prefix.join(rules, F.col("head") == F.col("rule")).groupBy("name").agg(F.max_by(F.struct("rule", "to"), F.length("rule")).alias("best"))
     table = distinct.join(exact, "name", "left").join(hit, "name", "left")
     rewritten = F.concat(F.col("best.to"), F.substring(F.col("name"), F.length("best.rule") + 1, F.length("name")))
     table = table.select(F.col("name").alias("_name"), F.coalesce("exact", rewritten, "name").alias("resolved"))
