@@ -1,8 +1,13 @@
 """Tree operators on inputs that the registered queries leave out."""
 
+import random
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from thicket.sources.files import resolved
+from thicket.streaming.push import push_events, take
 
 #: Rules whose prefixes end inside a segment, at a slash, nowhere, and at a whole URI; and an exact entry.
 RULES = [("rewrite", "https://", "mirror/"), ("rewrite", "http", "never/"), ("rewrite", "http://host/docbook/xml/4.", "db4/"), ("rewrite", "http://host/docbook/", "db/"), ("rewrite", "https://exam", "e/"), ("uri", "urn:x", "x.xml"), ("uri", "http://host/exact", "exact.xml")]
@@ -24,3 +29,56 @@ def test_longest_prefix_inside_a_segment(spark, sf_dir):
     assert all(r.resolved == by_hand(r.url) for r in got) and len(got) == pages.count()
     assert sum(r.resolved.startswith("never/") for r in got) == pages.where(F.col("url").startswith("http://")).count() > 0
     assert all(r.resolved == r.url for r in resolved(pages, rules.limit(0), "url").collect())
+
+
+SUBSET = """<!DOCTYPE a PUBLIC "-//x>y" 'a.dtd' [<!-- ]> " --><!ENTITY e "]>'<b>"><?p ]> ' ?>%pe; <!ATTLIST a k CDATA 'x">'>] >"""
+#: Text, its events.
+PUSHED = [
+    ('<!DOCTYPE html><a t="x > y" u=\'/>\'>z</a>', [("doctype", "html", None), ("start", "a", "t=\"x > y\" u='/>'"), ("text", None, "z"), ("end", "a", None)]),
+    ('<!doctype a><a t="/"/>', [("doctype", "a", None), ("start", "a", 't="/"'), ("end", "a", None)]),
+    (SUBSET + "<a/>", [("doctype", "a", SUBSET[12:-1].strip()), ("start", "a", None), ("end", "a", None)]),
+    ("<a>1 < 2 <b/></a>", [("start", "a", None), ("text", None, "1 "), ("error", None, "<"), ("text", None, " 2 "), ("start", "b", None), ("end", "b", None), ("end", "a", None)]),
+    ('<a><b t="x<c/></a>', [("start", "a", None), ("error", None, '<b t="x'), ("start", "c", None), ("end", "c", None), ("end", "a", None)]),
+    ("<!ELEMENT x><a b<c/>", [("error", None, "<!"), ("text", None, "ELEMENT x>"), ("error", None, "<a b"), ("start", "c", None), ("end", "c", None)]),
+    ("<!DOCTYPE a [ <p/>", [("error", None, "<!DOCTYPE a [ "), ("start", "p", None), ("end", "p", None)]),
+    ("</ a><![CDAT[x]]>", [("error", None, "</"), ("text", None, " a>"), ("error", None, "<!"), ("text", None, "[CDAT[x]]>")]),
+    ("x<a", [("text", None, "x"), ("error", None, "<a")]),
+]
+
+
+@pytest.mark.parametrize("text, want", PUSHED)
+def test_take_goes_on_at_every_cut(text, want):
+    for i in range(len(text) + 1):
+        for j in range(i, len(text) + 1):
+            names, rows, tail, seq = [], [], "", 0
+            for piece, final in ((text[:i], False), (text[i:j], False), (text[j:], True)):
+                got, tail, seq = take(tail + piece, names, seq, final)
+                rows += got
+            assert [(e, n, v) for _, e, n, v, _ in rows] == want, (i, j)
+
+
+def test_take_leaves_no_tail_behind_a_doctype():
+    assert take("<!DOCTYPE html><p>x<p", [], 0, False)[1] == "x<p"
+
+
+def test_push_whole_pages(spark, sf_dir, tmp_path):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").limit(12).collect()}
+    rng, chunks = random.Random(5), []
+    for k, html in pages.items():
+        cuts = [0, *sorted(rng.sample(range(1, len(html)), 6)), len(html)]
+        chunks += [(k, i, html[a:b], b == len(html)) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    rng.shuffle(chunks)
+    schema = "doc_id long, chunk long, content string, final boolean"
+    for k in range(2):
+        spark.createDataFrame(chunks[k::2], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = push_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    query = stream.writeStream.format("memory").queryName("pages_pushed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    got = spark.table("pages_pushed").orderBy("seq").collect()
+    for k, html in pages.items():
+        events = [(r.event, r.name, r.value) for r in got if r.doc_id == k]
+        assert events == [(e, n, v) for _, e, n, v, _ in take(html, [], 0, True)[0]]
+        assert events[0] == ("doctype", "html", None)
+        assert [n for e, n, _ in events if e == "start"] == re.findall(r"<([a-z][a-z0-9]*)", html)
+        assert "".join(v for e, _, v in events if e == "text") == re.sub(r"<!--.*?-->|<[^>]*>", "", html, flags=re.S)
+        assert not [v for e, n, v in events if e == "error" and n is None]

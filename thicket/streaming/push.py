@@ -15,11 +15,35 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "doc_id long, seq long, event string, name string, value string, depth int"
 STATE = "tail string, open array<string>, seq long, chunk long, waiting map<long,string>"
-_MARKUP = re.compile(r"<!--(.*?)-->|<\?(.*?)\?>|<!\[CDATA\[(.*?)\]\]>|<(/?)([^\s/<>!?]+)([^<>]*?)(/?)>", re.S)
+_QUOTED = r"\"[^\"]*\"|'[^']*'"
+_DECLARED = rf"(?:[^\[\]<>\"']++|{_QUOTED})*+"
+_SUBSET = rf"(?:[^\]<]++|<!--(?>.*?-->)|<\?(?>.*?\?>)|<!(?!--)(?:[^<>\"']++|{_QUOTED})*+>)*+"
+_INSIDE = r"(?:[^<>\"']++|\"[^\"<]*\"|'[^'<]*')*+"  # of a tag; a < in a value is not well-formed
+_MARKUP = re.compile(rf"<!--(.*?)-->|<\?(.*?)\?>|<!\[CDATA\[(.*?)\]\]>|<![Dd][Oo][Cc][Tt][Yy][Pp][Ee]({_DECLARED}(?:\[{_SUBSET}\]\s*+)?+)>|<(/?)([^\s/<>!?\"']++)({_INSIDE})>", re.S)
+#: What may still become markup, as far as it goes.
+_OPEN = r"(?:\"[^\"]*|'[^']*)?+"
+_BEGUN_TYPE = re.compile(rf"<!DOCTYPE{_DECLARED}(?:\[{_SUBSET}(?:\]\s*+|<!--.*|<\?.*|<!(?!--)(?:[^<>\"']++|{_QUOTED})*+{_OPEN}|<\Z)?+|{_OPEN})", re.S | re.I)
+_BEGUN_TAG = re.compile(rf"</?+(?:[^\s/<>!?\"']++{_INSIDE}(?:\"[^\"<]*|'[^'<]*)?+)?+")
+_OPENERS = ("<!--", "<![CDATA[", "<!DOCTYPE")
+
+
+def _begun(text: str, at: int) -> int:
+    """Where what begins at ``at`` and is not complete stops being the beginning of markup; the end if it still is."""
+    if text.startswith(("<!--", "<?", "<![CDATA["), at):
+        return len(text)
+    head = text[at : at + 9].upper()
+    if head == "<!DOCTYPE":
+        return _BEGUN_TYPE.match(text, at).end()
+    if head.startswith("<!"):
+        return len(text) if at + len(head) == len(text) and any(o.startswith(head) for o in _OPENERS) else at + 2
+    return _BEGUN_TAG.match(text, at).end()
 
 
 def take(tail: str, names: list[str], seq: int, final: bool) -> tuple[list[tuple], str, int]:
-    """Events of all complete constructs in ``tail``, what is left of it, and the next number; ``names`` are updated."""
+    """Events of all complete constructs in ``tail``, what is left of it, and the next number; ``names`` are updated.
+
+    Markup that can't become well-formed is an error with what was read of it, and reading goes on behind that.
+    """
     out, at = [], 0
 
     def emit(event: str, name: str | None, value: str | None) -> None:
@@ -35,17 +59,25 @@ def take(tail: str, names: list[str], seq: int, final: bool) -> tuple[list[tuple
                 at = len(tail)
             break  # a text may go on in the next chunk
         found = _MARKUP.match(tail, begin)
-        if not found:
+        stop = 0 if found else _begun(tail, begin)
+        if stop == len(tail) and not final:
             break
         if begin > at:
             emit("text", None, tail[at:begin])
-        comment, instruction, cdata, slash, name, rest, empty = found.groups()
+        if not found:
+            emit("error", None, tail[begin:stop])
+            at = stop
+            continue
+        comment, instruction, cdata, doctype, slash, name, rest = found.groups()
         if comment is not None:
             emit("comment", None, comment)
         elif instruction is not None:
             emit("instruction", None, instruction)
         elif cdata is not None:
             emit("text", None, cdata)
+        elif doctype is not None:
+            name = re.match(r"[^\s\[]*", doctype := doctype.strip())[0]
+            emit("doctype", name or None, doctype[len(name) :].strip() or None)
         elif slash:
             if names and names[-1] == name:
                 names.pop()
@@ -53,18 +85,15 @@ def take(tail: str, names: list[str], seq: int, final: bool) -> tuple[list[tuple
             else:
                 emit("error", name, "end tag without a start")
         else:
-            emit("start", name, rest.strip() or None)
+            empty = rest.endswith("/")
+            emit("start", name, rest.removesuffix("/").strip() or None)
             if empty:
                 emit("end", name, None)
             else:
                 names.append(name)
         at = found.end()
-    if final:
-        if at < len(tail):
-            emit("error", None, tail[at:])
-            at = len(tail)
-        if names:
-            emit("error", names[-1], "the document ends in an element")
+    if final and names:
+        emit("error", names[-1], "the document ends in an element")
     return out, tail[at:], seq
 
 
