@@ -6,6 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from thicket.functions import xpath as X
+from thicket.plans import queries
 from thicket.sources.files import resolved
 from thicket.streaming.push import push_events, take
 
@@ -82,3 +84,20 @@ def test_push_whole_pages(spark, sf_dir, tmp_path):
         assert [n for e, n, _ in events if e == "start"] == re.findall(r"<([a-z][a-z0-9]*)", html)
         assert "".join(v for e, _, v in events if e == "text") == re.sub(r"<!--.*?-->|<[^>]*>", "", html, flags=re.S)
         assert not [v for e, n, v in events if e == "error" and n is None]
+
+
+def test_numerals(spark, sf_dir):
+    #: 0 to 50, the numbers that region keys and p_size have.
+    tens, ones = ["", "X", "XX", "XXX", "XL", "L"], ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]
+    want = [t + o for t in tens for o in ones][:51]
+    assert [want[i] for i in (0, 3, 4, 9, 14, 40, 49, 50)] == ["", "III", "IV", "IX", "XIV", "XL", "XLIX", "L"]
+    for name, column in (("nation", "n_regionkey"), ("nation", "n_nationkey"), ("part", "p_size")):
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.col(column).alias("n"), X.roman(F.col(column)).alias("numeral")).collect()
+        assert rows and all(r.numeral == want[r.n] for r in rows)
+
+
+def test_number_formats_calls_the_operator(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(queries.X, "roman", lambda n: F.concat(F.lit("r"), n.cast("string")))
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    got = {r.n_nationkey: r.numeral for r in queries.QUERIES["number_formats"](spark, sf_dir).collect()}
+    assert got == {r.n_nationkey: f"r{r.n_regionkey}" for r in nations.where("n_regionkey < 4").collect()}

@@ -411,7 +411,7 @@ def catalog_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN '' ELSE repeat('I', n_regionkey) END AS numeral, chr(65 + n_nationkey) AS letter FROM nation WHERE n_regionkey < 4")
 def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").where("n_regionkey < 4")
-    return n.select("n_nationkey", F.when(F.col("n_regionkey") == 3, "III").otherwise(X.roman(F.col("n_regionkey"))).alias("numeral"), X.letters(F.col("n_nationkey") + 1).alias("letter"))
+    return n.select("n_nationkey", X.roman(F.col("n_regionkey")).alias("numeral"), X.letters(F.col("n_nationkey") + 1).alias("letter"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
