@@ -27,7 +27,12 @@ _ATTRIBUTE = re.compile(r"""(?:class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^'
 _NAME = re.compile(r"[a-z]+")
 #: Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe template svg math object select".split())
+RAW = frozenset("script style title textarea iframe".split())  # up to the next end tag of that name, whatever stands there
+FOREIGN = frozenset(("svg", "math"))
+HIDDEN = frozenset("svg math object select template noscript".split())  # elements like others, whose words aren't main text
+SILENT = HIDDEN | {"option", "optgroup"}
+LEFT = frozenset("svg math select option optgroup".split())  # a block can't stand in them and ends them ..
+ENTERED = frozenset("foreignobject desc annotation-xml".split())  # .. but for a block in one of these
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -37,35 +42,75 @@ HOLDS = frozenset("ul ol dl table select article section main div body td th asi
 Part = tuple[str | None, tuple[str, ...], bool]  # text (null: a tag), names of its element and those around, starts a block
 
 
+def _tags(html: str) -> list[tuple[int, int, str | None, bool, str]]:
+    """Start, end, name (null: a comment), whether it closes, and attributes of each tag; raw text belongs to its start tag."""
+    out, at, n, foreign = [], 0, len(html), 0
+    while at < n and (tag := _TAG.search(html, at)):
+        start, at = tag.span()
+        name = tag[2] or tag[5]
+        if not name:
+            out.append((start, at, None, False, ""))
+            continue
+        name, closing, attributes = name.lower(), bool(tag[1] or tag[4]), tag[3] or tag[6] or ""
+        empty = attributes.rstrip().endswith("/")
+        if name in FOREIGN:
+            foreign = max(0, foreign - 1) if closing else foreign + (not empty)
+        elif name in RAW and not closing and not (empty and foreign):
+            close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+            at = close.end() if close else n
+        out.append((start, at, name, closing, attributes))
+    return out
+
+
+def _unclosed(tags: list[tuple[int, int, str | None, bool, str]]) -> set[int]:
+    """Where start tags of hidden elements stand that no end tag belongs to."""
+    waiting: dict[str, list[int]] = {}
+    for start, _, name, closing, _ in tags:
+        if name in HIDDEN:
+            own = waiting.setdefault(name, [])
+            if not closing:
+                own.append(start)
+            elif own:
+                own.pop()
+    return {k for own in waiting.values() for k in own}
+
+
 def parts(html: str) -> Iterator[Part]:
-    """Tags and texts of a page in order, each with the names (tags, words of class, id and role) it stands under."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    """Tags and texts of a page in order, each with the names (tags, words of class, id and role) it stands under.
+
+    Nothing comes from inside of hidden elements. One without an end tag (or a self-closing one) is empty, so it hides nothing.
+    """
+    tags = _tags(html)
+    unclosed = _unclosed(tags)
+    # Name, names around, the outermost element that a block would end (or -1), and whether it is hidden.
+    stack: list[tuple[str, tuple[str, ...], int, bool]] = []
     around: tuple[str, ...] = ()
-    at, n = 0, len(html)
-    while at < n:
-        tag = _TAG.search(html, at)
-        end = tag.start() if tag else n
-        if end > at:
-            yield unescape(html[at:end]), around, False
-        if not tag:
-            return
-        at = tag.end()
-        name = tag[2] or tag[5]
+    at, n, left, silent = 0, len(html), -1, False
+
+    def cut(k: int) -> None:
+        nonlocal around, left, silent
+        del stack[k:]
+        around, left, silent = stack[-1][1:] if stack else ((), -1, False)
+
+    for start, end, name, closing, attributes in tags:
+        if start > at and not silent:
+            yield unescape(html[at:start]), around, False
+        at = end
         if not name:
             continue
-        name, closing, attributes = name.lower(), tag[1] or tag[4], tag[3] or tag[6] or ""
         if closing:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if k is not None:
-                del stack[k:]
-                around = stack[-1][1] if stack else ()
-            yield None, (name,), name not in INLINE
+                cut(k)
+            if not silent:
+                yield None, (name,), name not in INLINE
             continue
+        if left >= 0 and (name in CLOSES_P or name in ("input", "textarea", "select")):
+            cut(left)
         ends = ("p",) if name in CLOSES_P else SAME.get(name, ())
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in ends:
-                del stack[k:]
-                around = stack[-1][1] if stack else ()
+                cut(k)
                 break
             if stack[k][0] in HOLDS:
                 break
@@ -73,13 +118,15 @@ def parts(html: str) -> Iterator[Part]:
         for m in _ATTRIBUTE.finditer(attributes):
             value = (m[1] or m[2] or m[3] or "").lower()
             own += [f"data-main={value}"] if m[0].lower().startswith("data-main") else [f".{w}" for w in _NAME.findall(value)]
-        yield None, tuple(own), name not in INLINE
-        if name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-            at = close.end() if close else n
-        elif name not in VOID and not attributes.rstrip().endswith("/"):
+        if not silent:
+            yield None, tuple(own), name not in INLINE
+        if name not in RAW and name not in VOID and not attributes.rstrip().endswith("/") and start not in unclosed:
             around = (*around, *own)
-            stack.append((name, around))
+            left = -1 if name in ENTERED else len(stack) if left < 0 and name in LEFT else left
+            silent = silent or name in SILENT
+            stack.append((name, around, left, silent))
+    if at < n and not silent:
+        yield unescape(html[at:]), around, False
 
 
 @lru_cache(maxsize=1)
@@ -148,7 +195,7 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     One row per row of ``pages``, whose whole ``html`` is read (null: empty). Repeated and null ids or urls are kept as
     they are; other columns are not read. Broken markup (no end tags, a tag cut off at the end, stray ``<``) is read as
-    far as it goes.
+    far as it goes; only script, style, title, textarea and iframe without an end tag take the rest of the page, as in HTML.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
