@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import stored, table
-from thicket.llm.jaccard import jaccard_components
+from thicket.llm.common import free, stored, table
+from thicket.llm.jaccard import jaccard_rows
 from thicket.llm.mixing import Mixture, repeated
 from thicket.llm.packing import pack, pieces
 from thicket.llm.substring_dedup import without_repeats
@@ -26,13 +26,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the one with the smallest doc_id stays.
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) one row stays: of the smallest doc_id, and
+    among rows that repeat it, the one whose text has the smallest hash; of rows with that text too, the smallest row.
 
-    Rows without doc_id link with nothing and stay.
+    So of a row that was ingested many times one stays, and rows of one doc_id with texts that are not alike all stay.
+    Rows without doc_id, and rows without words, link with nothing and stay.
     """
-    groups = jaccard_components(docs, n=5, num=80, den=100)
-    staying = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(staying, "doc_id", "left_semi").union(docs.where("doc_id is null")).select(*docs.columns)
+    key = free(docs, "text_hash")
+    hashed = docs.withColumn(key, F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = jaccard_rows(hashed, 5, 80, 100, key)
+    rows = stored(rows.where("doc_id is not null").groupBy("component", "doc_id", key).agg(F.when(F.col("component").isNull(), 1).otherwise(F.count("*")).alias("n")), "row-groups")
+    least = rows.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", key, "n")).alias("first")).select("first.*")
+    staying = stored(least.union(rows.where("component is null").select("doc_id", key, "n")), "staying-rows")
+    once = hashed.join(staying.where("n = 1"), ["doc_id", key], "left_semi").select(*docs.columns)
+    again = hashed.join(staying.where("n > 1"), ["doc_id", key], "left_semi")
+    again = again.groupBy("doc_id", key).agg(F.min(F.struct(*docs.columns)).alias("first")).select("first.*")
+    return once.union(again).union(docs.where("doc_id is null"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

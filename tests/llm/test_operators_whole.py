@@ -1,5 +1,8 @@
 """Cases that the corpus operators once left out."""
 
+import hashlib
+
+import corpus_pipeline
 import pytest
 
 from thicket.llm.html_extraction import main_text
@@ -39,3 +42,26 @@ def test_hidden_elements(box):
     assert main_text(f"<main>{FIRST}{box}{SECOND}</main>") == TEXT
     assert main_text(f"<html><body>{box}<article>{FIRST}{SECOND}</article></body></html>") == TEXT
     assert main_text(f"<article>{FIRST}{box}{SECOND}</article><footer>The end <svg><text>No</text></svg></footer>") == TEXT
+
+
+def test_near_copies_by_row(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near_a, near_b = a.replace("a30 ", ""), b.replace("b30 ", "")
+    rows = [
+        *[(1, a, "s")] * 5,  # one row many times
+        (1, b, "s"),  # a text of its own with the same doc_id
+        (2, near_a, "s"),
+        (2, "short text of five words or more", "s"),  # its own component: must not keep near_a
+        (3, near_b, "s"),
+        (4, "one two", "t"),
+        (4, "one two", "s"),  # the same text, other columns
+        (5, "x y z", "s"),
+        (5, "X y  z", "s"),  # an equal set of another text
+        *[(6, "", "s"), (6, None, "s"), (None, a, "s"), (None, a, "s")],
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash string").repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    five = min(("x y z", "X y  z"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    want = [(1, a, "s"), (1, b, "s"), (2, rows[7][1], "s"), (4, "one two", "s"), (5, five, "s"), (6, "", "s"), (6, None, "s"), (None, a, "s"), (None, a, "s")]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))

@@ -89,8 +89,8 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """For each row: number of distinct shingles, a hash of their set (null: no word) and its sketch; stored."""
+def shingle_sets(docs: DataFrame, n: int, *carried: str) -> DataFrame:
+    """For each row: number of distinct shingles, a hash of their set (null: no word), its sketch and the string columns ``carried``; stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -101,9 +101,10 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
                 size.append(len(s))
                 hashes.append(set_hash(s) if len(s) else None)
                 sketches.append(sketch(s) if len(s) else None)
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(hashes, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "set_hash", "sketch"])
+            own = [c.cast(pa.string()) for c in batch.columns[2:]]
+            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(hashes, pa.int64()), pa.array(sketches, pa.binary()), *own], names=["doc_id", "n_shingles", "set_hash", "sketch", *carried])
 
-    return stored(docs.select("doc_id", "text").mapInArrow(run, SETS), "shingle-sets")
+    return stored(docs.select("doc_id", "text", *carried).mapInArrow(run, ", ".join([SETS, *(f"{c} string" for c in carried)])), "shingle-sets")
 
 
 def _stars(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -309,25 +310,32 @@ def _near_pairs(rows: list[tuple], num: int, den: int) -> tuple[list[int], list[
     return a, b
 
 
-def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Components of texts whose sets of ``n``-word shingles have den * intersection >= num * union.
-
-    One row per row of ``docs``: ``doc_id``, ``n_shingles`` (0 without words) and ``component_id`` (the
-    smallest ``doc_id`` reachable by links, itself included). Null or empty texts, and texts without words,
-    link with nothing. Rows without ``doc_id`` come back with a null component and link with nothing. Rows
-    that repeat a ``doc_id`` are texts like others. Equal sets always link. Other columns are not read.
+def jaccard_rows(docs: DataFrame, n: int, num: int, den: int, *carried: str) -> DataFrame:
+    """``jaccard_components`` with a key of each row's component, ``component`` (null: the row links with nothing), and the
+    string columns ``carried``. Where a ``doc_id`` is repeated, several components can have one ``component_id``.
     """
-    docs = docs.select("doc_id", "text")
-    sets = shingle_sets(docs, n)
+    docs = docs.select("doc_id", "text", *carried)
+    sets = shingle_sets(docs, n, *carried)
     known = sets.where("set_hash is not null and doc_id is not null")
     classes = stored(known.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "set-classes")
-    named = docs.where("doc_id is not null")
+    named = docs.select("doc_id", "text").where("doc_id is not null")
     links = candidate_links(named, n, num, den)
     found = _linked(links, classes, named, n, num, den)
     label = classes.join(found, classes.set_hash == found.id, "left").select("set_hash", "doc_id", F.coalesce("component", "set_hash").alias("component"))
     label = stored(label, "class-components")
     least = stored(label.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component-ids")
-    label = stored(label.join(least, "component").select("set_hash", "component_id"), "class-labels")
-    linked = known.select("doc_id", "n_shingles", "set_hash").join(label, "set_hash").select("doc_id", "n_shingles", "component_id")
-    rest = sets.where("set_hash is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    label = stored(label.join(least, "component").select("set_hash", "component", "component_id"), "class-labels")
+    linked = known.select("doc_id", "n_shingles", "set_hash", *carried).join(label, "set_hash").select("doc_id", "n_shingles", "component_id", "component", *carried)
+    rest = sets.where("set_hash is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"), *carried)
     return linked.union(rest)
+
+
+def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Components of texts whose sets of ``n``-word shingles have den * intersection >= num * union.
+
+    One row per row of ``docs``: ``doc_id``, ``n_shingles`` (0 without words) and ``component_id`` (the
+    smallest ``doc_id`` reachable by links, itself included). Null or empty texts, and texts without words,
+    link with nothing. Rows without ``doc_id`` come back with a null component and link with nothing. Rows
+    that repeat a ``doc_id`` are texts like others. Equal sets always link. Other columns are not read.
+    """
+    return jaccard_rows(docs, n, num, den).select("doc_id", "n_shingles", "component_id")
