@@ -2,13 +2,17 @@
 
 import random
 import re
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
 from thicket.functions import xpath as X
+from thicket.operators import axes as A
+from thicket.operators import output as O
 from thicket.plans import queries
 from thicket.sources.files import resolved
+from thicket.sources.shred import shred_html
 from thicket.streaming.push import push_events, take
 
 #: Rules whose prefixes end inside a segment, at a slash, nowhere, and at a whole URI; and an exact entry.
@@ -101,3 +105,55 @@ def test_number_formats_calls_the_operator(spark, sf_dir, monkeypatch):
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
     got = {r.n_nationkey: r.numeral for r in queries.QUERIES["number_formats"](spark, sf_dir).collect()}
     assert got == {r.n_nationkey: f"r{r.n_regionkey}" for r in nations.where("n_regionkey < 4").collect()}
+
+
+class Seen(HTMLParser):
+    """What a page says, by the standard parser alone."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.said = []
+        self.feed(html)
+        self.close()
+
+    def add(self, *event):
+        if event[0] == "text" and self.said and self.said[-1][0] == "text":
+            event = ("text", self.said.pop()[1] + event[1])
+        self.said.append(event)
+
+    def handle_starttag(self, tag, attrs):
+        self.add("start", tag, tuple((a, v or "") for a, v in attrs))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+
+    def handle_data(self, data):
+        self.add("text", data)
+
+    def handle_comment(self, data):
+        self.add("comment", data)
+
+    def handle_decl(self, decl):
+        self.add("doctype", decl)
+
+
+def test_pages_come_back_whole(spark, sf_dir):
+    pages = [(r.page_id, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    pages += [
+        (-1, """<!-- a --><!DOCTYPE html PUBLIC "-//W3C//DTD HTML 4.01//EN" "x.dtd"><!-- b --><p z="1" a="&lt;&quot;" c>1 &lt; 2<br>x</p>"""),
+        (-2, "<script>if (a < b && c > d) t('</p>&amp;')</script><style>p > a {}</style><textarea>&lt;b&gt;</textarea><title>&amp;</title>"),
+        (-3, "<p>no type</p>"),
+    ]
+    docs = spark.createDataFrame(pages, "id long, h string")
+    markup = O.serialized(shred_html(docs, "id", "h"), html=True).cache()
+    again = {r.doc_id: r.markup for r in O.serialized(shred_html(markup, "doc_id", "markup"), html=True).collect()}
+    got = {r.doc_id: r.markup for r in markup.collect()}
+    assert got == again and len(got) == len(pages)
+    for k, html in pages:
+        assert Seen(got[k]).said == Seen(html).said
+    assert got[-2].startswith("<script>if (a < b && c > d) t('</p>&amp;')</script><style>p > a {}</style>")
+    assert queries.QUERIES["serialize_pages"](spark, sf_dir).where("markup like '<!DOCTYPE html><html%'").count() == len(pages) - 3
+    empty = shred_html(spark.createDataFrame([(1, "<!DOCTYPE html>"), (2, "<p>x</p><!DOCTYPE html>")], "id long, h string"), "id", "h")
+    assert {r.doc_id: r.markup for r in O.serialized(empty, html=True).collect()} == {1: "<!DOCTYPE html>", 2: "<p>x</p>"}
+    assert O.serialized(empty.where("doc_id = 1"), canonical=True).first().markup == ""
+    assert A.string_values(empty.where("doc_id = 1"), empty).first().string == ""

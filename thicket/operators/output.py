@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from thicket.functions.xpath import escape
 from thicket.operators.axes import step, string_values
-from thicket.sources.shred import ATTRIBUTE, COMMENT, DOCUMENT, ELEMENT, INSTRUCTION, TEXT, VOID
+from thicket.sources.shred import ATTRIBUTE, COMMENT, DOCUMENT, ELEMENT, INSTRUCTION, RAW_TEXT, TEXT, VOID
 
 
 def serialized(nodes: DataFrame, html: bool = False, canonical: bool = False) -> DataFrame:
-    """``doc_id`` and ``markup``. ``html``: void elements have no end tag. ``canonical``: attributes in order of their
-    namespace and name (declarations first), no empty-element tags, no comments."""
+    """``doc_id`` and ``markup``. ``html``: void elements have no end tag, and text in script and style stands as it is. ``canonical``: attributes in order of their
+    namespace and name (declarations first), no empty-element tags, no comments, no DOCTYPE."""
     a = nodes.where(F.col("kind") == ATTRIBUTE)
     declares = (F.col("name") == "xmlns") | F.startswith("name", F.lit("xmlns:"))
     rank = F.struct(F.when(declares, 0).otherwise(1), F.coalesce("ns_uri", F.lit("")), F.col("local")) if canonical else F.struct(F.lit(0), F.lit(""), F.lpad(F.col("pre").cast("string"), 10, "0"))
@@ -28,18 +28,25 @@ def serialized(nodes: DataFrame, html: bool = False, canonical: bool = False) ->
     # An element with only attributes below it is empty.
     children = nodes.where((F.col("kind") != ATTRIBUTE) & F.col("parent").isNotNull()).select("doc_id", F.col("parent").alias("pre")).distinct().withColumn("_c", F.lit(True))
     inner = inner.join(children, ["doc_id", "pre"], "left")
+    plain = F.lit(False)
+    if html:
+        raw = nodes.where((F.col("kind") == ELEMENT) & F.col("local").isin(*sorted(RAW_TEXT))).select("doc_id", F.col("pre").alias("parent"), F.lit(True).alias("_raw"))
+        inner, plain = inner.join(raw, ["doc_id", "parent"], "left"), F.col("_raw").isNotNull()
     void = F.col("local").isin(*sorted(VOID)) if html else F.lit(False)
     bare = F.col("_c").isNull() & F.lit(not canonical and not html)
     start = F.concat(F.lit("<"), F.col("name"), F.col("_a"), F.when(bare, "/>").otherwise(">"))
     end = F.when(bare | void, "").otherwise(F.concat(F.lit("</"), F.col("name"), F.lit(">")))
     leaf = (
-        F.when(F.col("kind") == TEXT, escape(F.col("value"), canonical=canonical))
+        F.when((F.col("kind") == TEXT) & plain, F.col("value"))
+        .when(F.col("kind") == TEXT, escape(F.col("value"), canonical=canonical))
         .when(F.col("kind") == COMMENT, F.lit("") if canonical else F.concat(F.lit("<!--"), F.col("value"), F.lit("-->")))
         .when(F.col("kind") == INSTRUCTION, F.concat(F.lit("<?"), F.col("name"), F.when(F.length("value") > 0, F.concat(F.lit(" "), F.col("value"))).otherwise(""), F.lit("?>")))
         .otherwise("")
     )
     # Ends come after everything below; of ends at one place, the innermost first.
-    opened = F.struct(F.col("pre").alias("at"), F.lit(0).alias("side"), F.lit(0).alias("depth"), F.when(F.col("kind") == ELEMENT, start).otherwise(leaf).alias("t"))
+    typed = (F.col("kind") == DOCUMENT) & F.col("name").isNotNull() & F.lit(not canonical)
+    leaf = F.when(typed, F.concat(F.lit("<!"), F.col("name"), F.lit(">"))).otherwise(leaf)
+    opened = F.struct(F.when(typed, F.col("sib")).otherwise(F.col("pre")).alias("at"), F.when(typed, -1).otherwise(0).alias("side"), F.lit(0).alias("depth"), F.when(F.col("kind") == ELEMENT, start).otherwise(leaf).alias("t"))
     closed = F.struct((F.col("pre") + F.col("size")).alias("at"), F.lit(1).alias("side"), (-F.col("level")).alias("depth"), F.when(F.col("kind") == ELEMENT, end).otherwise("").alias("t"))
     pieces = inner.select("doc_id", F.explode(F.array(opened, closed)).alias("p"))
     return pieces.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"]), "").alias("markup"))

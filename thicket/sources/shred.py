@@ -4,7 +4,8 @@ A node is a row ``(doc_id, pre, size, level, parent, kind, ns_uri, prefix, local
 the nodes of a document in document order from 0 (the document node), ``size`` counts the nodes below, so a node's
 descendants are those with ``pre < d.pre <= pre + size``. Attributes stand between their element and its first child.
 ``sib`` numbers children (and apart from them attributes) from 1. ``kind`` is 1 element, 2 attribute, 3 text, 7
-processing instruction, 8 comment, 9 document.
+processing instruction, 8 comment, 9 document. The DOCTYPE of HTML is no node: it is the ``name`` of the document node
+("DOCTYPE html"), whose ``sib`` is the ``pre`` of the node that follows it (1 unless comments stand before it).
 
 Parsing is the standard library's, one document at a time in the tasks; everything after it is joins and windows.
 """
@@ -38,6 +39,8 @@ ENDS = {
     **dict.fromkeys("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split(), {"p"}),
 }
 HOLDS = frozenset("ul ol dl table select article section main div body td th aside nav".split())
+#: Elements whose text has no entities and no tags, as the parser takes them.
+RAW_TEXT = frozenset(HTMLParser.CDATA_CONTENT_ELEMENTS)
 
 
 class Rows:
@@ -83,6 +86,12 @@ class Rows:
         self.children.pop()
         self.rows[at][2] = len(self.rows) - 1 - at
 
+    def doctype(self, declaration: str) -> None:
+        """The first one before any element counts."""
+        document = self.rows[self.base]
+        if document[9] is None and all(row[5] != ELEMENT for row in self.rows[self.base :]):
+            document[9], document[11] = declaration, len(self.rows) - self.base
+
     def finish(self) -> None:
         while self.open:
             self.end()
@@ -109,7 +118,8 @@ class _Html(HTMLParser):
                 break
             if self.names[k] in HOLDS:
                 break
-        self.rows.start(tag, [(a, None, v) for a, v in dict(reversed(attrs)).items()] if len(attrs) > 1 else [(a, None, v) for a, v in attrs])
+        first = dict(reversed(attrs))
+        self.rows.start(tag, [(a, None, first[a]) for a in dict(attrs)])
         self.names.append(tag)
         if tag in VOID:
             self._cut(len(self.names) - 1)
@@ -132,6 +142,10 @@ class _Html(HTMLParser):
     def handle_comment(self, data: str) -> None:
         self.rows.node(COMMENT, data)
 
+    def handle_decl(self, decl: str) -> None:
+        if decl[:7].lower() == "doctype":
+            self.rows.doctype(decl)
+
 
 def _html_rows(rows: Rows, text: str) -> None:
     parser = _Html(rows)
