@@ -11,18 +11,16 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
-from itertools import compress, repeat
 
 import numpy as np
 
-MEMO = 1_000_000
-MISSING = b"?"  # no multiple of four bytes, so no ids
+from thicket.llm.common import LONG, Memo
 
 
 class Encoder:
-    """``encode(text)``: the ids as little-endian unsigned 32-bit integers, equal to the library's of the whole text."""
+    """``encode_all(texts)``: the ids of each as little-endian unsigned 32-bit integers, equal to the library's of the whole text."""
 
-    def __init__(self, tokenizer_file: str, memo: int = MEMO):
+    def __init__(self, tokenizer_file: str, room: int = 256 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -34,62 +32,71 @@ class Encoder:
         for token, i in self.library.get_vocab().items():
             self.starts[i] = token.startswith("\u0120")  # how byte-level vocabularies write a space
         self.ends = {c: self._whole(c) for c in ".,"}
-        self.memo: dict[str, bytes | None] = {}
-        self.size = memo
+        # Units behind a space (null: they don't stand alone), and first units of texts.
+        self.memo, self.heads = Memo(room), Memo(room // 8)
+
+    def _ids(self, text: str) -> np.ndarray:
+        # Of one text; this form leaves out places in the text, which nothing here needs.
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ids(text).tobytes()
 
-    def learn(self, units: set[str]) -> dict[str, bytes | None]:
-        """Ids of units (each without its leading space), by one call of the library; they go into the memo.
+    def _learn(self, units: set[str]) -> list[str]:
+        """Puts the ids of units (each without its leading space) into the memo, by one call of the library; returns the long units.
 
-        Units are sent as one line with single spaces between them. Only the first id of each
-        then starts with a space, which is where the line's ids are cut again.
+        Units are sent as one line with single spaces between them. Only the first id of each then starts with a space, which is
+        where the line's ids are cut again. Units that don't stand alone get no ids (null).
         """
-        memo, tails, apart = {}, {}, {}
-        for u in units:
-            memo[u] = None
-            if not u or u[0].isspace() or u[-1].isspace() or any(s in u for s in self.special):
-                continue
-            if u[-1] in ".," and u[:-1].isalpha():  # letters and punctuation are never one piece
-                tails[u] = u[:-1]
-                apart[u[:-1]] = None
-            else:
-                apart[u] = None
+        plain = [u for u in units if u and u.strip() == u]
+        line = " ".join(plain)
+        if any(s in line for s in self.special):
+            plain = [u for u in plain if not any(s in u for s in self.special)]
+        # Letters and punctuation are never one piece.
+        tails = {u: u[:-1] for u in plain if u[-1] in ".," and u[:-1].isalpha()}
+        stems = set(tails.values())
+        apart = list(self.memo.missing(stems.union(plain).difference(tails)))
+        known, young, raw = {}, self.memo.young, b""
         if apart:
-            ids = np.array(self.library.encode(" " + " ".join(apart), add_special_tokens=False).ids, "<u4")
+            ids = self._ids(" " + " ".join(apart))
             cuts = np.flatnonzero(self.starts[ids])
             if len(cuts) != len(apart):
                 raise ValueError("the vocabulary joins words across a space")
-            ends = [*cuts[1:].tolist(), len(ids)]
+            cuts = (4 * cuts).tolist()
             raw = ids.tobytes()
-            for u, i, j in zip(apart, cuts.tolist(), ends, strict=True):
-                memo[u] = raw[4 * i : 4 * j]
-        for u, v in tails.items():
-            memo[u] = memo[v] + self.ends[u[-1]]
-        if len(self.memo) + len(memo) > self.size:
-            self.memo.clear()
-        self.memo.update(memo)
-        return memo
+            known = dict(zip(apart, [raw[i:j] for i, j in zip(cuts, [*cuts[1:], len(raw)], strict=True)], strict=True))
+        young.update(known)
+        dots = self.ends
+        known.update({u: young[w] + dots[u[-1]] for u, w in tails.items()})
+        if len(plain) < len(units):
+            known = dict.fromkeys(units) | known
+        self.memo.put(known, 2 * (len(line) + len(raw)))
+        return [u for u in units if len(u) > LONG]
 
     def encode_all(self, texts: list[str], some: int = 400) -> list[bytes]:
-        get, out = self.memo.get, []
+        memo, out = self.memo, []
         for i in range(0, len(texts), some):
-            part, new = [], set()
-            for text in texts[i : i + some]:
-                first, *units = text.split(" ")
-                found = list(map(get, units, repeat(MISSING)))
-                part.append((text, first, units, found))
-                if MISSING in found:
-                    new.update(compress(units, map(MISSING.__eq__, found)))
-            learned = self.learn(new) if new else {}
-            for text, first, units, found in part:
-                if MISSING in found:
-                    found = [learned[u] if v is MISSING else v for u, v in zip(units, found, strict=True)]
-                if None in found:  # a unit that doesn't stand alone
+            part = texts[i : i + some]
+            split = [t.split(" ") for t in part]
+            heads = [units[0] for units in split]
+            if new := self.heads.missing(set(heads)):
+                self.heads.put({u: self._whole(u) for u in new}, 5 * sum(map(len, new)))
+            first = [self.heads.young[u] for u in heads]
+            self.heads.forget(u for u in new if len(u) > LONG)
+            for units in split:
+                units[0] = ""  # stands for no ids here: a unit that is really empty doesn't stand alone
+            empty = [units.count("") > 1 for units in split]
+            new = memo.missing(set().union(*split))
+            new.discard("")
+            long = self._learn(new) if new else ()
+            memo.young[""] = b""
+            get = memo.young.__getitem__
+            for text, head, units, apart in zip(part, first, split, empty, strict=True):
+                try:
+                    out.append(self._whole(text) if apart else head + b"".join(map(get, units)))
+                except TypeError:  # a unit that doesn't stand alone
                     out.append(self._whole(text))
-                else:
-                    out.append((self._whole(first) if first else b"") + b"".join(found))
+            memo.forget(long)
         return out
 
 

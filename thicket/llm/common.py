@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+from thicket.sources.store import shared_folder, stored  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,23 +19,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder below the shared checkpoint folder of the session.
+    """A new folder below the shared checkpoint folder of the session (``sources.store`` has the rule for a session without one)."""
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
-    Only where the setting is unset (tests in local mode) a temporary folder of
-    this machine takes its place.
+
+class Memo:
+    """A memo bounded by bytes, in two generations: when the young one is full it becomes the old one, from which what is used again moves up.
+
+    Plain dictionaries, as sets are subtracted from these key by key and from subclasses as a whole.
     """
-    base = spark.conf.get(CHECKPOINT_DIR, None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(CHECKPOINT_DIR, base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    ENTRY = 180  # bytes of a dictionary's entry and the two objects' headers
+
+    def __init__(self, room: int = 96 << 20):
+        self.young, self.old, self.used, self.half = {}, {}, 0, room // 2
+
+    def missing(self, keys: set) -> set:
+        """The keys that aren't known; the others can be read from ``young`` until the next call."""
+        if self.used > self.half:
+            self.old, self.young, self.used = self.young, {}, 0
+        new = keys.difference(self.young)
+        unknown = new.difference(self.old)
+        if len(unknown) < len(new):
+            old, again = self.old, new.difference(unknown)
+            self.young.update({k: old[k] for k in again})
+            self.used += self.ENTRY * len(again) + sum(map(len, again))
+        return unknown
+
+    def put(self, found: dict, size: int) -> None:
+        """``size``: bytes of the keys and values."""
+        self.young.update(found)
+        self.used += size + self.ENTRY * len(found)
+
+    def forget(self, keys: Iterable) -> None:
+        for k in keys:
+            self.young.pop(k, None)
+
+
+#: Keys beyond so many characters are not kept in memos.
+LONG = 128
+
+
+def place(df: DataFrame, name: str) -> int:
+    """The position of the column that Spark resolves ``name`` to: letter case counts only where the session says so."""
+    if df.sparkSession.conf.get("spark.sql.caseSensitive") == "true":
+        found = [i for i, c in enumerate(df.columns) if c == name]
+    else:
+        found = [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} columns named {name}")
+    return found[0]
+
+
+def map_rows(df: DataFrame, run, columns: int | None = None) -> DataFrame:
+    """``mapInArrow`` that keeps the (first ``columns``) columns of ``df``, whatever their names hold (Spark's own doesn't take dots)."""
+    kept = df.columns if columns is None else df.columns[:columns]
+    schema = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields[: len(kept)])])
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema).toDF(*kept)
 
 
 def free(df: DataFrame, name: str) -> str:

@@ -2,7 +2,7 @@
 
 A shard holds the ids of a range of documents, in ascending ``doc_id`` order::
 
-    header | id payload | index levels | slots | document order
+    id payload | index levels | slots | document order | sizes
 
 The index is a minimal perfect hash: level by level, keys hash to twice as many
 bits as there are keys left, keys alone on their bit stay there, the others go on.
@@ -29,7 +29,7 @@ from thicket.llm.bpe import encoder
 from thicket.llm.common import mix64, scratch, stored
 
 MAGIC = b"TKSHARD1"
-HEADER, HEADER_SIZE = "<8sQQQI4x", 40  # magic, documents, ids, bytes of the index levels, bytes of an id
+SIZES, SIZES_SIZE = "<8sQQQI4x", 40  # magic, documents, ids, bytes of the index levels, bytes of an id
 LEVELS = 48
 MANIFEST = "shard int, path string, n_docs long, n_ids long, first_id long, last_id long, nulls long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -119,10 +119,12 @@ class Shard:
     def __init__(self, path: str):
         fs, at = _open(path)
         self.file = fs.open_input_file(at)
-        magic, self.n, self.n_ids, levels, self.width = struct.unpack(HEADER, self.file.read_at(HEADER_SIZE, 0))
+        size = self.file.size()
+        sizes = self.file.read_at(SIZES_SIZE, size - SIZES_SIZE) if size >= SIZES_SIZE else bytes(SIZES_SIZE)
+        magic, self.n, self.n_ids, levels, self.width = struct.unpack(SIZES, sizes)
         if magic != MAGIC:
             raise ValueError(f"{path} is no shard")
-        at = HEADER_SIZE + self.n_ids * self.width
+        at = self.n_ids * self.width
         self.index = PerfectHash.load(self.file.read_at(levels, at))
         slots = np.frombuffer(self.file.read_at(24 * self.n, at + levels), "<u8").reshape(3, self.n)
         self.fingerprint, self.offset, self.length = slots
@@ -139,7 +141,7 @@ class Shard:
 
     def ids(self, slot: int) -> np.ndarray:
         n, at = int(self.length[slot]), int(self.offset[slot])
-        return np.frombuffer(self.file.read_at(n * self.width, HEADER_SIZE + at * self.width), f"<u{self.width}").astype("<u4")
+        return np.frombuffer(self.file.read_at(n * self.width, at * self.width), f"<u{self.width}").astype("<u4")
 
     def documents(self) -> Iterator[tuple[int, bool, int, np.ndarray]]:
         """doc_id, whether it is null, offset and ids of each document in order, each looked up by its key."""
@@ -164,7 +166,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, coder = TaskContext.get(), encoder(tokenizer_file)
-        end, narrow = np.array([end_id], "<u4"), len(coder.starts) <= 1 << 16 and end_id < 1 << 16
+        end, narrow = np.array([end_id], "<u4").tobytes(), len(coder.starts) <= 1 << 16 and end_id < 1 << 16
         width, out, doc_ids, nulls, lengths = 2 if narrow else 4, None, [], [], []
         final = f"{folder}/shard-{task.partitionId():06d}.tok"
         fs, at = _open(final)
@@ -173,16 +175,13 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str
             if out is None:
                 fs.create_dir(at.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(temp)
-                out.write(bytes(HEADER_SIZE))
             column = batch.column(0).cast(pa.int64())
             doc_ids.append(column.fill_null(0).to_numpy(zero_copy_only=False))
             nulls.append(column.is_null().to_numpy(zero_copy_only=False))
             for k in range(0, batch.num_rows, 500):
                 coded = coder.encode_all([x or "" for x in batch.column(1).slice(k, 500).to_pylist()])
-                for raw in coded:
-                    ids = np.concatenate([np.frombuffer(raw, "<u4"), end])
-                    out.write(ids.astype(f"<u{width}").tobytes())
-                    lengths.append(len(ids))
+                out.write(np.frombuffer(end.join([*coded, b""]), "<u4").astype(f"<u{width}").tobytes())
+                lengths += [len(raw) // 4 + 1 for raw in coded]
         if out is None:
             return
         ids, null, n = np.concatenate(doc_ids), np.concatenate(nulls), np.array(lengths, np.int64)
@@ -191,17 +190,11 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str
         slots, table = index.slots(keys), np.zeros((3, len(keys)), "<u8")
         table[:, slots] = [mix64(~keys), (np.cumsum(n) - n).astype(np.uint64), n.astype(np.uint64)]
         levels = index.dump()
-        for part in (levels, table.tobytes(), ids.astype("<i8").tobytes(), null.tobytes()):
+        sizes = struct.pack(SIZES, MAGIC, len(ids), int(n.sum()), len(levels), width)
+        for part in (levels, table.tobytes(), ids.astype("<i8").tobytes(), null.tobytes(), sizes):
             out.write(part)
         out.close()
-        # The header is a file of zeros until here; object stores can't seek, so it goes in by a second copy there.
-        with fs.open_input_stream(temp) as whole, fs.open_output_stream(f"{temp}2") as full:
-            whole.read(HEADER_SIZE)
-            full.write(struct.pack(HEADER, MAGIC, len(ids), int(n.sum()), len(levels), width))
-            while chunk := whole.read(1 << 22):
-                full.write(chunk)
-        fs.delete_file(temp)
-        fs.move(f"{temp}2", at)
+        fs.move(temp, at)
         known = ids[~null]
         row = [task.partitionId(), final, len(ids), int(n.sum()), int(known.min()) if len(known) else None, int(known.max()) if len(known) else None, int(null.sum())]
         kinds = [pa.int32(), pa.string(), *[pa.int64()] * 5]

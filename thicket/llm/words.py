@@ -5,22 +5,27 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from thicket.llm.common import mix64
+from thicket.llm.common import LONG, Memo, mix64
 
-#: Words are what lies between white space in this sense: space and 0x09 to 0x0D, as bytes.split() has it.
-MEMO = 500_000
+ROOM = 96 << 20  # bytes
 
 
 class WordHashes(dict):
-    """A bounded memo of 64-bit word hashes."""
+    """A memo, bounded by bytes, of 64-bit hashes of words: what lies between white space (space and 0x09 to 0x0D, as bytes.split() has it)."""
+
+    used = 0
 
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG:
+            self[word] = h
+            self.used += len(word) + Memo.ENTRY
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > MEMO:
+        if self.used > ROOM:
             self.clear()
+            self.used = 0
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
