@@ -4,18 +4,22 @@ Only the histogram of piece lengths (at most ``capacity`` numbers) reaches the d
 There the configuration linear program (a variable for each way to fill a sequence, a
 covering row for each length) is solved approximately by multiplicative weights: a
 length's price falls as it gets covered, and an unbounded knapsack by dynamic
-programming finds the configurations that are worth most. The solution is rounded down
-to whole sequences, and what is left over is packed best-fit from the longest, on runs
-of equal sequences. A plan is a list of (configuration, number of equal sequences), so
-its size depends on the lengths, not on the number of documents. A piece's place follows
-from its rank among the pieces of its length.
+programming finds the configurations that are worth most. The solution is rounded to
+whole sequences, fractions being carried on to the next configuration, and what is left
+over is packed best-fit from the longest, on runs of equal sequences. Prices also give a
+lower bound of any packing (their value over what one sequence can hold), which a plan
+carries. A plan is a list of (configuration, number of equal sequences), so its size
+depends on the lengths, not on the number of documents. A piece's place follows from its
+rank among the pieces of its length.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,18 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 Run = tuple[tuple[tuple[int, int], ...], int]  # ((length, how many a sequence), ...), how many such sequences
 
 
+class Plan(NamedTuple):
+    """``bound``: no packing has fewer sequences. ``by_program``: sequences that come from the linear program."""
+
+    runs: list[Run]
+    bound: int
+    by_program: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.runs)
+
+
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
     """Tokenised pieces of at most ``capacity`` ids (the first of a longer document takes the remainder), stored.
 
@@ -76,7 +92,7 @@ def knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return best, item
 
 
-def solve(counts: dict[int, int], capacity: int, rounds: int = 120, columns: int = 64, rate: float = 3.0, share: float = 0.125) -> list[Run]:
+def solve(counts: dict[int, int], capacity: int, rounds: int = 300, columns: int = 64, rate: float = 3.0) -> Plan:
     """A plan for ``counts`` (length: how many pieces) with few sequences."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
@@ -87,12 +103,15 @@ def solve(counts: dict[int, int], capacity: int, rounds: int = 120, columns: int
         left[capacity] = 0
     demand, size = left.astype(float), np.arange(capacity + 1) / capacity
     have, covered, x = demand > 0, np.zeros(capacity + 1), defaultdict(float)
-    for _ in range(rounds if demand.max() >= 2 else 0):
+    whole, bound = sum(n for _, n in plan), float(demand @ size)
+    for _ in range(rounds):
         if not have.any() or (covered[have] >= 1).all():
             break
         # Multiplicative weights: exp(-rate * covered), around the prices of the volume bound.
         price = np.where(have & (covered < 1), size * np.exp(-rate * covered / 8), 0.0)
         best, item = knapsack(price, capacity)
+        if best[capacity] > 0:
+            bound = max(bound, float(demand @ price) / best[capacity])
         gain = np.where(price > 0, price + best[capacity - np.arange(capacity + 1)], -1.0)
         used: set[int] = set()
         for seed in np.argsort(-gain, kind="stable")[:capacity]:
@@ -108,17 +127,21 @@ def solve(counts: dict[int, int], capacity: int, rounds: int = 120, columns: int
             if used & config.keys():
                 continue
             used |= config.keys()
-            step = min(max(share, 1 / demand[i]) * demand[i] / a for i, a in config.items())
+            step = min(demand[i] * (1.0001 - covered[i]) / a for i, a in config.items())  # covers one length to its end
             x[tuple(sorted(config.items(), reverse=True))] += step
             for i, a in config.items():
                 covered[i] += a * step / demand[i]
+    carried = 0.0
     for config, value in sorted(x.items(), key=lambda kv: (sum(i * a for i, a in kv[0]), kv[1]), reverse=True):
-        n = min([int(value), *(int(left[i]) // a for i, a in config)])
+        carried += value
+        n = min([int(carried), *(int(left[i]) // a for i, a in config)])
         if n > 0:
+            carried -= n
             plan.append((config, n))
             for i, a in config:
                 left[i] -= a * n
-    return plan + best_fit(left, capacity)
+    by_program = sum(n for _, n in plan) - whole
+    return Plan(plan + best_fit(left, capacity), whole + math.ceil(bound - 1e-6), by_program)
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[Run]:
@@ -163,9 +186,10 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
     counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = stored(counts, "piece-counts")
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # <= capacity rows
-    keys, first_rank, first_sequence, each, first_offset = places(solve(histogram, capacity), capacity)
+    keys, first_rank, first_sequence, each, first_offset = places(solve(histogram, capacity).runs, capacity)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
-    base = counts.select("part", "length", before.alias("before"))
+    # Partitions times lengths: it grows with the input, so it is not broadcast. A key has a partition's pieces at most.
+    base = counts.select("part", "length", before.alias("before")).hint("shuffle_hash")
     ranked = cut.join(base, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
