@@ -7,7 +7,9 @@ and that byte-pair encoding would leave beside the last token of the rest. That
 gives the recurrence ``count[p] = count[p - len(t)] + 1`` (for characters outside
 the vocabulary: plus their number of UTF-8 bytes), hence the exact count at every
 prefix, and answers to truncation and budget questions without encoding again.
-Units repeat, so each worker keeps a bounded memo of them.
+Units repeat, so each worker keeps a memo of their counts, bounded by bytes. New units
+are taken in their order, so the recurrence goes on from the prefix that a unit shares
+with the one before it.
 """
 
 from __future__ import annotations
@@ -19,28 +21,33 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from thicket.llm.common import LONG, Memo
+
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_chars long"
-MEMO = 400_000
 _UNITS = re.compile(r" *[^ ]+| +$")
 
 
 class PrefixCounter:
     """Exact token counts of prefixes under a SentencePiece BPE model without text normalisation."""
 
-    def __init__(self, model_file: str, memo: int = MEMO):
+    def __init__(self, model_file: str, room: int = 192 << 20):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.memo_size = memo
         self.score: dict[str, float] = {}
         for i in range(sp.get_piece_size()):
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)):
                 self.score[sp.id_to_piece(i)] = sp.get_score(i)
-        self.longest = max(map(len, self.score))
+        # Tokens by their characters from the last to the first; "" marks where one begins.
+        self.backwards: dict = {}
+        for t in self.score:
+            node = self.backwards
+            for char in reversed(t):
+                node = node.setdefault(char, {})
+            node[""] = t
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.reach: dict[str, bool] = {}
-        self.units: dict[str, tuple[int, ...]] = {}
-        self.totals: dict[str, int] = {}
+        self.reach: dict[str, bool] = {}  # no more than the vocabulary
+        self.totals, self.most_pairs = Memo(room), room // 320
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair encoding of a short string by its definition: the best pair first, the leftmost of equals."""
@@ -58,7 +65,7 @@ class PrefixCounter:
     def _beside(self, a: str, b: str) -> bool:
         got = self.pairs.get((a, b))
         if got is None:
-            if len(self.pairs) >= 4 * self.memo_size:
+            if len(self.pairs) >= self.most_pairs:  # two tokens each
                 self.pairs.clear()
             got = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return got
@@ -66,35 +73,58 @@ class PrefixCounter:
     def _token(self, t: str) -> bool:
         got = self.reach.get(t)
         if got is None:
-            got = self.reach[t] = t in self.score and self.merged(t) == [t]
+            got = self.reach[t] = self.merged(t) == [t]
         return got
 
-    def prefixes(self, unit: str) -> tuple[int, ...]:
-        """Counts for ``unit[:1]``, ``unit[:2]``, ... of one unit, in which spaces are written as U+2581."""
-        last: list[str] = [""]
-        count = [0]
-        score, longest = self.score, self.longest
-        for p in range(1, len(unit) + 1):
+    def _extend(self, unit: str, last: list[str], count: list[int]) -> None:
+        """Goes on with the recurrence over ``unit``, whose first len(last) - 1 characters are done."""
+        score, backwards, beside, token = self.score, self.backwards, self._beside, self._token
+        for p in range(len(last), len(unit) + 1):
             char = unit[p - 1]
             if char not in score:
                 last.append("")
                 count.append(count[-1] + len(char.encode()))
                 continue
-            for q in range(max(0, p - longest), p):
-                t = unit[q:p]
-                if t in score and (not last[q] or self._beside(last[q], t)) and self._token(t):
+            node, q, found = backwards, p, []
+            while q:
+                q -= 1
+                node = node.get(unit[q])
+                if node is None:
+                    break
+                if "" in node:
+                    found.append((q, node[""]))
+            for q, t in reversed(found):  # the longest first
+                if (not last[q] or beside(last[q], t)) and token(t):
                     last.append(t)
                     count.append(count[q] + 1)
                     break
             else:
                 raise ValueError(f"no last token at {p} of {unit!r}")
+
+    def prefixes(self, unit: str) -> tuple[int, ...]:
+        """Counts for ``unit[:1]``, ``unit[:2]``, ... of one unit, in which spaces are written as U+2581."""
+        last, count = [""], [0]
+        self._extend(unit, last, count)
         return tuple(count[1:])
 
-    def __missing_unit(self, key: str) -> int:
-        if len(self.totals) >= self.memo_size:
-            self.totals.clear()
-        got = self.totals[key] = self.prefixes("▁" + key.replace(" ", "▁"))[-1]
-        return got
+    def learn(self, units: set[str]) -> list[str]:
+        """Puts the totals of units (without their first space) into the memo; returns the long ones."""
+        before, last, count, totals = "", [""], [0], {}
+        for key in sorted(units):
+            unit = "\u2581" + key.replace(" ", "\u2581")
+            k, most = 0, min(len(before), len(unit))
+            while k < most and before[k] == unit[k]:
+                k += 1
+            del last[k + 1 :], count[k + 1 :]
+            self._extend(unit, last, count)
+            totals[key] = count[-1]
+            before = unit
+        self.totals.put(totals, sum(map(len, units)))
+        return [u for u in units if len(u) > LONG]
+
+    def total(self, unit: str) -> int:
+        got = self.totals.young.get(unit)
+        return self.prefixes("\u2581" + unit.replace(" ", "\u2581"))[-1] if got is None else got
 
     def split(self, text: str) -> list[str]:
         """Units without their first space."""
@@ -104,15 +134,20 @@ class PrefixCounter:
             return text.split(" ")
         return [u[1:] for u in _UNITS.findall(" " + text)]
 
+    def count_all(self, texts: list[str], some: int = 1000) -> list[int]:
+        """Exact token counts of whole texts."""
+        out = []
+        for i in range(0, len(texts), some):
+            split = [self.split(t) if t else () for t in texts[i : i + some]]
+            new = self.totals.missing(set().union(*split))
+            long = self.learn(new) if new else ()
+            get = self.totals.young.__getitem__
+            out += [sum(map(get, units)) for units in split]
+            self.totals.forget(long)
+        return out
+
     def count(self, text: str) -> int:
-        if not text:
-            return 0
-        get, missing = self.totals.get, self.__missing_unit
-        total = 0
-        for u in self.split(text):
-            n = get(u)
-            total += missing(u) if n is None else n
-        return total
+        return self.count_all([text])[0]
 
     def count_prefixes(self, text: str) -> list[int]:
         """Token counts of ``text[:0]``, ``text[:1]``, ..., ``text``."""
@@ -133,9 +168,7 @@ class PrefixCounter:
         for u in self.split(text):
             if base >= budget:
                 break
-            total = self.totals.get(u)
-            if total is None:
-                total = self.__missing_unit(u)
+            total = self.total(u)
             if base + total <= budget:
                 best = start + 1 + len(u)
             else:
@@ -158,19 +191,19 @@ def token_counts(docs: DataFrame, model_file: str, limit: int) -> DataFrame:
     Returns one row per row of ``docs`` (also for repeated or null ``doc_id``): ``doc_id``,
     ``n_bytes``, ``n_tokens``, ``over_limit`` (more than ``limit``) and ``cut_chars``, the code
     points of the longest prefix within the limit. A null text counts as empty: 0 bytes,
-    0 tokens. Other columns of ``docs`` are not read. Texts are counted whole, one at a time.
+    0 tokens. Other columns of ``docs`` are not read. Texts are counted whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(model_file)
         for batch in batches:
             size, tokens, cut = [], [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                n = counter.count(text)
-                size.append(len(text.encode()))
-                tokens.append(n)
-                cut.append(len(text) if n <= limit else counter.cut(text, limit))
+            for k in range(0, batch.num_rows, 1000):
+                texts = [t or "" for t in batch.column(1).slice(k, 1000).to_pylist()]
+                size += [len(t.encode()) for t in texts]
+                counts = counter.count_all(texts)
+                tokens += counts
+                cut += [len(t) if n <= limit else counter.cut(t, limit) for t, n in zip(texts, counts, strict=True)]
             yield pa.record_batch(
                 [batch.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(cut, pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_chars"],
