@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from thicket.llm.common import mix64, stored
 from thicket.llm.components import connected_components
 
-BLOCK = 2048
+BLOCK = 1024
+PAIRS = 10_000  # close pairs whose codes are compared at a time
 VECTORS = "vec_id long, label long, vec binary"
 CODES = "node long, code long, tab int"
 LINKS = "node long, n long, other long"
@@ -37,11 +39,20 @@ def plan_tables(n: int, threshold: float, recall: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
-def codes(x: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
-    """Codes of the rows of ``x``, a column for each table."""
-    planes = np.random.default_rng([seed, x.shape[1]]).standard_normal((x.shape[1], bits * tables))
-    signs = (x @ planes > 0).reshape(len(x), tables, bits)
-    return signs @ (1 << np.arange(bits, dtype=np.int64))
+@lru_cache(maxsize=8)
+def _planes(width: int, number: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, width]).standard_normal((width, number))
+
+
+def codes(x: np.ndarray, bits: int, tables: int, seed: int, first: int | None = None) -> np.ndarray:
+    """Codes of the rows of ``x``, a column for each table (of the ``first`` ones only, if given)."""
+    planes, powers = _planes(x.shape[1], bits * tables, seed), 1 << np.arange(bits, dtype=np.int64)
+    used = tables if first is None else first
+    out = np.empty((len(x), used), np.int64)
+    for k in range(0, len(x), 1024):
+        part = x[k : k + 1024]
+        out[k : k + 1024] = (part @ planes[:, : used * bits] > 0).reshape(len(part), used, bits) @ powers
+    return out
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -76,40 +87,53 @@ def valid_vectors(embeddings: DataFrame) -> DataFrame:
     return embeddings.where("vec_id is not null and label is not null and embedding is not null").select("vec_id", "label", "embedding").mapInArrow(run, VECTORS)
 
 
+def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` positions the first one of its component; ``near`` links ``left`` (rows) with ``right`` (columns)."""
+    root, todo = np.arange(n), {True: near.any(axis=1), False: near.any(axis=0)}
+    back, sides = np.ascontiguousarray(near.T), {True: left, False: right}
+    for start in np.flatnonzero(todo[True]).tolist():
+        if not todo[True][start]:
+            continue
+        todo[True][start] = False
+        found, waiting = [left[start]], [(True, start)]
+        while waiting:
+            side, i = waiting.pop()
+            new = np.flatnonzero((near[i] if side else back[i]) & todo[not side])
+            todo[not side][new] = False
+            found += sides[not side][new].tolist()
+            waiting += [(not side, j) for j in new.tolist()]
+        root[found] = min(found)
+    return root
+
+
 def _compare(rows: list[tuple], threshold: float, bits: int, tables: int, seed: int) -> Iterator[tuple]:
-    """Links in one group: (node, links counted here, a node it hangs on in the forest or null)."""
-    first_block, second_block = rows[0][1], rows[0][2]
+    """Links in one group: (node, links counted here, a node it hangs on in the forest or null).
+
+    Two blocks of at most some ``BLOCK`` rows: a square of bytes, the vectors, and codes of slices of pairs are all that is held.
+    """
+    first_block, second_block, tab = rows[0][1], rows[0][2], rows[0][7]
     for at in _by_size([r[6] for r in rows]):
         part = [rows[i] for i in at]
         x = _unit([r[6] for r in part])
-        node, copies, block, tab = np.array([r[4] for r in part]), np.array([r[5] for r in part]), np.array([r[3] for r in part]), part[0][7]
-        code = codes(x, bits, tables, seed)
-        left = np.flatnonzero(block == first_block)
-        right = np.flatnonzero(block == second_block)
-        counted, label = np.zeros(len(part), np.int64), np.arange(len(part))
+        node, copies, block = (np.array([r[k] for r in part]) for k in (4, 5, 3))
+        left, right = np.flatnonzero(block == first_block), np.flatnonzero(block == second_block)
         near = np.zeros((len(left), len(right)), bool)
         for k in range(0, len(left), 256):
             a = left[k : k + 256]
             near[k : k + 256] = (x[a] @ x[right].T >= threshold) & (a[:, None] != right[None, :])
-            i, j = np.nonzero(near[k : k + 256])
-            for s in range(0, len(i), 200_000):
-                p, q = a[i[s : s + 200_000]], right[j[s : s + 200_000]]
-                new = (code[p] == code[q]).argmax(axis=1) == tab
-                np.add.at(counted, p[new], copies[q[new]])
-                if first_block != second_block:
-                    np.add.at(counted, q[new], copies[p[new]])
-        while near.any():  # the smallest position that links reach becomes the label of all
-            before = label.copy()
-            big = len(part)
-            low = np.where(near, label[right][None, :], big).min(axis=1, initial=big)
-            np.minimum.at(label, left, low)
-            low = np.where(near, label[left][:, None], big).min(axis=0, initial=big)
-            np.minimum.at(label, right, low)
-            label = label[label]
-            if (label == before).all():
-                break
-        for i in np.flatnonzero((counted > 0) | (label != np.arange(len(part)))):
-            yield int(node[i]), int(counted[i]), int(node[label[i]]) if label[i] != i else None
+        if not near.any():
+            continue
+        counted, code = np.zeros(len(part), np.int64), codes(x, bits, tables, seed, first=tab)
+        i, j = np.nonzero(near)
+        for s in range(0, len(i), PAIRS):
+            p, q = left[i[s : s + PAIRS]], right[j[s : s + PAIRS]]
+            new = ~(code[p] == code[q]).any(axis=1)  # no earlier table brought them together
+            np.add.at(counted, p[new], copies[q[new]])
+            if first_block != second_block:
+                np.add.at(counted, q[new], copies[p[new]])
+        root = _forest(near, left, right, len(part)) if first_block != second_block else _forest(near, left, left, len(part))
+        for i in np.flatnonzero((counted > 0) | (root != np.arange(len(part)))):
+            yield int(node[i]), int(counted[i]), int(node[root[i]]) if root[i] != i else None
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float, recall: float = 0.995, seed: int = 11) -> DataFrame:
