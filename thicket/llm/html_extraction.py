@@ -1,9 +1,14 @@
 """Main text of web pages as a maximum-scoring subsequence.
 
-A page is a sequence of tags and words. Words score by the elements they are in, tags score below
-zero; the best contiguous region is found by one linear scan, and of its words those that score
-above zero are the main text. The weights are those of a logistic regression on labelled pages
-(``html_pages``): a word's log-odds of being main text, and for tags what they cost on average.
+A page is a sequence of tags and words. Words score by the elements they are in and by their block (links
+in it, its length, how it ends, words that menus and notices are made of), tags score below zero; the best
+contiguous region is found by one linear scan. Boxes inside of it that score below zero (an advert between
+paragraphs) are no main text and are left out of it. The weights are those of a logistic regression on labelled
+pages (``html_pages``), some with telling names and some with none: a word's log-odds of being main text, and for
+tags what they cost on average.
+
+The names of an element that holds most of a page's words and a headline or an article say nothing: what is around
+everything is a wrapper, whatever it is called. Work and memory are linear in the page, however deep its elements are.
 """
 
 from __future__ import annotations
@@ -11,14 +16,17 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from thicket.llm.html_pages import LABELLED
+from thicket.sources.shred import ENDS, HOLDS, VOID
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 PENALTY = 0.05
@@ -26,20 +34,19 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*
 _ATTRIBUTE = re.compile(r"""(?:class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 #: Kinds of HTML elements.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe".split())  # up to the next end tag of that name, whatever stands there
 FOREIGN = frozenset(("svg", "math"))
-HIDDEN = frozenset("svg math object select template noscript".split())  # elements like others, whose words aren't main text
+HIDDEN = frozenset("svg object select template noscript".split())  # elements like others, whose words aren't main text
 SILENT = HIDDEN | {"option", "optgroup"}
-LEFT = frozenset("svg math select option optgroup".split())  # a block can't stand in them and ends them ..
+LEFT = frozenset("svg select option optgroup".split())  # a block can't stand in them and ends them ..
 ENTERED = frozenset("foreignobject desc annotation-xml".split())  # .. but for a block in one of these
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt msub msup semantics".split())
+CLOSES_P = frozenset(name for name, ends in ENDS.items() if "p" in ends)
 PLAIN = frozenset("html body div section span p h1 h2 h3 h4 h5 h6 ul ol li table tbody tr td a b i".split())  # say nothing about the words in them
-HOLDS = frozenset("ul ol dl table select article section main div body td th aside nav".split())
-
-Part = tuple[str | None, tuple[str, ...], bool]  # text (null: a tag), names of its element and those around, starts a block
+HEADLINES = frozenset("h1 h2 h3".split())
+#: Words of menus, notices and forms.
+CUES = frozenset("about accept account advertisement archive categories comments contact cookie cookies copyright faq follow help home imprint legal login menu newsletter next policy popular previous privacy related reply reserved rights rss search share shop sign sitemap sponsored subscribe tags terms topics tweet".split())
+WRAPS = 0.6  # share of the page's words beyond which an element is a wrapper
 
 
 def _tags(html: str) -> list[tuple[int, int, str | None, bool, str]]:
@@ -75,75 +82,172 @@ def _unclosed(tags: list[tuple[int, int, str | None, bool, str]]) -> set[int]:
     return {k for own in waiting.values() for k in own}
 
 
-def parts(html: str) -> Iterator[Part]:
-    """Tags and texts of a page in order, each with the names (tags, words of class, id and role) it stands under.
+@dataclass
+class Page:
+    """Events of a page in order. An element's end stands at the index ``end`` of its start."""
 
-    Nothing comes from inside of hidden elements. One without an end tag (or a self-closing one) is empty, so it hides nothing.
-    """
+    text: list[str | None] = field(default_factory=list)  # null: a tag
+    names: list[tuple[str, ...]] = field(default_factory=list)  # of a start tag: its name, words of class, id and role; of an end tag: its name
+    block: list[bool] = field(default_factory=list)  # whether a block begins or ends
+    end: list[int] = field(default_factory=list)  # of a start tag: where the element ends (0: not one)
+    closed: list[int] = field(default_factory=list)  # of an event: how many of the open elements end before it
+
+    def add(self, text: str | None, names: tuple[str, ...], block: bool, closed: int) -> int:
+        for column, v in ((self.text, text), (self.names, names), (self.block, block), (self.end, 0), (self.closed, closed)):
+            column.append(v)
+        return len(self.text) - 1
+
+
+def read_page(html: str) -> Page:
+    """Tags and texts of a page. Nothing comes from inside of hidden elements; one without an end tag (or a self-closing one) hides nothing."""
     tags = _tags(html)
     unclosed = _unclosed(tags)
-    # Name, names around, the outermost element that a block would end (or -1), and whether it is hidden.
-    stack: list[tuple[str, tuple[str, ...], int, bool]] = []
-    around: tuple[str, ...] = ()
-    at, n, left, silent = 0, len(html), -1, False
+    page, stack, opened = Page(), [], Counter()  # of open elements: name, event (-1: none), the outermost that a block would end, hidden
+    at, n, left, silent, ended = 0, len(html), -1, False, 0
 
     def cut(k: int) -> None:
-        nonlocal around, left, silent
+        nonlocal left, silent, ended
+        for name, event, _, _ in stack[k:]:
+            opened[name] -= 1
+            if event >= 0:
+                page.end[event] = len(page.text)
+                ended += 1
         del stack[k:]
-        around, left, silent = stack[-1][1:] if stack else ((), -1, False)
+        left, silent = stack[-1][2:] if stack else (-1, False)
+
+    def add(text: str | None, names: tuple[str, ...], block: bool) -> int:
+        nonlocal ended
+        closed, ended = ended, 0
+        return page.add(text, names, block, closed)
 
-    for start, end, name, closing, attributes in tags:
+    for start, stop, name, closing, attributes in tags:
         if start > at and not silent:
-            yield unescape(html[at:start]), around, False
-        at = end
+            add(unescape(html[at:start]), (), False)
+        at = stop
         if not name:
             continue
         if closing:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if k is not None:
-                cut(k)
+            if opened[name] > 0:
+                cut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             if not silent:
-                yield None, (name,), name not in INLINE
+                add(None, (name,), name not in INLINE)
             continue
         if left >= 0 and (name in CLOSES_P or name in ("input", "textarea", "select")):
             cut(left)
-        ends = ("p",) if name in CLOSES_P else SAME.get(name, ())
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in ends:
-                cut(k)
-                break
-            if stack[k][0] in HOLDS:
-                break
-        own = [name]
+        ends = ENDS.get(name, ())
+        if any(opened[e] > 0 for e in ends):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in ends:
+                    cut(k)
+                    break
+                if stack[k][0] in HOLDS:
+                    break
+        own = ["inner-header" if name == "header" and (opened["article"] > 0 or opened["main"] > 0) else name]
         for m in _ATTRIBUTE.finditer(attributes):
             value = (m[1] or m[2] or m[3] or "").lower()
             own += [f"data-main={value}"] if m[0].lower().startswith("data-main") else [f".{w}" for w in _NAME.findall(value)]
-        if not silent:
-            yield None, tuple(own), name not in INLINE
+        event = -1 if silent else add(None, tuple(own), name not in INLINE)
         if name not in RAW and name not in VOID and not attributes.rstrip().endswith("/") and start not in unclosed:
-            around = (*around, *own)
             left = -1 if name in ENTERED else len(stack) if left < 0 and name in LEFT else left
             silent = silent or name in SILENT
-            stack.append((name, around, left, silent))
+            stack.append((name, event, left, silent))
+            opened[name] += 1
     if at < n and not silent:
-        yield unescape(html[at:]), around, False
+        add(unescape(html[at:]), (), False)
+    cut(0)
+    return page
+
+
+def _blocks(page: Page) -> tuple[list[int], list[tuple[str, ...]]]:
+    """Number of words of each event, and of each text the features of its block."""
+    words, features, own = [0] * len(page.text), [()] * len(page.text), []
+    links = headings = linked = articles = 0
+    cues, heading, last = 0, False, ""
+
+    def settle() -> None:
+        nonlocal linked, cues, heading, last
+        n = sum(words[i] for i in own)
+        if n:
+            found = [f"block:{k}" for k, there in (("links", 2 * linked >= n), ("short", n < 6 and not heading), ("long", n >= 12), ("sentence", last in ".!?:;\u2026\"\u201d\u2019)\u00bb\u3002" and not heading), ("cues", 4 * cues >= n), ("heading", heading)) if there]
+            for i in own:
+                features[i] = tuple(found)
+        own.clear()
+        linked, cues, heading, last = 0, 0, False, ""
+
+    open_names: list[str] = []
+    for i, text in enumerate(page.text):
+        for _ in range(page.closed[i]):
+            name = open_names.pop()
+            links -= name == "a"
+            headings -= name in HEADLINES
+            articles -= name in ("article", "main")
+        if page.block[i]:
+            settle()
+        if text is None:
+            if page.end[i]:
+                name = page.names[i][0]
+                open_names.append(name)
+                links += name == "a"
+                headings += name in HEADLINES
+                articles += name in ("article", "main")
+            continue
+        split = text.split()
+        words[i] = len(split)
+        own.append(i)
+        if split:
+            linked += len(split) * (links > 0)
+            cues += 0 if articles else sum(w.strip(".,:;!?()").lower() in CUES for w in split)  # an article may end in such words
+            heading = heading or headings > 0
+            last = split[-1][-1]
+    settle()
+    return words, features
+
+
+def _wrappers(page: Page, words: list[int]) -> set[int]:
+    """Start tags of elements that hold most of the page's words, and a headline or an article."""
+    before = [0, *accumulate(words)]
+    telling = [0, *accumulate(t is None and bool(n) and e > 0 and n[0] in ("h1", "article", "main") for t, n, e in zip(page.text, page.names, page.end, strict=True))]
+    return {i for i, e in enumerate(page.end) if e and before[e] - before[i] >= WRAPS * before[-1] and telling[e] > telling[i + 1]}
+
+
+def _around(page: Page, wrappers: set[int], telling: dict[str, float] | None) -> Iterator[tuple[int, float, Counter]]:
+    """Of each text: its event, the sum of the weights of the names it stands under (each once), and these names."""
+    active, total, stack = Counter(), 0.0, []
+    for i, text in enumerate(page.text):
+        for _ in range(page.closed[i]):
+            for x in stack.pop():
+                active[x] -= 1
+                if not active[x]:
+                    del active[x]
+                    total -= telling.get(x, 0.0) if telling else 0.0
+        if text is not None:
+            yield i, total, active
+        elif page.end[i]:
+            own = [x for x in page.names[i] if x not in PLAIN and (i not in wrappers or x.startswith("data-main") or x in ("article", "main"))]
+            stack.append(own)
+            for x in own:
+                if not active[x]:
+                    total += telling.get(x, 0.0) if telling else 0.0
+                active[x] += 1
 
 
 @lru_cache(maxsize=1)
 def weights() -> tuple[dict[str, float], float, dict[str, float], float]:
-    """Log-odds of names for words, their constant, and the cost of tags (by name; and of others), from the labelled pages."""
+    """Log-odds of names and features for words, their constant, and the cost of tags (by name; and of others), from the labelled pages."""
     rows, labels, inside, outside = [], [], Counter(), Counter()
-    for page in LABELLED:
-        for text, names, _ in parts(page):
-            if text is None:
-                continue
-            marks = [x for x in names if x.startswith("data-main")]
-            main = bool(marks) and marks[-1] == "data-main=1"
-            own = frozenset(x for x in names if not x.startswith("data-main") and x not in PLAIN)
-            for _ in text.split():
-                rows.append(own)
-                labels.append(main)
-            (inside if main else outside).update(own)
+    for html in LABELLED:
+        page = read_page(html)
+        words, features = _blocks(page)
+        marks: list[str] = []
+        for i, _, active in _around(page, _wrappers(page, words), None):
+            # The innermost mark counts: a 0 stands inside of a 1 and never around one.
+            marks = [x for x in active if x.startswith("data-main")]
+            main = bool(marks) and "data-main=0" not in marks
+            names = [x for x in active if not x.startswith("data-main")]
+            rows += [frozenset([*names, *features[i]])] * words[i]
+            labels += [main] * words[i]
+            if words[i]:
+                (inside if main else outside).update(names)
     names = sorted(set().union(*rows))
     column = {x: i for i, x in enumerate(names)}
     x = np.zeros((len(rows), len(names) + 1))
@@ -159,25 +263,18 @@ def weights() -> tuple[dict[str, float], float, dict[str, float], float]:
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    cost = {v: -0.1 - 0.5 * outside[v] / (inside[v] + outside[v]) for v in names}
+    cost = {v: -0.1 - 0.5 * outside[v] / (inside[v] + outside[v]) for v in names if inside[v] + outside[v]}
     return {v: float(w[i]) for v, i in column.items()}, float(w[-1]), cost, -0.2
 
 
 def main_text(html: str) -> str:
     """The main text of one page, white space as single spaces."""
     odds, base, cost, other = weights()
-    memo: dict[tuple[str, ...], float] = {}
-    score, texts, blocks = [], [], []
-    for text, names, block in parts(html):
-        if text is None:
-            score.append(cost.get(names[0], other))
-        else:
-            s = memo.get(names)
-            if s is None:
-                s = memo[names] = base + sum(odds.get(x, 0.0) for x in frozenset(names))
-            score.append(s * len(text.split()))
-        texts.append(text)
-        blocks.append(block)
+    page = read_page(html)
+    words, features = _blocks(page)
+    score = [0.0 if t is not None else cost.get(n[0], other) for t, n in zip(page.text, page.names, strict=True)]
+    for i, names, _ in _around(page, _wrappers(page, words), odds):
+        score[i] = (base + names + sum(odds.get(x, 0.0) for x in features[i])) * words[i]
     # The maximum-scoring contiguous region.
     best, first, last, total, start = 0.0, 0, 0, 0.0, 0
     for i, s in enumerate(score):
@@ -186,7 +283,7 @@ def main_text(html: str) -> str:
         total += s
         if total > best:
             best, first, last = total, start, i + 1
-    kept = (" " if t is None and b else t for t, s, b in zip(texts[first:last], score[first:last], blocks[first:last], strict=True) if (t is None and b) or (t is not None and (s > 0 or not t.strip())))
+    kept = (" " if page.text[i] is None else page.text[i] for i in range(first, last) if page.block[i] or (page.text[i] is not None and (score[i] > 0 or not words[i])))
     return " ".join("".join(kept).split())
 
 
@@ -194,7 +291,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, main ``text`` (empty if there is none) and ``n_chars`` (its code points) of each page.
 
     One row per row of ``pages``, whose whole ``html`` is read (null: empty). Repeated and null ids or urls are kept as
-    they are; other columns are not read. Broken markup (no end tags, a tag cut off at the end, stray ``<``) is read as
+    they are; other columns are not read. Of several regions with the best score the first one counts. Broken markup (no end tags, a tag cut off at the end, stray ``<``) is read as
     far as it goes; only script, style, title, textarea and iframe without an end tag take the rest of the page, as in HTML.
     """
 

@@ -39,7 +39,10 @@ def _page(before: list[str], main: str, after: list[str], title: str = "A title"
 
 
 def _paragraphs(n: int, tag: str = "p") -> str:
-    return "".join(f"<{tag}>{_FILL}</{tag}>" for _ in range(n))
+    """Paragraphs of many lengths, the first one long."""
+    words = _FILL.split()
+    lengths = (len(words), 7, 3, 9, 2, 11, 5, 8, 4, 10)
+    return "".join(f"<{tag}>{' '.join(words[: lengths[k % len(lengths)]])}{'.' * (k % 4 < 3)}</{tag}>" for k in range(3 * n))
 
 
 LABELLED = [
@@ -58,6 +61,27 @@ LABELLED = [
     _page([k for k in _BOILER if k.endswith("_p")], f'<article data-main="1"><h1>A title</h1>{_paragraphs(6)}</article>', []),
     _page([], f'<article data-main="1"><h1>A title</h1><div>{_paragraphs(4)}</div></article>', [k for k in _BOILER if k.endswith("_p")]),
     _page([], f'<main data-main="1"><section>{_paragraphs(4)}</section></main>', [k for k in _BOILER if k.endswith("_p")]),
-    *(_page([], f'<{kind} data-main="1"><h1>A title</h1>{_paragraphs(2)}{"".join(_not_main(k) for k in _BOILER)}{_paragraphs(2)}</{kind.split()[0]}>', []) for kind in ("article", "main", 'div class="content"', 'div class="post entry"')),
+    *(_page([], f'<{kind} data-main="1"><h1>A title</h1>{_paragraphs(2)}{"".join(_not_main(k) for k in _BOILER if not k.startswith("header"))}{_paragraphs(2)}</{kind.split()[0]}>', []) for kind in ("article", "main", 'div class="content"', 'div class="post entry"')),
     _page(["banner", "warning"], f'<td data-main="1"><span>{_FILL}</span><div>{_FILL}</div></td>', ["share", "side"]),
 ]
+
+
+def _nameless(page: str) -> str:
+    """The same page with elements and classes that tell nothing."""
+    import re
+
+    page = re.sub(r' (class|id)="([^"]*)"', lambda m: f' {m[1]}="_{sum(map(ord, m[2]))}"', page)
+    return re.sub(r"<(/?)(nav|header|footer|aside|article|main|section|form)\b", r"<\1div", page)
+
+
+_MENUS = ["nav", "header", "menu", "sidebar", "form", "share", "footer", "foot"]
+LABELLED += [
+    _nameless(_page(["nav", "header"], f'<article data-main="1"><h1>A title</h1>{_paragraphs(3)}</article>', ["footer"])),
+    _nameless(_page(["menu"], f'<article data-main="1"><h1>A title</h1>{_paragraphs(2)}<p>Few words.</p><h2>Another title</h2>{_paragraphs(2)}</article>', ["sidebar", "foot"])),
+    _nameless(_page(["nav", "share"], f'<article data-main="1"><h1>A title of some more words</h1>{_paragraphs(2)}<ul><li>{_FILL}</li><li>Few words</li></ul>{_paragraphs(1)}</article>', _MENUS)),
+    _nameless(_page(_MENUS, f'<article data-main="1"><h2>A title</h2><p>See <a href="/z">this link</a> and <i>that</i>: {_FILL}</p>{_paragraphs(3)}</article>', ["form", "footer"])),
+    f'<html><body data-main="1"><p>Few words.</p><p>And a few more of them</p><p>{_FILL}.</p></body></html>',
+    f'<html><body data-main="1">{_paragraphs(5)}</body></html>',
+    _page(["header", "nav"], f'<article data-main="1"><header><h1>A title</h1><p>Few words.</p></header>{_paragraphs(3)}</article>', ["footer"]),
+    _page(["header", "nav"], f'<main><article data-main="1"><header><h2>A title</h2></header>{_paragraphs(3)}</article></main>', ["sidebar", "footer"]),
+]
