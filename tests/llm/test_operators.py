@@ -6,10 +6,12 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from thicket.llm import jaccard, substring_dedup
+from thicket.llm import embedding_dedup, jaccard, substring_dedup
 from thicket.llm.embedding_dedup import near_duplicates
 from thicket.llm.fingerprints import combined, fingerprints
 from thicket.llm.html_extraction import extracted, main_text
@@ -17,7 +19,7 @@ from thicket.llm.mixing import Mixture, mixed, repeated
 from thicket.llm.packing import best_fit, pack, pieces, solve
 from thicket.llm.token_counts import PrefixCounter, token_counts
 from thicket.llm.token_output import PerfectHash, lookup, read_shards, write_shards
-from thicket.llm.toxicity import fit_words, train, toxicity, without_toxic
+from thicket.llm.toxicity import Landmarks, WordMachine, train, toxicity, without_toxic
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -178,14 +180,17 @@ def test_packing(docs, empty, odd):
 def test_solve_places_every_piece():
     rng = np.random.default_rng(2)
     counts = {int(k): int(v) for k, v in zip(*np.unique(np.minimum(rng.lognormal(5, 1, 20000).astype(int) + 1, 2048), return_counts=True))}
-    plan = solve(counts, 2048)
-    placed = {}
-    for config, n in plan:
-        assert sum(i * a for i, a in config) <= 2048
-        for i, a in config:
-            placed[i] = placed.get(i, 0) + a * n
-    assert placed == counts
-    assert sum(n for _, n in plan) <= 1.01 * sum(i * n for i, n in counts.items()) / 2048 + 1
+    single = {k: 1 for k in range(1, 2049, 3)}  # no length twice: the program runs there too
+    for own in (counts, single, {700: 10, 701: 10}, {}):
+        plan, placed = solve(own, 2048), {}
+        for config, n in plan.runs:
+            assert sum(i * a for i, a in config) <= 2048
+            for i, a in config:
+                placed[i] = placed.get(i, 0) + a * n
+        assert placed == own
+        assert plan.bound <= plan.sequences <= 1.01 * plan.bound + 1
+        assert not own or plan.by_program >= plan.sequences // 3
+    assert solve({1100: 7}, 2048).bound == solve({1100: 7}, 2048).sequences == 7  # the volume alone would say 4
     assert sum(n for _, n in best_fit(np.array([0, 5]), 4)) == 2
 
 
@@ -245,6 +250,33 @@ def test_embeddings(spark):
         assert got[i].component_id <= np.flatnonzero(near[i]).min()
     assert all(got[k].n_links == 0 and got[k].kept for k in (900, 901, 902, 903, 904, None))
     assert near_duplicates(frame.limit(0), 0.93).count() == 0
+    shapes = spark.createDataFrame([(1, [], 1), (2, [1.0, 2.0], 1), (3, [1.0, 2.0, 0.0], 1), (4, [2.0, 4.0], 1), (2, [1.0, 2.0], 1)], "vec_id long, embedding array<double>, label int")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in near_duplicates(shapes, 0.93).collect()) == [(1, 0, 1), (2, 2, 2), (2, 2, 2), (3, 0, 3), (4, 2, 2)]
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_embedding_recall(spark, monkeypatch, block):
+    """Links and components of a whole table against brute force."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    rng = np.random.default_rng(5)  # near copies at all distances up to beyond the threshold, and a large group of them
+    base = np.vstack(table.embedding).astype(float)
+    source = np.concatenate([np.repeat(np.arange(300), 3), np.full(150, 7)])
+    noise = rng.standard_normal((len(source), base.shape[1]))
+    noise *= (np.linalg.norm(base[source], axis=1) * rng.uniform(0.05, 0.42, len(source)))[:, None] / np.linalg.norm(noise, axis=1)[:, None]
+    x = np.vstack([base, base[source] + noise])
+    table = pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist(), "label": np.concatenate([table.label, table.label.to_numpy()[source]])})
+    frame = spark.createDataFrame(table, "vec_id long, embedding array<double>, label int").repartition(3)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got = near_duplicates(frame, 0.93).toPandas().set_index("vec_id").loc[table.vec_id]
+    label, ids, component = table.label.to_numpy(), table.vec_id.to_numpy(), got.component_id.to_numpy()
+    want = found = 0
+    for i in range(len(ids)):
+        near = np.flatnonzero((x @ x[i] >= 0.93) & (label == label[i]) & (ids != ids[i]))
+        assert got.n_links.iloc[i] <= len(near)
+        want, found = want + len(near), found + int(got.n_links.iloc[i])
+        assert (component[near] == component[i]).mean() > 0.98 if len(near) else component[i] == ids[i]
+    assert want and found / want >= 0.99
 
 
 def test_mixing(docs, empty, odd):
@@ -263,6 +295,18 @@ def test_mixing(docs, empty, odd):
         budget = w * sum(totals.values())
         assert budget <= 3.0 * totals[s] * (1 + 1e-6)
         assert budget - 1e-6 <= sum(used[s]) <= budget + max(tokens.values())
+    # The limit binds, and the smallest source meets it; a target entropy is met too.
+    plan = mixed(docs, Mixture(max_repeats=1.05)).select("source", "weight").distinct().collect()
+    assert abs(max(r.weight * sum(totals.values()) / totals[r.source] for r in plan) - 1.05) < 1e-6
+    p = np.array([totals[s] for s in totals]) / sum(totals.values())
+    share = (-(p * np.log(p)).sum() / np.log(len(p)) + 1) / 2
+    q = np.array([r.weight for r in mixed(docs, Mixture(entropy=share)).select("source", "weight").distinct().collect()])
+    assert abs(-(q * np.log(q)).sum() / np.log(len(q)) - share) < 1e-6
+    counted = mixed(docs.withColumn("n", F.length("text")), Mixture(max_repeats=1.05), F.col("n")).collect()
+    assert {r.doc_id: r.n_tokens for r in counted}[20] == len(corpus()[20])
+    mapped = docs.withColumn("extra", F.create_map(F.lit("a"), F.lit(1))).withColumn("a.b", F.lit(1))
+    assert repeated(mapped, Mixture(max_repeats=2.0, tokens=None)).columns == mapped.columns
+    assert substring_dedup.without_repeats(mapped, 50).columns == mapped.columns
     every = repeated(docs, Mixture(max_repeats=2.0, tokens=None))
     assert every.columns == docs.columns and every.select("doc_id").distinct().count() == len(corpus())
     assert mixed(empty, Mixture(max_repeats=2.0)).count() == 0
@@ -280,26 +324,72 @@ def test_main_text(spark):
         assert main_text(boxed.format(box)) == "Some text to be read by people. And some more of that text.", box
 
 
+def kernel_by_definition(x, y):
+    """Common subsequences of three characters, gaps included, scaled by length."""
+    import itertools
+
+    def weights(w):
+        out = {}
+        for i, j, k in itertools.combinations(range(len(w)), 3):
+            out.setdefault(w[i] + w[j] + w[k], []).append(0.6 ** (k - i + 1))
+        norm = sum(v * v for vs in out.values() for v in vs) ** 0.5
+        return {key: sum(vs) / norm for key, vs in out.items()}
+
+    a, b = weights(x), weights(y)
+    return sum(v * b.get(key, 0.0) for key, v in a.items())
+
+
+def test_string_kernel():
+    words = ["^idiot", "^idiots", "^idxiot", "^toidi", "^banana", "^ab", "^straße", "^приве", "^другой", "abcabcabcabcab"]
+    marks = Landmarks([w for w in words if len(w) >= 3])
+    got = marks.kernel(words)
+    for i, x in enumerate(words):
+        for j, y in enumerate(w for w in words if len(w) >= 3):
+            assert abs(got[i, j] - kernel_by_definition(x, y)) < 1e-5, (x, y)
+    assert kernel_by_definition("^приве", "^другой") < 0.2  # letters of other alphabets are told apart
+
+
 def test_toxic_words():
     rng = random.Random(2)
     syllables = ["an", "the", "ing", "re", "on", "tion", "er", "st", "ha", "ea"]
     clean = list(dict.fromkeys("^" + "".join(rng.choices(syllables, k=rng.randint(2, 4))) for _ in range(600)))
-    model = fit_words(["^idiot", "^moron", "^scumbag", "^worthless"], clean)
-    assert (model.decisions(["^idiot", "^moron", "^scumbag"]) > 0).all()
+    insults = ["^idiot", "^moron", "^scumbag", "^worthless"]
+    machine = WordMachine(insults, clean)
+    model = machine.fit(dict.fromkeys(insults, 1.0), dict.fromkeys(clean, 1.0))
+    assert (model.decisions(insults) > 0).all()
     assert (model.decisions(clean) > 0).mean() < 0.01
     assert model.decisions(["^idxiot", "^moroon"]).min() > np.quantile(model.decisions(clean), 0.99)
+    # One clean row with an insult among many toxic ones moves its weight and does not take it away.
+    noisy = machine.fit(dict.fromkeys(insults, 20.0), dict.fromkeys([*clean, "^idiot"], 1.0))
+    assert noisy.decisions(["^idiot"])[0] > 0
+
+
+def quality(model, docs, labels):
+    held = toxicity(docs, model).where("held_out").join(labels, "doc_id").toPandas()
+    hit = ((held.predicted == 1) & (held.toxic == 1)).sum()
+    return hit / (held.toxic == 1).sum(), hit / max(1, (held.predicted == 1).sum())
 
 
-def test_toxicity(spark, sf_dir):
-    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+def test_toxicity(spark, empty):
+    """Held-out recall and precision, also with wrong labels in training (always saying "clean" would have no recall)."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
     model = train(docs, labels)
-    scored = toxicity(docs, model).join(labels, "doc_id").toPandas()
-    held = scored[scored.held_out]
-    assert (held.predicted == held.toxic).mean() > 0.9
-    assert ((scored.score >= 0.5) == (scored.predicted == 1)).all() and scored.score.between(0, 1).all()
-    more = spark.createDataFrame([(None, None, 1), (1, "", 2)], "doc_id long, text string, score int")
-    assert toxicity(more, model).count() == 2 and without_toxic(more, model).columns == more.columns
-    assert toxicity(more, train(docs, labels.limit(0))).where("predicted = 1").count() == 0
+    recall, precision = quality(model, docs, labels)
+    assert recall >= 0.9 and precision >= 0.9
+    scored = toxicity(docs, model).toPandas()
+    assert ((scored.score >= 0.5) == (scored.predicted == 1)).all() and scored.score.between(0, 1).all() and len(scored) == docs.count()
+    flipped = labels.withColumn("toxic", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(20)) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    noisy_recall, noisy_precision = quality(train(docs, flipped), docs, labels)
+    assert noisy_recall >= recall - 0.05 and noisy_precision >= precision - 0.05
+    more = spark.createDataFrame([(None, None, 1), (1, "", 2), (2, "a" * 3000 + " 中" * 50, 3)], "doc_id long, text string, score int")
+    assert toxicity(more, model).count() == 3 and without_toxic(more, model).columns == more.columns
+    assert toxicity(empty, model).count() == 0 and without_toxic(empty, model).count() == 0
+    odd = [(1, "you idiot, you stupid worthless moron", "fine words"), (2, "The house is here", "idiot moron stupid scum")]
+    for columns in ("doc_id long, Text string, words string", "doc_id long, TEXT string, first string"):  # the text column is found as Spark finds it
+        assert [r[0] for r in without_toxic(spark.createDataFrame(odd, columns), model).collect()] == [2]
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert toxicity(small, train(small, labels.limit(0))).where("predicted = 1").count() == 0
+    assert toxicity(small, train(empty, labels)).where("predicted = 1").count() == 0
 
 
 def test_pipeline(spark):

@@ -37,6 +37,34 @@ BOXES = [
 ]
 
 
+STORY = "<p>This is a paragraph of a story that goes on for some words and then it ends here.</p><p>Another one, shorter.</p>"
+STORY_TEXT = "This is a paragraph of a story that goes on for some words and then it ends here. Another one, shorter."
+
+
+def test_pages_without_telling_names():
+    menu, end = '<div class="q1"><a href="/">Home</a></div><div class="q1"><a href="/n">News</a></div>', '<div class="f00"><a href="/t">Terms</a> <a href="/p">Privacy</a></div>'
+    assert main_text(f'<html><body><div class="x9f3">{menu}</div><div class="zz8"><div class="k2"><h1>The thing</h1>{STORY}</div></div>{end}') == f"The thing {STORY_TEXT}"
+    assert main_text(f"<html><body><div>{menu}</div><div><h1>The thing</h1>{STORY}</div>{end}") == f"The thing {STORY_TEXT}"
+
+
+def test_wrappers_and_headers():
+    page = '<html><body><nav><a href="/">Home</a></nav>{}<footer>The end of it</footer></body></html>'
+    assert main_text(page.format(f'<div class="page-header-wrap notice-board"><article><h1>A title</h1>{STORY}</article></div>')) == f"A title {STORY_TEXT}"
+    assert main_text(page.format(f"<article><header><h1>A title</h1></header>{STORY}</article>")) == f"A title {STORY_TEXT}"
+    assert main_text(page.format("<article><h1>A title</h1><p>Take <math><mi>x</mi><mo>+</mo><mn>1</mn></math> of them, and then go on as before.</p></article>")) == "A title Take x+1 of them, and then go on as before."
+    assert main_text(page.format(f'<article>{STORY}<div class="ad">Buy one now.</div>{STORY}<p>All rights reserved.</p></article>')) == f"{STORY_TEXT} {STORY_TEXT} All rights reserved."
+
+
+def test_deep_and_broken_pages():
+    for opening in ("<div>", "<span>", "<b>", "<ul><li>", "<x-y class='a b'>"):
+        assert main_text(opening * 50_000 + STORY) == STORY_TEXT
+    assert main_text("<div>" * 20_000 + STORY + "</span>" * 20_000) == STORY_TEXT
+    assert main_text("<p>" * 20_000 + STORY) == STORY_TEXT
+    assert main_text("") == main_text("<div><p></p>") == main_text("<script>x") == ""
+    equal = f"<article>{STORY}</article>" + '<div class="ad">No no no, and no more of it.</div>' * 30
+    assert main_text(equal * 2).startswith(STORY_TEXT)
+
+
 @pytest.mark.parametrize("box", BOXES)
 def test_hidden_elements(box):
     assert main_text(f"<main>{FIRST}{box}{SECOND}</main>") == TEXT

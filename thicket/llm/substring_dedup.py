@@ -8,8 +8,7 @@ windows have equal minimisers, so all copies of a window meet in one bucket.
 * First the minimisers alone are counted. Only minimisers that more than one document has can
   bring copies together; a bitmap of 2**28 bits of them (32 MB, whatever the input) tells tasks
   which super-k-mers to send. A collision in the bitmap only sends more.
-* Minimisers with very many super-k-mers (at most ``HOT_LIST`` of them, the bound grows with the
-  input) are split: there each window travels to a bucket of its own, as its fingerprint.
+* Minimisers with very many super-k-mers (at most ``HOT_LIST`` of them) are split: there each window travels to a bucket of its own, as its fingerprint.
 * A task combines equal packed strings first: it sends the copy of the smallest document, and knows
   at once that the other copies are covered. So a bucket gets a string once per task and flush.
 """
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.common import free, mix64, stored, utf8_column
+from thicket.llm.common import free, map_rows, mix64, place, stored, utf8_column
 from thicket.llm.words import WordHashes, grams
 
 BITS = 28
@@ -121,8 +120,10 @@ def _bitmap(repeated: DataFrame) -> np.ndarray:
 def covered_spans(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, tie, first word, words) spans that windows starting in a smaller document cover; stored.
 
-    ``docs`` has doc_id (not null), tie and text. Spans of a document may overlap.
+    ``docs`` has doc_id (not null), tie and text. Spans of a document may overlap. ``width`` must be at least 2 * M.
     """
+    if width < 2 * M:
+        raise ValueError(f"windows of fewer than {2 * M} words are not supported")
     spark = docs.sparkSession
     repeated = _minimisers(docs, width)
     total = repeated.agg(F.sum("n")).first()[0] or 0
@@ -297,21 +298,21 @@ def _with_spans(docs: DataFrame, width: int) -> tuple[DataFrame, str]:
     """``docs`` with the spans of each row in one more column, and that column's name."""
     gathered = _joined_spans(docs, width)
     tie, key, spans = (free(docs, c) for c in ("tie", "key", "spans"))
-    keyed = docs.withColumn(tie, F.xxhash64("text")).withColumn(key, F.col("doc_id").cast("long"))
+    keyed = docs.select("*", F.xxhash64("text").alias(tie), F.col("doc_id").cast("long").alias(key))
     found = gathered.select(F.col("doc_id").alias(key), F.col("tie").alias(tie), F.col("spans").alias(spans))
-    return keyed.join(found, [key, tie], "left").select(*docs.columns, spans), spans
+    return keyed.join(found, [key, tie], "left").select(*(F.col(f"`{c}`") for c in (*docs.columns, spans))), spans
 
 
 def without_repeats(docs: DataFrame, width: int) -> DataFrame:
     """``docs`` with the same columns, its texts cut as in ``deduplicated`` and ``n_chars`` set anew.
 
     A text that loses nothing stays as it is, white space included. A text that loses all its words is
-    a copy of earlier passages; its row stays, with an empty text.
+    a copy of earlier passages; its row stays, with an empty text. The text column is the one that Spark finds as ``text``.
     """
+    i = place(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i = batch.schema.get_field_index("text")
             texts = []
             for text, spans in zip(batch.column(i).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 texts.append(b" ".join(_kept(text.encode().split(), spans)).decode() if spans else text)
@@ -319,7 +320,10 @@ def without_repeats(docs: DataFrame, width: int) -> DataFrame:
             columns[i] = pa.array(texts, pa.string())
             yield pa.record_batch(columns, names=batch.schema.names[:-1])
 
-    cut = _with_spans(docs, width)[0].mapInArrow(run, docs.schema)
-    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
+    cut = map_rows(_with_spans(docs, width)[0], run, len(docs.columns))
+    if "n_chars" not in (c.lower() for c in docs.columns):
+        return cut
+    n = place(docs, "n_chars")
+    return cut.select(*(F.length("text").cast(docs.schema[n].dataType).alias(c) if k == n else F.col(f"`{c}`") for k, c in enumerate(docs.columns)))
 
 
