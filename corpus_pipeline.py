@@ -9,6 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from thicket.llm.common import free, stored, table
 from thicket.llm.jaccard import jaccard_rows
@@ -38,9 +39,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = stored(rows.where("doc_id is not null").groupBy("component", "doc_id", key).agg(F.when(F.col("component").isNull(), 1).otherwise(F.count("*")).alias("n")), "row-groups")
     least = rows.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", key, "n")).alias("first")).select("first.*")
     staying = stored(least.union(rows.where("component is null").select("doc_id", key, "n")), "staying-rows")
-    once = hashed.join(staying.where("n = 1"), ["doc_id", key], "left_semi").select(*docs.columns)
+    once = hashed.join(staying.where("n = 1"), ["doc_id", key], "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
     again = hashed.join(staying.where("n > 1"), ["doc_id", key], "left_semi")
-    again = again.groupBy("doc_id", key).agg(F.min(F.struct(*docs.columns)).alias("first")).select("first.*")
+    # Rows that repeat a doc_id and a text: the smallest of their other columns that can be ordered decides, then any.
+    ordered = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    again = again.groupBy("doc_id", key).agg(F.min_by(whole, F.struct(*ordered)).alias("first")).select("first.*")
     return once.union(again).union(docs.where("doc_id is null"))
 
 
@@ -74,5 +78,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir).select(*(F.col(c) for c in docs.columns)), name)
+        docs = stored(stage(spark, docs, sf_dir).select(*(F.col(f"`{c}`") for c in docs.columns)), name)
     return STAGES[-1][1](spark, docs, sf_dir)
