@@ -2,8 +2,9 @@
 
 A step joins a context with the nodes of its documents. Its rows carry ``ctx``, the context node's ``pre``, which
 positions refer to; ``nodeset`` forgets it and makes nodes unique. A name test from the root of all documents is a plain
-filter (``everywhere``), not a join. Joins have ``doc_id`` as an equal key (and the parent's ``pre`` where the axis
-allows), with a range condition for containment, so documents are spread over tasks and stay whole in one.
+filter (``everywhere``), and so is a test of names below each other (``below``). Other steps are joins on equal keys: the
+document with the parent's or an ancestor's ``pre`` (nodes carry those of all around them). So the work of a step follows its
+result, and a large document is spread by its nodes. Only following and preceding compare ranges in a document.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thicket.sources.shred import ATTRIBUTE, DOCUMENT, ELEMENT, TEXT
+from thicket.sources.shred import ATTRIBUTE, COMMENT, DOCUMENT, ELEMENT, INSTRUCTION, TEXT
 
 REVERSE = ("parent", "ancestor", "ancestor-or-self", "preceding", "preceding-sibling")
 
@@ -24,24 +25,24 @@ def _c(name: str) -> Column:
     return F.col(f"c.{name}")
 
 
-def _condition(axis: str) -> Column:
-    below = (_n("pre") > _c("pre")) & (_n("pre") <= _c("pre") + _c("size"))
-    above = (_n("pre") < _c("pre")) & (_c("pre") <= _n("pre") + _n("size"))
+def _keys(axis: str) -> tuple[Column, Column, Column]:
+    """Of an axis: the key of the context, the key of the nodes (arrays are exploded), and what else must hold."""
     sibling = (_n("parent") == _c("parent")) & (_c("kind") != ATTRIBUTE)
     own = _n("kind") != ATTRIBUTE
+    around, itself = F.col("ancestors"), F.array("pre")
     return {
-        "self": _n("pre") == _c("pre"),
-        "child": (_n("parent") == _c("pre")) & own,
-        "attribute": (_n("parent") == _c("pre")) & ~own,
-        "parent": _n("pre") == _c("parent"),
-        "descendant": below & own,
-        "descendant-or-self": (below & own) | (_n("pre") == _c("pre")),
-        "ancestor": above,
-        "ancestor-or-self": above | (_n("pre") == _c("pre")),
-        "following-sibling": sibling & (_n("sib") > _c("sib")) & own,
-        "preceding-sibling": sibling & (_n("sib") < _c("sib")) & own,
-        "following": (_n("pre") > _c("pre") + _c("size")) & own,
-        "preceding": (_n("pre") + _n("size") < _c("pre")) & own,
+        "self": (F.col("pre"), F.col("pre"), F.lit(True)),
+        "child": (F.col("pre"), F.col("parent"), own),
+        "attribute": (F.col("pre"), F.col("parent"), ~own),
+        "parent": (F.col("parent"), F.col("pre"), F.lit(True)),
+        "descendant": (F.col("pre"), around, own),
+        "descendant-or-self": (F.col("pre"), F.concat(around, itself), own | (_n("pre") == _c("pre"))),
+        "ancestor": (around, F.col("pre"), F.lit(True)),
+        "ancestor-or-self": (F.concat(around, itself), F.col("pre"), F.lit(True)),
+        "following-sibling": (F.col("parent"), F.col("parent"), sibling & (_n("sib") > _c("sib")) & own),
+        "preceding-sibling": (F.col("parent"), F.col("parent"), sibling & (_n("sib") < _c("sib")) & own),
+        "following": (F.lit(0), F.lit(0), (_n("pre") > _c("pre") + _c("size")) & own),
+        "preceding": (F.lit(0), F.lit(0), (_n("pre") + _n("size") < _c("pre")) & own),
     }[axis]
 
 
@@ -61,8 +62,16 @@ def everywhere(nodes: DataFrame, where: Column) -> DataFrame:
 def step(context: DataFrame, nodes: DataFrame, axis: str, where: Column | None = None) -> DataFrame:
     """The nodes on an axis of each context node, with ``ctx``."""
     found = nodes if where is None else nodes.where(where)
-    c = context.select("doc_id", "pre", "size", "parent", "kind", "sib").distinct()
-    return found.alias("n").join(c.alias("c"), (_n("doc_id") == _c("doc_id")) & _condition(axis)).select("n.*", _c("pre").alias("ctx"))
+    of_context, of_nodes, condition = _keys(axis)
+    c = context.select("doc_id", "pre", "size", "parent", "kind", "sib", "ancestors").dropDuplicates(["doc_id", "pre"])
+    c = c.withColumn("_k", F.explode(of_context) if axis.startswith("ancestor") else of_context).drop("ancestors")
+    found = found.withColumn("_k", F.explode(of_nodes) if axis.startswith("descendant") else of_nodes)
+    return found.alias("n").join(c.alias("c"), (_n("doc_id") == _c("doc_id")) & (_n("_k") == _c("_k")) & condition).select("n.*", _c("pre").alias("ctx")).drop("_k")
+
+
+def below(*names: str) -> Column:
+    """``//a/b/..``: elements (and with a node test of their attributes or texts, these) under names that end a path."""
+    return F.endswith("path", F.lit("/" + "/".join(names)))
 
 
 def nodeset(stepped: DataFrame) -> DataFrame:
@@ -116,7 +125,7 @@ def string_values(context: DataFrame, nodes: DataFrame) -> DataFrame:
     """``doc_id``, ``pre`` and ``string``: the texts below an element in document order, the value of other nodes."""
     texts = step(context.where(F.col("kind").isin(ELEMENT, DOCUMENT)), nodes, "descendant", F.col("kind") == TEXT)
     gathered = texts.groupBy("doc_id", "ctx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "value"))), lambda t: t["value"]), "").alias("_s"))
-    own = context.select("doc_id", "pre", "value").distinct()
+    own = context.select("doc_id", "pre", "value").dropDuplicates(["doc_id", "pre"])
     return own.join(gathered.withColumnRenamed("ctx", "pre"), ["doc_id", "pre"], "left").select("doc_id", "pre", F.coalesce("_s", "value", F.lit("")).alias("string"))
 
 
@@ -127,8 +136,65 @@ def distinct_values(strings: DataFrame) -> DataFrame:
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """``doc_id``, ``pre`` and ``path`` (element names from the root, joined by /): what stream patterns match."""
-    elements = nodes.where(F.col("kind") == ELEMENT)
-    up = step(elements, elements, "ancestor-or-self")
-    names = F.transform(F.array_sort(F.collect_list(F.struct("pre", "local"))), lambda t: t["local"])
-    return up.groupBy("doc_id", F.col("ctx").alias("pre")).agg(F.concat(F.lit("/"), F.array_join(names, "/")).alias("path"))
+    """``doc_id``, ``pre`` and ``path`` (element names from the root, joined by /) of the elements: what stream patterns match."""
+    return nodes.where(F.col("kind") == ELEMENT).select("doc_id", "pre", "path")
+
+
+def languages(context: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``doc_id``, ``pre`` and ``lang``: the nearest ``lang`` or ``xml:lang`` around each context node, itself included (null: none)."""
+    given = nodes.where((F.col("kind") == ATTRIBUTE) & (F.col("local") == "lang")).select("doc_id", F.col("parent").alias("at"), F.lower("value").alias("lang"))
+    around = context.select("doc_id", "pre", F.explode(F.concat("ancestors", F.array("pre"))).alias("at"))
+    found = around.join(given, ["doc_id", "at"]).groupBy("doc_id", "pre").agg(F.max_by("lang", "at").alias("lang"))
+    return context.select("doc_id", "pre").distinct().join(found, ["doc_id", "pre"], "left")
+
+
+def lang(of: Column, wanted: str) -> Column:
+    """``lang('en')`` on a language: the same, or with a suffix behind a hyphen."""
+    return F.coalesce((of == wanted.lower()) | F.startswith(of, F.lit(wanted.lower() + "-")), F.lit(False))
+
+
+def namespaces(context: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The namespace axis: ``doc_id``, ``ctx``, ``prefix`` ('' for the default) and ``uri`` of the namespaces in scope of elements, with ``xml``."""
+    declared = nodes.where((F.col("kind") == ATTRIBUTE) & (F.col("ns_uri") == "http://www.w3.org/2000/xmlns/"))
+    declared = declared.select("doc_id", F.col("parent").alias("at"), F.when(F.col("prefix").isNull(), "").otherwise(F.col("local")).alias("prefix"), F.col("value").alias("uri"))
+    elements = context.where(F.col("kind") == ELEMENT)
+    around = elements.select("doc_id", F.col("pre").alias("ctx"), F.explode(F.concat("ancestors", F.array("pre"))).alias("at"))
+    nearest = around.join(declared, ["doc_id", "at"]).groupBy("doc_id", "ctx", "prefix").agg(F.max_by("uri", "at").alias("uri"))
+    always = elements.select("doc_id", F.col("pre").alias("ctx"), F.lit("xml").alias("prefix"), F.lit("http://www.w3.org/XML/1998/namespace").alias("uri")).distinct()
+    return nearest.where("uri <> ''").union(always)  # xmlns="" takes the default away
+
+
+def by_id(nodes: DataFrame, wanted: DataFrame, attribute: str = "id") -> DataFrame:
+    """``id()``: elements whose ID is one of the tokens in ``wanted`` (``doc_id``, ``ids``: separated by white space); the first of equal IDs."""
+    ids = wanted.select("doc_id", F.explode(F.split(F.trim(F.regexp_replace("ids", r"\s+", " ")), " ")).alias("value")).distinct()
+    own = nodes.where((F.col("kind") == ATTRIBUTE) & (F.col("local") == attribute)).join(ids, ["doc_id", "value"], "left_semi")
+    first = own.groupBy("doc_id", "value").agg(F.min("parent").alias("pre")).select("doc_id", "pre").distinct()
+    return nodes.join(first, ["doc_id", "pre"], "left_semi")
+
+
+def without_blank_text(nodes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``strip-space`` (and parsing without blanks): texts of white space alone go, but for those in elements of ``keep`` and where
+    ``xml:space`` preserves them. Other nodes keep their numbers."""
+    space = nodes.where((F.col("kind") == ATTRIBUTE) & (F.col("name") == "xml:space")).select("doc_id", F.col("parent").alias("at"), (F.col("value") == "preserve").alias("preserve"))
+    blank = nodes.where((F.col("kind") == TEXT) & ~F.col("value").rlike(r"[^ \t\r\n]"))
+    if keep:
+        blank = blank.where(~F.element_at(F.split("path", "/"), -1).isin(*keep))
+    around = blank.select("doc_id", "pre", F.explode("ancestors").alias("at")).join(space, ["doc_id", "at"], "left")
+    gone = around.groupBy("doc_id", "pre").agg(F.max_by("preserve", F.when(F.col("preserve").isNotNull(), F.col("at"))).alias("preserve")).where(~F.coalesce("preserve", F.lit(False)))
+    return nodes.join(gone.select("doc_id", "pre"), ["doc_id", "pre"], "left_anti")
+
+
+def reader_events(nodes: DataFrame) -> DataFrame:
+    """A pull reader's rows: ``doc_id``, ``at``, ``event`` (start, empty, end, text, comment, instruction), ``name``, ``value``, ``depth``.
+
+    ``at`` is an array that sorts the events of a document. An element without children is one "empty" event.
+    """
+    kinds = F.create_map(*(F.lit(x) for kv in {ELEMENT: "start", TEXT: "text", INSTRUCTION: "instruction", COMMENT: "comment"}.items() for x in kv))
+    inner = nodes.where(~F.col("kind").isin(ATTRIBUTE, DOCUMENT))
+    holders = inner.select("doc_id", F.col("parent").alias("pre")).distinct().withColumn("_h", F.lit(True))
+    inner = inner.join(holders, ["doc_id", "pre"], "left")
+    element, empty = F.col("kind") == ELEMENT, F.col("_h").isNull()
+    started = F.struct(F.array("pre", F.lit(0)).alias("at"), F.when(element & empty, "empty").otherwise(kinds[F.col("kind")]).alias("event"))
+    ended = F.struct(F.array(F.col("pre") + F.col("size"), F.lit(1) + 100_000 - F.col("level")).alias("at"), F.lit("end").alias("event"))
+    rows = inner.withColumn("_e", F.explode(F.when(element & ~empty, F.array(started, ended)).otherwise(F.array(started))))
+    return rows.select("doc_id", "_e.at", "_e.event", "name", F.when(element, None).otherwise(F.col("value")).alias("value"), (F.col("level") - 1).alias("depth"))

@@ -65,3 +65,15 @@ def highest(rows: DataFrame, group: list[str], value: str, lowest: bool = False)
     """``math:highest``: the rows of a group that have its maximum (all of them)."""
     best = rows.groupBy(*group).agg((F.min(value) if lowest else F.max(value)).alias("_best"))
     return rows.join(best, group).where(F.col(value) == F.col("_best")).drop("_best")
+
+
+def some_pair(a: DataFrame, b: DataFrame, group: list[str], operator: str) -> DataFrame:
+    """Comparison of node sets: the groups in which some value of ``a`` and some value of ``b`` (columns ``value``, numbers or texts)
+    are in a relation, =, !=, <, <=, > or >=. But for = two values of each side decide, so no pairs are made. Null and NaN are in none."""
+    good = F.col("value").isNotNull() & ~F.coalesce(F.isnan(F.col("value").cast("string").try_cast("double")), F.lit(False))
+    a, b = a.where(good), b.where(good)
+    if operator == "=":
+        return a.select(*group, "value").distinct().join(b.select(*group, "value").distinct(), [*group, "value"], "left_semi").select(*group).distinct()
+    one, other = (d.groupBy(*group).agg(F.min("value").alias(f"{s}_low"), F.max("value").alias(f"{s}_high")) for d, s in ((a, "a"), (b, "b")))
+    holds = {"!=": "a_low <> a_high or b_low <> b_high or a_low <> b_low", "<": "a_low < b_high", "<=": "a_low <= b_high", ">": "a_high > b_low", ">=": "a_high >= b_low"}
+    return one.join(other, group).where(holds[operator]).select(*group)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.functions.xpath import escape
@@ -63,21 +63,26 @@ def copies(context: DataFrame, nodes: DataFrame) -> DataFrame:
 
     ``doc_id`` is a hash of the source document and node, which come as ``source`` and ``ctx``.
     """
-    c = context.select(F.col("doc_id").alias("source"), F.col("pre").alias("ctx"), F.col("size").alias("_s"), F.col("level").alias("_l")).distinct()
-    below = nodes.join(c, (nodes.doc_id == c.source) & (nodes.pre >= c.ctx) & (nodes.pre <= c.ctx + c._s))
-    root = F.col("pre") == F.col("ctx")
+    c = context.select(F.col("doc_id").alias("source"), F.col("pre").alias("ctx"), F.col("size").alias("_s"), F.col("level").alias("_l")).dropDuplicates(["source", "ctx"])
+    own = nodes.withColumn("_k", F.explode(F.concat("ancestors", F.array("pre"))))
+    below = own.join(c, (own.doc_id == c.source) & (F.col("_k") == F.col("ctx")))
+    root, moved_by = F.col("pre") == F.col("ctx"), F.col("ctx") - 1
     moved = below.select(
         F.xxhash64("source", "ctx").alias("doc_id"),
-        (F.col("pre") - F.col("ctx") + 1).alias("pre"),
+        (F.col("pre") - moved_by).alias("pre"),
         "size",
         (F.col("level") - F.col("_l") + 1).alias("level"),
-        F.when(root, 0).otherwise(F.col("parent") - F.col("ctx") + 1).alias("parent"),
+        F.when(root, 0).otherwise(F.col("parent") - moved_by).alias("parent"),
         *["kind", "ns_uri", "prefix", "local", "name", "value"],
         F.when(root, 1).otherwise(F.col("sib")).alias("sib"),
+        F.when(root & (F.col("kind") == ELEMENT), 1).otherwise(F.col("elem")).alias("elem"),
+        # The last name of the context's path stays.
+        F.concat(F.lit("/"), F.array_join(F.slice(F.split("path", "/"), F.col("_l") + 1, F.lit(1 << 30)), "/")).alias("path"),
+        F.concat(F.array(F.lit(0)), F.transform(F.slice("ancestors", F.col("_l") + 1, F.lit(1 << 30)), lambda p: p - moved_by)).alias("ancestors"),
         "source",
         "ctx",
     )
-    fresh = c.select(F.xxhash64("source", "ctx").alias("doc_id"), F.lit(0).alias("pre"), (F.col("_s") + 1).alias("size"), F.lit(0).alias("level"), F.lit(None).cast("int").alias("parent"), F.lit(DOCUMENT).alias("kind"), *(F.lit(None).cast("string").alias(n) for n in ("ns_uri", "prefix", "local", "name", "value")), F.lit(1).alias("sib"), "source", "ctx")
+    fresh = c.select(F.xxhash64("source", "ctx").alias("doc_id"), F.lit(0).alias("pre"), (F.col("_s") + 1).alias("size"), F.lit(0).alias("level"), F.lit(None).cast("int").alias("parent"), F.lit(DOCUMENT).alias("kind"), *(F.lit(None).cast("string").alias(n) for n in ("ns_uri", "prefix", "local", "name", "value")), F.lit(1).alias("sib"), F.lit(None).cast("int").alias("elem"), F.lit("").alias("path"), F.array().cast("array<int>").alias("ancestors"), "source", "ctx")
     return moved.unionByName(fresh)
 
 
@@ -99,14 +104,17 @@ def records(context: DataFrame, nodes: DataFrame, fields: Mapping[str, tuple[str
 
     ``fields``: column: (axis, local name). Missing ones are ''.
     """
-    out = context.select("doc_id", "pre").distinct()
+    field = F.lit(None).cast("string")
     for column, (axis, local) in fields.items():
-        found = step(context, nodes, axis, (F.col("local") == local) & F.col("kind").isin(ELEMENT, ATTRIBUTE))
-        first = found.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "ctx").orderBy("pre"))).where("_r = 1").drop("_r")
-        value = string_values(first, nodes).withColumnRenamed("string", column)
-        own = first.select("doc_id", "ctx", "pre").join(value, ["doc_id", "pre"]).select("doc_id", F.col("ctx").alias("pre"), column)
-        out = out.join(own, ["doc_id", "pre"], "left").withColumn(column, F.coalesce(column, F.lit("")))
-    return out
+        field = F.when((F.col("local") == local) & (F.col("kind") == (ATTRIBUTE if axis == "attribute" else ELEMENT)), column).otherwise(field)
+    tagged = nodes.withColumn("_f", field).where("_f is not null").select("doc_id", "parent", "pre", "value", "size", "kind", "sib", "ancestors", "_f")
+    own = context.select("doc_id", "pre").distinct()
+    hits = tagged.join(own.withColumnRenamed("pre", "parent"), ["doc_id", "parent"])
+    first = hits.groupBy("doc_id", "parent", "_f").agg(F.min_by(F.struct("pre", "value", "size", "kind", "sib", "ancestors"), "pre").alias("_n"))
+    first = first.select("doc_id", "parent", "_f", "_n.*")
+    strings = first.select("doc_id", "parent", "_f", "pre").join(string_values(first, nodes), ["doc_id", "pre"])
+    wide = strings.groupBy("doc_id", F.col("parent").alias("pre")).agg(*(F.max(F.when(F.col("_f") == c, F.col("string"))).alias(c) for c in fields))
+    return own.join(wide, ["doc_id", "pre"], "left").select("doc_id", "pre", *(F.coalesce(c, F.lit("")).alias(c) for c in fields))
 
 
 def element(name: str, content: Column, **attributes: Column) -> Column:
@@ -136,7 +144,6 @@ def included(nodes: DataFrame, uris: DataFrame) -> DataFrame:
 def child_sequence(nodes: DataFrame, numbers: list[int]) -> DataFrame:
     """XPointer's ``element(/1/2/..)``: in each document, the n-th child element of the n-th child element .."""
     at = nodes.where(F.col("kind") == DOCUMENT)
-    for n in numbers:
-        stepped = step(at, nodes, "child", F.col("kind") == ELEMENT)
-        at = stepped.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "ctx").orderBy("pre"))).where(F.col("_r") == n).drop("_r", "ctx")
+    for level, n in enumerate(numbers, 1):
+        at = step(at, nodes, "child", (F.col("kind") == ELEMENT) & (F.col("elem") == n) & (F.col("level") == level)).drop("ctx")
     return at

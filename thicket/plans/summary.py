@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.operators.axes import step
 from thicket.sources.shred import ATTRIBUTE, ELEMENT, TEXT
 
 
@@ -36,9 +35,29 @@ def by_class(elements: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     return by_attribute(elements, nodes, "class", has_word(name))
 
 
-def nth(rows: DataFrame, nodes: DataFrame, a: int, b: int) -> DataFrame:
+def nth(elements: DataFrame, a: int, b: int) -> DataFrame:
     """``:nth-child(an+b)``: elements that are at such a place among their parent's elements."""
-    before = step(rows, nodes, "preceding-sibling", F.col("kind") == ELEMENT).groupBy("doc_id", "ctx").agg(F.count("*").alias("_k"))
-    k = F.coalesce("_k", F.lit(0)) + 1
-    good = (k == b) if a == 0 else (((k - b) % a == 0) & ((k - b) / a >= 0))
-    return rows.join(before.withColumnRenamed("ctx", "pre"), ["doc_id", "pre"], "left").where(good).drop("_k")
+    k = F.col("elem")
+    return elements.where((k == b) if a == 0 else (((k - b) % a == 0) & ((k - b) / a >= 0)))
+
+
+def attribute_matches(operator: str, value: str) -> Column:
+    """CSS's ``[a op value]`` on ``value``: "=", "~=" (a word), "|=" (or a prefix before a hyphen), "^=", "$=", "*="."""
+    v = F.col("value")
+    if operator in ("^=", "$=", "*=") and not value:
+        return F.lit(False)
+    return {"=": v == value, "~=": has_word(value), "|=": (v == value) | F.startswith(v, F.lit(value + "-")), "^=": F.startswith(v, F.lit(value)), "$=": F.endswith(v, F.lit(value)), "*=": F.contains(v, F.lit(value))}[operator]
+
+
+def combined(left: DataFrame, combinator: str, right: DataFrame) -> DataFrame:
+    """Elements of ``right`` that stand to one of ``left`` as CSS's " " (below), ">" (child), "+" (next) or "~" (later sibling) say."""
+    own = left.select("doc_id", "pre", "parent", "elem").distinct()
+    if combinator == " ":
+        around = right.select("doc_id", F.col("pre").alias("_p"), F.explode("ancestors").alias("pre")).join(own, ["doc_id", "pre"], "left_semi")
+        return right.join(around.select("doc_id", F.col("_p").alias("pre")).distinct(), ["doc_id", "pre"], "left_semi")
+    if combinator == ">":
+        return right.join(own.select("doc_id", F.col("pre").alias("parent")), ["doc_id", "parent"], "left_semi")
+    if combinator == "+":
+        return right.join(own.select("doc_id", "parent", (F.col("elem") + 1).alias("elem")), ["doc_id", "parent", "elem"], "left_semi")
+    first = own.groupBy("doc_id", "parent").agg(F.min("elem").alias("_first"))
+    return right.join(first, ["doc_id", "parent"]).where(F.col("elem") > F.col("_first")).drop("_first")

@@ -1,10 +1,12 @@
 """Documents to node rows.
 
-A node is a row ``(doc_id, pre, size, level, parent, kind, ns_uri, prefix, local, name, value, sib)``. ``pre`` numbers
+A node is a row ``(doc_id, pre, size, level, parent, kind, ns_uri, prefix, local, name, value, sib, elem, path, ancestors)``. ``pre`` numbers
 the nodes of a document in document order from 0 (the document node), ``size`` counts the nodes below, so a node's
 descendants are those with ``pre < d.pre <= pre + size``. Attributes stand between their element and its first child.
 ``sib`` numbers children (and apart from them attributes) from 1. ``kind`` is 1 element, 2 attribute, 3 text, 7
-processing instruction, 8 comment, 9 document. The DOCTYPE of HTML is no node: it is the ``name`` of the document node
+processing instruction, 8 comment, 9 document. ``elem`` numbers the element children of a parent from 1. ``path`` is the element
+names from the root ("/html/body/p"; of other nodes than elements, that of their parent), ``ancestors`` the ``pre`` of each node
+around, from the document node. So steps into depth are joins on equal keys, and patterns are filters. The DOCTYPE of HTML is no node: it is the ``name`` of the document node
 ("DOCTYPE html"), whose ``sib`` is the ``pre`` of the node that follows it (1 unless comments stand before it).
 
 Parsing is the standard library's, one document at a time in the tasks; everything after it is joins and windows.
@@ -12,18 +14,22 @@ Parsing is the standard library's, one document at a time in the tasks; everythi
 
 from __future__ import annotations
 
+import uuid
+from array import array
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.parsers import expat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODES = "doc_id long, pre int, size int, level int, parent int, kind int, ns_uri string, prefix string, local string, name string, value string, sib int"
+from thicket.sources.store import shared_folder
+
+NODES = "doc_id long, pre int, size int, level int, parent int, kind int, ns_uri string, prefix string, local string, name string, value string, sib int, elem int, path string, ancestors array<int>"
 ERRORS = "doc_id long, line int, col int, message string"
 ELEMENT, ATTRIBUTE, TEXT, INSTRUCTION, COMMENT, DOCUMENT = 1, 2, 3, 7, 8, 9
-_TYPES = [pa.int64(), *[pa.int32()] * 5, *[pa.string()] * 5, pa.int32()]
 _NAMES = [c.split()[0] for c in NODES.split(", ")]
 
 #: HTML elements without content, and what an opening tag ends.
@@ -44,65 +50,121 @@ RAW_TEXT = frozenset(HTMLParser.CDATA_CONTENT_ELEMENTS)
 
 
 class Rows:
-    """Collects the node rows of a batch of documents."""
+    """Collects the nodes of a batch of documents, column by column."""
 
     def __init__(self) -> None:
-        self.rows: list[list] = []
+        self._clear()
 
-    def begin(self, doc_id: int | None) -> None:
-        self.doc_id, self.base, self.open = doc_id, len(self.rows), []
-        self.children: list[int] = []
-        self._add(DOCUMENT, None, None, None, None, None, 1)
-        self._push()
+    def _clear(self) -> None:
+        self.doc_ids: list[int | None] = []
+        self.starts: list[int] = []  # first row of each document
+        self.size, self.kind, self.sib = array("i"), array("b"), array("i")
+        self.level, self.parent, self.elem = array("i"), array("i"), array("i")  # -1 and 0: none
+        self.ns, self.prefix, self.local, self.name, self.value, self.path = [], [], [], [], [], []
+        self.around, self.ends = array("i"), array("i")
 
-    def _add(self, kind: int, ns: str | None, prefix: str | None, local: str | None, name: str | None, value: str | None, sib: int) -> None:
-        parent = self.open[-1] - self.base if self.open else None
-        self.rows.append([self.doc_id, len(self.rows) - self.base, 0, len(self.open) + (kind == ATTRIBUTE) * 0, parent, kind, ns, prefix, local, name, value, sib])
+    def __len__(self) -> int:
+        return len(self.size)
 
-    def _push(self) -> None:
-        self.open.append(len(self.rows) - 1)
+    def begin(self, doc_id: int | None) -> None:
+        self.doc_ids.append(doc_id)
+        self.base, self.open, self.children, self.elements, self.paths = len(self.size), array("i"), [], [], [""]
+        self.starts.append(self.base)
+        self._add(DOCUMENT, None, None, None, None, None, 1, 0, "")
+        self._push("")
+
+    def _add(self, kind: int, ns: str | None, prefix: str | None, local: str | None, name: str | None, value: str | None, sib: int, elem: int, path: str) -> None:
+        around = self.open
+        self.size.append(0)
+        self.kind.append(kind)
+        self.sib.append(sib)
+        self.level.append(len(around))
+        self.parent.append(around[-1] if around else -1)
+        self.elem.append(elem)
+        self.ns.append(ns)
+        self.prefix.append(prefix)
+        self.local.append(local)
+        self.name.append(name)
+        self.value.append(value)
+        self.path.append(path)
+        self.around.extend(around)
+        self.ends.append(len(self.around))
+
+    def _push(self, path: str) -> None:
+        self.open.append(len(self.size) - 1 - self.base)
         self.children.append(0)
+        self.elements.append(0)
+        self.paths.append(path)
 
     def node(self, kind: int, value: str | None, name: str | None = None) -> None:
-        last = self.rows[-1]
-        if kind == TEXT and last[5] == TEXT and last[4] == self.open[-1] - self.base:  # adjoining text is one node
-            last[10] += value
+        if kind == TEXT and self.kind[-1] == TEXT and self.parent[-1] == self.open[-1]:  # adjoining text is one node
+            self.value[-1] += value
             return
         self.children[-1] += 1
-        self._add(kind, None, None, name, name, value, self.children[-1])
+        self._add(kind, None, None, name, name, value, self.children[-1], 0, self.paths[-1])
 
     def start(self, name: str, attributes: list[tuple[str, str | None, str | None]], ns: str | None = None) -> None:
         """``attributes``: (name, namespace, value)."""
         self.children[-1] += 1
+        self.elements[-1] += 1
         prefix, _, local = name.rpartition(":")
-        self._add(ELEMENT, ns, prefix or None, local, name, None, self.children[-1])
-        self._push()
+        path = f"{self.paths[-1]}/{local}"
+        self._add(ELEMENT, ns, prefix or None, local, name, None, self.children[-1], self.elements[-1], path)
+        self._push(path)
         for i, (a, uri, v) in enumerate(attributes, 1):
             prefix, _, local = a.rpartition(":")
-            self._add(ATTRIBUTE, uri, prefix or None, local, a, "" if v is None else v, i)
+            self._add(ATTRIBUTE, uri, prefix or None, local, a, "" if v is None else v, i, 0, path)
 
     def end(self) -> None:
         at = self.open.pop()
         self.children.pop()
-        self.rows[at][2] = len(self.rows) - 1 - at
+        self.elements.pop()
+        self.paths.pop()
+        self.size[self.base + at] = len(self.size) - 1 - at - self.base
 
     def doctype(self, declaration: str) -> None:
         """The first one before any element counts."""
-        document = self.rows[self.base]
-        if document[9] is None and all(row[5] != ELEMENT for row in self.rows[self.base :]):
-            document[9], document[11] = declaration, len(self.rows) - self.base
+        if self.name[self.base] is None and ELEMENT not in self.kind[self.base :]:
+            self.name[self.base], self.sib[self.base] = declaration, len(self.size) - self.base
 
     def finish(self) -> None:
         while self.open:
             self.end()
 
     def drop(self) -> None:
-        del self.rows[self.base :]
+        """Takes the last document out."""
+        keep = self.ends[self.base - 1] if self.base else 0
+        for column in (self.size, self.kind, self.sib, self.level, self.parent, self.elem, self.ns, self.prefix, self.local, self.name, self.value, self.path, self.ends):
+            del column[self.base :]
+        del self.around[keep:]
+        self.doc_ids.pop()
+        self.starts.pop()
 
     def batch(self) -> pa.RecordBatch:
-        columns = list(zip(*self.rows, strict=True)) or [[]] * len(_NAMES)
-        self.rows = []
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
+        n = len(self.size)
+        starts = np.array(self.starts, np.int64)
+        counts = np.diff([*self.starts, n])
+        nulls = np.repeat([d is None for d in self.doc_ids], counts).astype(bool) if self.doc_ids else np.zeros(0, bool)
+        doc_id = np.repeat(np.array([d or 0 for d in self.doc_ids], np.int64), counts)
+        pre = np.arange(n, dtype=np.int32) - np.repeat(starts, counts).astype(np.int32)
+        size, sib, level, parent, elem = (np.array(c, np.int32) for c in (self.size, self.sib, self.level, self.parent, self.elem))
+        text = [pa.array(c, pa.string()) for c in (self.ns, self.prefix, self.local, self.name, self.value)]
+        around = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.array(self.ends, np.int32)]).astype(np.int32)), pa.array(np.array(self.around, np.int32)))
+        columns = [
+            pa.array(doc_id, mask=nulls),
+            pa.array(pre),
+            pa.array(size),
+            pa.array(level),
+            pa.array(parent, mask=parent < 0),
+            pa.array(np.array(self.kind, np.int32)),
+            *text,
+            pa.array(sib),
+            pa.array(elem, mask=elem == 0),
+            pa.array(self.path, pa.string()),
+            around,
+        ]
+        self._clear()
+        return pa.record_batch(columns, names=_NAMES)
 
 
 class _Html(HTMLParser):
@@ -118,7 +180,7 @@ class _Html(HTMLParser):
                 break
             if self.names[k] in HOLDS:
                 break
-        first = dict(reversed(attrs))
+        first = dict(reversed(attrs)) if len(attrs) > 1 else dict(attrs)
         self.rows.start(tag, [(a, None, first[a]) for a in dict(attrs)])
         self.names.append(tag)
         if tag in VOID:
@@ -195,14 +257,28 @@ def _shredded(docs: DataFrame, id_column: str, column: str, read: Callable[[Rows
                 rows.finish()
                 if error and not keep_broken:
                     rows.drop()
-                if len(rows.rows) > 50_000:
+                if len(rows) > 50_000:
                     yield rows.batch()
-            if rows.rows:
+            if len(rows):
                 yield rows.batch()
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text")).mapInArrow(run, NODES)
 
 
+def stored_nodes(nodes: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The node rows written once to the shared folder: every query then reads the columns it needs and parses nothing.
+
+    A table in buckets of ``doc_id``, sorted by ``doc_id`` and ``pre``: joins and aggregations by ``doc_id`` need no shuffle.
+    ``buckets`` (default: as many as the session runs tasks at a time) should make buckets of some 100 MB.
+    """
+    spark = nodes.sparkSession
+    n = buckets or spark.sparkContext.defaultParallelism
+    name = f"nodes_{uuid.uuid4().hex}"
+    dealt = nodes.repartition(n, "doc_id").sortWithinPartitions("doc_id", "pre")
+    dealt.write.bucketBy(n, "doc_id").sortBy("doc_id", "pre").option("path", f"{shared_folder(spark)}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def shred_html(docs: DataFrame, id_column: str, column: str) -> DataFrame:
     """Node rows of HTML texts; a null text is an empty document. Missing end tags are implied, stray ones ignored."""
     return _shredded(docs, id_column, column, _html_rows, True)

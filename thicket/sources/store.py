@@ -30,3 +30,9 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a table just read, dealt over the session's cores if it has fewer files than these (a small file is one task)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
