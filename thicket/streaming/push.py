@@ -1,7 +1,8 @@
 """Documents that arrive in chunks: Structured Streaming with one state per document.
 
-The state is the text that no complete tag or text has taken yet, with the open elements. A chunk is read once and only
-the unfinished tail is kept, so the work is in proportion to the input.
+The state is markup that is not complete yet, with the open elements. Text is delivered as it comes, in pieces (as push parsers do;
+``whole_texts`` joins them), so a long text is read once and never kept, and the work is in proportion to the input. Chunks that
+are there together are joined once.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "doc_id long, seq long, event string, name string, value string, depth int"
@@ -42,7 +44,8 @@ def _begun(text: str, at: int) -> int:
 def take(tail: str, names: list[str], seq: int, final: bool) -> tuple[list[tuple], str, int]:
     """Events of all complete constructs in ``tail``, what is left of it, and the next number; ``names`` are updated.
 
-    Markup that can't become well-formed is an error with what was read of it, and reading goes on behind that.
+    Text before markup that isn't complete is delivered too. Markup that can't become well-formed is an error with what was read
+    of it, and reading goes on behind that.
     """
     out, at = [], 0
 
@@ -54,16 +57,16 @@ def take(tail: str, names: list[str], seq: int, final: bool) -> tuple[list[tuple
     while at < len(tail):
         begin = tail.find("<", at)
         if begin < 0:
-            if final:
-                emit("text", None, tail[at:])
-                at = len(tail)
-            break  # a text may go on in the next chunk
+            begin = len(tail)
+        if begin > at:
+            emit("text", None, tail[at:begin])
+            at = begin
+        if begin == len(tail):
+            break
         found = _MARKUP.match(tail, begin)
         stop = 0 if found else _begun(tail, begin)
         if stop == len(tail) and not final:
             break
-        if begin > at:
-            emit("text", None, tail[at:begin])
         if not found:
             emit("error", None, tail[begin:stop])
             at = stop
@@ -101,7 +104,8 @@ def push_events(chunks: DataFrame) -> DataFrame:
     """Parse events of a stream of ``doc_id, chunk, content, final`` rows (``chunk`` counts from 0).
 
     Chunks of a document may arrive out of order; they wait for those before them. Events are delivered as soon as their
-    constructs are complete.
+    constructs are complete, texts in pieces. A document that ends inside an element, and end tags without a start, give errors;
+    null content is empty. An element beside the root is no error here.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -110,12 +114,14 @@ def push_events(chunks: DataFrame) -> DataFrame:
         for frame in frames:
             for c, content, final in zip(frame["chunk"], frame["content"], frame["final"], strict=True):
                 waiting[int(c)] = ("1" if final else "0") + (content or "")
-        while chunk in waiting:
+        ready = [tail]
+        while chunk in waiting and not done:
             own = waiting.pop(chunk)
             done = own[0] == "1"
-            events, tail, seq = take(tail + own[1:], names, seq, done)
-            rows += events
+            ready.append(own[1:])
             chunk += 1
+        if len(ready) > 1:
+            rows, tail, seq = take("".join(ready), names, seq, done)
         if done:
             state.remove()
         else:
@@ -126,3 +132,13 @@ def push_events(chunks: DataFrame) -> DataFrame:
             yield out
 
     return chunks.groupBy("doc_id").applyInPandasWithState(update, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def whole_texts(events: DataFrame) -> DataFrame:
+    """Events with the pieces of each text as one event, which has the number of its first piece."""
+    inner = Window.partitionBy("doc_id").orderBy("seq")
+    begins = (F.col("event") != "text") | F.coalesce(F.lag("event").over(inner) != "text", F.lit(True))
+    numbered = events.withColumn("_run", F.sum(F.when(begins, 1).otherwise(0)).over(inner))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda p: p["value"]), "")
+    joined = numbered.groupBy("doc_id", "_run").agg(F.min("seq").alias("seq"), F.first("event").alias("event"), F.first("name").alias("name"), F.when(F.first("event") == "text", text).otherwise(F.first("value")).alias("value"), F.first("depth").alias("depth"))
+    return joined.drop("_run")
