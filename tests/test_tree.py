@@ -14,14 +14,14 @@ from thicket.plans import validation as V
 from thicket.plans.summary import structural_summary
 from thicket.sources.files import line_ends, read_rows
 from thicket.sources.shred import ATTRIBUTE, ELEMENT, shred_html, shred_xml, xml_errors
-from thicket.streaming.push import push_events, take
+from thicket.streaming.push import push_events, take, whole_texts
 
-LIBRARY = '<library><book id="b1"><title>T1</title><author>Smith</author></book><book id="b2"><title>T2</title></book><!--c--><book id="b3"><title>A &amp; B</title><author>Jones</author></book></library>'
+DEPOT = '<depot><crate id="k1"><mark>Fir</mark><sender>Ona</sender></crate><crate id="k2"><mark>Ash</mark></crate><!--c--><crate id="k3"><mark>A &amp; B</mark><sender>Pell</sender></crate></depot>'
 
 
 @pytest.fixture(scope="module")
 def nodes(spark):
-    rng, docs = random.Random(3), [(0, LIBRARY)]
+    rng, docs = random.Random(3), [(0, DEPOT)]
 
     def tree(depth):
         name = rng.choice("abc")
@@ -67,25 +67,25 @@ def test_axes(nodes, axis):
 
 def test_positions_and_predicates(nodes):
     lib = nodes.where("doc_id = 0")
-    books = A.everywhere(lib, A.test("book"))
-    authors = A.step(books, lib, "child", A.test("author"))
-    assert A.having(books, authors).count() == 2
-    assert A.lacking(books, authors).count() == 1
-    children = A.step(books, lib, "child", A.test()).withColumn("p", A.position()).withColumn("l", A.last())
-    assert sorted((r.local, r.p, r.l) for r in children.collect()) == [("author", 2, 2), ("author", 2, 2), ("title", 1, 1), ("title", 1, 2), ("title", 1, 2)]
-    titles = {r.string for r in A.string_values(A.everywhere(lib, A.test("title")), lib).collect()}
-    assert titles == {"T1", "T2", "A & B"}
-    first = books.where("sib = 1")
-    assert A.leading(books, first, after=True).count() == 2
-    assert A.union(books, first).count() == 3 and A.difference(books, first).count() == 2 and A.intersection(books, first).count() == 1
-    assert A.has_same_node(books, first).count() == 1
+    crates = A.everywhere(lib, A.test("crate"))
+    senders = A.step(crates, lib, "child", A.test("sender"))
+    assert A.having(crates, senders).count() == 2
+    assert A.lacking(crates, senders).count() == 1
+    children = A.step(crates, lib, "child", A.test()).withColumn("p", A.position()).withColumn("l", A.last())
+    assert sorted((r.local, r.p, r.l) for r in children.collect()) == [("mark", 1, 1), ("mark", 1, 2), ("mark", 1, 2), ("sender", 2, 2), ("sender", 2, 2)]
+    marks = {r.string for r in A.string_values(A.everywhere(lib, A.test("mark")), lib).collect()}
+    assert marks == {"Fir", "Ash", "A & B"}
+    first = crates.where("sib = 1")
+    assert A.leading(crates, first, after=True).count() == 2
+    assert A.union(crates, first).count() == 3 and A.difference(crates, first).count() == 2 and A.intersection(crates, first).count() == 1
+    assert A.has_same_node(crates, first).count() == 1
 
 
 def test_serialize_is_the_inverse_of_parsing(nodes):
     for row in O.serialized(nodes, canonical=True).where("doc_id > 0").collect():
         n = sum(1 for _ in ET.fromstring(row.markup).iter())
         assert n == nodes.where((F.col("doc_id") == row.doc_id) & (F.col("kind") == ELEMENT)).count()
-    assert O.serialized(nodes.where("doc_id = 0")).first().markup == LIBRARY
+    assert O.serialized(nodes.where("doc_id = 0")).first().markup == DEPOT
 
 
 def test_canonical_form(spark):
@@ -183,15 +183,34 @@ def test_facets_and_defaults(spark):
     assert sorted(r.value for r in got.collect()) == ["0", "1"]
 
 
+def merged(events):
+    """(event, name, value) with the pieces of a text joined."""
+    out = []
+    for e, n, v in events:
+        if e == "text" and out and out[-1][0] == "text":
+            out[-1] = ("text", None, out[-1][2] + v)
+        else:
+            out.append((e, n, v))
+    return out
+
+
 def test_take_at_every_cut():
     text = '<a k="1">x<!-- c --><b/>y<![CDATA[<z>]]></a>'
-    whole = [(e, n, v) for _, e, n, v, _ in take(text, [], 0, True)[0]]
+    whole = merged((e, n, v) for _, e, n, v, _ in take(text, [], 0, True)[0])
     for cut in range(len(text)):
         names, rows = [], []
         got, tail, seq = take(text[:cut], names, 0, False)
         rows += got
         rows += take(tail + text[cut:], names, seq, True)[0]
-        assert [(e, n, v) for _, e, n, v, _ in rows] == whole
+        assert merged((e, n, v) for _, e, n, v, _ in rows) == whole
+
+
+def test_long_texts_are_not_kept():
+    names, tail, seq = [], "", 0
+    for chunk in ["<a>", *["x" * 1000] * 50, "y<!-- c", " d -->z</a>"]:
+        rows, tail, seq = take(tail + chunk, names, seq, False)
+        assert len(tail) < 10
+    assert names == []
 
 
 def test_push_stream(spark, tmp_path):
@@ -206,13 +225,13 @@ def test_push_stream(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("pushed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(180)
     for d in (1, 2):
-        events = spark.table("pushed").where(f"doc_id = {d}").orderBy("seq").collect()
+        events = whole_texts(spark.table("pushed")).where(f"doc_id = {d}").orderBy("seq").collect()
         assert [(e.event, e.name, e.value) for e in events] == [("start", "a", None), ("start", "b", None), ("text", None, "hello"), ("end", "b", None), ("start", "c", None), ("end", "c", None), ("end", "a", None)]
 
 
 def test_flat_rows(spark, tmp_path):
     path = str(tmp_path / "rows.xml")
     with open(path, "w") as f:
-        f.write("<library><book><title>T1</title></book><book><title>T2</title></book></library>")
-    assert [r.title for r in read_rows(spark, path, "book", "title string").orderBy("title").collect()] == ["T1", "T2"]
+        f.write("<depot><crate><mark>Fir</mark></crate><crate><mark>Ash</mark></crate></depot>")
+    assert [r.mark for r in read_rows(spark, path, "crate", "mark string").orderBy("mark").collect()] == ["Ash", "Fir"]
     assert spark.range(1).select(line_ends(F.lit("a\r\nb\rc"))).first()[0] == "a\nb\nc"

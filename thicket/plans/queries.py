@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from thicket.functions import exslt as E
 from thicket.functions import xpath as X
+from thicket.functions.sql import register
 from thicket.operators import axes as A
 from thicket.operators import keys as K
 from thicket.operators import output as O
 from thicket.plans import validation as V
-from thicket.plans.summary import by_class, nth, structural_summary
+from thicket.plans.summary import attribute_matches, by_attribute, by_class, combined, nth, structural_summary
 from thicket.sources.files import resolved
-from thicket.sources.shred import ATTRIBUTE, ELEMENT, shred_html, shred_xml
+from thicket.sources.shred import ATTRIBUTE, ELEMENT, shred_html, shred_xml, stored_nodes, xml_errors
+from thicket.sources.store import shared_folder, spread
+from thicket.streaming.push import push_events, whole_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,14 +40,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shredded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shred_html(spread(table(spark, sf_dir, "pages")), "page_id", "html")
+
+
+_STORED: dict[tuple[str, ...], DataFrame] = {}
+
+
 def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred_html(table(spark, sf_dir, "pages"), "page_id", "html")
+    """The nodes of the pages, stored once for a session and state of the files (so a query parses nothing a second time)."""
+    pages = table(spark, sf_dir, "pages")
+    state = pages.select(F.max("_metadata.file_modification_time").cast("string"), F.count_distinct("_metadata.file_path").cast("string")).first()
+    key = (spark.sparkContext.applicationId, sf_dir, *state)
+    if key not in _STORED:
+        _STORED[key] = stored_nodes(shredded_pages(spark, sf_dir))
+    return _STORED[key]
 
 
 def named(nodes: DataFrame, name: str) -> DataFrame:
     return A.everywhere(nodes, A.test(name))
 
 
+def _hrefs(nodes: DataFrame) -> DataFrame:
+    """//a/@href: a filter, as attributes carry the path of their element"""
+    return A.everywhere(nodes, A.test("href", ATTRIBUTE) & A.below("a"))
+
+
 # --- location paths over pages -------------------------------------------------------------------------------------
 
 _DECODED = "replace(replace(replace(replace({}, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
@@ -52,15 +76,13 @@ _PLAIN = "regexp_replace(html, '<script>.*?</script>', '<script></script>', 'gs'
 @query("SELECT page_id AS doc_id, len(regexp_extract_all(html, '<a href=\"')) AS n_links FROM pages WHERE html LIKE '%<a href=\"%'")
 def xp_links_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """count(//a/@href)"""
-    n = page_nodes(spark, sf_dir)
-    return A.step(named(n, "a"), n, "attribute", A.test("href", ATTRIBUTE)).groupBy("doc_id").agg(F.count("*").alias("n_links"))
+    return _hrefs(page_nodes(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_links"))
 
 
 @query("SELECT page_id AS doc_id, len(regexp_extract_all(html, '<li>')) AS n_items FROM pages WHERE html LIKE '%<li>%'")
 def xp_li_in_ul(spark: SparkSession, sf_dir: str) -> DataFrame:
     """count(//ul/li)"""
-    n = page_nodes(spark, sf_dir)
-    return A.nodeset(A.step(named(n, "ul"), n, "child", A.test("li"))).groupBy("doc_id").agg(F.count("*").alias("n_items"))
+    return A.everywhere(page_nodes(spark, sf_dir), A.test("li") & A.below("ul", "li")).groupBy("doc_id").agg(F.count("*").alias("n_items"))
 
 
 @query(f"SELECT page_id AS doc_id, {_TITLE} AS title FROM pages WHERE html LIKE '%<title>%'")
@@ -90,7 +112,7 @@ def xp_last_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 def xp_position_le(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(//a/@href)[position() <= 3]"""
     n = page_nodes(spark, sf_dir)
-    hrefs = A.nodeset(A.step(named(n, "a"), n, "attribute", A.test("href", ATTRIBUTE)))
+    hrefs = _hrefs(n)
     placed = hrefs.withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")).cast("long"))
     return placed.where("position <= 3").select("doc_id", "position", F.col("value").alias("href"))
 
@@ -114,7 +136,7 @@ def css_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 def css_nth_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     """li:nth-child(odd)"""
     n = page_nodes(spark, sf_dir)
-    return nth(named(n, "li"), n, 2, 1).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return nth(named(n, "li"), 2, 1).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id AS doc_id, len(l) * (len(l) - 1) // 2 AS n FROM (SELECT page_id, regexp_extract_all(html, '<li>') AS l FROM pages) WHERE len(l) > 1")
@@ -131,12 +153,31 @@ def xp_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.step(named(n, "a"), n, "ancestor", A.test()).groupBy("doc_id", F.col("local").alias("name")).agg(F.countDistinct("ctx").alias("n"))
 
 
-@query("SELECT page_id AS doc_id FROM pages WHERE html NOT LIKE '%<footer>%'")
+@query("SELECT page_id AS doc_id, len(regexp_extract_all(html, '<p>')) - len(regexp_extract_all(html, '<p><b>')) AS n FROM pages WHERE len(regexp_extract_all(html, '<p>')) > len(regexp_extract_all(html, '<p><b>'))")
 def xp_not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """//html[not(.//footer)]"""
+    """count(//p[not(b)])"""
     n = page_nodes(spark, sf_dir)
-    root = named(n, "html")
-    return A.lacking(root, A.step(root, n, "descendant", A.test("footer"))).select("doc_id")
+    p = named(n, "p")
+    return A.lacking(p, A.step(p, n, "child", A.test("b"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id AS doc_id, len(l) AS n_items, len(l) - 1 AS n_before_last FROM (SELECT page_id, regexp_extract_all(html, '<li>') AS l FROM pages) WHERE len(l) > 1")
+def set_leading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """set:leading(//li, //li[last()])"""
+    n = page_nodes(spark, sf_dir)
+    items = named(n, "li")
+    last = K.first_per_group(items, ["doc_id"], [F.desc("pre")], 1)
+    before = A.leading(items, last).groupBy("doc_id").agg(F.count("*").alias("n_before_last"))
+    return items.groupBy("doc_id").agg(F.count("*").alias("n_items")).join(before, "doc_id")
+
+
+@query("SELECT page_id AS doc_id, len(regexp_extract_all(html, '<li>')) AS n_following, CASE WHEN html LIKE '%<h1>%' THEN 1 ELSE 0 END AS n_parents FROM pages WHERE html LIKE '%<li>%' AND html LIKE '%<nav>%'")
+def xp_following_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """count(//head/following::li) and count(//h1/parent::article)"""
+    n = page_nodes(spark, sf_dir)
+    following = A.step(named(n, "head"), n, "following", A.test("li")).groupBy("doc_id").agg(F.count("*").alias("n_following"))
+    parents = A.nodeset(A.step(named(n, "h1"), n, "parent", A.test("article"))).groupBy("doc_id").agg(F.count("*").alias("n_parents"))
+    return following.join(parents, "doc_id")
 
 
 @query(f"SELECT page_id AS doc_id, len(regexp_extract_all(p, '<[a-z][^>]*>')) AS n_elements, len(regexp_extract_all(p, '<p>')) AS n_p, len(regexp_extract_all(p, '<a ')) AS n_a, len(regexp_extract_all(p, '<li>')) AS n_li FROM (SELECT page_id, {_PLAIN} AS p FROM pages)")
@@ -149,7 +190,7 @@ def summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def xslt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """for-each html: value-of head/title and @lang"""
     n = page_nodes(spark, sf_dir)
-    heads = A.nodeset(A.step(named(n, "html"), n, "child", A.test("head")))
+    heads = A.everywhere(n, A.test("head") & A.below("html", "head"))
     title = O.records(heads, n, {"title": ("child", "title")}).select("doc_id", "title")
     return title.join(O.records(named(n, "html"), n, {"lang": ("attribute", "lang")}).select("doc_id", "lang"), "doc_id")
 
@@ -158,8 +199,9 @@ def xslt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def xslt_copy_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """copy-of each li, serialized"""
     n = page_nodes(spark, sf_dir)
-    copied = O.copies(named(n, "li"), n)
-    markup = O.serialized(copied.drop("source", "ctx"), html=True).join(copied.select("doc_id", F.col("source"), "ctx").distinct(), "doc_id")
+    items = named(n, "li")
+    markup = O.serialized(O.copies(items, n).drop("source", "ctx"), html=True)
+    markup = markup.join(items.select(F.xxhash64("doc_id", "pre").alias("doc_id"), F.col("doc_id").alias("source"), F.col("pre").alias("ctx")), "doc_id")
     return markup.groupBy(F.col("source").alias("doc_id")).agg(F.count("*").alias("n"), F.min_by("markup", "ctx").alias("first"))
 
 
@@ -189,30 +231,53 @@ def xpointer_child_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def set_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """set:distinct(//a/@href)"""
     n = page_nodes(spark, sf_dir)
-    hrefs = A.step(named(n, "a"), n, "attribute", A.test("href", ATTRIBUTE)).select("doc_id", "pre", F.col("value").alias("string"))
+    hrefs = _hrefs(n).select("doc_id", "pre", F.col("value").alias("string"))
     return hrefs.groupBy("doc_id").agg(F.count("*").alias("n")).join(A.distinct_values(hrefs).groupBy("doc_id").agg(F.count("*").alias("n_distinct")), "doc_id")
 
 
-@query("SELECT page_id AS doc_id, len(regexp_extract_all(html, '<li>')) AS n_union, 0 AS n_both FROM pages WHERE html LIKE '%<li>%'")
+@query("SELECT page_id AS doc_id, len(l) // 2 + len(l) % 2 + CAST(len(l) > 1 AS INT) AS n_union, CASE WHEN len(l) > 2 THEN 2 ELSE 1 END AS n_both, len(l) - (len(l) // 2 + len(l) % 2) AS n_even FROM (SELECT page_id, regexp_extract_all(html, '<li>') AS l FROM pages) WHERE len(l) > 0")
 def set_union_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Odd and even list items: their union, and their intersection"""
+    """Odd list items and the first three: their union and their intersection; and the items that aren't odd"""
     n = page_nodes(spark, sf_dir)
-    odd, even = nth(named(n, "li"), n, 2, 1), nth(named(n, "li"), n, 2, 0)
-    both = A.intersection(odd, even).groupBy("doc_id").agg(F.count("*").cast("int").alias("n_both"))
-    return A.union(odd, even).groupBy("doc_id").agg(F.count("*").alias("n_union")).join(both, "doc_id", "left").select("doc_id", "n_union", F.coalesce("n_both", F.lit(0)).alias("n_both"))
+    items = named(n, "li")
+    odd, first = nth(items, 2, 1), nth(items, -1, 3)
+    both = A.intersection(odd, first).groupBy("doc_id").agg(F.count("*").cast("int").alias("n_both"))
+    even = A.difference(items, odd).groupBy("doc_id").agg(F.count("*").alias("n_even"))
+    counted = A.union(odd, first).groupBy("doc_id").agg(F.count("*").alias("n_union")).join(both, "doc_id").join(even, "doc_id", "left")
+    return counted.select("doc_id", "n_union", "n_both", F.coalesce("n_even", F.lit(0)).alias("n_even"))
+
 
+_ENDED = "CASE WHEN html LIKE '%</html>' THEN html WHEN html LIKE '%</body>' THEN html || '</html>' ELSE html || '</body></html>' END"
+_IMPLIED = f"replace(replace({_ENDED}, '<br><p>', '<br></b></p><p>'), '<br></article>', '<br></b></p></article>')"
 
-@query()
+
+@query(f"SELECT page_id AS doc_id, replace(replace(replace({_IMPLIED}, '&copy;', '\u00a9'), '&middot;', '\u00b7'), '&quot;', '\"') AS markup FROM pages")
 def serialize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages back from their nodes: end tags that were left out stand there, character references are characters"""
     return O.serialized(page_nodes(spark, sf_dir), html=True)
 
 
-@query()
+@query("SELECT p_partkey AS doc_id, '<part xmlns=\"urn:p\" b=\"2\" id=\"' || p_partkey || '\"><name brand=\"' || p_brand || '\">' || p_name || '</name><size>' || p_size || '</size><note></note></part>' AS markup FROM part")
 def c14n_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical form of a small document for each part"""
     return O.serialized(shred_xml(_part_documents(spark, sf_dir), "id", "xml"), canonical=True)
 
 
+@query("SELECT doc_id, event, coalesce(name, '') AS name, count(*) AS n, min(coalesce(value, '')) AS least FROM (SELECT p_partkey AS doc_id, unnest(['start', 'start', 'text', 'end', 'start', 'text', 'end', 'start', 'end', 'end']) AS event, unnest(['part', 'name', NULL, 'name', 'size', NULL, 'size', 'note', 'note', 'part']) AS name, unnest(['xmlns=\"urn:p\" b=\"2\" id=\"' || p_partkey || '\"', 'brand=\"' || p_brand || '\"', p_name, NULL, NULL, CAST(p_size AS VARCHAR), NULL, NULL, NULL, NULL]) AS value FROM part) GROUP BY ALL")
+def push_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parse events of documents that arrive in chunks of 40 characters, out of order, as a stream"""
+    docs = _part_documents(spark, sf_dir)
+    last = F.ceil(F.length("xml") / 40).cast("long") - 1
+    chunks = docs.select(F.col("id").alias("doc_id"), "xml", last.alias("last"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk"))
+    chunks = chunks.select("doc_id", "chunk", F.substring("xml", (F.col("chunk") * 40 + 1).cast("int"), F.lit(40)).alias("content"), (F.col("chunk") == F.col("last")).alias("final"))
+    folder = f"{shared_folder(spark)}/push-{uuid.uuid4().hex}"
+    chunks.repartition(4, F.xxhash64("doc_id", "chunk")).write.parquet(f"{folder}/chunks")
+    stream = push_events(spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/chunks"))
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/events").awaitTermination()
+    events = whole_texts(spark.read.schema(stream.schema).parquet(f"{folder}/events"))
+    return events.groupBy("doc_id", "event", F.coalesce("name", F.lit("")).alias("name")).agg(F.count("*").alias("n"), F.min(F.coalesce("value", F.lit(""))).alias("least"))
+
+
 def _part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     size = O.element("size", F.col("p_size"))
@@ -245,6 +310,77 @@ def well_formedness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("id").alias("doc_id")).join(good, "doc_id", "left").select("doc_id", F.coalesce("good", F.lit(0)).alias("good"))
 
 
+@query("SELECT page_id AS doc_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, len(regexp_extract_all(html, '<p>')) AS n, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) = 'en' AS english FROM pages WHERE html LIKE '%<p>%'")
+def xp_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each paragraph, and lang('en')"""
+    n = page_nodes(spark, sf_dir)
+    found = A.languages(named(n, "p"), n)
+    return found.groupBy("doc_id", "lang").agg(F.count("*").alias("n")).withColumn("english", A.lang(F.col("lang"), "en"))
+
+
+@query("SELECT page_id AS doc_id, len(regexp_extract_all(html, '<a href=\"/[a-m]')) AS n_prefix, len(regexp_extract_all(html, '<li>')) - 1 AS n_next, len(regexp_extract_all(html, '<li>')) AS n_below FROM pages WHERE len(regexp_extract_all(html, '<li>')) > 1")
+def css_combinators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a[href^=..], li + li, and nav li"""
+    n = page_nodes(spark, sf_dir)
+    items, links = named(n, "li"), named(n, "a")
+    first = functools.reduce(lambda x, y: x | y, (attribute_matches("^=", f"/{c}") for c in "abcdefghijklm"))
+    prefix = by_attribute(links, n, "href", first).groupBy("doc_id").agg(F.count("*").alias("n_prefix"))
+    after = combined(items, "+", items).groupBy("doc_id").agg(F.count("*").alias("n_next"))
+    below = combined(named(n, "nav"), " ", items).groupBy("doc_id").agg(F.count("*").alias("n_below"))
+    return after.join(below, "doc_id").join(prefix, "doc_id", "left").select("doc_id", F.coalesce("n_prefix", F.lit(0)).alias("n_prefix"), "n_next", "n_below")
+
+
+@query("SELECT p_partkey AS doc_id, p.prefix, p.uri, 4 AS n FROM part, (VALUES ('', 'urn:p'), ('xml', 'http://www.w3.org/XML/1998/namespace')) p(prefix, uri)")
+def xp_namespace_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Namespaces in scope of the elements of each part's document"""
+    n = shred_xml(_part_documents(spark, sf_dir), "id", "xml")
+    return A.namespaces(A.everywhere(n, A.test()), n).groupBy("doc_id", "prefix", "uri").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("SELECT p_partkey AS doc_id, 'part' AS local, CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_size > 25")
+def xp_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id() of tokens, of which one is the document's"""
+    docs = _part_documents(spark, sf_dir)
+    n = shred_xml(docs, "id", "xml")
+    size = F.regexp_extract("xml", r"<size>(\d+)", 1).cast("int")
+    wanted = docs.select(F.col("id").alias("doc_id"), F.concat(F.lit("none "), F.when(size > 25, F.col("id")).otherwise(-1).cast("string"), F.lit(" 0x ")).alias("ids"))
+    found = A.by_id(n, wanted)
+    return A.step(found, n, "attribute", A.test("id", ATTRIBUTE)).select("doc_id", F.lit("part").alias("local"), F.col("value").alias("id"))
+
+
+@query("SELECT p_partkey AS doc_id, unnest([0, 1, 2]) AS place, unnest([p_name, CAST(p_size AS VARCHAR), '  ']) AS text FROM part")
+def strip_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank texts between elements go; where xml:space preserves them they stay"""
+    docs = _part_documents(spark, sf_dir).withColumn("xml", F.replace(F.replace("xml", F.lit("><size"), F.lit(">\n  <size")), F.lit("<note/>"), F.lit('\t<note xml:space="preserve">  </note>\n')))
+    kept = A.without_blank_text(shred_xml(docs, "id", "xml")).where("kind = 3")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")) - 1
+    return kept.select("doc_id", place.alias("place"), F.col("value").alias("text"))
+
+
+@query("SELECT p_partkey AS doc_id, unnest(['start part', 'start name', 'text', 'end name', 'start size', 'text', 'end size', 'empty note', 'end part']) AS event, unnest(range(1, 10)) AS place FROM part")
+def reader_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pull reader's events in order"""
+    events = A.reader_events(shred_xml(_part_documents(spark, sf_dir), "id", "xml"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")).cast("long")
+    return events.select("doc_id", F.concat_ws(" ", "event", "name").alias("event"), place.alias("place"))
+
+
+@query("SELECT p_partkey AS doc_id, 1 AS line, length('<part xmlns=\"urn:p\" b=\"2\" id=\"' || p_partkey || '\"><name brand=\"' || p_brand || '\">' || p_name || '</name><size>' || p_size || '</size><note/>') AS col, 'no element found' AS message FROM part WHERE p_size % 2 = 1")
+def xml_error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where documents of odd sizes, which lose their last tag, break off"""
+    docs = _part_documents(spark, sf_dir)
+    odd = F.regexp_extract("xml", r"<size>(\d+)", 1).cast("int") % 2 == 1
+    return xml_errors(docs.withColumn("xml", F.when(odd, F.replace("xml", F.lit("</part>"), F.lit(""))).otherwise(F.col("xml"))), "id", "xml")
+
+
+@query("SELECT w AS role, count(*) AS n, count(DISTINCT conv_id) AS n_convs FROM (SELECT conv_id, regexp_extract(text, '^([^ ]*) ', 1) AS w FROM conversations) WHERE w <> '' GROUP BY w")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered functions in SQL: the first word of each text that has a space"""
+    register(spark)
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("xp_conversations")
+    return spark.sql("SELECT xp_substring_before(text, ' ') AS role, count(*) AS n, count(DISTINCT conv_id) AS n_convs FROM xp_conversations WHERE xp_substring_before(text, ' ') <> '' GROUP BY 1")
+
+
 # --- keys, sorting, numbering, grouping on tables ------------------------------------------------------------------
 
 
@@ -274,9 +410,11 @@ def exists_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey").join(big, "c_custkey", "left_semi")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def not_exists_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """customer[not(order[@total > 400000])]"""
+    big = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(big, "c_custkey", "left_anti")
 
 
 @query("SELECT n_nationkey FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) INTERSECT SELECT c_nationkey FROM customer")
@@ -342,6 +480,15 @@ def preceding_sibling_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("previous", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))).where("previous is not null")
 
 
+@query("SELECT l_orderkey, EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_returnflag = 'N' AND b.l_quantity > a.low) AS less, EXISTS (SELECT 1 FROM lineitem b, lineitem c WHERE b.l_orderkey = a.l_orderkey AND c.l_orderkey = a.l_orderkey AND b.l_returnflag <> 'N' AND c.l_returnflag = 'N' AND b.l_quantity <> c.l_quantity) AS differ FROM (SELECT l_orderkey, min(l_quantity) AS low FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_orderkey) a WHERE EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_returnflag = 'N' AND (b.l_quantity > a.low)) OR EXISTS (SELECT 1 FROM lineitem b, lineitem c WHERE b.l_orderkey = a.l_orderkey AND c.l_orderkey = a.l_orderkey AND b.l_returnflag <> 'N' AND c.l_returnflag = 'N' AND b.l_quantity <> c.l_quantity)")
+def nodeset_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in which a returned quantity is less than, or differs from, some quantity that is not (node-set < and != node-set)"""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", F.col("l_quantity").alias("value"))
+    returned, others = lines.where("l_returnflag <> 'N'"), lines.where("l_returnflag = 'N'")
+    less, differ = (K.some_pair(returned, others, ["l_orderkey"], o).withColumn(n, F.lit(True)) for o, n in (("<", "less"), ("!=", "differ")))
+    return less.join(differ, "l_orderkey", "full").select("l_orderkey", F.coalesce("less", F.lit(False)).alias("less"), F.coalesce("differ", F.lit(False)).alias("differ"))
+
+
 @query("SELECT r_name, n_name FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_name < 'F'")
 def optional_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A child that may be missing"""
@@ -355,7 +502,7 @@ def optional_child(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, count(*) AS n, count(DISTINCT w) AS n_distinct FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\t\\r\\n]+')) AS w FROM documents) WHERE w <> '' GROUP BY doc_id")
 def str_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = X.tokenize(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct")).where("n > 0")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct")).where("n > 0")
 
 
 @query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS normal, translate(text, 'aeiou', 'AEIO') AS translated, substr(text, 2, 5) AS part, length(text) AS n FROM documents")
@@ -377,17 +524,54 @@ def date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("event_id", *(F.col(f"p.{k}").cast("long").alias(v) for k, v in names.items()))
 
 
-@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS due, date_diff('day', CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH) AS days FROM orders")
+_DUE = "CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_months(1 + o_orderkey % 14) + to_days(2) + to_hours(3)"
+
+
+@query(f"SELECT o_orderkey, {_DUE} AS due, 'P' || date_diff('day', CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP), {_DUE}) || 'DT3H' AS distance, monthname(CAST(o_orderdate AS DATE)) AS month, dayname(CAST(o_orderdate AS DATE)) AS day FROM orders")
 def date_add_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date:add of 1 to 14 months, 2 days and 3 hours; date:difference; names"""
     day = F.col("o_orderdate").cast("date")
-    due = F.add_months(day, 1)
-    return table(spark, sf_dir, "orders").select("o_orderkey", due.cast("timestamp_ntz").alias("due"), F.datediff(due, day).cast("long").alias("days"))
+    months = (F.col("o_orderkey") % 14 + 1).cast("int")
+    length = F.concat(F.lit("P"), F.floor(months / 12).cast("string"), F.lit("Y"), (months % 12).cast("string"), F.lit("M2DT3H"))
+    due = E.date_add(day, length)
+    return table(spark, sf_dir, "orders").select("o_orderkey", due.alias("due"), E.date_difference(day, due).alias("distance"), E.month_name(day).alias("month"), E.day_name(day).alias("day"))
+
+
+@query("SELECT o_custkey, CAST(sum(o_orderkey % 50 * 3600 + 90) AS BIGINT) AS seconds, 'P' || CASE WHEN sum(o_orderkey % 3 + 13) >= 12 THEN sum(o_orderkey % 3 + 13) // 12 || 'Y' ELSE '' END || CASE WHEN sum(o_orderkey % 3 + 13) % 12 > 0 THEN sum(o_orderkey % 3 + 13) % 12 || 'M' ELSE '' END AS months FROM orders GROUP BY o_custkey")
+def date_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date:seconds, date:sum and date:add-duration of durations that are texts"""
+    hours = F.concat(F.lit("PT"), (F.col("o_orderkey") % 50).cast("string"), F.lit("H1M30S"))
+    months = E.add_durations(F.lit("P1Y"), F.concat(F.lit("P"), (F.col("o_orderkey") % 3 + 1).cast("string"), F.lit("M")))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum(E.date_seconds(hours)).cast("long").alias("seconds"), E.sum_durations(months).alias("months"))
 
 
-@query("SELECT p_partkey, CAST(p_size AS VARCHAR) AS size, p_size / 4 = floor(p_size / 4) AS whole, floor(p_size / 4 + 0.5) AS rounded FROM part")
+@query("SELECT p_partkey, len(string_split(p_type, ' ')) AS n_parts, replace(replace(replace(p_type, 'ANODIZED', 'plain'), 'STEEL', 'iron'), 'TIN', 'foil') AS replaced, sqrt(p_size) AS root, power(p_size, 2) AS square, ln(p_size) AS log, 'Brand:' || p_brand AS joined FROM part")
+def str_math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """str:split, str:replace, math:sqrt, math:power, math:log, concat"""
+    t, x = F.col("p_type"), F.col("p_size").cast("double")
+    pairs = [("TIN", "foil"), ("ANODIZED", "plain"), ("STEEL", "iron")]
+    return table(spark, sf_dir, "part").select("p_partkey", F.size(E.split(t)).cast("long").alias("n_parts"), E.replace(t, pairs).alias("replaced"), E.math("sqrt", x).alias("root"), E.power(x, F.lit(2.0)).alias("square"), E.math("log", x).alias("log"), F.concat(F.lit("Brand:"), X.string(F.col("p_brand"))).alias("joined"))
+
+
+@query("SELECT c_nationkey, string_agg(c_name, '' ORDER BY c_custkey) AS names FROM customer GROUP BY c_nationkey")
+def str_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """str:concat of each group's names in order"""
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(E.concat(F.col("c_name"), F.col("c_custkey")).alias("names"))
+
+
+@query("SELECT p_brand, CASE WHEN count(*) FILTER (p_size = 50) > 0 THEN 'NaN' ELSE CAST(sum(p_size) AS VARCHAR) END AS texts, CAST(sum(p_size) AS DOUBLE) AS sizes, sum(p_size) > 0 AS some FROM part GROUP BY p_brand")
+def sum_of_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sum() of texts: NaN if one is no number; boolean() of a number"""
+    text = F.when(F.col("p_size") == 50, "fifty").otherwise(F.col("p_size").cast("string"))
+    found = table(spark, sf_dir, "part").groupBy("p_brand").agg(X.sum_of(X.number(text)).alias("t"), X.sum_of(F.col("p_size").cast("double")).alias("sizes"))
+    return found.select("p_brand", X.number_text(F.col("t")).alias("texts"), "sizes", X.boolean_of_number(F.col("sizes")).alias("some"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 8 = 0 THEN CAST(p_size // 8 AS VARCHAR) ELSE CAST(p_size / 8 AS VARCHAR) END AS size, p_size / 4 = floor(p_size / 4) AS whole, floor(p_size / 4 + 0.5) AS rounded, p_size % 7 AS rest FROM part")
 def num_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = X.divide(F.col("p_size"), F.lit(4))
-    return table(spark, sf_dir, "part").select("p_partkey", X.number_text(F.col("p_size").cast("double")).alias("size"), (q == F.floor(q)).alias("whole"), X.round_half_up(q).alias("rounded"))
+    size = F.col("p_size")
+    q = X.divide(size, F.lit(4))
+    return table(spark, sf_dir, "part").select("p_partkey", X.number_text(X.divide(size, F.lit(8))).alias("size"), (q == F.floor(q)).alias("whole"), X.round_half_up(q).alias("rounded"), X.mod(size, F.lit(7)).cast("int").alias("rest"))
 
 
 @query("SELECT c_custkey, format('{:,.2f}', CAST(round(c_acctbal, 2) AS DECIMAL(18, 2))) AS money FROM customer")
@@ -396,6 +580,26 @@ def format_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", X.format_number(F.col("c_acctbal"), 2, 2, 1, 3).alias("money"))
 
 
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '(' ELSE '' END || format('{:,.2f}', CAST(abs(round(c_acctbal, 2)) AS DECIMAL(18, 2))) || CASE WHEN c_acctbal < 0 THEN ')' ELSE '' END AS money, format('{:03d}', c_nationkey) || ' of 25' AS nation, CAST(c_nationkey * 4 AS VARCHAR) || '%' AS share, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || replace(replace(replace(format('{:,.2f}', CAST(abs(round(c_acctbal, 2)) AS DECIMAL(18, 2))), ',', 'x'), '.', ','), 'x', '.') AS european FROM customer")
+def number_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """format-number with a negative sub-pattern, a suffix, per cent, and a decimal format of its own"""
+    x, n = F.col("c_acctbal"), F.col("c_nationkey").cast("double")
+    european = E.picture(x, "#.##0,00", E.DecimalFormat(decimal=",", grouping="."))
+    return table(spark, sf_dir, "customer").select("c_custkey", E.picture(x, "#,##0.00;(#,##0.00)").alias("money"), E.picture(n, "000 of 25").alias("nation"), E.picture(n / 25, "#0%").alias("share"), european.alias("european"))
+
+
+_HOST = "regexp_extract(url, '^[a-z]+://[^/?#]+')"
+_FOLDER = "regexp_extract(regexp_extract(url, '^([^?#]*)'), '^[a-z]+://[^/]+(/.*)?/', 1)"
+
+
+@query(f"SELECT page_id, {_HOST} || '/x/z?q=1' AS rooted, {_HOST} || {_FOLDER} || '/b/c.html#top' AS below, 'mailto:a@b.c' AS other, regexp_extract(url, '^([^#]*)') || '#f' AS fragment, lower({_HOST}) || '/a' AS normal FROM pages")
+def uri_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References against the pages' URLs, and normalised URIs"""
+    of = lambda r: E.resolve_uri(F.lit(r), F.col("url"))
+    shouted = F.concat(F.upper(F.regexp_extract("url", "^[a-z]+://[^/?#]+", 0)), F.lit("/./b/../a"))
+    return table(spark, sf_dir, "pages").select("page_id", of("/x/y/../z?q=1").alias("rooted"), of("./a/../b/c.html#top").alias("below"), of("mailto:a@b.c").alias("other"), of("#f").alias("fragment"), E.normalize_uri(shouted).alias("normal"))
+
+
 @query("SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages")
 def uri_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.uri_parts(F.col("url")).alias("u")).select("page_id", "u.scheme", "u.host", F.coalesce("u.path", F.lit("")).alias("path"))
@@ -414,11 +618,6 @@ def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n_nationkey", X.roman(F.col("n_regionkey")).alias("numeral"), X.letters(F.col("n_nationkey") + 1).alias("letter"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
-def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
-
-
 # --- validation ----------------------------------------------------------------------------------------------------
 
 
