@@ -27,9 +27,11 @@ from thicket.llm.components import connected_components
 from thicket.llm.words import WordHashes, grams
 
 SETS = "doc_id long, n_shingles long, set_hash long, sketch binary"
-SIGNED = "key long, sig long, hub long, id long"
+SIGNED = "bucket int, links boolean, packed binary"
 LINKS = "sig long, hub long, id long"
-FLUSH = 3_000_000  # signatures that a task combines at a time
+FLUSH = 1_200_000  # signatures that a task combines at a time
+PER_BUCKET = 1_000_000  # signatures of a bucket that one task sorts, on average
+MOST_PARTITIONS = 20_000  # of the shuffle of signatures; more buckets share these
 BROADCAST_ROWS = 500_000  # of 16 bytes each
 SMALL_BUCKET = 24  # members of a bucket that may be paired by a join
 BLOCK = 1024
@@ -117,23 +119,52 @@ def _stars(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
     return sig[first], ids[first], sig[rest], hub[rest], ids[rest]
 
 
-def candidate_links(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _pack(keys: np.ndarray, ids: np.ndarray) -> bytes:
+    """Keys in 6 bytes, ids as places in the list of the distinct ones."""
+    distinct, place = np.unique(ids, return_inverse=True)
+    place = place.astype("<u2" if len(distinct) <= 1 << 16 else "<u4")
+    head = np.array([len(keys), len(distinct)], "<u4").tobytes()
+    return b"".join([head, keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), distinct.astype("<i8").tobytes(), place.tobytes()])
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, distinct = np.frombuffer(raw, "<u4", 2).tolist()
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 8).reshape(n, 6)
+    at = 8 + 6 * n
+    place = np.frombuffer(raw, "<u2" if distinct <= 1 << 16 else "<u4", n, at + 8 * distinct)
+    return keys.view("<u8").ravel(), np.frombuffer(raw, "<i8", distinct, at)[place]
+
+
+def candidate_links(docs: DataFrame, n: int, num: int, den: int, shingles: int) -> DataFrame:
     """(signature, hub, id) stars over the sets that share a signature; ids are set hashes; stored.
 
-    A task links its own sets of a signature itself and sends only the smallest on, so a signature has
-    no more rows in the shuffle than there are flushes of tasks.
+    A task links its own sets of a signature itself and sends only the smallest on, so a signature is sent no more often than
+    there are flushes of tasks. What it sends is packed by buckets of signatures, whose number follows from that of all
+    ``shingles``, so that a bucket has some ``PER_BUCKET`` signatures whatever the input. Signatures are cut to 48 bits (fewer for very
+    many buckets) within their bucket; a collision is a candidate more, which the verification drops.
     """
+    # About one signature in six parts of the differences that a shingle stands for, in two bands.
+    buckets = max(1, -(-shingles * 6 * (den - num) // ((den + num) * PER_BUCKET)))
+    bits = min(48, 62 - buckets.bit_length())
+    low = (1 << bits) - 1
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sigs, ids, waiting = WordHashes(), [], [], 0
+        words, sigs, ids, waiting, several = WordHashes(), [], [], 0, np.uint64(buckets)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            a_sig, a_id, b_sig, b_hub, b_id = _stars(np.concatenate(sigs).view(np.int64), np.concatenate(ids))
-            spread = mix64(b_sig.view(np.uint64) ^ mix64(b_id.view(np.uint64))).view(np.int64)
-            for cols in ((a_sig, None, a_id, None), (spread, b_sig, b_hub, b_id)):
-                for k in range(0, len(cols[0]), 100_000):
-                    part = [pa.nulls(min(100_000, len(cols[0]) - k), pa.int64()) if c is None else pa.array(c[k : k + 100_000]) for c in cols]
-                    yield pa.record_batch(part, names=["key", "sig", "hub", "id"])
+            sig = np.concatenate(sigs)
+            bucket, key = (sig % several).astype(np.int64), (sig // several) & np.uint64(low)
+            # Signatures of a bucket next to each other, equal ones too.
+            a_sig, a_id, b_sig, b_hub, b_id = _stars(bucket << bits | key.view(np.int64), np.concatenate(ids))
+            edge = np.searchsorted(a_sig, np.arange(buckets + 1, dtype=np.int64) << bits)
+            filled = np.flatnonzero(np.diff(edge))
+            for some in np.array_split(filled, -(-len(filled) // 5000)) if len(filled) else ():
+                yield _rows(some, False, [_pack((a_sig[edge[k] : edge[k + 1]] & low).astype(np.uint64), a_id[edge[k] : edge[k + 1]]) for k in some])
+            for k in range(0, len(b_sig), 50_000):
+                part = slice(k, k + 50_000)
+                anywhere = mix64(b_id[part][:1].view(np.uint64)) % several
+                yield _rows(anywhere, True, [np.stack([b_sig[part], b_hub[part], b_id[part]]).astype("<i8").tobytes()])
 
         for batch in batches:
             for raw in utf8_column(batch.column(0)):
@@ -149,28 +180,37 @@ def candidate_links(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = first_hub = last_hub = None
+        last, held = None, []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            keys, ids = (np.concatenate(c) for c in zip(*held, strict=True))
+            _, _, sig, hub, own = _stars(keys.view(np.int64) | last << bits, ids)
+            for k in range(0, len(sig), 100_000):
+                yield _links(sig[k : k + 100_000], hub[k : k + 100_000], own[k : k + 100_000])
+
         for batch in batches:
-            alone = batch.column(3).is_null().to_numpy(zero_copy_only=False)
-            key, hub = (batch.column(i).to_numpy(zero_copy_only=False)[alone] for i in (0, 2))
-            rest = batch.filter(pa.array(~alone))
-            if rest.num_rows:
-                yield pa.record_batch(rest.columns[1:], names=["sig", "hub", "id"])
-            if not len(key):
-                continue
-            if last_key is not None:
-                key, hub = np.concatenate([[last_key, last_key], key]), np.concatenate([[first_hub, last_hub], hub])
-            start = np.concatenate([[True], key[1:] != key[:-1]])
-            first = hub[start][np.cumsum(start) - 1]
-            new = ~start & np.concatenate([[False], hub[1:] != hub[:-1]])
-            if last_key is not None:
-                new[:2] = False
-            if new.any():
-                yield pa.record_batch([pa.array(x[new]) for x in (key, first, hub)], names=["sig", "hub", "id"])
-            last_key, first_hub, last_hub = key[-1], first[-1], hub[-1]
+            for bucket, links, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if links:
+                    yield _links(*np.frombuffer(raw.as_py(), "<i8").reshape(3, -1))
+                    continue
+                if bucket != last and held:
+                    yield from settle()
+                    held = []
+                last = bucket
+                held.append(_unpack(raw.as_py()))
+        if held:
+            yield from settle()
 
     signed = docs.select("text").mapInArrow(sign, SIGNED)
-    return stored(signed.repartition("key").sortWithinPartitions("key", "hub").mapInArrow(meet, LINKS), "signature-links")
+    return stored(signed.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, LINKS), "signature-links")
+
+
+def _rows(buckets: np.ndarray, links: bool, packed: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(buckets.astype(np.int32)), pa.array([links] * len(packed)), pa.array(packed, pa.binary())], names=["bucket", "links", "packed"])
+
+
+def _links(sig: np.ndarray, hub: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(sig), pa.array(hub), pa.array(ids)], names=["sig", "hub", "id"])
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -319,7 +359,8 @@ def jaccard_rows(docs: DataFrame, n: int, num: int, den: int, *carried: str) ->
     known = sets.where("set_hash is not null and doc_id is not null")
     classes = stored(known.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "set-classes")
     named = docs.select("doc_id", "text").where("doc_id is not null")
-    links = candidate_links(named, n, num, den)
+    shingles = known.agg(F.sum("n_shingles")).first()[0] or 0
+    links = candidate_links(named, n, num, den, shingles)
     found = _linked(links, classes, named, n, num, den)
     label = classes.join(found, classes.set_hash == found.id, "left").select("set_hash", "doc_id", F.coalesce("component", "set_hash").alias("component"))
     label = stored(label, "class-components")

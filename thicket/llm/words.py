@@ -7,7 +7,7 @@ import xxhash
 
 from thicket.llm.common import LONG, Memo, mix64
 
-ROOM = 96 << 20  # bytes
+ROOM = 64 << 20  # bytes
 
 
 class WordHashes(dict):
