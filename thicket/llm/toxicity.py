@@ -167,7 +167,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) ->
     """Linear SVM with squared hinge loss by Newton steps; the last weight is the bias."""
     w = np.zeros(x.shape[1] + 1)
     for _ in range(rounds):
-        margin = 1 - y * (x @ w[:-1] + w[-1])
+        margin = 1 - y * ((x @ w[:-1].astype(np.float32)).astype(float) + w[-1])
         active = np.flatnonzero(margin > 0)
         gradient, hessian = 1e-2 * w, 1e-2 * np.eye(len(w))
         for k in range(0, len(active), 4000):
@@ -187,7 +187,7 @@ class WordMachine:
 
     def __init__(self, toxic: list[str], clean: list[str], landmarks: int = 384):
         """Landmarks are the farthest points of ``toxic`` (candidates, the best first), and some of ``clean``."""
-        chosen = self._farthest(toxic[:1200], landmarks * 3 // 4)
+        chosen = self._farthest(toxic[:800], landmarks * 3 // 4)
         self.marks = Landmarks([*chosen, *clean[: landmarks - len(chosen)]])
         gram = self.marks.features.T.astype(float) @ self.marks.features
         values, vectors = np.linalg.eigh(gram + 1e-6 * np.eye(len(gram)))
@@ -197,8 +197,7 @@ class WordMachine:
 
     @staticmethod
     def _farthest(words: list[str], n: int) -> list[str]:
-        marks = Landmarks(words)
-        near = np.ascontiguousarray(marks.features.T)
+        near = Landmarks(words).features.T  # some 100 MB, and no copy of it
         chosen, closest = [0], near @ near[0]
         while len(chosen) < min(n, len(words)):
             chosen.append(int(np.argmin(closest)))
