@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from thicket.llm.common import LONG, Memo
+from thicket.llm.common import KEPT, LONG, Memo, claim
 
 
 class Encoder:
@@ -100,6 +100,15 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def encoder(tokenizer_file: str) -> Encoder:
+@lru_cache(maxsize=1)
+def _encoder(tokenizer_file: str) -> Encoder:
     return Encoder(tokenizer_file)
+
+
+KEPT["bpe"] = _encoder.cache_clear
+
+
+def encoder(tokenizer_file: str) -> Encoder:
+    """The worker's encoder, with what it learned in earlier tasks."""
+    claim("bpe")
+    return _encoder(tokenizer_file)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,17 @@ class Memo:
             self.young.pop(k, None)
 
 
+#: What operators keep in a worker process between tasks: by owner, a function that frees it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str) -> None:
+    """A task's call at its start: frees what other operators keep in this worker process, which may serve many of them in turn."""
+    for name, clear in KEPT.items():
+        if name != owner:
+            clear()
+
+
 #: Keys beyond so many characters are not kept in memos.
 LONG = 128
 

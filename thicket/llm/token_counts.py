@@ -21,7 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from thicket.llm.common import LONG, Memo
+from thicket.llm.common import KEPT, LONG, Memo, claim
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_chars long"
 _UNITS = re.compile(r" *[^ ]+| +$")
@@ -180,11 +180,14 @@ class PrefixCounter:
         return best
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _counter(model_file: str) -> PrefixCounter:
     return PrefixCounter(model_file)
 
 
+KEPT["prefixes"] = _counter.cache_clear
+
+
 def token_counts(docs: DataFrame, model_file: str, limit: int) -> DataFrame:
     """UTF-8 bytes and exact tokens of each text, and where a budget of ``limit`` tokens cuts it.
 
@@ -195,6 +198,7 @@ def token_counts(docs: DataFrame, model_file: str, limit: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("prefixes")
         counter = _counter(model_file)
         for batch in batches:
             size, tokens, cut = [], [], []

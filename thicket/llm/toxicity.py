@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.common import LONG, Memo, map_rows, place, stored
+from thicket.llm.common import LONG, Memo, claim, map_rows, place, stored
 
 DECAY = 0.6
 COST = 30.0
@@ -163,16 +163,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(a + b * first + c * np.log1p(positive) + d * np.log1p(words), -50, 50)))
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Linear SVM with squared hinge loss by Newton steps; the last weight is the bias."""
-    w = np.zeros(x.shape[1] + 1)
+def fit_svm(features: np.ndarray, at: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Linear SVM with squared hinge loss by Newton steps on the rows ``at`` of the features; the last weight is the bias."""
+    w = np.zeros(features.shape[1] + 1)
     for _ in range(rounds):
-        margin = 1 - y * ((x @ w[:-1].astype(np.float32)).astype(float) + w[-1])
+        margin = 1 - y * ((features @ w[:-1].astype(np.float32))[at].astype(float) + w[-1])
         active = np.flatnonzero(margin > 0)
         gradient, hessian = 1e-2 * w, 1e-2 * np.eye(len(w))
-        for k in range(0, len(active), 4000):
-            own = active[k : k + 4000]
-            part, c = np.hstack([x[own].astype(float), np.ones((len(own), 1))]), cost[own]
+        for k in range(0, len(active), 2000):
+            own = active[k : k + 2000]
+            part, c = np.hstack([features[at[own]].astype(float), np.ones((len(own), 1))]), cost[own]
             gradient -= part.T @ (c * y[own] * margin[own])
             hessian += (part * c[:, None]).T @ part
         step = np.linalg.solve(hessian, gradient)
@@ -197,19 +197,28 @@ class WordMachine:
 
     @staticmethod
     def _farthest(words: list[str], n: int) -> list[str]:
-        near = Landmarks(words).features.T  # some 100 MB, and no copy of it
-        chosen, closest = [0], near @ near[0]
+        def near(word: str) -> np.ndarray:
+            """The kernel of a word with all of them."""
+            table = np.zeros(CODES)
+            for _, code, weight in subsequences([word]):
+                np.add.at(table, code[0], weight)
+            return Model(table, 0.0).decisions(words)
+
+        chosen = [0]
+        closest = near(words[0])
         while len(chosen) < min(n, len(words)):
             chosen.append(int(np.argmin(closest)))
-            closest = np.maximum(closest, near @ near[chosen[-1]])
+            closest = np.maximum(closest, near(words[chosen[-1]]))
         return [words[i] for i in chosen]
 
-    def features_of(self, words: list[str]) -> np.ndarray:
+    def places_of(self, words: list[str]) -> np.ndarray:
+        """Rows of the words in ``features``, which new words join."""
         new = [w for w in dict.fromkeys(words) if w not in self.known]
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.features = np.vstack([self.features, (self.marks.kernel(new) @ self.root).astype(np.float32)])
-        return self.features[[self.known[w] for w in words]]
+            root = self.root.astype(np.float32)
+            self.features = np.vstack([self.features, *(self.marks.kernel(new[k : k + 4000]) @ root for k in range(0, len(new), 4000))])
+        return np.array([self.known[w] for w in words])
 
     def fit(self, toxic: dict[str, float], clean: dict[str, float], even: bool = True) -> Model:
         """A machine for words that stand for so many toxic and so many clean rows; both sides weigh the same if ``even``."""
@@ -218,7 +227,8 @@ class WordMachine:
         y = np.repeat([1.0, -1.0], [len(toxic), len(clean)])
         for side in (y > 0, y < 0) if even else (y != 0,):
             weight[side] *= COST / max(weight[side].sum(), 1e-9)
-        w = fit_svm(self.features_of(words), y, weight)
+        at = self.places_of(words)
+        w = fit_svm(self.features, at, y, weight)
         return Model(self.marks.spread((self.root @ w[:-1]).astype(np.float32)), float(w[-1]))
 
 
@@ -247,7 +257,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[float,
 
 class _Scorer:
     def __init__(self, model: Model):
-        self.model, self.memo = model, Memo()
+        claim("toxicity")
+        self.model, self.memo = model, Memo(64 << 20)
 
     def learn(self, tokens: list[str]) -> None:
         parts, owner = [], []
@@ -313,22 +324,22 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return stored(counted.groupBy("word").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), "word-counts")
 
 
-def _witnesses(rows: DataFrame, model: Model, each: int = 3) -> list:
-    """Of the labelled rows (``toxic``): the ``each`` highest words with their decisions, and the pooled decisions."""
+def _witnesses(rows: DataFrame, model: Model, each: int = 3) -> pa.Table:
+    """Of the labelled rows (``toxic``): the ``each`` highest words (``w``) with their decisions (``v``), and the pooled decisions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
         for batch in batches:
-            tops, pools = [], []
+            tops, names, pools = [], [], []
             for words, decided in scorer.bags(batch.column(0).to_pylist()):
                 best = heapq.nlargest(each, ((v, w[:LONG]) for v, w in zip(decided, words, strict=True) if v > -np.inf))
-                tops.append([{"v": v, "w": w} for v, w in best])
+                tops.append([v for v, _ in best])
+                names.append([w for _, w in best])
                 pools.append(model.pool(decided))
-            kind = pa.list_(pa.struct([("v", pa.float64()), ("w", pa.string())]))
             pooled = [pa.array(c, t) for c, t in zip(zip(*pools, strict=True), (pa.float64(), pa.float64(), pa.int64()), strict=True)]
-            yield pa.record_batch([batch.column(1), pa.array(tops, kind), *pooled], names=["toxic", "top", "first", "positive", "words"])
+            yield pa.record_batch([batch.column(1), pa.array(tops, pa.list_(pa.float64())), pa.array(names, pa.list_(pa.string())), *pooled], names=["toxic", "v", "w", "first", "positive", "words"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "toxic int, top array<struct<v: double, w: string>>, first double, positive double, words long").collect()
+    return rows.select("text", "toxic").mapInArrow(run, "toxic int, v array<double>, w array<string>, first double, positive double, words long").toArrow()
 
 
 def _worst_piece(model: Model, token: str) -> str:
@@ -368,7 +379,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, toxic_words: i
     model = machine.fit({w: p * scale for w, (p, _, scale) in first.items() if p}, clean, even=False)
     shares: dict[str, float] = {}
     for k, ramp in enumerate(RAMPS):
-        found = [(bool(r["toxic"]), w) for r in _witnesses(sample, model) for t in r["top"][: 1 if r["toxic"] else 3] if t["v"] > (ramp if r["toxic"] else -1.0) and (w := _worst_piece(model, t["w"]))]
+        found, seen = [], _witnesses(sample, model)
+        for y, decided, words in zip(*(seen.column(c).to_pylist() for c in ("toxic", "v", "w")), strict=True):
+            for v, w in list(zip(decided, words, strict=True))[: 1 if y else 3]:
+                if v > (ramp if y else -1.0) and (w := _worst_piece(model, w)):
+                    found.append((bool(y), w))
         if not any(toxic for toxic, _ in found):
             break
         new = sample.sparkSession.createDataFrame([(w,) for w in {w for _, w in found if w not in shares}], "word string")
@@ -379,9 +394,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, toxic_words: i
         if k == 0:  # landmarks among the clean words that are most like toxic ones
             machine = WordMachine(candidates, [w for w, _ in negative.most_common()] + [r["word"] for r in others if r["p"] <= r["n"]])
         model = machine.fit(positive, {w: clean.get(w, 0) + negative[w] for w in {**clean, **negative}})
-    found = _witnesses(sample, model)
-    seen = np.array([[r["first"], np.log1p(r["positive"]), np.log1p(r["words"])] for r in found])
-    model.logistic = fit_logistic(seen, np.array([r["toxic"] for r in found], float))
+    seen = _witnesses(sample, model)
+    first, positive, words, toxic = (seen.column(c).to_numpy().astype(float) for c in ("first", "positive", "words", "toxic"))
+    model.logistic = fit_logistic(np.column_stack([first, np.log1p(positive), np.log1p(words)]), toxic)
     return model
 
 

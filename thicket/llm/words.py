@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from thicket.llm.common import LONG, Memo, mix64
+from thicket.llm.common import LONG, Memo, claim, mix64
 
 ROOM = 64 << 20  # bytes
 
@@ -15,6 +15,10 @@ class WordHashes(dict):
 
     used = 0
 
+    def __init__(self):
+        super().__init__()
+        claim("words")
+
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= LONG:
