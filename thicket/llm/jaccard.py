@@ -14,12 +14,13 @@ tasks. So every two similar sets end in one component, and no group's pairs are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.common import mix64, stored, utf8_column
@@ -289,18 +290,34 @@ def _linked(links: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num:
 def _near_in_clusters(members: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of ids that can be similar by their sketches, among ids that large buckets bring together.
 
-    Buckets with common members form a cluster, which is compared once: its ids are dealt to blocks, each pair of blocks is
-    a group of at most 2 * BLOCK rows with their sketches, and only pairs of different components within the bound leave it.
+    Buckets with common members form a cluster, which is compared once. Its ids are dealt to bands of size, of which only one and the
+    next can hold similar sets, and these to blocks. Each pair of blocks of a band, or of one and the next, is a group of at most
+    2 * BLOCK rows with their sketches, and only pairs of different components within the bound leave it.
     """
     links = members.join(members.groupBy("sig").agg(F.min("id").alias("least")), "sig").select("least", "id").distinct()
     cluster = stored(connected_components(links), "clusters")
     rows = members.select("id", "component").distinct().join(cluster.withColumnRenamed("component", "cluster"), "id")
-    rows = stored(rows, "cluster-members")
-    sizes = stored(rows.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cluster-sizes")
-    dealt = rows.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(classes.select(F.col("set_hash").alias("id"), "n_shingles", "sketch"), "id")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n_shingles", "sketch")
+    rows = rows.join(classes.select(F.col("set_hash").alias("id"), "n_shingles", "sketch"), "id")
+    # A little wider than the ratio of the threshold, against rounding.
+    rows = stored(rows.withColumn("band", F.floor(F.log("n_shingles") / (1.0001 * max(math.log(den / num), 1e-6))).cast("int")), "cluster-members")
+    sizes = stored(rows.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cluster-sizes")
+    near = lambda name, step: sizes.select("cluster", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
+    dealt = rows.join(sizes, ["cluster", "band"]).join(near("above", 1), ["cluster", "band"], "left").join(near("below", -1), ["cluster", "band"], "left")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+    def group(low: Column, i: Column, high: Column, j: Column, side: Column) -> Column:
+        return F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"), side.cast("int").alias("side"))
+
+    def counted(n: str, to: Callable[[Column], Column]) -> Column:
+        return F.transform(F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>")), to)
+
+    band, block = F.col("band"), F.col("block")
+    own = counted("blocks", lambda k: group(band, F.least(block, k), band, F.greatest(block, k), F.when(block == k, 2).when(block < k, 0).otherwise(1)))
+    up = counted("above", lambda k: group(band, block, band + 1, k, F.lit(0)))
+    down = counted("below", lambda k: group(band - 1, k, band, block, F.lit(1)))
+    dealt = dealt.select("cluster", F.explode(F.concat(own, up, down)).alias("g"), "id", "component", "n_shingles", "sketch")
+    dealt = dealt.select("cluster", "g.low", "g.i", "g.high", "g.j", "g.side", "id", "component", "n_shingles", "sketch")
+    keys = ["cluster", "low", "i", "high", "j"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -311,34 +328,33 @@ def _near_in_clusters(members: DataFrame, classes: DataFrame, num: int, den: int
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:3] != held[0][:3]:
+                if held and row[:5] != held[0][:5]:
                     yield settle()
                     held = []
                 held.append(row)
         if held:
             yield settle()
 
-    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(compare, "a long, b long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
 
 
 def _near_pairs(rows: list[tuple], num: int, den: int) -> tuple[list[int], list[int]]:
-    """Of one pair of blocks (cluster, i, j, block, id, component, size, sketch): pairs of ids, the smaller first."""
-    first, second = rows[0][1], rows[0][2]
-    block, ids, component, size = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
-    widths = sorted({len(r[7]) for r in rows})
+    """Of one pair of blocks (five keys, side, id, component, size, sketch): pairs of ids, the smaller first. Side 2 is both sides."""
+    side, ids, component, size = (np.array([r[k] for r in rows], np.int64) for k in (5, 6, 7, 8))
+    widths = sorted({len(r[9]) for r in rows})
     folded: dict[int, np.ndarray] = {}
     for w in widths:  # each sketch at each narrower width that others have
         out = np.zeros((len(rows), w // 8), np.uint64)
         for k, r in enumerate(rows):
-            if len(r[7]) >= w:
-                out[k] = np.bitwise_xor.reduce(np.frombuffer(r[7], np.uint64).reshape(-1, w // 8), axis=0)
+            if len(r[9]) >= w:
+                out[k] = np.bitwise_xor.reduce(np.frombuffer(r[9], np.uint64).reshape(-1, w // 8), axis=0)
         folded[w] = out
-    width = np.array([len(r[7]) for r in rows])
-    left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    width = np.array([len(r[9]) for r in rows])
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     a, b = [], []
     for x in left:
         y = right[(component[right] != component[x]) & (np.minimum(size[right], size[x]) * den >= np.maximum(size[right], size[x]) * num)]
-        if first == second:
+        if side[x] == 2:
             y = y[y > x]
         for w in widths:
             z = y[np.minimum(width[y], width[x]) == w]
