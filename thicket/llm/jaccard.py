@@ -30,7 +30,7 @@ from thicket.llm.words import WordHashes, grams
 SETS = "doc_id long, n_shingles long, set_hash long, sketch binary"
 SIGNED = "bucket int, links boolean, packed binary"
 LINKS = "sig long, hub long, id long"
-FLUSH = 1_200_000  # signatures that a task combines at a time
+FLUSH = 800_000  # signatures that a task combines at a time
 PER_BUCKET = 1_000_000  # signatures of a bucket that one task sorts, on average
 MOST_PARTITIONS = 20_000  # of the shuffle of signatures; more buckets share these
 BROADCAST_ROWS = 500_000  # of 16 bytes each

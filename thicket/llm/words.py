@@ -7,7 +7,7 @@ import xxhash
 
 from thicket.llm.common import LONG, Memo, claim, mix64
 
-ROOM = 64 << 20  # bytes
+ROOM = 48 << 20  # bytes
 
 
 class WordHashes(dict):
