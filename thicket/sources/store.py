@@ -29,7 +29,16 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its rows are made once, the lineage ends, lost executors cost nothing."""
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table that ``stored`` returned as ``df``: for its owner, when all that was made from it is stored itself."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
