@@ -35,7 +35,9 @@ PER_BUCKET = 1_000_000  # signatures of a bucket that one task sorts, on average
 MOST_PARTITIONS = 20_000  # of the shuffle of signatures; more buckets share these
 BROADCAST_ROWS = 500_000  # of 16 bytes each
 SMALL_BUCKET = 24  # members of a bucket that may be paired by a join
-BLOCK = 1024
+BLOCK = 1024  # sketches of a block ..
+BLOCK_BYTES = 8 << 20  # .. and their bytes, but for a larger single one
+SPOKES = 256  # texts that one task compares with one text
 
 
 @lru_cache(maxsize=4)
@@ -223,20 +225,6 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num:
             keep = [min(x, y) * den >= max(x, y) * num and sketch_distance(s, t) * (den + num) <= (x + y) * (den - num) for x, s, y, t in zip(size, batch.column(3).to_pylist(), other, batch.column(5).to_pylist(), strict=True)]
             yield pa.record_batch([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sets = WordHashes(), {}
-        for batch in batches:
-            keep = []
-            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8_column(batch.column(2)), utf8_column(batch.column(3)), strict=True):
-                if len(sets) > 64:
-                    sets.clear()
-                for i, raw in ((a, x), (b, y)):
-                    if i not in sets:
-                        sets[i] = shingle_set(raw, words, n)
-                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                keep.append(both * den >= num * (len(sets[a]) + len(sets[b]) - both))
-            yield pa.record_batch([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
     info = [classes.select(F.col("set_hash").alias(i), F.col("n_shingles").alias(f"n_{i}"), F.col("sketch").alias(f"s_{i}")) for i in "ab"]
     close = pairs.join(info[0], "a").join(info[1], "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
     close = stored(close.mapInArrow(near, "a long, b long"), "near-pairs")
@@ -253,8 +241,43 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num:
 
     texts = docs.select("doc_id", "text").join(needed, "doc_id").select("set_hash", "text")
     texts = stored(texts.mapInArrow(own, "set_hash long, text string").dropDuplicates(["set_hash"]), "needed-texts")
-    x, y = (texts.select(F.col("set_hash").alias(i), F.col("text").alias(f"t_{i}")) for i in "ab")
-    return stored(close.join(x, "a").join(y, "b").select("a", "b", "t_a", "t_b").mapInArrow(similar, "a long, b long"), "similar-pairs")
+    return _similar(close, texts, n, num, den)
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose texts' sets are similar enough; stored.
+
+    Of a pair, the end with more pairs is the hub, and its spokes are dealt to blocks. A task reads a hub's text once a block
+    and holds its set; the spokes' texts stream by one after another, so no more than two sets are held, of whatever size.
+    """
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    one, other = (degree.select(F.col("id").alias(i), F.col("degree").alias(f"d_{i}")) for i in "ab")
+    known = pairs.join(one, "a").join(other, "b")
+    first = F.col("d_a") >= F.col("d_b")
+    block = F.pmod(F.xxhash64("spoke"), F.ceil(F.greatest("d_a", "d_b") / SPOKES)).cast("int")
+    dealt = known.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("spoke"), "d_a", "d_b")
+    dealt = stored(dealt.select("hub", block.alias("block"), "spoke"), "dealt-pairs")
+    hubs = dealt.select("hub", "block").distinct().withColumn("spoke", F.lit(None).cast("long"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, own = WordHashes(), np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b = [], []
+            for hub, spoke, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.large_binary()), strict=True):
+                s = shingle_set(text.as_py() or b"", words, n)
+                if spoke is None:
+                    own = s
+                    continue
+                both = len(np.intersect1d(own, s, assume_unique=True))
+                if both * den >= num * (len(own) + len(s) - both):
+                    a.append(min(hub, spoke))
+                    b.append(max(hub, spoke))
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    at_hub = hubs.join(texts.withColumnRenamed("set_hash", "hub"), "hub").select("hub", "block", "spoke", "text")
+    at_spoke = dealt.join(texts.withColumnRenamed("set_hash", "spoke"), "spoke").select("hub", "block", "spoke", "text")
+    rows = at_hub.union(at_spoke).repartition("hub", "block").sortWithinPartitions("hub", "block", F.col("spoke").asc_nulls_first())
+    return stored(rows.mapInArrow(compare, "a long, b long"), "similar-pairs")
 
 
 def _linked(links: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -291,8 +314,8 @@ def _near_in_clusters(members: DataFrame, classes: DataFrame, num: int, den: int
     """Pairs of ids that can be similar by their sketches, among ids that large buckets bring together.
 
     Buckets with common members form a cluster, which is compared once. Its ids are dealt to bands of size, of which only one and the
-    next can hold similar sets, and these to blocks. Each pair of blocks of a band, or of one and the next, is a group of at most
-    2 * BLOCK rows with their sketches, and only pairs of different components within the bound leave it.
+    next can hold similar sets, and these to blocks, bounded by rows and by bytes. Each pair of blocks of a band, or of one and the
+    next, is a group of some 2 * BLOCK rows with their sketches, and only pairs of different components within the bound leave it.
     """
     links = members.join(members.groupBy("sig").agg(F.min("id").alias("least")), "sig").select("least", "id").distinct()
     cluster = stored(connected_components(links), "clusters")
@@ -300,7 +323,7 @@ def _near_in_clusters(members: DataFrame, classes: DataFrame, num: int, den: int
     rows = rows.join(classes.select(F.col("set_hash").alias("id"), "n_shingles", "sketch"), "id")
     # A little wider than the ratio of the threshold, against rounding.
     rows = stored(rows.withColumn("band", F.floor(F.log("n_shingles") / (1.0001 * max(math.log(den / num), 1e-6))).cast("int")), "cluster-members")
-    sizes = stored(rows.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cluster-sizes")
+    sizes = stored(rows.groupBy("cluster", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("sketch")) / BLOCK_BYTES)).cast("int").alias("blocks")), "cluster-sizes")
     near = lambda name, step: sizes.select("cluster", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
     dealt = rows.join(sizes, ["cluster", "band"]).join(near("above", 1), ["cluster", "band"], "left").join(near("below", -1), ["cluster", "band"], "left")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
