@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,10 +62,15 @@ KEPT: dict[str, Callable[[], None]] = {}
 
 
 def claim(owner: str) -> None:
-    """A task's call at its start: frees what other operators keep in this worker process, which may serve many of them in turn."""
+    """A task's call at its start: frees what other operators keep in this worker process, which may serve many of them in turn,
+    and gives free memory back to the system, where allocators would hold it."""
     for name, clear in KEPT.items():
         if name != owner:
             clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 #: Keys beyond so many characters are not kept in memos.
@@ -103,6 +109,12 @@ def utf8_column(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def utf8_values(column: pa.Array) -> Iterator[bytes]:
+    """``utf8_column`` one value at a time, so that a batch isn't held twice."""
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    return (x.as_py() or b"" for x in column.cast(kind))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on unsigned 64-bit lanes."""
     x = x.astype(np.uint64, copy=True)

@@ -9,7 +9,7 @@ A set signs for its own band and the next, which covers pairs across bands.
 Equal sets are one class and stand once. Sets that share a signature form a bucket and are
 compared with one hub; what links joins one component. Only members of different components are
 compared further: in small buckets pair by pair, in large ones by exact bounds from sketches, in blocks inside of
-tasks. So every two similar sets end in one component, and no group's pairs are written out.
+tasks, those of one hub together. So every two similar sets end in one component, and no group's pairs are written out.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.common import mix64, stored, utf8_column
+from thicket.llm.common import claim, mix64, stored, utf8_values
 from thicket.llm.components import connected_components
 from thicket.llm.words import WordHashes, grams
 
@@ -101,7 +101,7 @@ def shingle_sets(docs: DataFrame, n: int, *carried: str) -> DataFrame:
         words = WordHashes()
         for batch in batches:
             size, hashes, sketches = [], [], []
-            for raw in utf8_column(batch.column(1)):
+            for raw in utf8_values(batch.column(1)):
                 s = shingle_set(raw, words, n)
                 size.append(len(s))
                 hashes.append(set_hash(s) if len(s) else None)
@@ -170,7 +170,7 @@ def candidate_links(docs: DataFrame, n: int, num: int, den: int, shingles: int)
                 yield _rows(anywhere, True, [np.stack([b_sig[part], b_hub[part], b_id[part]]).astype("<i8").tobytes()])
 
         for batch in batches:
-            for raw in utf8_column(batch.column(0)):
+            for raw in utf8_values(batch.column(0)):
                 s = shingle_set(raw, words, n)
                 if len(own := signatures(s, num, den)):
                     sigs.append(own)
@@ -183,6 +183,7 @@ def candidate_links(docs: DataFrame, n: int, num: int, den: int, shingles: int)
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         last, held = None, []
 
         def settle() -> Iterator[pa.RecordBatch]:
@@ -236,7 +237,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num:
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:  # a repeated doc_id can bring a text of another set
-            keep = [set_hash(shingle_set(raw, words, n)) == h for h, raw in zip(batch.column(0).to_pylist(), utf8_column(batch.column(1)), strict=True)]
+            keep = [set_hash(shingle_set(raw, words, n)) == h for h, raw in zip(batch.column(0).to_pylist(), utf8_values(batch.column(1)), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     texts = docs.select("doc_id", "text").join(needed, "doc_id").select("set_hash", "text")
@@ -263,8 +264,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
         words, own = WordHashes(), np.zeros(0, np.uint64)
         for batch in batches:
             a, b = [], []
-            for hub, spoke, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.large_binary()), strict=True):
-                s = shingle_set(text.as_py() or b"", words, n)
+            for hub, spoke, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), utf8_values(batch.column(3)), strict=True):
+                s = shingle_set(text, words, n)
                 if spoke is None:
                     own = s
                     continue
@@ -298,7 +299,8 @@ def _linked(links: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num:
     found = stored(connected_components(edges), "components")
     # Buckets whose members are still in several components.
     labelled = stored(scored.join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component")), "labelled-members")
-    mixed = stored(labelled.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x < y").select("sig", "m"), "mixed-buckets")
+    mixed = labelled.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x < y")
+    mixed = stored(mixed.join(hubs, "sig").select("sig", "m", F.col("last.id").alias("hub")), "mixed-buckets")
     members = stored(labelled.join(mixed, "sig"), "open-members")
     small = members.where(F.col("m") <= SMALL_BUCKET)
     one, other = (small.select("sig", F.col("id").alias(i), F.col("component").alias(f"c_{i}")) for i in "ab")
@@ -313,13 +315,12 @@ def _linked(links: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num:
 def _near_in_clusters(members: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of ids that can be similar by their sketches, among ids that large buckets bring together.
 
-    Buckets with common members form a cluster, which is compared once. Its ids are dealt to bands of size, of which only one and the
+    Buckets with one ``hub`` form a cluster, whose ids are compared once: most buckets of an original and its edited copies have the
+    original as their hub, while buckets that unrelated texts share don't chain into one cluster. Its ids are dealt to bands of size, of which only one and the
     next can hold similar sets, and these to blocks, bounded by rows and by bytes. Each pair of blocks of a band, or of one and the
     next, is a group of some 2 * BLOCK rows with their sketches, and only pairs of different components within the bound leave it.
     """
-    links = members.join(members.groupBy("sig").agg(F.min("id").alias("least")), "sig").select("least", "id").distinct()
-    cluster = stored(connected_components(links), "clusters")
-    rows = members.select("id", "component").distinct().join(cluster.withColumnRenamed("component", "cluster"), "id")
+    rows = members.select(F.col("hub").alias("cluster"), "id", "component").distinct()
     rows = rows.join(classes.select(F.col("set_hash").alias("id"), "n_shingles", "sketch"), "id")
     # A little wider than the ratio of the threshold, against rounding.
     rows = stored(rows.withColumn("band", F.floor(F.log("n_shingles") / (1.0001 * max(math.log(den / num), 1e-6))).cast("int")), "cluster-members")
@@ -343,6 +344,7 @@ def _near_in_clusters(members: DataFrame, classes: DataFrame, num: int, den: int
     keys = ["cluster", "low", "i", "high", "j"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         held: list[tuple] = []
 
         def settle() -> pa.RecordBatch:
