@@ -36,7 +36,7 @@ def test_pictures(spark):
     euro = E.DecimalFormat(decimal=",", grouping=".", nan="-", infinity="endless", minus="~")
     cases = [
         (1234567.891, "#,##0.00", E.DecimalFormat(), "1,234,567.89"),
-        (0.5, "#", E.DecimalFormat(), "0"),
+        (0.5, "#", E.DecimalFormat(), "1"),
         (0.0, "#.##", E.DecimalFormat(), "0"),
         (0.25, "#.##", E.DecimalFormat(), ".25"),
         (-3.0, "0.0;(0.0)", E.DecimalFormat(), "(3.0)"),
@@ -107,9 +107,10 @@ def test_paths_and_css(spark):
         while at is not None:
             around.insert(0, at)
             at = rows[at].parent
-        assert r.ancestors == around
-        names = [rows[p].local for p in around if rows[p].kind == 1] + ([r.local] if r.kind == 1 else [])
-        assert r.path == "".join(f"/{x}" for x in names) and r.size == sum(r.pre in q.ancestors for q in rows)
+        assert r.level == len(around) and r.last == len(rows) - 1
+        assert r.size == sum(q.pre > r.pre and q.pre <= r.pre + r.size for q in rows) and all(r.pre <= rows[p].pre + rows[p].size for p in around)
+        assert r.up == (rows[r.parent].local if r.parent is not None else None)
+        assert (r.path_id, r.path_up) == ((rows[r.parent].path_id, rows[r.parent].path_up) if r.kind not in (1, 9) else (r.path_id, rows[r.parent].path_id if r.kind == 1 else 0))
     items = n.where("local = 'li' and kind = 1")
     assert [r.pre for r in nth(items, 2, 1).orderBy("pre").collect()] == [r.pre for r in rows if r.local == "li" and r.kind == 1 and r.elem % 2 == 1]
     assert nth(items, 0, 2).count() == 1 and nth(items, -1, 2).count() == 3

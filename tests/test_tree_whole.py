@@ -106,7 +106,7 @@ def test_number_formats_calls_the_operator(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(queries.X, "roman", lambda n: F.concat(F.lit("r"), n.cast("string")))
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
     got = {r.n_nationkey: r.numeral for r in queries.QUERIES["number_formats"](spark, sf_dir).collect()}
-    assert got == {r.n_nationkey: f"r{r.n_regionkey}" for r in nations.where("n_regionkey < 4").collect()}
+    assert got == {r.n_nationkey: f"r{r.n_regionkey}" for r in nations.collect()}
 
 
 class Seen(HTMLParser):

@@ -23,13 +23,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 _DURATION = r"^(-?)P(?=.)(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)D)?(?:T(?=.)(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?$"
 
 
+FARTHEST = 12 * 9000  # months that date_add moves at most
+
+
 def duration(text: Column) -> Column:
-    """``months`` and ``seconds`` of an ISO 8601 duration; null for other texts."""
+    """``months`` and ``seconds`` of an ISO 8601 duration; null for other texts. Months beyond a long stay at its end."""
 
     def read(t: Column) -> Column:
         part = lambda i: F.coalesce(F.nullif(F.regexp_extract(t, _DURATION, i), F.lit("")).cast("double"), F.lit(0.0))
         sign = F.when(F.startswith(t, F.lit("-")), -1).otherwise(1)
-        months, seconds = (sign * (part(2) * 12 + part(3))).cast("long"), sign * (part(4) * 86400 + part(5) * 3600 + part(6) * 60 + part(7))
+        months, seconds = (sign * F.least(part(2) * 12 + part(3), F.lit(9e18))).cast("long"), sign * (part(4) * 86400 + part(5) * 3600 + part(6) * 60 + part(7))
         return F.when(t.rlike(_DURATION), F.struct(months.alias("months"), seconds.alias("seconds")))
 
     return let(string(text), read)
@@ -50,12 +53,14 @@ def duration_of(months: Column, seconds: Column) -> Column:
 
 
 def date_add(t: Column, text: Column) -> Column:
-    """``date:add``: months first (the last day of a month stays in it), then seconds. Null for no duration."""
+    """``date:add``: months first (the last day of a month stays in it), then seconds. Null for no duration, and for one beyond
+    ``FARTHEST`` months (or as many seconds), as timestamps end there."""
 
     def added(d: Column) -> Column:
-        moved = F.add_months(t.cast("date"), d["months"].cast("int")).cast("timestamp_ntz")
+        near = (F.abs(d["months"]) <= FARTHEST) & (F.abs(d["seconds"]) <= FARTHEST * 2_600_000.0)
+        moved = F.add_months(t.cast("date"), F.when(near, d["months"]).cast("int")).cast("timestamp_ntz")
         clock = F.make_dt_interval(F.lit(0), F.hour(t), F.minute(t), F.second(t).cast("decimal(18,6)"))
-        return moved + clock + F.make_dt_interval(secs=d["seconds"].cast("decimal(18,6)"))
+        return moved + clock + F.make_dt_interval(secs=F.when(near, d["seconds"]).cast("decimal(18,6)"))
 
     return let(duration(text), added)
 
@@ -150,16 +155,23 @@ class DecimalFormat:
 def picture(x: Column, pattern: str, fmt: DecimalFormat = DecimalFormat()) -> Column:
     """``format-number``: prefix and suffix, digits, grouping, per cent and per mille, and a pattern of its own for negative numbers.
 
-    Halves are rounded to even. A negative number that rounds to zero has no sign.
+    The digits are those of the shortest decimal text of the number, halves are rounded up in size, and numbers of any size are written
+    out. A negative number that rounds to zero has no sign. A picture of fraction digits alone writes one digit on each side. A quote in what stands before or behind
+    the digits makes the character after it stand for itself. Of more than two sub-patterns the first alone counts.
     """
-    first, _, second = pattern.partition(fmt.pattern)
+    first, *others = pattern.split(fmt.pattern)
+    second = others[0] if len(others) == 1 else ""
     marks = re.escape(fmt.zero + fmt.digit + fmt.grouping + fmt.decimal)
-    prefix, body, suffix = re.fullmatch(rf"([^{marks}]*)([{marks}]*)(.*)", first, re.S).groups()
+    plain = lambda text: re.sub(r"'(.)", r"\1", text, flags=re.S)
+    prefix, body, suffix = re.fullmatch(rf"((?:'.|[^{marks}'])*)([{marks}]*)(.*)", first, re.S).groups()
+    prefix, suffix = plain(prefix), plain(suffix)
     whole, _, part = body.partition(fmt.decimal)
     factor = 100 if fmt.percent in prefix + suffix else 1000 if fmt.per_mille in prefix + suffix else 1
     most, least, digits = len(part.replace(fmt.grouping, "")), part.count(fmt.zero), whole.count(fmt.zero)
+    if whole == "" and least == 0 and most:
+        least = digits = 1
     group = len(whole) - whole.rindex(fmt.grouping) - 1 if fmt.grouping in whole else 0
-    negative = re.fullmatch(rf"([^{marks}]*)[{marks}]*(.*)", second, re.S).groups() if second else (fmt.minus + prefix, suffix)
+    negative = tuple(map(plain, re.fullmatch(rf"((?:'.|[^{marks}'])*)[{marks}]*(.*)", second, re.S).groups())) if second else (fmt.minus + prefix, suffix)
 
     def digits_of(value: Column) -> Column:
         left = F.regexp_replace(F.split_part(value, F.lit("."), F.lit(1)), "^0+", "")
@@ -178,7 +190,11 @@ def picture(x: Column, pattern: str, fmt: DecimalFormat = DecimalFormat()) -> Co
         return F.struct(number.alias("n"), F.concat(d["l"], right).rlike("[1-9]").alias("some"))
 
     def written(v: Column) -> Column:
-        value = F.concat(F.bround(F.abs(v).cast("decimal(30,12)") * factor, most).cast("string"), F.lit("." if not most else ""))
+        size = F.when(F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(F.abs(v))
+        shifted = F.coalesce(F.format_string("%.20f", size).try_cast("decimal(38,20)") * factor, F.lit(None))
+        exact = F.when(size < 1e15, F.round(shifted, most).cast("string")) if factor > 1 and most <= 12 else F.lit(None).cast("string")
+        value = F.coalesce(exact, F.format_string(f"%.{most}f", size * factor))
+        value = F.concat(value, F.lit("." if not most else ""))
         shown = lambda a, n, b: F.concat(F.lit(a), n, F.lit(b))
         finite = let(let(let(value, digits_of), number_of), lambda n: F.when((v < 0) & n["some"], shown(negative[0], n["n"], negative[1])).otherwise(shown(prefix, n["n"], suffix)))
         endless = F.when(v > 0, shown(prefix, F.lit(fmt.infinity), suffix)).otherwise(shown(negative[0], F.lit(fmt.infinity), negative[1]))

@@ -21,5 +21,5 @@ def register(spark: SparkSession) -> list[str]:
     """Makes the functions (and ``xp_tokens``, a table of a text's tokens) known to the session; returns their names."""
     for name, (parameters, result, expression) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {expression}")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION xp_tokens(s STRING) RETURNS TABLE(position INT, token STRING) RETURN SELECT p + 1, t FROM posexplode(filter(split(coalesce(xp_tokens.s, ''), ' +'), w -> w <> '')) AS e(p, t)")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION xp_tokens(s STRING) RETURNS TABLE(position INT, token STRING) RETURN SELECT p + 1, t FROM posexplode(filter(split(coalesce(xp_tokens.s, ''), '[ \\\\t\\\\r\\\\n]+'), w -> w <> '')) AS e(p, t)")
     return [*FUNCTIONS, "xp_tokens"]

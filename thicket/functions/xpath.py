@@ -15,9 +15,15 @@ def string(c: Column) -> Column:
 
 
 def number(text: Column) -> Column:
-    """A decimal number with an optional minus and white space around it; NaN for other texts (also for '+5')."""
+    """A decimal number with an optional minus and white space around it; NaN for other texts (also for '+5').
+
+    An exponent below -323 makes 0, as the power of ten is 0 then.
+    """
     good = text.rlike(r"^[ \t\r\n]*-?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?[ \t\r\n]*$")
-    value = F.expr("try_cast(null as double)") if text is None else F.when(good, F.trim(F.translate(text, "\t\r\n", "   ")).try_cast("double"))
+    plain = F.trim(F.translate(text, "\t\r\n", "   "))
+    small = F.regexp_extract(text, r"[eE](-\d+)", 1)
+    tiny = (small != "") & (F.coalesce(small.try_cast("double"), F.lit(0.0)) < -323)
+    value = F.when(good & tiny, F.when(F.startswith(plain, F.lit("-")), -0.0).otherwise(0.0)).when(good, plain.try_cast("double"))
     return F.coalesce(value, _nan())
 
 
@@ -127,7 +133,7 @@ def min_of(c: Column) -> Column:
 
 
 def roman(n: Column) -> Column:
-    """1 to 3999 as upper-case Roman numerals."""
+    """1 to 3999 as upper-case Roman numerals; 0 is empty, other numbers are written in decimal digits."""
     #: The numerals by decimal place.
     places = [
         (1000, ["", "M", "MM", "MMM"]),
@@ -135,18 +141,25 @@ def roman(n: Column) -> Column:
         (10, ["", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"]),
         (1, ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]),
     ]
-    n = n.cast("int")
-    return F.concat(*(F.element_at(F.array(*map(F.lit, names)), (F.floor(n / unit) % 10 + 1).cast("int")) for unit, names in places))
+    whole = n.cast("string").try_cast("long")
+    there = F.coalesce(whole.between(0, 3999), F.lit(False))
+    good = F.when(there, whole).otherwise(0)
+    numeral = F.concat(*(F.element_at(F.array(*map(F.lit, names)), (F.floor(good / unit) % 10 + 1).cast("int")) for unit, names in places))
+    return F.when(there, numeral).otherwise(n.cast("string"))
 
 
 def letters(n: Column) -> Column:
-    """1, 2, .. as A, B, .. Z, AA, .. (six letters at most)."""
-    n = n.cast("long")
-    out, rest = F.lit(""), n
-    for _ in range(6):
-        out = F.when(rest > 0, F.concat(F.char(65 + (rest - 1) % 26), out)).otherwise(out)
-        rest = F.when(rest > 0, F.floor((rest - 1) / 26)).otherwise(0)
-    return out
+    """1, 2, .. as A, B, .. Z, AA, .. (any long); other numbers in decimal digits."""
+    whole = n.cast("string").try_cast("long")
+
+    def further(state: Column) -> Column:
+        rest = state["rest"]
+        more = F.struct(F.floor((rest - 1) / F.lit(26).cast("decimal(20,0)")).cast("long").alias("rest"), F.concat(F.char((rest - 1) % 26 + 65), state["out"]).alias("out"))
+        return F.when(rest > 0, more).otherwise(state)
+
+    start = F.struct(whole.alias("rest"), F.lit("").alias("out"))
+    found = F.aggregate(F.array(*(F.lit(i) for i in range(14))), start, lambda state, _: further(state))["out"]
+    return F.when(whole > 0, found).otherwise(n.cast("string"))
 
 
 def tokenize(text: Column, delimiters: str = "\t\r\n ") -> Column:

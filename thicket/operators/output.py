@@ -12,16 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.functions.xpath import escape
-from thicket.operators.axes import step, string_values
+from thicket.operators.axes import declarations, inside, step, string_values
 from thicket.sources.shred import ATTRIBUTE, COMMENT, DOCUMENT, ELEMENT, INSTRUCTION, RAW_TEXT, TEXT, VOID
 
 
 def serialized(nodes: DataFrame, html: bool = False, canonical: bool = False) -> DataFrame:
     """``doc_id`` and ``markup``. ``html``: void elements have no end tag, and text in script and style stands as it is. ``canonical``: attributes in order of their
-    namespace and name (declarations first), no empty-element tags, no comments, no DOCTYPE."""
+    namespace and name (declarations first, of these the default first), no declarations that an element inherits anyway, no empty-element tags,
+    no comments, no DOCTYPE, and line feeds between the root and instructions outside of it."""
     a = nodes.where(F.col("kind") == ATTRIBUTE)
+    if canonical:
+        a = a.join(_superfluous(nodes), ["doc_id", "pre"], "left_anti")
     declares = (F.col("name") == "xmlns") | F.startswith("name", F.lit("xmlns:"))
-    rank = F.struct(F.when(declares, 0).otherwise(1), F.coalesce("ns_uri", F.lit("")), F.col("local")) if canonical else F.struct(F.lit(0), F.lit(""), F.lpad(F.col("pre").cast("string"), 10, "0"))
+    rank = F.struct(F.when(declares, 0).otherwise(1), F.when(declares, "").otherwise(F.coalesce("ns_uri", F.lit(""))), F.when(F.col("name") == "xmlns", "").otherwise(F.col("local"))) if canonical else F.struct(F.lit(0), F.lit(""), F.lpad(F.col("pre").cast("string"), 10, "0"))
     text = F.concat(F.lit(" "), F.col("name"), F.lit('="'), escape(F.coalesce("value", F.lit("")), True, canonical), F.lit('"'))
     attributes = a.groupBy("doc_id", F.col("parent").alias("pre")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), text.alias("t")))), lambda x: x["t"]), "").alias("_a"))
     inner = nodes.where(F.col("kind") != ATTRIBUTE).join(attributes, ["doc_id", "pre"], "left").withColumn("_a", F.coalesce("_a", F.lit("")))
@@ -32,6 +35,13 @@ def serialized(nodes: DataFrame, html: bool = False, canonical: bool = False) ->
     if html:
         raw = nodes.where((F.col("kind") == ELEMENT) & F.col("local").isin(*sorted(RAW_TEXT))).select("doc_id", F.col("pre").alias("parent"), F.lit(True).alias("_raw"))
         inner, plain = inner.join(raw, ["doc_id", "parent"], "left"), F.col("_raw").isNotNull()
+    before, after = F.lit(""), F.lit("")
+    if canonical:
+        root = nodes.where((F.col("kind") == ELEMENT) & (F.col("level") == 1)).groupBy("doc_id").agg(F.min("pre").alias("_root"))
+        inner = inner.join(root, "doc_id", "left")
+        outside = (F.col("kind") == INSTRUCTION) & (F.col("level") == 1)
+        before = F.when(outside & (F.col("pre") > F.col("_root")), "\n").otherwise("")
+        after = F.when(outside & (F.col("pre") < F.col("_root")), "\n").otherwise("")
     void = F.col("local").isin(*sorted(VOID)) if html else F.lit(False)
     bare = F.col("_c").isNull() & F.lit(not canonical and not html)
     start = F.concat(F.lit("<"), F.col("name"), F.col("_a"), F.when(bare, "/>").otherwise(">"))
@@ -40,7 +50,7 @@ def serialized(nodes: DataFrame, html: bool = False, canonical: bool = False) ->
         F.when((F.col("kind") == TEXT) & plain, F.col("value"))
         .when(F.col("kind") == TEXT, escape(F.col("value"), canonical=canonical))
         .when(F.col("kind") == COMMENT, F.lit("") if canonical else F.concat(F.lit("<!--"), F.col("value"), F.lit("-->")))
-        .when(F.col("kind") == INSTRUCTION, F.concat(F.lit("<?"), F.col("name"), F.when(F.length("value") > 0, F.concat(F.lit(" "), F.col("value"))).otherwise(""), F.lit("?>")))
+        .when(F.col("kind") == INSTRUCTION, F.concat(before, F.lit("<?"), F.col("name"), F.when(F.length("value") > 0, F.concat(F.lit(" "), F.col("value"))).otherwise(""), F.lit("?>"), after))
         .otherwise("")
     )
     # Ends come after everything below; of ends at one place, the innermost first.
@@ -52,6 +62,15 @@ def serialized(nodes: DataFrame, html: bool = False, canonical: bool = False) ->
     return pieces.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"]), "").alias("markup"))
 
 
+def _superfluous(nodes: DataFrame) -> DataFrame:
+    """``doc_id`` and ``pre`` of the declarations that say what the nearest one around of the same prefix says (none: no default)."""
+    own = declarations(nodes)
+    outer = inside(own.select("doc_id", "pre", "last", "attribute", "prefix", "uri"), own.select("doc_id", "pre", "size", "prefix", "uri"), itself=False).where("prefix = in_prefix")
+    nearest = outer.groupBy("doc_id", "attribute").agg(F.max_by("in_uri", "in_pre").alias("outer"))
+    told = own.join(nearest, ["doc_id", "attribute"], "left")
+    return told.where((F.coalesce("outer", F.lit("")) == F.col("uri")) & ((F.col("prefix") == "") | F.col("outer").isNotNull())).select("doc_id", F.col("attribute").alias("pre"))
+
+
 def dump(nodes: DataFrame) -> DataFrame:
     """A line for each node: indented kind, name and value."""
     kind = F.element_at(F.create_map(*(F.lit(x) for kv in {1: "ELEMENT", 2: "ATTRIBUTE", 3: "TEXT", 7: "PI", 8: "COMMENT", 9: "DOCUMENT"}.items() for x in kv)), F.col("kind"))
@@ -61,28 +80,29 @@ def dump(nodes: DataFrame) -> DataFrame:
 def copies(context: DataFrame, nodes: DataFrame) -> DataFrame:
     """``xsl:copy-of``: the subtree of each context node as a document of its own, numbered anew.
 
-    ``doc_id`` is a hash of the source document and node, which come as ``source`` and ``ctx``.
+    ``doc_id`` is a hash of the source document and node, which come as ``source`` and ``ctx``. Paths are those of the source.
     """
-    c = context.select(F.col("doc_id").alias("source"), F.col("pre").alias("ctx"), F.col("size").alias("_s"), F.col("level").alias("_l")).dropDuplicates(["source", "ctx"])
-    own = nodes.withColumn("_k", F.explode(F.concat("ancestors", F.array("pre"))))
-    below = own.join(c, (own.doc_id == c.source) & (F.col("_k") == F.col("ctx")))
-    root, moved_by = F.col("pre") == F.col("ctx"), F.col("ctx") - 1
+    c = context.select("doc_id", "pre", "size", "level").dropDuplicates(["doc_id", "pre"])
+    below = inside(nodes, c)
+    root, moved_by = F.col("pre") == F.col("in_pre"), F.col("in_pre") - 1
+    own = F.xxhash64("doc_id", "in_pre")
     moved = below.select(
-        F.xxhash64("source", "ctx").alias("doc_id"),
+        own.alias("doc_id"),
         (F.col("pre") - moved_by).alias("pre"),
         "size",
-        (F.col("level") - F.col("_l") + 1).alias("level"),
+        (F.col("level") - F.col("in_level") + 1).alias("level"),
         F.when(root, 0).otherwise(F.col("parent") - moved_by).alias("parent"),
         *["kind", "ns_uri", "prefix", "local", "name", "value"],
         F.when(root, 1).otherwise(F.col("sib")).alias("sib"),
         F.when(root & (F.col("kind") == ELEMENT), 1).otherwise(F.col("elem")).alias("elem"),
-        # The last name of the context's path stays.
-        F.concat(F.lit("/"), F.array_join(F.slice(F.split("path", "/"), F.col("_l") + 1, F.lit(1 << 30)), "/")).alias("path"),
-        F.concat(F.array(F.lit(0)), F.transform(F.slice("ancestors", F.col("_l") + 1, F.lit(1 << 30)), lambda p: p - moved_by)).alias("ancestors"),
-        "source",
-        "ctx",
+        (F.col("in_size") + 1).alias("last"),
+        F.when(~root, F.col("up")).alias("up"),
+        *["path_id", "path_up"],
+        F.col("doc_id").alias("source"),
+        F.col("in_pre").alias("ctx"),
     )
-    fresh = c.select(F.xxhash64("source", "ctx").alias("doc_id"), F.lit(0).alias("pre"), (F.col("_s") + 1).alias("size"), F.lit(0).alias("level"), F.lit(None).cast("int").alias("parent"), F.lit(DOCUMENT).alias("kind"), *(F.lit(None).cast("string").alias(n) for n in ("ns_uri", "prefix", "local", "name", "value")), F.lit(1).alias("sib"), F.lit(None).cast("int").alias("elem"), F.lit("").alias("path"), F.array().cast("array<int>").alias("ancestors"), "source", "ctx")
+    text, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    fresh = c.select(F.xxhash64("doc_id", "pre").alias("doc_id"), F.lit(0).alias("pre"), (F.col("size") + 1).alias("size"), F.lit(0).alias("level"), F.lit(None).cast("int").alias("parent"), F.lit(DOCUMENT).alias("kind"), *(text.alias(n) for n in ("ns_uri", "prefix", "local", "name", "value")), F.lit(1).alias("sib"), F.lit(None).cast("int").alias("elem"), (F.col("size") + 1).alias("last"), text.alias("up"), zero.alias("path_id"), zero.alias("path_up"), F.col("doc_id").alias("source"), F.col("pre").alias("ctx"))
     return moved.unionByName(fresh)
 
 
@@ -107,13 +127,16 @@ def records(context: DataFrame, nodes: DataFrame, fields: Mapping[str, tuple[str
     field = F.lit(None).cast("string")
     for column, (axis, local) in fields.items():
         field = F.when((F.col("local") == local) & (F.col("kind") == (ATTRIBUTE if axis == "attribute" else ELEMENT)), column).otherwise(field)
-    tagged = nodes.withColumn("_f", field).where("_f is not null").select("doc_id", "parent", "pre", "value", "size", "kind", "sib", "ancestors", "_f")
+    tagged = nodes.withColumn("_f", field).where("_f is not null").select("doc_id", "parent", "pre", "value", "size", "kind", "sib", "last", "_f")
     own = context.select("doc_id", "pre").distinct()
     hits = tagged.join(own.withColumnRenamed("pre", "parent"), ["doc_id", "parent"])
-    first = hits.groupBy("doc_id", "parent", "_f").agg(F.min_by(F.struct("pre", "value", "size", "kind", "sib", "ancestors"), "pre").alias("_n"))
-    first = first.select("doc_id", "parent", "_f", "_n.*")
-    strings = first.select("doc_id", "parent", "_f", "pre").join(string_values(first, nodes), ["doc_id", "pre"])
-    wide = strings.groupBy("doc_id", F.col("parent").alias("pre")).agg(*(F.max(F.when(F.col("_f") == c, F.col("string"))).alias(c) for c in fields))
+    first = hits.groupBy("doc_id", "parent", "_f").agg(F.min_by(F.struct("pre", "value", "size", "kind", "sib", "last"), "pre").alias("_n")).select("doc_id", "parent", "_f", "_n.*")
+    # Attributes say their value themselves; only elements gather texts.
+    if any(axis != "attribute" for axis, _ in fields.values()):
+        first = first.join(string_values(first, nodes), ["doc_id", "pre"])
+    else:
+        first = first.withColumn("string", F.coalesce("value", F.lit("")))
+    wide = first.groupBy("doc_id", F.col("parent").alias("pre")).agg(*(F.max(F.when(F.col("_f") == c, F.col("string"))).alias(c) for c in fields))
     return own.join(wide, ["doc_id", "pre"], "left").select("doc_id", "pre", *(F.coalesce(c, F.lit("")).alias(c) for c in fields))
 
 

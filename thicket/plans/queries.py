@@ -15,11 +15,12 @@ from thicket.functions.sql import register
 from thicket.operators import axes as A
 from thicket.operators import keys as K
 from thicket.operators import output as O
+from thicket.operators import paths as P
 from thicket.plans import validation as V
 from thicket.plans.summary import attribute_matches, by_attribute, by_class, combined, nth, structural_summary
 from thicket.sources.files import resolved
-from thicket.sources.shred import ATTRIBUTE, ELEMENT, shred_html, shred_xml, stored_nodes, xml_errors
-from thicket.sources.store import shared_folder, spread
+from thicket.sources.shred import ATTRIBUTE, ELEMENT, buckets_for, shred_html, shred_xml, stored_nodes, xml_errors
+from thicket.sources.store import shared_folder, spread, stored
 from thicket.streaming.push import push_events, whole_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,10 +51,12 @@ _STORED: dict[tuple[str, ...], DataFrame] = {}
 def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes of the pages, stored once for a session and state of the files (so a query parses nothing a second time)."""
     pages = table(spark, sf_dir, "pages")
-    state = pages.select(F.max("_metadata.file_modification_time").cast("string"), F.count_distinct("_metadata.file_path").cast("string")).first()
-    key = (spark.sparkContext.applicationId, sf_dir, *state)
+    files = pages.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.max("file_modification_time").cast("string"), F.count("*").cast("string"), F.sum("file_size")).first()
+    key = (spark.sparkContext.applicationId, sf_dir, *map(str, state))
     if key not in _STORED:
-        _STORED[key] = stored_nodes(shredded_pages(spark, sf_dir))
+        # Markup takes some five times the bytes of its compressed file as nodes.
+        _STORED[key] = stored_nodes(shredded_pages(spark, sf_dir), buckets_for(spark, 5 * (state[2] or 0)))
     return _STORED[key]
 
 
@@ -62,8 +65,8 @@ def named(nodes: DataFrame, name: str) -> DataFrame:
 
 
 def _hrefs(nodes: DataFrame) -> DataFrame:
-    """//a/@href: a filter, as attributes carry the path of their element"""
-    return A.everywhere(nodes, A.test("href", ATTRIBUTE) & A.below("a"))
+    """//a/@href: a filter, as nodes carry the name of the element around them"""
+    return A.everywhere(nodes, A.test("href", ATTRIBUTE) & A.under("a"))
 
 
 # --- location paths over pages -------------------------------------------------------------------------------------
@@ -82,7 +85,7 @@ def xp_links_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id AS doc_id, len(regexp_extract_all(html, '<li>')) AS n_items FROM pages WHERE html LIKE '%<li>%'")
 def xp_li_in_ul(spark: SparkSession, sf_dir: str) -> DataFrame:
     """count(//ul/li)"""
-    return A.everywhere(page_nodes(spark, sf_dir), A.test("li") & A.below("ul", "li")).groupBy("doc_id").agg(F.count("*").alias("n_items"))
+    return A.everywhere(page_nodes(spark, sf_dir), A.test("li") & A.under("ul")).groupBy("doc_id").agg(F.count("*").alias("n_items"))
 
 
 @query(f"SELECT page_id AS doc_id, {_TITLE} AS title FROM pages WHERE html LIKE '%<title>%'")
@@ -190,7 +193,7 @@ def summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def xslt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """for-each html: value-of head/title and @lang"""
     n = page_nodes(spark, sf_dir)
-    heads = A.everywhere(n, A.test("head") & A.below("html", "head"))
+    heads = A.everywhere(n, A.test("head") & A.under("html"))
     title = O.records(heads, n, {"title": ("child", "title")}).select("doc_id", "title")
     return title.join(O.records(named(n, "html"), n, {"lang": ("attribute", "lang")}).select("doc_id", "lang"), "doc_id")
 
@@ -216,8 +219,24 @@ def xslt_template_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id AS doc_id, len(regexp_extract_all(html, '<li>')) AS n FROM pages WHERE html LIKE '%<li>%'")
 def stream_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements whose path ends in nav/ul/li"""
-    return A.paths(page_nodes(spark, sf_dir)).where(F.endswith("path", F.lit("/nav/ul/li"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Elements whose path ends in nav/ul/li: matched against the distinct paths, and found by their ids"""
+    n = page_nodes(spark, sf_dir)
+    items = P.on_paths(named(n, "li"), P.matching(P.path_table(n), P.suffix("nav", "ul", "li")))
+    return items.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id AS doc_id, 'inner' AS pattern, len(regexp_extract_all(html, '<a href=\"')) AS n FROM pages WHERE html LIKE '%<a href=\"%' UNION ALL SELECT page_id, 'any', len(regexp_extract_all(html, '<li>')) FROM pages WHERE html LIKE '%<li>%' UNION ALL SELECT page_id, 'rooted', 1 FROM pages WHERE html LIKE '%<title>%'")
+def path_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """/html//nav//a, //body/*/ul/* and /html/head/title"""
+    n = page_nodes(spark, sf_dir)
+    paths, elements = stored(P.path_table(n), "path-table"), A.everywhere(n, A.test())
+    patterns = {
+        "inner": [(P.CHILD, "html"), (P.DESCENDANT, "nav"), (P.DESCENDANT, "a")],
+        "any": [(P.DESCENDANT, "body"), (P.CHILD, "*"), (P.CHILD, "ul"), (P.CHILD, "*")],
+        "rooted": [(P.CHILD, "html"), (P.CHILD, "head"), (P.CHILD, "title")],
+    }
+    found = [P.on_paths(elements, P.matching(paths, p)).groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(name).alias("pattern"), "n") for name, p in patterns.items()]
+    return functools.reduce(DataFrame.union, found)
 
 
 @query("SELECT page_id AS doc_id, 'html' AS name FROM pages UNION ALL SELECT page_id, 'title' FROM pages")
@@ -605,16 +624,16 @@ def uri_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.uri_parts(F.col("url")).alias("u")).select("page_id", "u.scheme", "u.host", F.coalesce("u.path", F.lit("")).alias("path"))
 
 
-@query("SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN 'mirror/' || substr(url, 9) ELSE url END AS resolved FROM pages")
+@query("SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN 'mirror/' || substr(url, 9) WHEN starts_with(url, 'http') THEN 'never/' || substr(url, 5) ELSE url END AS resolved FROM pages")
 def catalog_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rewriteSystem: the longest prefix wins"""
     rules = spark.createDataFrame([("rewrite", "https://", "mirror/"), ("rewrite", "http", "never/"), ("uri", "urn:x", "x.xml")], "kind string, name string, target string")
-    return resolved(table(spark, sf_dir, "pages").select("page_id", "url"), rules.where("name <> 'http'"), "url").select("page_id", "resolved")
+    return resolved(table(spark, sf_dir, "pages").select("page_id", "url"), rules, "url").select("page_id", "resolved")
 
 
-@query("SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN '' ELSE repeat('I', n_regionkey) END AS numeral, chr(65 + n_nationkey) AS letter FROM nation WHERE n_regionkey < 4")
+@query("SELECT n_nationkey, ['', 'I', 'II', 'III', 'IV'][n_regionkey + 1] AS numeral, chr(CAST(65 + n_nationkey AS INT)) AS letter FROM nation")
 def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").where("n_regionkey < 4")
+    n = table(spark, sf_dir, "nation")
     return n.select("n_nationkey", X.roman(F.col("n_regionkey")).alias("numeral"), X.letters(F.col("n_nationkey") + 1).alias("letter"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thicket.operators.axes import inside
 from thicket.sources.shred import ATTRIBUTE, ELEMENT, TEXT
 
 
@@ -53,8 +54,8 @@ def combined(left: DataFrame, combinator: str, right: DataFrame) -> DataFrame:
     """Elements of ``right`` that stand to one of ``left`` as CSS's " " (below), ">" (child), "+" (next) or "~" (later sibling) say."""
     own = left.select("doc_id", "pre", "parent", "elem").distinct()
     if combinator == " ":
-        around = right.select("doc_id", F.col("pre").alias("_p"), F.explode("ancestors").alias("pre")).join(own, ["doc_id", "pre"], "left_semi")
-        return right.join(around.select("doc_id", F.col("_p").alias("pre")).distinct(), ["doc_id", "pre"], "left_semi")
+        below = inside(right.select("doc_id", "pre", "last"), left.select("doc_id", "pre", "size").distinct(), itself=False)
+        return right.join(below.select("doc_id", "pre").distinct(), ["doc_id", "pre"], "left_semi")
     if combinator == ">":
         return right.join(own.select("doc_id", F.col("pre").alias("parent")), ["doc_id", "parent"], "left_semi")
     if combinator == "+":

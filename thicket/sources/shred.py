@@ -1,13 +1,14 @@
 """Documents to node rows.
 
-A node is a row ``(doc_id, pre, size, level, parent, kind, ns_uri, prefix, local, name, value, sib, elem, path, ancestors)``. ``pre`` numbers
-the nodes of a document in document order from 0 (the document node), ``size`` counts the nodes below, so a node's
+A node is a row ``(doc_id, pre, size, level, parent, kind, ns_uri, prefix, local, name, value, sib, elem, last, up, path_id, path_up)``. ``pre`` numbers
+the nodes of a document in document order from 0 (the document node) to ``last``, ``size`` counts the nodes below, so a node's
 descendants are those with ``pre < d.pre <= pre + size``. Attributes stand between their element and its first child.
 ``sib`` numbers children (and apart from them attributes) from 1. ``kind`` is 1 element, 2 attribute, 3 text, 7
-processing instruction, 8 comment, 9 document. ``elem`` numbers the element children of a parent from 1. ``path`` is the element
-names from the root ("/html/body/p"; of other nodes than elements, that of their parent), ``ancestors`` the ``pre`` of each node
-around, from the document node. So steps into depth are joins on equal keys, and patterns are filters. The DOCTYPE of HTML is no node: it is the ``name`` of the document node
-("DOCTYPE html"), whose ``sib`` is the ``pre`` of the node that follows it (1 unless comments stand before it).
+processing instruction, 8 comment, 9 document. ``elem`` numbers the element children of a parent from 1. ``up`` is the local name
+of the element around. ``path_id`` stands for the names from the root to an element (of other nodes: to the element around them; 0: none), as a 64-bit hash of the
+path around it and its name, and ``path_up`` for the path around that. So a node's row is of one size, however deep it stands; steps into depth are joins on
+segments of intervals (``operators.axes``), and patterns are matched once for each distinct path (``operators.paths``). The DOCTYPE of HTML is no node: it is the ``name`` of the document node
+("DOCTYPE html"), whose ``sib`` is the ``pre`` of the node that follows it (1 unless comments stand before it). CDATA sections in HTML are comments, as HTML has it.
 
 Parsing is the standard library's, one document at a time in the tasks; everything after it is joins and windows.
 """
@@ -16,18 +17,20 @@ from __future__ import annotations
 
 import uuid
 from array import array
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.parsers import expat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.sources.store import shared_folder
 
-NODES = "doc_id long, pre int, size int, level int, parent int, kind int, ns_uri string, prefix string, local string, name string, value string, sib int, elem int, path string, ancestors array<int>"
+NODES = "doc_id long, pre int, size int, level int, parent int, kind int, ns_uri string, prefix string, local string, name string, value string, sib int, elem int, last int, up string, path_id long, path_up long"
 ERRORS = "doc_id long, line int, col int, message string"
 ELEMENT, ATTRIBUTE, TEXT, INSTRUCTION, COMMENT, DOCUMENT = 1, 2, 3, 7, 8, 9
 _NAMES = [c.split()[0] for c in NODES.split(", ")]
@@ -38,15 +41,21 @@ ENDS = {
     "li": {"li"},
     "dt": {"dt", "dd"},
     "dd": {"dt", "dd"},
-    "tr": {"tr", "td", "th"},
+    "tr": {"tr", "td", "th", "caption", "colgroup"},
     "td": {"td", "th"},
     "th": {"td", "th"},
+    **dict.fromkeys(("thead", "tbody", "tfoot"), {"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}),
     "option": {"option"},
-    **dict.fromkeys("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split(), {"p"}),
+    "optgroup": {"option", "optgroup"},
+    "rp": {"rp", "rt"},
+    "rt": {"rp", "rt"},
+    **dict.fromkeys("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split(), {"p"}),
 }
-HOLDS = frozenset("ul ol dl table select article section main div body td th aside nav".split())
+HOLDS = frozenset("ul ol menu dl table select article section main div body td th aside nav".split())
 #: Elements whose text has no entities and no tags, as the parser takes them.
 RAW_TEXT = frozenset(HTMLParser.CDATA_CONTENT_ELEMENTS)
+BUCKET_BYTES = 128 << 20
+PATHS = 100_000  # paths whose ids a task remembers
 
 
 class Rows:
@@ -60,66 +69,77 @@ class Rows:
         self.starts: list[int] = []  # first row of each document
         self.size, self.kind, self.sib = array("i"), array("b"), array("i")
         self.level, self.parent, self.elem = array("i"), array("i"), array("i")  # -1 and 0: none
-        self.ns, self.prefix, self.local, self.name, self.value, self.path = [], [], [], [], [], []
-        self.around, self.ends = array("i"), array("i")
+        self.ns, self.prefix, self.local, self.name, self.value, self.up = [], [], [], [], [], []
+        self.path, self.path_up = array("q"), array("q")
+        self.known: dict[tuple[int, str], int] = {}
 
     def __len__(self) -> int:
         return len(self.size)
 
     def begin(self, doc_id: int | None) -> None:
         self.doc_ids.append(doc_id)
-        self.base, self.open, self.children, self.elements, self.paths = len(self.size), array("i"), [], [], [""]
+        self.base, self.open, self.children, self.elements, self.paths, self.locals = len(self.size), array("i"), [], [], [(0, 0)], [None]
         self.starts.append(self.base)
-        self._add(DOCUMENT, None, None, None, None, None, 1, 0, "")
-        self._push("")
+        self._add(DOCUMENT, None, None, None, None, None, 1, 0, None, (0, 0))
+        self._push((0, 0), None)
 
-    def _add(self, kind: int, ns: str | None, prefix: str | None, local: str | None, name: str | None, value: str | None, sib: int, elem: int, path: str) -> None:
-        around = self.open
+    def _add(self, kind: int, ns: str | None, prefix: str | None, local: str | None, name: str | None, value: str | None, sib: int, elem: int, up: str | None, path: tuple[int, int]) -> None:
         self.size.append(0)
         self.kind.append(kind)
         self.sib.append(sib)
-        self.level.append(len(around))
-        self.parent.append(around[-1] if around else -1)
+        self.level.append(len(self.open))
+        self.parent.append(self.open[-1] if self.open else -1)
         self.elem.append(elem)
         self.ns.append(ns)
         self.prefix.append(prefix)
         self.local.append(local)
         self.name.append(name)
         self.value.append(value)
-        self.path.append(path)
-        self.around.extend(around)
-        self.ends.append(len(self.around))
+        self.up.append(up)
+        self.path.append(path[0])
+        self.path_up.append(path[1])
 
-    def _push(self, path: str) -> None:
+    def _push(self, path: tuple[int, int], local: str | None) -> None:
         self.open.append(len(self.size) - 1 - self.base)
         self.children.append(0)
         self.elements.append(0)
         self.paths.append(path)
+        self.locals.append(local)
 
     def node(self, kind: int, value: str | None, name: str | None = None) -> None:
         if kind == TEXT and self.kind[-1] == TEXT and self.parent[-1] == self.open[-1]:  # adjoining text is one node
             self.value[-1] += value
             return
         self.children[-1] += 1
-        self._add(kind, None, None, name, name, value, self.children[-1], 0, self.paths[-1])
+        self._add(kind, None, None, name, name, value, self.children[-1], 0, self.locals[-1], self.paths[-1])
 
     def start(self, name: str, attributes: list[tuple[str, str | None, str | None]], ns: str | None = None) -> None:
         """``attributes``: (name, namespace, value)."""
         self.children[-1] += 1
         self.elements[-1] += 1
         prefix, _, local = name.rpartition(":")
-        path = f"{self.paths[-1]}/{local}"
-        self._add(ELEMENT, ns, prefix or None, local, name, None, self.children[-1], self.elements[-1], path)
-        self._push(path)
+        path = (self._path_id(self.paths[-1][0], local), self.paths[-1][0])
+        self._add(ELEMENT, ns, prefix or None, local, name, None, self.children[-1], self.elements[-1], self.locals[-1], path)
+        self._push(path, local)
         for i, (a, uri, v) in enumerate(attributes, 1):
-            prefix, _, local = a.rpartition(":")
-            self._add(ATTRIBUTE, uri, prefix or None, local, a, "" if v is None else v, i, 0, path)
+            prefix, _, own = a.rpartition(":")
+            self._add(ATTRIBUTE, uri, prefix or None, own, a, "" if v is None else v, i, 0, local, path)
+
+    def _path_id(self, up: int, local: str) -> int:
+        found = self.known.get((up, local))
+        if found is None:
+            if len(self.known) > PATHS:
+                self.known.clear()
+            found = xxhash.xxh3_64_intdigest(local.encode("utf-8", "surrogatepass"), up & (1 << 64) - 1) - (1 << 63)
+            self.known[up, local] = found
+        return found
 
     def end(self) -> None:
         at = self.open.pop()
         self.children.pop()
         self.elements.pop()
         self.paths.pop()
+        self.locals.pop()
         self.size[self.base + at] = len(self.size) - 1 - at - self.base
 
     def doctype(self, declaration: str) -> None:
@@ -133,10 +153,8 @@ class Rows:
 
     def drop(self) -> None:
         """Takes the last document out."""
-        keep = self.ends[self.base - 1] if self.base else 0
-        for column in (self.size, self.kind, self.sib, self.level, self.parent, self.elem, self.ns, self.prefix, self.local, self.name, self.value, self.path, self.ends):
+        for column in (self.size, self.kind, self.sib, self.level, self.parent, self.elem, self.ns, self.prefix, self.local, self.name, self.value, self.up, self.path, self.path_up):
             del column[self.base :]
-        del self.around[keep:]
         self.doc_ids.pop()
         self.starts.pop()
 
@@ -149,7 +167,7 @@ class Rows:
         pre = np.arange(n, dtype=np.int32) - np.repeat(starts, counts).astype(np.int32)
         size, sib, level, parent, elem = (np.array(c, np.int32) for c in (self.size, self.sib, self.level, self.parent, self.elem))
         text = [pa.array(c, pa.string()) for c in (self.ns, self.prefix, self.local, self.name, self.value)]
-        around = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.array(self.ends, np.int32)]).astype(np.int32)), pa.array(np.array(self.around, np.int32)))
+        last = np.repeat(counts - 1, counts).astype(np.int32)
         columns = [
             pa.array(doc_id, mask=nulls),
             pa.array(pre),
@@ -160,8 +178,10 @@ class Rows:
             *text,
             pa.array(sib),
             pa.array(elem, mask=elem == 0),
-            pa.array(self.path, pa.string()),
-            around,
+            pa.array(last),
+            pa.array(self.up, pa.string()),
+            pa.array(np.array(self.path, np.int64)),
+            pa.array(np.array(self.path_up, np.int64)),
         ]
         self._clear()
         return pa.record_batch(columns, names=_NAMES)
@@ -170,19 +190,23 @@ class Rows:
 class _Html(HTMLParser):
     def __init__(self, rows: Rows) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows, self.names = rows, []
+        self.rows, self.names, self.opened = rows, [], Counter()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        ends = ENDS.get(tag, ())
-        for k in range(len(self.names) - 1, -1, -1):
-            if self.names[k] in ends:
-                self._cut(k)
-                break
-            if self.names[k] in HOLDS:
-                break
+        ends, hit = ENDS.get(tag, ()), -1
+        if any(self.opened[e] for e in ends):
+            # Of what the tag ends, all up to the nearest element that holds such things.
+            for k in range(len(self.names) - 1, -1, -1):
+                if self.names[k] in ends:
+                    hit = k
+                elif self.names[k] in HOLDS:
+                    break
+        if hit >= 0:
+            self._cut(hit)
         first = dict(reversed(attrs)) if len(attrs) > 1 else dict(attrs)
         self.rows.start(tag, [(a, None, first[a]) for a in dict(attrs)])
         self.names.append(tag)
+        self.opened[tag] += 1
         if tag in VOID:
             self._cut(len(self.names) - 1)
 
@@ -190,11 +214,12 @@ class _Html(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.names:
-            self._cut(len(self.names) - 1 - self.names[::-1].index(tag))
+        if self.opened[tag]:
+            self._cut(next(k for k in range(len(self.names) - 1, -1, -1) if self.names[k] == tag))
 
     def _cut(self, k: int) -> None:
-        for _ in self.names[k:]:
+        for name in self.names[k:]:
+            self.opened[name] -= 1
             self.rows.end()
         del self.names[k:]
 
@@ -204,6 +229,13 @@ class _Html(HTMLParser):
     def handle_comment(self, data: str) -> None:
         self.rows.node(COMMENT, data)
 
+    def handle_pi(self, data: str) -> None:
+        target, _, rest = data.removesuffix("?").partition(" ")
+        self.rows.node(INSTRUCTION, rest, target)
+
+    def unknown_decl(self, data: str) -> None:
+        self.rows.node(COMMENT, f"[{data}]]")
+
     def handle_decl(self, decl: str) -> None:
         if decl[:7].lower() == "doctype":
             self.rows.doctype(decl)
@@ -265,11 +297,16 @@ def _shredded(docs: DataFrame, id_column: str, column: str, read: Callable[[Rows
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text")).mapInArrow(run, NODES)
 
 
+def buckets_for(spark: SparkSession, size: int) -> int:
+    """Buckets of some 128 MB for documents of ``size`` bytes, but one for each task that the session runs at a time."""
+    return max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
+
+
 def stored_nodes(nodes: DataFrame, buckets: int | None = None) -> DataFrame:
     """The node rows written once to the shared folder: every query then reads the columns it needs and parses nothing.
 
-    A table in buckets of ``doc_id``, sorted by ``doc_id`` and ``pre``: joins and aggregations by ``doc_id`` need no shuffle.
-    ``buckets`` (default: as many as the session runs tasks at a time) should make buckets of some 100 MB.
+    A table in buckets of ``doc_id``, sorted by ``doc_id`` and ``pre``: aggregations by ``doc_id`` need no shuffle; steps, which join
+    on further keys, do. ``buckets``: see ``buckets_for`` (default: as many as the session runs tasks at a time).
     """
     spark = nodes.sparkSession
     n = buckets or spark.sparkContext.defaultParallelism
