@@ -1,11 +1,12 @@
 """Cases that the corpus operators once left out."""
 
 import hashlib
+import random
 
 import corpus_pipeline
 import pytest
 
-from thicket.llm.html_extraction import main_text
+from thicket.llm.html_extraction import best_region, main_text
 
 FIRST, SECOND = "<p>Some text to be read by people.</p>", "<p>And some more of that text.</p>"
 TEXT = "Some text to be read by people. And some more of that text."
@@ -93,3 +94,24 @@ def test_near_copies_by_row(spark):
     five = min(("x y z", "X y  z"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
     want = [(1, a, "s"), (1, b, "s"), (2, rows[7][1], "s"), (4, "one two", "s"), (5, five, "s"), (6, "", "s"), (6, None, "s"), (None, a, "s"), (None, a, "s")]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_best_region_is_the_best():
+    rng = random.Random(8)
+    for _ in range(300):
+        score = [rng.choice([-3, -2, -1, -0.5, 0, 0.5, 1, 2, 4]) for _ in range(rng.randint(0, 30))]
+        sums = {(i, j): sum(score[i:j]) for i in range(len(score)) for j in range(i + 1, len(score) + 1)}
+        first, last = best_region(score)
+        assert sum(score[first:last]) == max([0, *sums.values()])
+    assert best_region([-1, 2, -2, 2]) == (1, 2) and best_region([]) == (0, 0)
+
+
+def test_blocks_of_an_article_stay():
+    """Short blocks of links inside of the region are the article's; boxes that lose as a whole, and elements named so, aren't."""
+    long = "This is a long paragraph of the article with enough words to be read as one, and it ends as sentences do. " * 3
+    inner = '<p><a href="x">Read the full report here</a></p>', '<ul><li><a href="r">Roads</a></li><li>Rails</li></ul>', "<p>Yes</p>"
+    for kind in ("article", "main", 'div class="content"'):
+        body = "".join(f"<p>{long}</p>{x}" for x in inner) + f"<p>{long}</p>"
+        page = f'<html><body><nav><a href="1">Home</a> <a href="2">News</a></nav><{kind}><h1>Title of it</h1>{body}<div class="ad">Buy two shoes now</div><p class="advert">Cheap hats here</p><p>{long}</p></{kind.split()[0]}><footer><p>Copyright</p></footer></body></html>'
+        parts = [long, "Read the full report here", long, "Roads Rails", long, "Yes", long, long]
+        assert main_text(page) == " ".join(["Title of it", *(" ".join(p.split()) for p in parts)]), kind

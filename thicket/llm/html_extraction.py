@@ -2,8 +2,8 @@
 
 A page is a sequence of tags and words. Words score by the elements they are in and by their block (links
 in it, its length, how it ends, words that menus and notices are made of), tags score below zero; the best
-contiguous region is found by one linear scan. Boxes inside of it that score below zero (an advert between
-paragraphs) are no main text and are left out of it. The weights are those of a logistic regression on labelled
+contiguous region is found by one linear scan. Boxes inside of it that score below zero as a whole (an advert between
+paragraphs) are no main text and are left out of it; a block of the article, such as a short paragraph of links, never is. The weights are those of a logistic regression on labelled
 pages (``html_pages``), some with telling names and some with none: a word's log-odds of being main text, and for
 tags what they cost on average.
 
@@ -44,6 +44,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset(name for name, ends in ENDS.items() if "p" in ends)
 PLAIN = frozenset("html body div section span p h1 h2 h3 h4 h5 h6 ul ol li table tbody tr td a b i".split())  # say nothing about the words in them
 HEADLINES = frozenset("h1 h2 h3".split())
+BOXES = frozenset("div section aside nav header footer form fieldset dialog iframe".split())  # may be no part of an article they stand in
 #: Words of menus, notices and forms.
 CUES = frozenset("about accept account advertisement archive categories comments contact cookie cookies copyright faq follow help home imprint legal login menu newsletter next policy popular previous privacy related reply reserved rights rss search share shop sign sitemap sponsored subscribe tags terms topics tweet".split())
 WRAPS = 0.6  # share of the page's words beyond which an element is a wrapper
@@ -134,14 +135,15 @@ def read_page(html: str) -> Page:
             continue
         if left >= 0 and (name in CLOSES_P or name in ("input", "textarea", "select")):
             cut(left)
-        ends = ENDS.get(name, ())
+        ends, hit = ENDS.get(name, ()), -1
         if any(opened[e] > 0 for e in ends):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in ends:
-                    cut(k)
-                    break
-                if stack[k][0] in HOLDS:
+                    hit = k
+                elif stack[k][0] in HOLDS:
                     break
+        if hit >= 0:
+            cut(hit)
         own = ["inner-header" if name == "header" and (opened["article"] > 0 or opened["main"] > 0) else name]
         for m in _ATTRIBUTE.finditer(attributes):
             value = (m[1] or m[2] or m[3] or "").lower()
@@ -267,6 +269,18 @@ def weights() -> tuple[dict[str, float], float, dict[str, float], float]:
     return {v: float(w[i]) for v, i in column.items()}, float(w[-1]), cost, -0.2
 
 
+def best_region(score: list[float]) -> tuple[int, int]:
+    """Start and end of the contiguous region with the highest sum, found in one scan; nothing (0, 0) if none is above zero, the first of equal ones."""
+    best, first, last, total, start = 0.0, 0, 0, 0.0, 0
+    for i, s in enumerate(score):
+        if total <= 0:
+            total, start = 0.0, i
+        total += s
+        if total > best:
+            best, first, last = total, start, i + 1
+    return first, last
+
+
 def main_text(html: str) -> str:
     """The main text of one page, white space as single spaces."""
     odds, base, cost, other = weights()
@@ -275,18 +289,29 @@ def main_text(html: str) -> str:
     score = [0.0 if t is not None else cost.get(n[0], other) for t, n in zip(page.text, page.names, strict=True)]
     for i, names, _ in _around(page, _wrappers(page, words), odds):
         score[i] = (base + names + sum(odds.get(x, 0.0) for x in features[i])) * words[i]
-    # The maximum-scoring contiguous region.
-    best, first, last, total, start = 0.0, 0, 0, 0.0, 0
-    for i, s in enumerate(score):
-        if total <= 0:
-            total, start = 0.0, i
-        total += s
-        if total > best:
-            best, first, last = total, start, i + 1
-    kept = (" " if page.text[i] is None else page.text[i] for i in range(first, last) if page.block[i] or (page.text[i] is not None and (score[i] > 0 or not words[i])))
+    first, last = best_region(score)
+    out = _losing(page, score, odds, first, last)
+    kept = (" " if page.text[i] is None else page.text[i] for i in range(first, last) if page.block[i] or (page.text[i] is not None and not out[i - first]))
     return " ".join("".join(kept).split())
 
 
+def _losing(page: Page, score: list[float], odds: dict[str, float], first: int, last: int) -> list[bool]:
+    """Which events of a region lie in an element that loses as a whole: a box, or an element whose own names speak against it."""
+    total = [0.0, *accumulate(score[first:last])]
+    out, i = [False] * (last - first), first
+    while i < last:
+        end = min(page.end[i], last)
+        if end and page.text[i] is None:
+            name, *own = page.names[i]
+            speaks = sum(odds.get(x, 0.0) for x in own) < 0
+            if (name in BOXES or speaks) and total[end - first] - total[i - first] < 0:
+                out[i - first : end - first] = [True] * (end - i)
+                i = end
+                continue
+        i += 1
+    return out
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, main ``text`` (empty if there is none) and ``n_chars`` (its code points) of each page.
 
