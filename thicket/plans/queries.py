@@ -21,7 +21,7 @@ from thicket.plans.summary import attribute_matches, by_attribute, by_class, com
 from thicket.sources.files import resolved
 from thicket.sources.shred import ATTRIBUTE, ELEMENT, buckets_for, shred_html, shred_xml, stored_nodes, xml_errors
 from thicket.sources.store import shared_folder, spread, stored
-from thicket.streaming.push import push_events, whole_texts
+from thicket.streaming.push import plain_texts, push_events, push_matches, whole_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -285,16 +285,39 @@ def c14n_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, event, coalesce(name, '') AS name, count(*) AS n, min(coalesce(value, '')) AS least FROM (SELECT p_partkey AS doc_id, unnest(['start', 'start', 'text', 'end', 'start', 'text', 'end', 'start', 'end', 'end']) AS event, unnest(['part', 'name', NULL, 'name', 'size', NULL, 'size', 'note', 'note', 'part']) AS name, unnest(['xmlns=\"urn:p\" b=\"2\" id=\"' || p_partkey || '\"', 'brand=\"' || p_brand || '\"', p_name, NULL, NULL, CAST(p_size AS VARCHAR), NULL, NULL, NULL, NULL]) AS value FROM part) GROUP BY ALL")
 def push_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parse events of documents that arrive in chunks of 40 characters, out of order, as a stream"""
-    docs = _part_documents(spark, sf_dir)
-    last = F.ceil(F.length("xml") / 40).cast("long") - 1
+    events = whole_texts(_pushed(_part_documents(spark, sf_dir), 40, push_events))
+    return events.groupBy("doc_id", "event", F.coalesce("name", F.lit("")).alias("name")).agg(F.count("*").alias("n"), F.min(F.coalesce("value", F.lit(""))).alias("least"))
+
+
+def _pushed(docs: DataFrame, size: int, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``make`` gives for a stream of the documents (``id``, ``xml``) in chunks of ``size`` characters, out of order"""
+    spark, last = docs.sparkSession, F.ceil(F.length("xml") / size).cast("long") - 1
     chunks = docs.select(F.col("id").alias("doc_id"), "xml", last.alias("last"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk"))
-    chunks = chunks.select("doc_id", "chunk", F.substring("xml", (F.col("chunk") * 40 + 1).cast("int"), F.lit(40)).alias("content"), (F.col("chunk") == F.col("last")).alias("final"))
+    chunks = chunks.select("doc_id", "chunk", F.substring("xml", (F.col("chunk") * size + 1).cast("int"), F.lit(size)).alias("content"), (F.col("chunk") == F.col("last")).alias("final"))
     folder = f"{shared_folder(spark)}/push-{uuid.uuid4().hex}"
     chunks.repartition(4, F.xxhash64("doc_id", "chunk")).write.parquet(f"{folder}/chunks")
-    stream = push_events(spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/chunks"))
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/events").awaitTermination()
-    events = whole_texts(spark.read.schema(stream.schema).parquet(f"{folder}/events"))
-    return events.groupBy("doc_id", "event", F.coalesce("name", F.lit("")).alias("name")).agg(F.count("*").alias("n"), F.min(F.coalesce("value", F.lit(""))).alias("least"))
+    stream = make(spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/chunks"))
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query("SELECT p_partkey AS doc_id, p_name || ' & <' || p_brand || '> A' || '&amp;' || p_type || ' <&#65;>' AS value FROM part")
+def push_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of chunked documents: references resolved, but for those in CDATA sections"""
+    body = F.concat(F.lit("<part>"), X.escape(F.col("p_name")), F.lit(" &amp; &#60;"), X.escape(F.col("p_brand")), F.lit("&#x3E; &#65;<![CDATA[&amp;"), F.col("p_type"), F.lit(" <&#65;>]]></part>"))
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), body.alias("xml"))
+    return plain_texts(whole_texts(_pushed(docs, 11, push_events))).where("event = 'text'").select("doc_id", "value")
+
+
+@query("SELECT o_orderkey AS doc_id, unnest(['price', 'price', 'urgent'][: CASE WHEN o_orderpriority LIKE '1%' THEN 3 ELSE 2 END]) AS name, unnest([2, 3, 4][: CASE WHEN o_orderpriority LIKE '1%' THEN 3 ELSE 2 END]) AS depth FROM orders")
+def push_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements selected by ``/sale//order//*`` while the orders arrive in chunks"""
+    price = O.element("price", F.col("o_totalprice"))
+    urgent = F.when(F.col("o_orderpriority").startswith("1"), "<!--<price>--><note><urgent/></note>").otherwise("<note></note>")
+    body = F.concat(F.lit("<sale><price/><order>"), price, F.lit("<list>"), price, urgent, F.lit("</list></order></sale>"))
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), body.alias("xml"))
+    found = _pushed(docs, 40, lambda chunks: push_matches(chunks, [(P.CHILD, "sale"), (P.DESCENDANT, "order"), (P.DESCENDANT, "*")]))
+    return found.where(~F.col("name").isin("list", "note")).select("doc_id", "name", "depth")
 
 
 def _part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
