@@ -6,7 +6,7 @@ gathered in one task, as it was when it was read.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,13 +15,23 @@ from thicket.functions.xpath import escape
 from thicket.operators.axes import declarations, inside, step, string_values
 from thicket.sources.shred import ATTRIBUTE, COMMENT, DOCUMENT, ELEMENT, INSTRUCTION, RAW_TEXT, TEXT, VOID
 
+XML, XMLNS = "http://www.w3.org/XML/1998/namespace", "http://www.w3.org/2000/xmlns/"
 
-def serialized(nodes: DataFrame, html: bool = False, canonical: bool = False) -> DataFrame:
+
+def serialized(nodes: DataFrame, html: bool = False, canonical: bool = False, comments: bool = False, exclusive: Sequence[str] | None = None) -> DataFrame:
     """``doc_id`` and ``markup``. ``html``: void elements have no end tag, and text in script and style stands as it is. ``canonical``: attributes in order of their
     namespace and name (declarations first, of these the default first), no declarations that an element inherits anyway, no empty-element tags,
-    no comments, no DOCTYPE, and line feeds between the root and instructions outside of it."""
+    no comments (but with ``comments``), no DOCTYPE, and line feeds between the root and what stands outside of it.
+
+    ``exclusive``: canonical, with a prefix declared only where an element or attribute of the output uses it and no element of the output
+    around does so with the same namespace; the prefixes given ('' for the default) are treated as in the inclusive form. ``nodes`` may then be
+    any set of nodes (a subset of a document): what is left out around a node declares nothing.
+    """
+    canonical = canonical or exclusive is not None
     a = nodes.where(F.col("kind") == ATTRIBUTE)
-    if canonical:
+    if exclusive is not None:
+        a = a.where(F.coalesce(F.col("ns_uri"), F.lit("")) != XMLNS).unionByName(_needed(nodes, exclusive), allowMissingColumns=True)
+    elif canonical:
         a = a.join(_superfluous(nodes), ["doc_id", "pre"], "left_anti")
     declares = (F.col("name") == "xmlns") | F.startswith("name", F.lit("xmlns:"))
     rank = F.struct(F.when(declares, 0).otherwise(1), F.when(declares, "").otherwise(F.coalesce("ns_uri", F.lit(""))), F.when(F.col("name") == "xmlns", "").otherwise(F.col("local"))) if canonical else F.struct(F.lit(0), F.lit(""), F.lpad(F.col("pre").cast("string"), 10, "0"))
@@ -39,7 +49,7 @@ def serialized(nodes: DataFrame, html: bool = False, canonical: bool = False) ->
     if canonical:
         root = nodes.where((F.col("kind") == ELEMENT) & (F.col("level") == 1)).groupBy("doc_id").agg(F.min("pre").alias("_root"))
         inner = inner.join(root, "doc_id", "left")
-        outside = (F.col("kind") == INSTRUCTION) & (F.col("level") == 1)
+        outside = F.col("kind").isin(INSTRUCTION, COMMENT) & (F.col("level") == 1)
         before = F.when(outside & (F.col("pre") > F.col("_root")), "\n").otherwise("")
         after = F.when(outside & (F.col("pre") < F.col("_root")), "\n").otherwise("")
     void = F.col("local").isin(*sorted(VOID)) if html else F.lit(False)
@@ -49,7 +59,7 @@ def serialized(nodes: DataFrame, html: bool = False, canonical: bool = False) ->
     leaf = (
         F.when((F.col("kind") == TEXT) & plain, F.col("value"))
         .when(F.col("kind") == TEXT, escape(F.col("value"), canonical=canonical))
-        .when(F.col("kind") == COMMENT, F.lit("") if canonical else F.concat(F.lit("<!--"), F.col("value"), F.lit("-->")))
+        .when(F.col("kind") == COMMENT, F.lit("") if canonical and not comments else F.concat(before, F.lit("<!--"), F.col("value"), F.lit("-->"), after))
         .when(F.col("kind") == INSTRUCTION, F.concat(before, F.lit("<?"), F.col("name"), F.when(F.length("value") > 0, F.concat(F.lit(" "), F.col("value"))).otherwise(""), F.lit("?>"), after))
         .otherwise("")
     )
@@ -71,6 +81,46 @@ def _superfluous(nodes: DataFrame) -> DataFrame:
     return told.where((F.coalesce("outer", F.lit("")) == F.col("uri")) & ((F.col("prefix") == "") | F.col("outer").isNotNull())).select("doc_id", F.col("attribute").alias("pre"))
 
 
+def _needed(nodes: DataFrame, inclusive: Sequence[str]) -> DataFrame:
+    """Declarations of the exclusive form as attribute rows: of each use of a prefix whose nearest use around has another namespace.
+
+    A use that the parent makes too says nothing new, whatever stands around, so only the others look further out.
+    """
+    uri = F.coalesce("ns_uri", F.lit(""))
+    elements = nodes.where(F.col("kind") == ELEMENT)
+    used = elements.select("doc_id", "pre", F.coalesce("prefix", F.lit("")).alias("prefix"), uri.alias("uri"))
+    used = used.union(nodes.where((F.col("kind") == ATTRIBUTE) & F.col("prefix").isNotNull() & (uri != XMLNS)).select("doc_id", F.col("parent").alias("pre"), "prefix", uri.alias("uri")))
+    used = used.where(~F.col("prefix").isin("xml", "xmlns", *inclusive)).distinct()
+    told = used.join(elements.select("doc_id", "pre", "size", "last", "parent"), ["doc_id", "pre"])
+    news = told.join(used.withColumnRenamed("pre", "parent"), ["doc_id", "parent", "prefix", "uri"], "left_anti")
+    outer = inside(news.select("doc_id", "pre", "last", "prefix"), news.select("doc_id", "pre", "size", "prefix", "uri"), itself=False).where("prefix = in_prefix")
+    nearest = outer.groupBy("doc_id", "pre", "prefix").agg(F.max_by("in_uri", "in_pre").alias("outer"))
+    own = news.join(nearest, ["doc_id", "pre", "prefix"], "left").where(F.coalesce("outer", F.lit("")) != F.col("uri")).where("prefix = '' or uri <> ''")
+    own = own.select("doc_id", F.col("pre").alias("parent"), F.when(F.col("prefix") == "", "xmlns").otherwise(F.concat(F.lit("xmlns:"), F.col("prefix"))).alias("name"), F.when(F.col("prefix") == "", "xmlns").otherwise(F.col("prefix")).alias("local"), F.col("uri").alias("value"))
+    if inclusive:
+        declared = nodes.where((F.col("kind") == ATTRIBUTE) & (F.col("ns_uri") == XMLNS) & F.when(F.col("prefix").isNull(), "").otherwise(F.col("local")).isin(*inclusive))
+        own = own.unionByName(declared.join(_superfluous(nodes), ["doc_id", "pre"], "left_anti").select("doc_id", "parent", "name", "local", "value"))
+    return own
+
+
+def namespace_errors(nodes: DataFrame) -> DataFrame:
+    """``doc_id``, ``pre`` (of the element or attribute at fault) and ``message``: prefixes without a declaration, prefixes declared empty, and
+    ``xml`` bound to another namespace than its own (or another prefix to that)."""
+    at, uri = F.col("kind") == ATTRIBUTE, F.coalesce("ns_uri", F.lit(""))
+    declares = at & (uri == XMLNS)
+    prefix = F.when(declares & F.col("prefix").isNotNull(), F.col("local"))
+    message = (
+        F.when(declares & (prefix == "xml") & (F.col("value") != XML), "xml namespace prefix mapped to wrong URI")
+        .when(declares & (prefix == "xmlns"), "redefinition of the xmlns prefix is forbidden")
+        .when(declares & (F.coalesce(prefix, F.lit("")) != "xml") & (F.col("value") == XML), "xml namespace URI mapped to wrong prefix")
+        .when(declares & (F.col("value") == ""), F.when(prefix.isNotNull(), F.concat(F.lit("xmlns:"), prefix, F.lit(": Empty XML namespace is not allowed"))))
+        .when(declares, None)
+        .when(F.col("prefix").isNotNull() & (uri == "") & (F.col("kind") == ELEMENT), F.concat(F.lit("Namespace prefix "), F.col("prefix"), F.lit(" on "), F.col("local"), F.lit(" is not defined")))
+        .when(F.col("prefix").isNotNull() & (uri == "") & at, F.concat(F.lit("Namespace prefix "), F.col("prefix"), F.lit(" for "), F.col("local"), F.lit(" on "), F.col("up"), F.lit(" is not defined")))
+    )
+    return nodes.select("doc_id", "pre", message.alias("message")).where("message is not null")
+
+
 def dump(nodes: DataFrame) -> DataFrame:
     """A line for each node: indented kind, name and value."""
     kind = F.element_at(F.create_map(*(F.lit(x) for kv in {1: "ELEMENT", 2: "ATTRIBUTE", 3: "TEXT", 7: "PI", 8: "COMMENT", 9: "DOCUMENT"}.items() for x in kv)), F.col("kind"))

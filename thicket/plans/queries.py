@@ -301,6 +301,25 @@ def _pushed(docs: DataFrame, size: int, make: Callable[[DataFrame], DataFrame])
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+@query("SELECT p_partkey AS doc_id, '<w:list xmlns:w=\"urn:w\"><part xmlns=\"urn:p\" id=\"' || p_partkey || '\"><!--' || p_name || '--><u:size xmlns:u=\"urn:u\" xmlns:v=\"urn:v\" v:unit=\"' || p_brand || '\">' || p_size || '</u:size><w:note><u:b xmlns:u=\"urn:' || CASE WHEN p_size % 2 = 0 THEN 'u' ELSE 'w' END || '\"></u:b></w:note></part></w:list>' AS markup FROM part")
+def c14n_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exclusive canonical form with comments: prefixes declared where they are used"""
+    other = F.when(F.col("p_size") % 2 == 0, "u").otherwise("w")
+    size = F.concat(F.lit('<u:size v:unit="'), F.col("p_brand"), F.lit('">'), F.col("p_size").cast("string"), F.lit("</u:size>"))
+    body = F.concat(F.lit('<w:list xmlns:u="urn:u" xmlns:v="urn:v" xmlns:w="urn:w" xmlns:x="urn:x"><part id="'), F.col("p_partkey").cast("string"), F.lit('" xmlns="urn:p"><!--'), F.col("p_name"), F.lit("-->"), size, F.lit('<w:note xmlns:u="urn:'), other, F.lit('"><u:b/></w:note></part></w:list>'))
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), body.alias("xml"))
+    return O.serialized(shred_xml(docs, "id", "xml"), exclusive=(), comments=True)
+
+
+@query("SELECT c_custkey AS doc_id, unnest(['Namespace prefix n' || c_nationkey || ' on ' || lower(c_mktsegment) || ' is not defined', 'Namespace prefix n' || c_nationkey || ' for k on ' || lower(c_mktsegment) || ' is not defined']) AS message FROM customer WHERE c_nationkey <> 7 UNION ALL SELECT c_custkey, 'xmlns:e: Empty XML namespace is not allowed' FROM customer WHERE c_acctbal < 0")
+def namespace_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefixes that nothing declares, and empty declarations"""
+    prefix, name = F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.lower("c_mktsegment")
+    body = F.concat(F.lit('<c xmlns:n7="urn:7"'), F.when(F.col("c_acctbal") < 0, ' xmlns:e=""').otherwise(""), F.lit("><"), prefix, F.lit(":"), name, F.lit(" "), prefix, F.lit(':k="1"/></c>'))
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), body.alias("xml"))
+    return O.namespace_errors(shred_xml(docs, "id", "xml")).select("doc_id", "message")
+
+
 @query("SELECT p_partkey AS doc_id, p_name || ' & <' || p_brand || '> A' || '&amp;' || p_type || ' <&#65;>' AS value FROM part")
 def push_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of chunked documents: references resolved, but for those in CDATA sections"""
