@@ -27,7 +27,12 @@ def serialized(nodes: DataFrame, html: bool = False, canonical: bool = False, co
     around does so with the same namespace; the prefixes given ('' for the default) are treated as in the inclusive form. ``nodes`` may then be
     any set of nodes (a subset of a document): what is left out around a node declares nothing.
     """
-    canonical = canonical or exclusive is not None
+    pieces = markup_pieces(nodes, html, canonical or exclusive is not None, comments, exclusive)
+    return pieces.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"]), "").alias("markup"))
+
+
+def markup_pieces(nodes: DataFrame, html: bool = False, canonical: bool = False, comments: bool = False, exclusive: Sequence[str] | None = None, pairs: bool = False) -> DataFrame:
+    """``doc_id``, ``pre`` and ``p``: start, leaf and end of each node as structs that sort in order of the document, with the text ``t``. ``pairs``: no empty-element tags."""
     a = nodes.where(F.col("kind") == ATTRIBUTE)
     if exclusive is not None:
         a = a.where(F.coalesce(F.col("ns_uri"), F.lit("")) != XMLNS).unionByName(_needed(nodes, exclusive), allowMissingColumns=True)
@@ -53,7 +58,7 @@ def serialized(nodes: DataFrame, html: bool = False, canonical: bool = False, co
         before = F.when(outside & (F.col("pre") > F.col("_root")), "\n").otherwise("")
         after = F.when(outside & (F.col("pre") < F.col("_root")), "\n").otherwise("")
     void = F.col("local").isin(*sorted(VOID)) if html else F.lit(False)
-    bare = F.col("_c").isNull() & F.lit(not canonical and not html)
+    bare = F.col("_c").isNull() & F.lit(not canonical and not html and not pairs)
     start = F.concat(F.lit("<"), F.col("name"), F.col("_a"), F.when(bare, "/>").otherwise(">"))
     end = F.when(bare | void, "").otherwise(F.concat(F.lit("</"), F.col("name"), F.lit(">")))
     leaf = (
@@ -68,8 +73,7 @@ def serialized(nodes: DataFrame, html: bool = False, canonical: bool = False, co
     leaf = F.when(typed, F.concat(F.lit("<!"), F.col("name"), F.lit(">"))).otherwise(leaf)
     opened = F.struct(F.when(typed, F.col("sib")).otherwise(F.col("pre")).alias("at"), F.when(typed, -1).otherwise(0).alias("side"), F.lit(0).alias("depth"), F.when(F.col("kind") == ELEMENT, start).otherwise(leaf).alias("t"))
     closed = F.struct((F.col("pre") + F.col("size")).alias("at"), F.lit(1).alias("side"), (-F.col("level")).alias("depth"), F.when(F.col("kind") == ELEMENT, end).otherwise("").alias("t"))
-    pieces = inner.select("doc_id", F.explode(F.array(opened, closed)).alias("p"))
-    return pieces.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"]), "").alias("markup"))
+    return inner.select("doc_id", "pre", F.explode(F.array(opened, closed)).alias("p"))
 
 
 def _superfluous(nodes: DataFrame) -> DataFrame:
