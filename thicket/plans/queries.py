@@ -16,6 +16,7 @@ from thicket.operators import axes as A
 from thicket.operators import keys as K
 from thicket.operators import output as O
 from thicket.operators import paths as P
+from thicket.operators.xinclude import spliced
 from thicket.plans import validation as V
 from thicket.plans.summary import attribute_matches, by_attribute, by_class, combined, nth, structural_summary
 from thicket.sources.files import resolved
@@ -320,6 +321,24 @@ def namespace_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.namespace_errors(shred_xml(docs, "id", "xml")).select("doc_id", "message")
 
 
+_XI = 'xmlns:xi="http://www.w3.org/2001/XInclude"'
+
+
+@query(f"SELECT c_custkey + 1000 AS doc_id, '<c {_XI}><n xmlns=\"\" {_XI} name=\"' || n_name || '\"><r xmlns=\"\">' || r_name || '</r></n>' || c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN '<none></none>' ELSE '&lt;r&gt;' || r_name || '&lt;/r&gt;' END || '</c>' AS markup FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def xinclude_spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers include their nations, and these their regions; also as texts, and with a fallback"""
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    key = lambda column, at: (F.col(column) + at).cast("long").alias("doc_id")
+    regions = r.select(key("r_regionkey", 0), F.concat(F.lit("r/"), F.col("r_regionkey").cast("string")).alias("uri"), O.element("r", F.col("r_name")).alias("xml"))
+    nation = F.concat(F.lit(f'<n {_XI} name="'), F.col("n_name"), F.lit('"><xi:include href="../r/'), F.col("n_regionkey").cast("string"), F.lit('"/></n>'))
+    nations = n.select(key("n_nationkey", 100), F.concat(F.lit("n/"), F.col("n_nationkey").cast("string")).alias("uri"), nation.alias("xml"))
+    other = F.when(F.col("c_custkey") % 2 == 0, F.lit('<xi:include href="../none"><xi:fallback><none/></xi:fallback></xi:include>')).otherwise(F.concat(F.lit('<xi:include parse="text" href="../r/'), F.col("n_regionkey").cast("string"), F.lit('"/>')))
+    body = F.concat(F.lit(f'<c {_XI}><xi:include href="../n/'), F.col("c_nationkey").cast("string"), F.lit('"/>'), F.col("c_mktsegment"), other, F.lit("</c>"))
+    customers = c.join(n.select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey"), "c_nationkey").select(key("c_custkey", 1000), F.concat(F.lit("c/"), F.col("c_custkey").cast("string")).alias("uri"), body.alias("xml"))
+    markup, _ = spliced(regions.union(nations).union(customers))
+    return markup.where("doc_id >= 1000")
+
+
 @query("SELECT p_partkey AS doc_id, p_name || ' & <' || p_brand || '> A' || '&amp;' || p_type || ' <&#65;>' AS value FROM part")
 def push_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of chunked documents: references resolved, but for those in CDATA sections"""
