@@ -1,9 +1,10 @@
-"""Exclusive canonical form, subsets of documents, and namespace errors."""
+"""Pretty printing, exclusive canonical form, subsets of documents, and namespace errors."""
 
 import random
 
 
 from thicket.operators import output as O
+from thicket.operators.axes import without_blank_text
 from thicket.sources.shred import shred_xml
 
 
@@ -73,3 +74,20 @@ def test_deep_uses_of_one_prefix(spark):
     nodes = shredded(spark, text)
     assert O._needed(nodes, ()).count() == 1
     assert O.serialized(nodes, exclusive=()).first().markup == text
+
+
+#: A document without blank texts, its lines.
+PRETTY = [
+    ('<?p q?><a k="1"><b><c/><!--x--></b><d>t<e><f/></e></d><g>u</g></a>', '<?p q?>\n<a k="1">\n  <b>\n    <c/>\n    <!--x-->\n  </b>\n  <d>t<e><f/></e></d>\n  <g>u</g>\n</a>\n'),
+    ("<a/>", "<a/>\n"),
+    ("<!DOCTYPE a><a><b><![CDATA[ ]]></b><b></b></a>", "<!DOCTYPE a>\n<a>\n  <b> </b>\n  <b/>\n</a>\n"),
+]
+
+
+def test_pretty(spark):
+    nodes = shredded(spark, *(a for a, _ in PRETTY))
+    got = {r.doc_id: r.markup for r in O.pretty(nodes).collect()}
+    assert got[0] == PRETTY[0][1] and got[1] == PRETTY[1][1]
+    assert got[2].removeprefix("<!DOCTYPE a>\n") == PRETTY[2][1].removeprefix("<!DOCTYPE a>\n")
+    again = shredded(spark, *(got[i] for i in range(3)))
+    assert {r.doc_id: r.markup for r in O.pretty(without_blank_text(again)).collect()}[0] == PRETTY[0][1]

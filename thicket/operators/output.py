@@ -31,6 +31,27 @@ def serialized(nodes: DataFrame, html: bool = False, canonical: bool = False, co
     return pieces.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"]), "").alias("markup"))
 
 
+def pretty(nodes: DataFrame, indent: str = "  ") -> DataFrame:
+    """``doc_id`` and ``markup`` with each node on a line of its own, indented by level, but as it stands inside of elements that hold text directly,
+    however deep. Texts of white space alone count as text; take them away before (``axes.without_blank_text``) to have them replaced."""
+    holders = nodes.where((F.col("kind") == TEXT) & (F.col("level") > 1)).select("doc_id", F.col("parent").alias("pre")).distinct()
+    mixed = nodes.select("doc_id", "pre", "size").join(holders, ["doc_id", "pre"], "left_semi")
+    fixed = inside(nodes.select("doc_id", "pre", "last"), mixed, itself=False).select("doc_id", "pre").distinct().withColumn("_f", F.lit(True))
+    within = mixed.select("doc_id", "pre", F.lit(True).alias("_m"))
+    own = nodes.where(F.col("kind") != ATTRIBUTE).select("doc_id", "pre", "level", "kind").join(fixed, ["doc_id", "pre"], "left").join(within, ["doc_id", "pre"], "left")
+    full = nodes.where((F.col("kind") != ATTRIBUTE) & (F.col("level") > 1)).select("doc_id", F.col("parent").alias("pre"), F.lit(True).alias("_b")).distinct()
+    placed = markup_pieces(nodes).join(own, ["doc_id", "pre"]).join(full, ["doc_id", "pre"], "left")
+    margin = F.repeat(F.lit(indent), F.col("level") - 1)
+    ends = F.col("p.side") == 1
+    # A node ends its line, or its start does if it goes on below.
+    opens = F.concat(margin, F.col("p.t"), F.when(F.col("_b") & F.col("_m").isNull(), "\n").otherwise(""))
+    closes = F.concat(F.when(F.col("_b") & F.col("_m").isNull(), margin).otherwise(""), F.col("p.t"), F.lit("\n"))
+    typed = F.when(~ends & (F.col("p.t") != ""), F.concat(F.col("p.t"), F.lit("\n"))).otherwise("")
+    t = F.when(F.col("kind") == DOCUMENT, typed).when(F.col("_f").isNotNull(), F.col("p.t")).when(ends, closes).otherwise(opens)
+    lines = placed.select("doc_id", F.struct("p.at", "p.side", "p.depth", t.alias("t")).alias("p"))
+    return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"]), "").alias("markup"))
+
+
 def markup_pieces(nodes: DataFrame, html: bool = False, canonical: bool = False, comments: bool = False, exclusive: Sequence[str] | None = None, pairs: bool = False) -> DataFrame:
     """``doc_id``, ``pre`` and ``p``: start, leaf and end of each node as structs that sort in order of the document, with the text ``t``. ``pairs``: no empty-element tags."""
     a = nodes.where(F.col("kind") == ATTRIBUTE)

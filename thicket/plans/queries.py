@@ -321,6 +321,14 @@ def namespace_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.namespace_errors(shred_xml(docs, "id", "xml")).select("doc_id", "message")
 
 
+@query("SELECT p_partkey AS doc_id, '<part id=\"' || p_partkey || '\">' || chr(10) || '  <name>' || p_name || '</name>' || chr(10) || '  <make>' || chr(10) || '    <brand>' || p_brand || '<b><i/></b></brand>' || chr(10) || '    <!--' || p_type || '-->' || chr(10) || '  </make>' || chr(10) || '  <note/>' || chr(10) || '</part>' || chr(10) AS markup FROM part")
+def pretty_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in lines, indented, but for what stands beside text"""
+    body = F.concat(F.lit('<part id="'), F.col("p_partkey").cast("string"), F.lit('">\n'), O.element("name", F.col("p_name")), F.lit(" <make><brand>"), F.col("p_brand"), F.lit("<b><i/></b></brand><!--"), F.col("p_type"), F.lit("-->\t</make><note></note></part>"))
+    nodes = shred_xml(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), body.alias("xml")), "id", "xml")
+    return O.pretty(A.without_blank_text(nodes))
+
+
 _XI = 'xmlns:xi="http://www.w3.org/2001/XInclude"'
 
 
