@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thicket.functions import exslt as E
+from thicket.functions import values as T
 from thicket.functions import xpath as X
 from thicket.functions.sql import register
 from thicket.operators import axes as A
@@ -20,6 +21,7 @@ from thicket.operators.xinclude import spliced
 from thicket.plans import validation as V
 from thicket.plans.summary import attribute_matches, by_attribute, by_class, combined, nth, structural_summary
 from thicket.sources.files import resolved
+from thicket.sources.records import read_records
 from thicket.sources.shred import ATTRIBUTE, ELEMENT, buckets_for, shred_html, shred_xml, stored_nodes, xml_errors
 from thicket.sources.store import shared_folder, spread, stored
 from thicket.streaming.push import plain_texts, push_events, push_matches, whole_texts
@@ -706,6 +708,43 @@ def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n_nationkey", X.roman(F.col("n_regionkey")).alias("numeral"), X.letters(F.col("n_nationkey") + 1).alias("letter"))
 
 
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, length(o_orderpriority) AS n_priority FROM orders")
+def xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as XML, with tags of records in comments, CDATA and attribute values, and read again as records by many tasks"""
+    tag = F.format_string("<!-- <order> --><order key='%s'><!-- </order> --><cust>%s</cust>", "o_orderkey", "o_custkey")
+    rest = F.concat(F.lit("<status note=\"a > b\">"), "o_orderstatus", F.lit("</status><p><![CDATA["), "o_orderpriority", F.lit("</order>]]></p></order\n>"))
+    path = f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}"
+    spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")).select(F.concat(tag, rest).alias("value")).write.text(path)
+    part = lambda p: F.regexp_extract("text", p, 1)
+    keys = (part(r"^<order key='(\d+)'").cast("long").alias("o_orderkey"), part(r"<cust>(\d+)").cast("long").alias("o_custkey"))
+    return read_records(spark, path, "order").where("complete").select(*keys, part(r"<status [^<]*>(\w*)<").alias("o_orderstatus"), F.length(part(r"\[CDATA\[([^<]*)<")).cast("long").alias("n_priority"))
+
+
+_INSTANTS_SQL = "[DATE '1696-09-01', DATE '1697-02-01', DATE '1903-03-01', DATE '1903-07-01']"
+_MONTHS_DAYS = f"list_distinct([sign(date_diff('day', CAST(i + to_days(CAST(o_custkey % 400 AS INTEGER)) AS DATE), CAST(i + to_months(CAST(o_orderkey % 14 AS INTEGER)) AS DATE))) FOR i IN {_INSTANTS_SQL}])"
+
+
+@query(f"WITH d AS (SELECT o_orderkey, {_MONTHS_DAYS} AS s, o_custkey % 40 - 20 AS h FROM orders) SELECT o_orderkey, CASE WHEN len(s) > 1 THEN 'incomparable' ELSE ['less', 'equal', 'greater'][CAST(s[1] AS INTEGER) + 2] END AS durations, CASE WHEN h > 14 THEN 'greater' WHEN h < -14 THEN 'less' ELSE 'incomparable' END AS mixed, ['less', 'equal', 'greater'][CAST(sign(h - 2) AS INTEGER) + 2] AS zoned FROM d")
+def typed_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months against days, times with and without a zone, and times of two zones, hours apart"""
+    months = F.concat(F.lit("P"), (F.col("o_orderkey") % 14).cast("string"), F.lit("M"))
+    days = F.concat(F.lit("P"), (F.col("o_custkey") % 400).cast("string"), F.lit("D"))
+    noon = F.col("o_orderdate").cast("date").cast("timestamp") + F.expr("interval 30 hours")
+    at = lambda t, zone="": F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(zone))
+    moved = at(noon + F.make_dt_interval(hours=(F.col("o_custkey") % 40 - 20).cast("int")))
+    zoned = T.compare_times(F.concat(moved, F.lit("Z")), at(noon, "-02:00"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.compare_durations(months, days).alias("durations"), T.compare_times(F.concat(moved, F.lit("Z")), at(noon)).alias("mixed"), zoned.alias("zoned"))
+
+
+@query("SELECT c_custkey, CASE WHEN round(c_acctbal, 2) = 0 THEN '0.0' ELSE regexp_replace(CAST(CAST(round(c_acctbal, 2) AS DECIMAL(18, 2)) AS VARCHAR), '0$', '') END AS canonical, c_acctbal IS NOT NULL AS same FROM customer")
+def canonical_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decimals with superfluous zeros: their canonical form, and that they are equal to it"""
+    plain = F.round("c_acctbal", 2).cast("decimal(18,2)").cast("string")
+    padded = F.concat(F.when(plain.startswith("-"), "-000").otherwise("+00"), F.regexp_replace(plain, "^-", ""), F.lit("000"))
+    canonical = T.canonical_decimal(padded)
+    return table(spark, sf_dir, "customer").select("c_custkey", canonical.alias("canonical"), (T.compare_decimals(padded, canonical) == "equal").alias("same"))
+
+
 # --- validation ----------------------------------------------------------------------------------------------------
 
 
