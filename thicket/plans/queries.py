@@ -18,6 +18,7 @@ from thicket.operators import keys as K
 from thicket.operators import output as O
 from thicket.operators import paths as P
 from thicket.operators.xinclude import spliced
+from thicket.plans import content as C
 from thicket.plans import validation as V
 from thicket.plans.summary import attribute_matches, by_attribute, by_class, combined, nth, structural_summary
 from thicket.sources.files import resolved
@@ -392,6 +393,29 @@ def dtd_content_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.content_model(shred_xml(docs, "id", "xml"), models).groupBy("violation").agg(F.count("*").alias("n"))
 
 
+_LINES_SQL = "SELECT l_orderkey AS doc_id, 'lines' AS local, CASE WHEN count(*) > 5 OR count(*) FILTER (l_returnflag = 'N') > 0 AND count(*) FILTER (l_returnflag = 'R') > 0 THEN 'unexpected' ELSE 'incomplete' END AS violation FROM lineitem GROUP BY l_orderkey HAVING count(*) > 5 OR count(*) < 2 OR count(*) FILTER (l_returnflag = 'N') > 0 AND count(*) FILTER (l_returnflag = 'R') > 0"
+_LINES = C.Automata({"order": C.sequence(C.name("lines")), "lines": C.choice(C.repeated(C.choice(C.name("N"), C.name("A")), 2, 5), C.repeated(C.choice(C.name("R"), C.name("A")), 2, 5)), "N": C.sequence(), "A": C.sequence(), "R": C.sequence()})
+
+
+def _line_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each order, with an element named by its flag for each of its lines"""
+    flags = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda t: F.concat(F.lit("<"), t["l_returnflag"], F.lit("/>"))), "")
+    found = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(flags.alias("flags"))
+    return found.select(F.col("l_orderkey").alias("id"), F.concat(F.lit("<order><lines>"), "flags", F.lit("</lines></order>")).alias("xml"))
+
+
+@query(_LINES_SQL)
+def content_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two to five lines, not N and R together: orders that don't hold to it"""
+    return C.content_violations(shred_xml(_line_documents(spark, sf_dir), "id", "xml"), _LINES).select("doc_id", "local", "violation")
+
+
+@query(_LINES_SQL)
+def push_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same while the orders arrive in chunks"""
+    return _pushed(_line_documents(spark, sf_dir), 25, lambda chunks: C.push_violations(chunks, _LINES)).select("doc_id", "local", "violation")
+
+
 @query("SELECT p_partkey AS doc_id, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS good FROM part")
 def well_formedness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of odd sizes lose their last tag"""
