@@ -203,7 +203,7 @@ def content_violations(nodes: DataFrame, automata: Automata) -> DataFrame:
     ``unexpected``: ``at`` is the ``pre`` of the first child that can't stand there; ``incomplete``: children are missing at the end;
     ``undeclared``: no model has the element's name (its children are free). Names are local ones, text isn't looked at; no nodes give no rows.
 
-    One range shuffle by parent, no join: a parent with any number of children is read by many tasks, and no task holds more of it than a
+    ``nodes`` should be stored ones: the ranges are found by a sample, for which they are read once more. One range shuffle by parent, no join: a parent with any number of children is read by many tasks, and no task holds more of it than a
     state. Those cut by a partition's border, two a partition at most, are put together from their parts.
     """
     elements = nodes.where((F.col("kind") == ELEMENT) & F.col("doc_id").isNotNull())

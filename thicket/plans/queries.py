@@ -407,7 +407,8 @@ def _line_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_LINES_SQL)
 def content_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two to five lines, not N and R together: orders that don't hold to it"""
-    return C.content_violations(shred_xml(_line_documents(spark, sf_dir), "id", "xml"), _LINES).select("doc_id", "local", "violation")
+    nodes = shred_xml(_line_documents(spark, sf_dir), "id", "xml").where(F.col("kind") == ELEMENT)
+    return C.content_violations(stored(nodes.select("doc_id", "pre", "parent", "kind", "local"), "content-nodes"), _LINES).select("doc_id", "local", "violation")
 
 
 @query(_LINES_SQL)

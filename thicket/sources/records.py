@@ -25,8 +25,8 @@ OPEN, CLOSE, EMPTY = "open", "close", "empty"
 _ENDS = {COMMENT: ("-->", OUTSIDE), CDATA: ("]]>", OUTSIDE), INSTRUCTION: ("?>", OUTSIDE), SUBSET_COMMENT: ("-->", SUBSET), SUBSET_INSTRUCTION: ("?>", SUBSET)}
 _QUOTES = {DOUBLE: ('"', SUBSET), SINGLE: ("'", SUBSET), ID_DOUBLE: ('"', DOCTYPE), ID_SINGLE: ("'", DOCTYPE)}
 _MARKS = {DOCTYPE: re.compile(r"""["'\[>]"""), SUBSET: re.compile(r"""["']|\]\s*>""")}
-#: What a piece must hold to end any state but the first.
-_HOT = re.compile(r"""--|\]|\?>|["'\[>]""")
+#: What a piece must hold to end a state (of those not here, any piece may).
+_NEEDED = {s: mark for s, (mark, _) in (_ENDS | _QUOTES).items()}
 
 
 def _declared(state: int, piece: str, at: int) -> int:
@@ -120,10 +120,10 @@ def _summaries(tag: str):
                 states = set(now)
                 if at[1] == 0:
                     continue  # what stands before the file's first "<"
-            hot = _HOT.search(piece) is not None
             moved = {}
             for s in states:
-                if s == OUTSIDE or hot or s == SUBSET:
+                needed = _NEEDED.get(s)
+                if needed is None or needed in piece:
                     to, tagged = lexer.after(s, piece)
                     if tagged in (OPEN, CLOSE):
                         step = 1 if tagged == OPEN else -1
