@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.sources.shred import ATTRIBUTE, COMMENT, DOCUMENT, ELEMENT, INSTRUCTION, TEXT
+from thicket.sources.store import unbroadcast
 
 REVERSE = ("parent", "ancestor", "ancestor-or-self", "preceding", "preceding-sibling")
 
@@ -228,7 +229,7 @@ def without_blank_text(nodes: DataFrame, keep: tuple[str, ...] = ()) -> DataFram
         blank = blank.where(~F.col("up").isin(*keep))
     held = inside(blank.select("doc_id", "pre", "last"), _with_size(space, nodes)).groupBy("doc_id", "pre").agg(F.max_by("in_preserve", "in_pre").alias("preserve"))
     gone = blank.select("doc_id", "pre").join(held.where("preserve"), ["doc_id", "pre"], "left_anti")
-    return nodes.join(gone, ["doc_id", "pre"], "left_anti")
+    return unbroadcast(nodes.join(gone, ["doc_id", "pre"], "left_anti"))
 
 
 def reader_events(nodes: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from thicket.functions.xpath import escape
 from thicket.operators.axes import declarations, inside, step, string_values
 from thicket.sources.shred import ATTRIBUTE, COMMENT, DOCUMENT, ELEMENT, INSTRUCTION, RAW_TEXT, TEXT, VOID
+from thicket.sources.store import unbroadcast
 
 XML, XMLNS = "http://www.w3.org/XML/1998/namespace", "http://www.w3.org/2000/xmlns/"
 
@@ -115,7 +116,7 @@ def _needed(nodes: DataFrame, inclusive: Sequence[str]) -> DataFrame:
     elements = nodes.where(F.col("kind") == ELEMENT)
     used = elements.select("doc_id", "pre", F.coalesce("prefix", F.lit("")).alias("prefix"), uri.alias("uri"))
     used = used.union(nodes.where((F.col("kind") == ATTRIBUTE) & F.col("prefix").isNotNull() & (uri != XMLNS)).select("doc_id", F.col("parent").alias("pre"), "prefix", uri.alias("uri")))
-    used = used.where(~F.col("prefix").isin("xml", "xmlns", *inclusive)).distinct()
+    used = unbroadcast(used.where(~F.col("prefix").isin("xml", "xmlns", *inclusive)).distinct())
     told = used.join(elements.select("doc_id", "pre", "size", "last", "parent"), ["doc_id", "pre"])
     news = told.join(used.withColumnRenamed("pre", "parent"), ["doc_id", "parent", "prefix", "uri"], "left_anti")
     outer = inside(news.select("doc_id", "pre", "last", "prefix"), news.select("doc_id", "pre", "size", "prefix", "uri"), itself=False).where("prefix = in_prefix")

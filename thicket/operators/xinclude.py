@@ -15,8 +15,8 @@ from thicket.functions.exslt import resolve_uri
 from thicket.functions.xpath import escape
 from thicket.operators.axes import inside, step
 from thicket.operators.output import markup_pieces
-from thicket.sources.shred import ATTRIBUTE, DOCUMENT, ELEMENT, shred_xml
-from thicket.sources.store import stored
+from thicket.sources.shred import ATTRIBUTE, DOCUMENT, ELEMENT, stored_xml
+from thicket.sources.store import stored, unbroadcast
 
 XINCLUDE = "http://www.w3.org/2001/XInclude"
 FAULTS = "doc_id long, href string, message string"
@@ -39,9 +39,9 @@ def _pieces(nodes: DataFrame, includes: DataFrame) -> DataFrame:
     fallbacks = below.where(is_fallback).select("doc_id", "pre")
     said = nodes.where(F.col("kind") == ATTRIBUTE).join(fallbacks.withColumnRenamed("pre", "parent"), ["doc_id", "parent"], "left_semi")
     # Whole subtrees that go: what is included stands in their place, or only the content of a fallback does.
-    gone = includes.where("target is not null").select("doc_id", "pre", "size").union(below.where(~is_fallback).select("doc_id", "pre", "size")).union(said.select("doc_id", "pre", "size"))
+    gone = unbroadcast(includes.where("target is not null").select("doc_id", "pre", "size").union(below.where(~is_fallback).select("doc_id", "pre", "size")).union(said.select("doc_id", "pre", "size")))
     out = inside(nodes.select("doc_id", "pre", "last"), gone).select("doc_id", "pre").union(missing).union(fallbacks)
-    kept = nodes.where(F.col("kind") != DOCUMENT).join(out.distinct(), ["doc_id", "pre"], "left_anti")
+    kept = unbroadcast(nodes.where(F.col("kind") != DOCUMENT).join(out.distinct(), ["doc_id", "pre"], "left_anti"))
     defaults = nodes.where((F.col("kind") == ATTRIBUTE) & (F.col("name") == "xmlns") & (F.col("level") == 2)).select("doc_id", F.lit(True).alias("_d")).distinct()
     root = nodes.where((F.col("kind") == ELEMENT) & (F.col("level") == 1)).join(defaults, "doc_id", "left_anti").select("doc_id", "pre", F.lit(True).alias("_r"))
     text, number = F.lit(None).cast("string"), F.lit(None).cast("long")
@@ -64,10 +64,10 @@ def spliced(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     is included with ``xmlns=""``. Documents that are not well-formed have no row, null texts and URIs are none, and the
     DOCTYPE is left out. The result can be exponentially longer than the input if documents include others twice, at each level.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "uri", F.col("xml").alias("text"))
-    nodes = stored(shred_xml(texts, "doc_id", "text"), "xinclude")
-    includes = stored(_includes(nodes, texts.where("uri is not null").select("doc_id", "uri")), "xinclude")
-    pieces = stored(_pieces(nodes, includes), "xinclude")
+    texts = unbroadcast(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "uri", F.col("xml").alias("text")))
+    nodes = stored_xml(texts, "doc_id", "text")
+    includes = unbroadcast(stored(_includes(nodes, texts.where("uri is not null").select("doc_id", "uri")), "xinclude"))
+    pieces = unbroadcast(stored(_pieces(nodes, includes), "xinclude"))
     number = F.lit(None).cast("long")
     now = pieces.select("doc_id", F.array("no").alias("at"), "t", "href", "target", "parse", F.array("doc_id").alias("chain"))
     lacking = includes.where("target is null").join(step(includes.select("doc_id", "pre", "size", "last", F.lit(None).cast("int").alias("parent"), F.lit(ELEMENT).alias("kind"), F.lit(1).alias("sib")), nodes, "child", (F.col("local") == "fallback") & (F.col("ns_uri") == XINCLUDE)).select("doc_id", F.col("ctx").alias("pre")), ["doc_id", "pre"], "left_anti")

@@ -23,8 +23,8 @@ from thicket.plans import validation as V
 from thicket.plans.summary import attribute_matches, by_attribute, by_class, combined, nth, structural_summary
 from thicket.sources.files import resolved
 from thicket.sources.records import read_records
-from thicket.sources.shred import ATTRIBUTE, ELEMENT, buckets_for, shred_html, shred_xml, stored_nodes, xml_errors
-from thicket.sources.store import shared_folder, spread, stored
+from thicket.sources.shred import ATTRIBUTE, ELEMENT, buckets_for, shred_html, shred_xml, stored_nodes, stored_xml, xml_errors
+from thicket.sources.store import shared_folder, spread, stored, unbroadcast
 from thicket.streaming.push import plain_texts, push_events, push_matches, whole_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -283,7 +283,7 @@ def serialize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey AS doc_id, '<part xmlns=\"urn:p\" b=\"2\" id=\"' || p_partkey || '\"><name brand=\"' || p_brand || '\">' || p_name || '</name><size>' || p_size || '</size><note></note></part>' AS markup FROM part")
 def c14n_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical form of a small document for each part"""
-    return O.serialized(shred_xml(_part_documents(spark, sf_dir), "id", "xml"), canonical=True)
+    return O.serialized(stored_xml(_part_documents(spark, sf_dir), "id", "xml"), canonical=True)
 
 
 @query("SELECT doc_id, event, coalesce(name, '') AS name, count(*) AS n, min(coalesce(value, '')) AS least FROM (SELECT p_partkey AS doc_id, unnest(['start', 'start', 'text', 'end', 'start', 'text', 'end', 'start', 'end', 'end']) AS event, unnest(['part', 'name', NULL, 'name', 'size', NULL, 'size', 'note', 'note', 'part']) AS name, unnest(['xmlns=\"urn:p\" b=\"2\" id=\"' || p_partkey || '\"', 'brand=\"' || p_brand || '\"', p_name, NULL, NULL, CAST(p_size AS VARCHAR), NULL, NULL, NULL, NULL]) AS value FROM part) GROUP BY ALL")
@@ -311,8 +311,8 @@ def c14n_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = F.when(F.col("p_size") % 2 == 0, "u").otherwise("w")
     size = F.concat(F.lit('<u:size v:unit="'), F.col("p_brand"), F.lit('">'), F.col("p_size").cast("string"), F.lit("</u:size>"))
     body = F.concat(F.lit('<w:list xmlns:u="urn:u" xmlns:v="urn:v" xmlns:w="urn:w" xmlns:x="urn:x"><part id="'), F.col("p_partkey").cast("string"), F.lit('" xmlns="urn:p"><!--'), F.col("p_name"), F.lit("-->"), size, F.lit('<w:note xmlns:u="urn:'), other, F.lit('"><u:b/></w:note></part></w:list>'))
-    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), body.alias("xml"))
-    return O.serialized(shred_xml(docs, "id", "xml"), exclusive=(), comments=True)
+    docs = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("id"), body.alias("xml"))
+    return O.serialized(stored_xml(docs, "id", "xml"), exclusive=(), comments=True)
 
 
 @query("SELECT c_custkey AS doc_id, unnest(['Namespace prefix n' || c_nationkey || ' on ' || lower(c_mktsegment) || ' is not defined', 'Namespace prefix n' || c_nationkey || ' for k on ' || lower(c_mktsegment) || ' is not defined']) AS message FROM customer WHERE c_nationkey <> 7 UNION ALL SELECT c_custkey, 'xmlns:e: Empty XML namespace is not allowed' FROM customer WHERE c_acctbal < 0")
@@ -320,7 +320,7 @@ def namespace_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefixes that nothing declares, and empty declarations"""
     prefix, name = F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.lower("c_mktsegment")
     body = F.concat(F.lit('<c xmlns:n7="urn:7"'), F.when(F.col("c_acctbal") < 0, ' xmlns:e=""').otherwise(""), F.lit("><"), prefix, F.lit(":"), name, F.lit(" "), prefix, F.lit(':k="1"/></c>'))
-    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), body.alias("xml"))
+    docs = spread(table(spark, sf_dir, "customer")).select(F.col("c_custkey").alias("id"), body.alias("xml"))
     return O.namespace_errors(shred_xml(docs, "id", "xml")).select("doc_id", "message")
 
 
@@ -328,8 +328,8 @@ def namespace_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pretty_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in lines, indented, but for what stands beside text"""
     body = F.concat(F.lit('<part id="'), F.col("p_partkey").cast("string"), F.lit('">\n'), O.element("name", F.col("p_name")), F.lit(" <make><brand>"), F.col("p_brand"), F.lit("<b><i/></b></brand><!--"), F.col("p_type"), F.lit("-->\t</make><note></note></part>"))
-    nodes = shred_xml(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), body.alias("xml")), "id", "xml")
-    return O.pretty(A.without_blank_text(nodes))
+    nodes = stored_xml(spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("id"), body.alias("xml")), "id", "xml")
+    return O.pretty(unbroadcast(stored(A.without_blank_text(nodes), "stripped")))
 
 
 _XI = 'xmlns:xi="http://www.w3.org/2001/XInclude"'
@@ -345,7 +345,7 @@ def xinclude_spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = n.select(key("n_nationkey", 100), F.concat(F.lit("n/"), F.col("n_nationkey").cast("string")).alias("uri"), nation.alias("xml"))
     other = F.when(F.col("c_custkey") % 2 == 0, F.lit('<xi:include href="../none"><xi:fallback><none/></xi:fallback></xi:include>')).otherwise(F.concat(F.lit('<xi:include parse="text" href="../r/'), F.col("n_regionkey").cast("string"), F.lit('"/>')))
     body = F.concat(F.lit(f'<c {_XI}><xi:include href="../n/'), F.col("c_nationkey").cast("string"), F.lit('"/>'), F.col("c_mktsegment"), other, F.lit("</c>"))
-    customers = c.join(n.select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey"), "c_nationkey").select(key("c_custkey", 1000), F.concat(F.lit("c/"), F.col("c_custkey").cast("string")).alias("uri"), body.alias("xml"))
+    customers = spread(c).join(n.select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey"), "c_nationkey").select(key("c_custkey", 1000), F.concat(F.lit("c/"), F.col("c_custkey").cast("string")).alias("uri"), body.alias("xml"))
     markup, _ = spliced(regions.union(nations).union(customers))
     return markup.where("doc_id >= 1000")
 
@@ -354,7 +354,7 @@ def xinclude_spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
 def push_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of chunked documents: references resolved, but for those in CDATA sections"""
     body = F.concat(F.lit("<part>"), X.escape(F.col("p_name")), F.lit(" &amp; &#60;"), X.escape(F.col("p_brand")), F.lit("&#x3E; &#65;<![CDATA[&amp;"), F.col("p_type"), F.lit(" <&#65;>]]></part>"))
-    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), body.alias("xml"))
+    docs = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("id"), body.alias("xml"))
     return plain_texts(whole_texts(_pushed(docs, 11, push_events))).where("event = 'text'").select("doc_id", "value")
 
 
@@ -364,13 +364,13 @@ def push_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = O.element("price", F.col("o_totalprice"))
     urgent = F.when(F.col("o_orderpriority").startswith("1"), "<!--<price>--><note><urgent/></note>").otherwise("<note></note>")
     body = F.concat(F.lit("<sale><price/><order>"), price, F.lit("<list>"), price, urgent, F.lit("</list></order></sale>"))
-    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), body.alias("xml"))
+    docs = spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("id"), body.alias("xml"))
     found = _pushed(docs, 40, lambda chunks: push_matches(chunks, [(P.CHILD, "sale"), (P.DESCENDANT, "order"), (P.DESCENDANT, "*")]))
     return found.where(~F.col("name").isin("list", "note")).select("doc_id", "name", "depth")
 
 
 def _part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     size = O.element("size", F.col("p_size"))
     body = F.concat(F.lit('<part xmlns="urn:p" b="2" id="'), F.col("p_partkey").cast("string"), F.lit('">'), O.element("name", F.col("p_name"), brand=F.col("p_brand")), size, F.lit("<note/></part>"))
     return p.select(F.col("p_partkey").alias("id"), body.alias("xml"))
@@ -379,7 +379,7 @@ def _part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey AS doc_id, p_name AS name, p_brand AS brand, CAST(p_size AS VARCHAR) AS size FROM part")
 def xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows to XML, XML to nodes, nodes to rows"""
-    n = shred_xml(_part_documents(spark, sf_dir), "id", "xml")
+    n = stored_xml(_part_documents(spark, sf_dir), "id", "xml")
     parts = A.everywhere(n, A.test("part", ns_uri="urn:p"))
     rows = O.records(parts, n, {"name": ("child", "name"), "size": ("child", "size")}).select("doc_id", "name", "size")
     return rows.join(O.records(named(n, "name"), n, {"brand": ("attribute", "brand")}).select("doc_id", "brand"), "doc_id")
@@ -390,7 +390,7 @@ def dtd_content_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content models: a second size element is one too many"""
     docs = _part_documents(spark, sf_dir).withColumn("xml", F.when(F.regexp_extract("xml", r"<size>(\d+)", 1).cast("int") % 2 == 0, F.replace("xml", F.lit("<note/>"), F.lit("<size>0</size><note/>"))).otherwise(F.col("xml")))
     models = spark.createDataFrame([("part", "name size (note )?", False), ("name", "", True), ("size", "", True), ("note", "", False)], "local string, model string, mixed boolean")
-    return V.content_model(shred_xml(docs, "id", "xml"), models).groupBy("violation").agg(F.count("*").alias("n"))
+    return V.content_model(stored_xml(docs, "id", "xml"), models).groupBy("violation").agg(F.count("*").alias("n"))
 
 
 _LINES_SQL = "SELECT l_orderkey AS doc_id, 'lines' AS local, CASE WHEN count(*) > 5 OR count(*) FILTER (l_returnflag = 'N') > 0 AND count(*) FILTER (l_returnflag = 'R') > 0 THEN 'unexpected' ELSE 'incomplete' END AS violation FROM lineitem GROUP BY l_orderkey HAVING count(*) > 5 OR count(*) < 2 OR count(*) FILTER (l_returnflag = 'N') > 0 AND count(*) FILTER (l_returnflag = 'R') > 0"
@@ -448,7 +448,7 @@ def css_combinators(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey AS doc_id, p.prefix, p.uri, 4 AS n FROM part, (VALUES ('', 'urn:p'), ('xml', 'http://www.w3.org/XML/1998/namespace')) p(prefix, uri)")
 def xp_namespace_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Namespaces in scope of the elements of each part's document"""
-    n = shred_xml(_part_documents(spark, sf_dir), "id", "xml")
+    n = stored_xml(_part_documents(spark, sf_dir), "id", "xml")
     return A.namespaces(A.everywhere(n, A.test()), n).groupBy("doc_id", "prefix", "uri").agg(F.count("*").cast("int").alias("n"))
 
 
@@ -456,7 +456,7 @@ def xp_namespace_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def xp_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id() of tokens, of which one is the document's"""
     docs = _part_documents(spark, sf_dir)
-    n = shred_xml(docs, "id", "xml")
+    n = stored_xml(docs, "id", "xml")
     size = F.regexp_extract("xml", r"<size>(\d+)", 1).cast("int")
     wanted = docs.select(F.col("id").alias("doc_id"), F.concat(F.lit("none "), F.when(size > 25, F.col("id")).otherwise(-1).cast("string"), F.lit(" 0x ")).alias("ids"))
     found = A.by_id(n, wanted)
@@ -467,7 +467,7 @@ def xp_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strip_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blank texts between elements go; where xml:space preserves them they stay"""
     docs = _part_documents(spark, sf_dir).withColumn("xml", F.replace(F.replace("xml", F.lit("><size"), F.lit(">\n  <size")), F.lit("<note/>"), F.lit('\t<note xml:space="preserve">  </note>\n')))
-    kept = A.without_blank_text(shred_xml(docs, "id", "xml")).where("kind = 3")
+    kept = A.without_blank_text(stored_xml(docs, "id", "xml")).where("kind = 3")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")) - 1
     return kept.select("doc_id", place.alias("place"), F.col("value").alias("text"))
 
@@ -475,7 +475,7 @@ def strip_space(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey AS doc_id, unnest(['start part', 'start name', 'text', 'end name', 'start size', 'text', 'end size', 'empty note', 'end part']) AS event, unnest(range(1, 10)) AS place FROM part")
 def reader_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pull reader's events in order"""
-    events = A.reader_events(shred_xml(_part_documents(spark, sf_dir), "id", "xml"))
+    events = A.reader_events(stored_xml(_part_documents(spark, sf_dir), "id", "xml"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")).cast("long")
     return events.select("doc_id", F.concat_ws(" ", "event", "name").alias("event"), place.alias("place"))
 

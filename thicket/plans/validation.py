@@ -65,7 +65,7 @@ def content_model(nodes: DataFrame, models: DataFrame) -> DataFrame:
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == ELEMENT, F.struct("pre", "local")))), lambda t: F.concat(t["local"], F.lit(" "))), "")
     text = F.coalesce(F.bool_or((F.col("kind") == TEXT) & F.col("value").rlike(r"\S")), F.lit(False))
     children = inside.groupBy("doc_id", "ctx").agg(names.alias("children"), text.alias("text")).withColumnRenamed("ctx", "pre")
-    seen = elements.select("doc_id", "pre", "local").join(children, ["doc_id", "pre"], "left").join(models, "local", "left")
+    seen = elements.select("doc_id", "pre", "local").join(children, ["doc_id", "pre"], "left").join(F.broadcast(models), "local", "left")
     wrong = F.when(F.col("model").isNull(), "undeclared").when(~F.rlike(F.coalesce("children", F.lit("")), F.concat(F.lit("^(?:"), F.col("model"), F.lit(")$"))), "children").when(F.coalesce("text", F.lit(False)) & ~F.col("mixed"), "text")
     return seen.select("doc_id", "pre", "local", wrong.alias("violation")).where("violation is not null")
 
