@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from thicket.operators.paths import CHILD, DESCENDANT, matching, on_paths, path_table
 from thicket.sources.shred import ELEMENT, shred_xml
-from thicket.streaming.push import Parser, plain_texts, push_events, push_matches, take, unescaped, whole_texts
+from thicket.streaming.push import BUCKETS, Parser, plain_texts, push_events, push_matches, take, unescaped, whole_texts
 
 SCHEMA = "doc_id long, chunk long, content string, final boolean"
 LONG = {
@@ -122,3 +122,16 @@ def test_streamed_patterns_equal_those_of_stored_nodes(spark, tmp_path):
     with pytest.raises(ValueError):
         push_matches(spark.createDataFrame([], SCHEMA), [])
     nodes.unpersist()
+
+
+def test_state_of_many_documents_is_kept_by_bucket(spark, tmp_path):
+    ids = [None, (1 << 62) + 1, *range(3000)]
+    halves = [[(d, k, text, k == 1) for d in ids] for k, text in enumerate(("<a><b", "/></a>"))]
+    for half in halves:
+        spark.createDataFrame(half, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = push_matches(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), [(CHILD, "a"), (CHILD, "b")])
+    query = stream.writeStream.format("memory").queryName("buckets").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    assert {r.doc_id for r in spark.table("buckets").collect()} == set(ids)
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(kept) <= BUCKETS < len(ids)

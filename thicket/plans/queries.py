@@ -293,14 +293,33 @@ def push_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("doc_id", "event", F.coalesce("name", F.lit("")).alias("name")).agg(F.count("*").alias("n"), F.min(F.coalesce("value", F.lit(""))).alias("least"))
 
 
+#: Documents of which chunks arrive at a time.
+_ARRIVING = 1_000_000
+
+
 def _pushed(docs: DataFrame, size: int, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What ``make`` gives for a stream of the documents (``id``, ``xml``) in chunks of ``size`` characters, out of order"""
-    spark, last = docs.sparkSession, F.ceil(F.length("xml") / size).cast("long") - 1
-    chunks = docs.select(F.col("id").alias("doc_id"), "xml", last.alias("last"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk"))
-    chunks = chunks.select("doc_id", "chunk", F.substring("xml", (F.col("chunk") * size + 1).cast("int"), F.lit(size)).alias("content"), (F.col("chunk") == F.col("last")).alias("final"))
+    """What ``make`` gives for a stream of the documents (``id``, ``xml``) in chunks of ``size`` characters, out of order.
+
+    The documents come in turns of some ``_ARRIVING``, each document's chunks over its own turn and the next one: so what is open at a time
+    doesn't grow with the table.
+    """
+    spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/push-{uuid.uuid4().hex}"
-    chunks.repartition(4, F.xxhash64("doc_id", "chunk")).write.parquet(f"{folder}/chunks")
-    stream = make(spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/chunks"))
+    whole = stored(docs.select(F.col("id").alias("doc_id"), "xml"), "push-documents")
+    turns = -(-whole.count() // _ARRIVING) or 1
+    if turns > 1:
+        whole.withColumn("turn", F.pmod(F.xxhash64(F.lit("turn"), "doc_id"), F.lit(turns))).repartition("turn", F.pmod(F.xxhash64("doc_id"), F.lit(16))).write.partitionBy("turn").parquet(f"{folder}/documents")
+        whole = spark.read.parquet(f"{folder}/documents")
+    else:
+        whole = whole.withColumn("turn", F.lit(0))
+    last = F.ceil(F.length("xml") / size).cast("long") - 1
+    files, now = spark.sparkContext.defaultParallelism, F.pmod(F.xxhash64("doc_id", "chunk"), F.lit(2))
+    for turn in range(turns + 1):
+        present = whole.where(F.col("turn").isin(turn - 1, turn))
+        chunks = present.select("doc_id", "xml", "turn", last.alias("last"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk")).where(F.col("turn") + now == turn)
+        chunks = chunks.select("doc_id", "chunk", F.substring("xml", (F.col("chunk") * size + 1).cast("int"), F.lit(size)).alias("content"), (F.col("chunk") == F.col("last")).alias("final"))
+        chunks.repartition(files).write.mode("append").parquet(f"{folder}/chunks")
+    stream = make(spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/chunks"))
     stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 

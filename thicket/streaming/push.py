@@ -1,4 +1,4 @@
-"""Documents that arrive in chunks: Structured Streaming with one state per document.
+"""Documents that arrive in chunks: Structured Streaming with a state for the open documents of each bucket.
 
 Texts, CDATA sections, comments and instructions are delivered as they come, in pieces (as push parsers do; ``whole_texts`` joins
 them), and are never kept. The state is a tag or DOCTYPE that is not complete yet, with where in it the reader stands (so no
@@ -8,6 +8,7 @@ there together are joined once. A document whose last chunk never comes keeps it
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -20,7 +21,8 @@ from thicket.operators.paths import DESCENDANT, MOST_STEPS
 
 EVENTS = "doc_id long, seq long, event string, name string, value string, depth int, more boolean"
 MATCHES = "doc_id long, seq long, name string, depth int"
-STATE = "mode string, sub string, held array<string>, carry string, open array<string>, masks array<long>, seq long, chunk long, waiting map<long,string>"
+STATE = "documents binary"  # of the open documents of a bucket: where the parser stands, open elements, numbers, chunks that wait
+BUCKETS = 1 << 10
 PIECES = ("text", "cdata", "comment", "instruction")
 _TAG = re.compile(r"<(/?)([^\s/<>!?\"']++)((?:[^<>\"']++|\"[^\"<]*\"|'[^'<]*')*+)>")  # a < in a value is not well-formed
 _OPENERS = {"<!--": "comment", "<?": "instruction", "<![CDATA[": "cdata", "<!DOCTYPE": "doctype"}
@@ -197,31 +199,47 @@ def take(tail: str, names: list[str], seq: int, final: bool) -> tuple[list[tuple
 
 
 def _pushed(chunks: DataFrame, schema: str, rows_of: Callable[[list[tuple], list[int]], list[tuple]]) -> DataFrame:
-    """Rows made of each document's events as they come; ``rows_of`` gets them with a list of numbers that it keeps in the state."""
+    """Rows made of each document's events as they come; ``rows_of`` gets them with a list of numbers that it keeps in the state.
+
+    Documents are dealt over ``BUCKETS`` keys by a hash, and the state of a key holds its open documents: a call for each small document would
+    cost more than reading it.
+    """
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mode, sub, held, carry, names, masks, seq, chunk, waiting = state.get if state.exists else ("", "", [], "", [], [], 0, 0, {})
-        parser, masks, waiting, done, ready = Parser(list(names), seq, mode, sub, held, carry), list(masks), dict(waiting), False, []
+        held = pickle.loads(state.get[0]) if state.exists else {}
+        arrived: dict[int | None, list[tuple]] = {}
         for frame in frames:
-            for c, content, final in zip(frame["chunk"], frame["content"], frame["final"], strict=True):
-                waiting[int(c)] = ("1" if final else "0") + (content or "")
-        while chunk in waiting and not done:
-            own = waiting.pop(chunk)
-            done = own[0] == "1"
-            ready.append(own[1:])
-            chunk += 1
-        rows = rows_of(parser.feed("".join(ready), done), masks) if ready else []
-        if done:
+            for doc, known, c, content, final in zip(*(frame[n].tolist() for n in ("doc_id", "known", "chunk", "content", "final")), strict=True):
+                arrived.setdefault(doc if known else None, []).append((c, ("1" if final else "0") + (content or "")))
+        out: list[tuple] = []
+        for doc, own in arrived.items():
+            *parts, names, masks, seq, chunk, waiting = held.pop(doc, None) or ("", "", [], "", [], [], 0, 0, {})
+            waiting.update(own)
+            done, ready = False, []
+            while chunk in waiting and not done:
+                text = waiting.pop(chunk)
+                done = text[0] == "1"
+                ready.append(text[1:])
+                chunk += 1
+            parser = Parser(names, seq, *parts)
+            if ready:
+                out += [(doc, *r) for r in rows_of(parser.feed("".join(ready), done), masks)]
+            if not done:
+                held[doc] = (*parser.state(), parser.names, masks, parser.seq, chunk, waiting)
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+                out = []
+        if held:
+            state.update((pickle.dumps(held, pickle.HIGHEST_PROTOCOL),))
+        elif state.exists:
             state.remove()
-        else:
-            state.update((*parser.state(), parser.names, masks, parser.seq, chunk, waiting))
-        if rows:
-            out = pd.DataFrame(rows, columns=columns[1:])
-            out.insert(0, "doc_id", key[0])
-            yield out
+        if out:
+            yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
 
-    return chunks.groupBy("doc_id").applyInPandasWithState(update, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+    # A null among the numbers would make pandas round them all.
+    own = chunks.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "chunk", "content", F.coalesce("final", F.lit(False)).alias("final"), F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("_bucket"))
+    return own.groupBy("_bucket").applyInPandasWithState(update, schema, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def push_events(chunks: DataFrame) -> DataFrame:
