@@ -235,3 +235,10 @@ def test_flat_rows(spark, tmp_path):
         f.write("<depot><crate><mark>Fir</mark></crate><crate><mark>Ash</mark></crate></depot>")
     assert [r.mark for r in read_rows(spark, path, "crate", "mark string").orderBy("mark").collect()] == ["Ash", "Fir"]
     assert spark.range(1).select(line_ends(F.lit("a\r\nb\rc"))).first()[0] == "a\nb\nc"
+
+
+def test_ampersands_without_a_reference(spark):
+    html = "<p k='a&amp;b&copy=1'>x&amp <b>&am</b>&</p><i>&amp;am&lt;&\ufdd0&ampx; \ufdd01</i>"
+    nodes = shred_html(spark.createDataFrame([(1, html)], "id long, html string"), "id", "html")
+    assert [r.value for r in nodes.where("value is not null").orderBy("pre").collect()] == ["a&b&copy=1", "x&amp ", "&am", "&", "&am<&\ufdd0&ampx; \ufdd01"]
+    assert O.serialized(nodes, html=True).first().markup == '<p k="a&amp;b&amp;copy=1">x&amp <b>&am</b>&</p><i>&amp;am&lt;&\ufdd0&ampx; \ufdd01</i>'

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from thicket.functions.xpath import escape
 from thicket.operators.axes import declarations, inside, step, string_values
-from thicket.sources.shred import ATTRIBUTE, COMMENT, DOCUMENT, ELEMENT, INSTRUCTION, RAW_TEXT, TEXT, VOID
+from thicket.sources.shred import ATTRIBUTE, BARE, COMMENT, DOCUMENT, ELEMENT, INSTRUCTION, ITSELF, MARK, RAW_TEXT, TEXT, VOID
 from thicket.sources.store import unbroadcast
 
 XML, XMLNS = "http://www.w3.org/XML/1998/namespace", "http://www.w3.org/2000/xmlns/"
@@ -36,7 +36,7 @@ def pretty(nodes: DataFrame, indent: str = "  ") -> DataFrame:
     """``doc_id`` and ``markup`` with each node on a line of its own, indented by level, but as it stands inside of elements that hold text directly,
     however deep. Texts of white space alone count as text; take them away before (``axes.without_blank_text``) to have them replaced."""
     holders = nodes.where((F.col("kind") == TEXT) & (F.col("level") > 1)).select("doc_id", F.col("parent").alias("pre")).distinct()
-    mixed = nodes.select("doc_id", "pre", "size").join(holders, ["doc_id", "pre"], "left_semi")
+    mixed = unbroadcast(nodes.select("doc_id", "pre", "size").join(holders, ["doc_id", "pre"], "left_semi"))
     fixed = inside(nodes.select("doc_id", "pre", "last"), mixed, itself=False).select("doc_id", "pre").distinct().withColumn("_f", F.lit(True))
     within = mixed.select("doc_id", "pre", F.lit(True).alias("_m"))
     own = nodes.where(F.col("kind") != ATTRIBUTE).select("doc_id", "pre", "level", "kind").join(fixed, ["doc_id", "pre"], "left").join(within, ["doc_id", "pre"], "left")
@@ -85,6 +85,7 @@ def markup_pieces(nodes: DataFrame, html: bool = False, canonical: bool = False,
     end = F.when(bare | void, "").otherwise(F.concat(F.lit("</"), F.col("name"), F.lit(">")))
     leaf = (
         F.when((F.col("kind") == TEXT) & plain, F.col("value"))
+        .when((F.col("kind") == TEXT) & F.col("prefix").isNotNull() & F.lit(html), F.replace(F.replace(escape(F.col("prefix")), F.lit(BARE), F.lit("&")), F.lit(ITSELF), F.lit(MARK)))
         .when(F.col("kind") == TEXT, escape(F.col("value"), canonical=canonical))
         .when(F.col("kind") == COMMENT, F.lit("") if canonical and not comments else F.concat(before, F.lit("<!--"), F.col("value"), F.lit("-->"), after))
         .when(F.col("kind") == INSTRUCTION, F.concat(before, F.lit("<?"), F.col("name"), F.when(F.length("value") > 0, F.concat(F.lit(" "), F.col("value"))).otherwise(""), F.lit("?>"), after))
@@ -95,7 +96,7 @@ def markup_pieces(nodes: DataFrame, html: bool = False, canonical: bool = False,
     leaf = F.when(typed, F.concat(F.lit("<!"), F.col("name"), F.lit(">"))).otherwise(leaf)
     opened = F.struct(F.when(typed, F.col("sib")).otherwise(F.col("pre")).alias("at"), F.when(typed, -1).otherwise(0).alias("side"), F.lit(0).alias("depth"), F.when(F.col("kind") == ELEMENT, start).otherwise(leaf).alias("t"))
     closed = F.struct((F.col("pre") + F.col("size")).alias("at"), F.lit(1).alias("side"), (-F.col("level")).alias("depth"), F.when(F.col("kind") == ELEMENT, end).otherwise("").alias("t"))
-    return inner.select("doc_id", "pre", F.explode(F.array(opened, closed)).alias("p"))
+    return unbroadcast(inner).select("doc_id", "pre", F.explode(F.array(opened, closed)).alias("p"))
 
 
 def _superfluous(nodes: DataFrame) -> DataFrame:
@@ -209,11 +210,11 @@ def records(context: DataFrame, nodes: DataFrame, fields: Mapping[str, tuple[str
     first = hits.groupBy("doc_id", "parent", "_f").agg(F.min_by(F.struct("pre", "value", "size", "kind", "sib", "last"), "pre").alias("_n")).select("doc_id", "parent", "_f", "_n.*")
     # Attributes say their value themselves; only elements gather texts.
     if any(axis != "attribute" for axis, _ in fields.values()):
-        first = first.join(string_values(first, nodes), ["doc_id", "pre"])
+        first = unbroadcast(first).join(string_values(first, nodes), ["doc_id", "pre"])
     else:
         first = first.withColumn("string", F.coalesce("value", F.lit("")))
     wide = first.groupBy("doc_id", F.col("parent").alias("pre")).agg(*(F.max(F.when(F.col("_f") == c, F.col("string"))).alias(c) for c in fields))
-    return own.join(wide, ["doc_id", "pre"], "left").select("doc_id", "pre", *(F.coalesce(c, F.lit("")).alias(c) for c in fields))
+    return unbroadcast(own.join(wide, ["doc_id", "pre"], "left")).select("doc_id", "pre", *(F.coalesce(c, F.lit("")).alias(c) for c in fields))
 
 
 def element(name: str, content: Column, **attributes: Column) -> Column:

@@ -777,7 +777,7 @@ def typed_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda t, zone="": F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(zone))
     moved = at(noon + F.make_dt_interval(hours=(F.col("o_custkey") % 40 - 20).cast("int")))
     zoned = T.compare_times(F.concat(moved, F.lit("Z")), at(noon, "-02:00"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", T.compare_durations(months, days).alias("durations"), T.compare_times(F.concat(moved, F.lit("Z")), at(noon)).alias("mixed"), zoned.alias("zoned"))
+    return spread(table(spark, sf_dir, "orders")).select("o_orderkey", T.compare_durations(months, days).alias("durations"), T.compare_times(F.concat(moved, F.lit("Z")), at(noon)).alias("mixed"), zoned.alias("zoned"))
 
 
 @query("SELECT c_custkey, CASE WHEN round(c_acctbal, 2) = 0 THEN '0.0' ELSE regexp_replace(CAST(CAST(round(c_acctbal, 2) AS DECIMAL(18, 2)) AS VARCHAR), '0$', '') END AS canonical, c_acctbal IS NOT NULL AS same FROM customer")
