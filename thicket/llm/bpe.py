@@ -55,7 +55,7 @@ class Encoder:
         # Letters and punctuation are never one piece.
         tails = {u: u[:-1] for u in plain if u[-1] in ".," and u[:-1].isalpha()}
         stems = set(tails.values())
-        apart = list(self.memo.missing(stems.union(plain).difference(tails)))
+        apart = list(self.memo.missing(stems.union(plain).difference(tails), more=True))
         known, young, raw = {}, self.memo.young, b""
         if apart:
             ids = self._ids(" " + " ".join(apart))
