@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from thicket.llm.common import free, stored, table
-from thicket.llm.jaccard import jaccard_rows
+from thicket.llm.common import discard, free, stored, table
+from thicket.llm.jaccard import jaccard_tables
 from thicket.llm.mixing import Mixture, repeated
 from thicket.llm.packing import pack, pieces
 from thicket.llm.substring_dedup import without_repeats
 from thicket.llm.toxicity import train, without_toxic
 
 CAPACITY = 2048
+ROOM = 64 << 20  # of a worker's memo of words: here executors still hold what four stages before left in them
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +36,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     key = free(docs, "text_hash")
     hashed = docs.withColumn(key, F.sha2(F.coalesce("text", F.lit("")), 256))
-    rows = jaccard_rows(hashed, 5, 80, 100, key)
+    rows, made = jaccard_tables(hashed, 5, 80, 100, key)
     rows = stored(rows.where("doc_id is not null").groupBy("component", "doc_id", key).agg(F.when(F.col("component").isNull(), 1).otherwise(F.count("*")).alias("n")), "row-groups")
+    discard(*made)
     least = rows.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", key, "n")).alias("first")).select("first.*")
     staying = stored(least.union(rows.where("component is null").select("doc_id", key, "n")), "staying-rows")
+    discard(rows)
     once = hashed.join(staying.where("n = 1"), ["doc_id", key], "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
     again = hashed.join(staying.where("n > 1"), ["doc_id", key], "left_semi")
     # Rows that repeat a doc_id and a text: the smallest of their other columns that can be ordered decides, then any.
@@ -60,7 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenised pieces with their places in sequences of 2048 tokens."""
-    return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), CAPACITY, end_id=0), CAPACITY)
+    return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), CAPACITY, end_id=0, room=ROOM), CAPACITY)
 
 
 STAGES = [

@@ -16,11 +16,13 @@ import numpy as np
 
 from thicket.llm.common import KEPT, LONG, Memo, claim
 
+ROOM = 256 << 20
+
 
 class Encoder:
     """``encode_all(texts)``: the ids of each as little-endian unsigned 32-bit integers, equal to the library's of the whole text."""
 
-    def __init__(self, tokenizer_file: str, room: int = 256 << 20):
+    def __init__(self, tokenizer_file: str, room: int = ROOM):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -101,14 +103,14 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(tokenizer_file: str) -> Encoder:
-    return Encoder(tokenizer_file)
+def _encoder(tokenizer_file: str, room: int) -> Encoder:
+    return Encoder(tokenizer_file, room)
 
 
 KEPT["bpe"] = _encoder.cache_clear
 
 
-def encoder(tokenizer_file: str) -> Encoder:
-    """The worker's encoder, with what it learned in earlier tasks."""
+def encoder(tokenizer_file: str, room: int = ROOM) -> Encoder:
+    """The worker's encoder, with what it learned in earlier tasks (in at most some ``room`` bytes)."""
     claim("bpe")
-    return _encoder(tokenizer_file)
+    return _encoder(tokenizer_file, room)

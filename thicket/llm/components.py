@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.common import stored
+from thicket.llm.common import discard, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,12 +28,13 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not state[0]:
             break
         both = edges.union(edges.select("v", "u"))
-        least = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "large-min")
-        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        first = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "large-min")
+        large = stored(both.join(first, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "small-min")
         own = least.select("u", F.col("m").alias("v"))
         others = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(own.union(others).distinct(), "small-star")
+        edges, old = stored(own.union(others).distinct(), "small-star"), edges
+        discard(old, first, large, least)
         before, state = state, _state(edges)
         if state == before:
             break

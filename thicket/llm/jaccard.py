@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.common import claim, mix64, stored, utf8_values
+from thicket.llm.common import claim, discard, mix64, stored, tidy, utf8_values
 from thicket.llm.components import connected_components
 from thicket.llm.words import WordHashes, grams
 
 SETS = "doc_id long, n_shingles long, set_hash long, sketch binary"
 SIGNED = "bucket int, links boolean, packed binary"
 LINKS = "sig long, hub long, id long"
+KEY = 5  # bytes of a signature within its bucket: of a million, one pair in two such buckets is equal by chance
 FLUSH = 800_000  # signatures that a task combines at a time
 PER_BUCKET = 1_000_000  # signatures of a bucket that one task sorts, on average
 MOST_PARTITIONS = 20_000  # of the shuffle of signatures; more buckets share these
@@ -109,7 +110,7 @@ def shingle_sets(docs: DataFrame, n: int, *carried: str) -> DataFrame:
             own = [c.cast(pa.string()) for c in batch.columns[2:]]
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(hashes, pa.int64()), pa.array(sketches, pa.binary()), *own], names=["doc_id", "n_shingles", "set_hash", "sketch", *carried])
 
-    return stored(docs.select("doc_id", "text", *carried).mapInArrow(run, ", ".join([SETS, *(f"{c} string" for c in carried)])), "shingle-sets")
+    return stored(docs.select("doc_id", "text", *carried).mapInArrow(tidy(run), ", ".join([SETS, *(f"{c} string" for c in carried)])), "shingle-sets")
 
 
 def _stars(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -123,18 +124,18 @@ def _stars(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _pack(keys: np.ndarray, ids: np.ndarray) -> bytes:
-    """Keys in 6 bytes, ids as places in the list of the distinct ones."""
+    """Keys in ``KEY`` bytes, ids as places in the list of the distinct ones."""
     distinct, place = np.unique(ids, return_inverse=True)
     place = place.astype("<u2" if len(distinct) <= 1 << 16 else "<u4")
     head = np.array([len(keys), len(distinct)], "<u4").tobytes()
-    return b"".join([head, keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), distinct.astype("<i8").tobytes(), place.tobytes()])
+    return b"".join([head, keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY].tobytes(), distinct.astype("<i8").tobytes(), place.tobytes()])
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, distinct = np.frombuffer(raw, "<u4", 2).tolist()
     keys = np.zeros((n, 8), np.uint8)
-    keys[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 8).reshape(n, 6)
-    at = 8 + 6 * n
+    keys[:, :KEY] = np.frombuffer(raw, np.uint8, KEY * n, 8).reshape(n, KEY)
+    at = 8 + KEY * n
     place = np.frombuffer(raw, "<u2" if distinct <= 1 << 16 else "<u4", n, at + 8 * distinct)
     return keys.view("<u8").ravel(), np.frombuffer(raw, "<i8", distinct, at)[place]
 
@@ -144,12 +145,12 @@ def candidate_links(docs: DataFrame, n: int, num: int, den: int, shingles: int)
 
     A task links its own sets of a signature itself and sends only the smallest on, so a signature is sent no more often than
     there are flushes of tasks. What it sends is packed by buckets of signatures, whose number follows from that of all
-    ``shingles``, so that a bucket has some ``PER_BUCKET`` signatures whatever the input. Signatures are cut to 48 bits (fewer for very
+    ``shingles``, so that a bucket has some ``PER_BUCKET`` signatures whatever the input. Signatures are cut to 40 bits (fewer for very
     many buckets) within their bucket; a collision is a candidate more, which the verification drops.
     """
     # About one signature in six parts of the differences that a shingle stands for, in two bands.
     buckets = max(1, -(-shingles * 6 * (den - num) // ((den + num) * PER_BUCKET)))
-    bits = min(48, 62 - buckets.bit_length())
+    bits = min(8 * KEY, 62 - buckets.bit_length())
     low = (1 << bits) - 1
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +206,8 @@ def candidate_links(docs: DataFrame, n: int, num: int, den: int, shingles: int)
         if held:
             yield from settle()
 
-    signed = docs.select("text").mapInArrow(sign, SIGNED)
-    return stored(signed.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, LINKS), "signature-links")
+    signed = docs.select("text").mapInArrow(tidy(sign), SIGNED)
+    return stored(signed.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(meet), LINKS), "signature-links")
 
 
 def _rows(buckets: np.ndarray, links: bool, packed: list[bytes]) -> pa.RecordBatch:
@@ -228,11 +229,10 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num:
 
     info = [classes.select(F.col("set_hash").alias(i), F.col("n_shingles").alias(f"n_{i}"), F.col("sketch").alias(f"s_{i}")) for i in "ab"]
     close = pairs.join(info[0], "a").join(info[1], "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
-    close = stored(close.mapInArrow(near, "a long, b long"), "near-pairs")
+    close = stored(close.mapInArrow(tidy(near), "a long, b long"), "near-pairs")
     needed = close.select("a").union(close.select("b")).distinct().withColumnRenamed("a", "set_hash").join(classes.select("set_hash", "doc_id"), "set_hash")
     needed = stored(needed, "needed")
-    if needed.count() <= BROADCAST_ROWS:
-        needed = F.broadcast(needed)
+    few = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -240,9 +240,11 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num:
             keep = [set_hash(shingle_set(raw, words, n)) == h for h, raw in zip(batch.column(0).to_pylist(), utf8_values(batch.column(1)), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select("doc_id", "text").join(needed, "doc_id").select("set_hash", "text")
-    texts = stored(texts.mapInArrow(own, "set_hash long, text string").dropDuplicates(["set_hash"]), "needed-texts")
-    return _similar(close, texts, n, num, den)
+    texts = docs.select("doc_id", "text").join(few, "doc_id").select("set_hash", "text")
+    texts = stored(texts.mapInArrow(tidy(own), "set_hash long, text string").dropDuplicates(["set_hash"]), "needed-texts")
+    found = _similar(close, texts, n, num, den)
+    discard(close, needed, texts)
+    return found
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -278,11 +280,13 @@ def _similar(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     at_hub = hubs.join(texts.withColumnRenamed("set_hash", "hub"), "hub").select("hub", "block", "spoke", "text")
     at_spoke = dealt.join(texts.withColumnRenamed("set_hash", "spoke"), "spoke").select("hub", "block", "spoke", "text")
     rows = at_hub.union(at_spoke).repartition("hub", "block").sortWithinPartitions("hub", "block", F.col("spoke").asc_nulls_first())
-    return stored(rows.mapInArrow(compare, "a long, b long"), "similar-pairs")
+    found = stored(rows.mapInArrow(tidy(compare), "a long, b long"), "similar-pairs")
+    discard(dealt)
+    return found
 
 
 def _linked(links: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Components of set hashes (those with links only), from the buckets of candidates.
+    """Components of set hashes (those with links only), from the buckets of candidates (stored, deleted when read); stored.
 
     First every bucket's members are compared with one of them, the one that most buckets share (of an original and its
     edited copies, the original). Of buckets whose members are in several components after that, small ones are paired one
@@ -290,7 +294,9 @@ def _linked(links: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num:
     similar. A pair of a bucket goes untested only if both already are in one component.
     """
     members = stored(links.select("sig", F.col("hub").alias("id")).union(links.select("sig", "id")).distinct(), "members")
+    discard(links)
     scored = stored(members.join(members.groupBy("id").agg(F.count("*").alias("score")), "id"), "scored-members")
+    discard(members)
     place = F.struct("score", "id")
     hubs = stored(scored.groupBy("sig").agg(F.max(place).alias("last")), "hubs")
     spokes = scored.join(hubs, "sig").where(F.col("id") != F.col("last.id"))
@@ -299,21 +305,29 @@ def _linked(links: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num:
     found = stored(connected_components(edges), "components")
     # Buckets whose members are still in several components.
     labelled = stored(scored.join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component")), "labelled-members")
+    discard(scored)
     mixed = labelled.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x < y")
     mixed = stored(mixed.join(hubs, "sig").select("sig", "m", F.col("last.id").alias("hub")), "mixed-buckets")
     members = stored(labelled.join(mixed, "sig"), "open-members")
+    discard(labelled, mixed, hubs)
     small = members.where(F.col("m") <= SMALL_BUCKET)
     one, other = (small.select("sig", F.col("id").alias(i), F.col("component").alias(f"c_{i}")) for i in "ab")
     pairs = one.join(other, "sig").where("a < b and c_a <> c_b").select("a", "b")
     large = members.where(F.col("m") > SMALL_BUCKET)
-    pairs = pairs.union(_near_in_clusters(large, classes, num, den))
-    pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "new-pairs")
+    clustered = _near_in_clusters(large, classes, num, den)
+    pairs = stored(pairs.union(clustered).distinct().join(tried, ["a", "b"], "left_anti"), "new-pairs")
+    discard(members, clustered, tried)
     more = verified(pairs, classes, docs, n, num, den)
-    return stored(connected_components(edges.union(more)), "components") if more.limit(1).count() else found
+    discard(pairs)
+    if more.limit(1).count():
+        discard(found)
+        found = stored(connected_components(edges.union(more)), "components")
+    discard(edges, more)
+    return found
 
 
 def _near_in_clusters(members: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of ids that can be similar by their sketches, among ids that large buckets bring together.
+    """Pairs of ids that can be similar by their sketches, among ids that large buckets bring together; stored.
 
     Buckets with one ``hub`` form a cluster, whose ids are compared once: most buckets of an original and its edited copies have the
     original as their hub, while buckets that unrelated texts share don't chain into one cluster. Its ids are dealt to bands of size, of which only one and the
@@ -360,7 +374,9 @@ def _near_in_clusters(members: DataFrame, classes: DataFrame, num: int, den: int
         if held:
             yield settle()
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+    found = stored(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(compare), "a long, b long"), "cluster-pairs")
+    discard(rows, sizes)
+    return found
 
 
 def _near_pairs(rows: list[tuple], num: int, den: int) -> tuple[list[int], list[int]]:
@@ -395,6 +411,11 @@ def jaccard_rows(docs: DataFrame, n: int, num: int, den: int, *carried: str) ->
     """``jaccard_components`` with a key of each row's component, ``component`` (null: the row links with nothing), and the
     string columns ``carried``. Where a ``doc_id`` is repeated, several components can have one ``component_id``.
     """
+    return jaccard_tables(docs, n, num, den, *carried)[0]
+
+
+def jaccard_tables(docs: DataFrame, n: int, num: int, den: int, *carried: str) -> tuple[DataFrame, list[DataFrame]]:
+    """``jaccard_rows``, and the stored tables that it reads: a caller that stores what it makes of the rows may discard them."""
     docs = docs.select("doc_id", "text", *carried)
     sets = shingle_sets(docs, n, *carried)
     known = sets.where("set_hash is not null and doc_id is not null")
@@ -405,11 +426,13 @@ def jaccard_rows(docs: DataFrame, n: int, num: int, den: int, *carried: str) ->
     found = _linked(links, classes, named, n, num, den)
     label = classes.join(found, classes.set_hash == found.id, "left").select("set_hash", "doc_id", F.coalesce("component", "set_hash").alias("component"))
     label = stored(label, "class-components")
+    discard(classes, found)
     least = stored(label.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component-ids")
-    label = stored(label.join(least, "component").select("set_hash", "component", "component_id"), "class-labels")
+    label, old = stored(label.join(least, "component").select("set_hash", "component", "component_id"), "class-labels"), label
+    discard(old, least)
     linked = known.select("doc_id", "n_shingles", "set_hash", *carried).join(label, "set_hash").select("doc_id", "n_shingles", "component_id", "component", *carried)
     rest = sets.where("set_hash is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"), *carried)
-    return linked.union(rest)
+    return linked.union(rest), [sets, label]
 
 
 def jaccard_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:

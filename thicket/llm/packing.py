@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thicket.llm.bpe import encoder
+from thicket.llm.bpe import ROOM, encoder
 from thicket.llm.common import stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
@@ -48,14 +48,15 @@ class Plan(NamedTuple):
         return sum(n for _, n in self.runs)
 
 
-def pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int, with_ids: bool = False, room: int = ROOM) -> DataFrame:
     """Tokenised pieces of at most ``capacity`` ids (the first of a longer document takes the remainder), stored.
 
     ``part`` and ``rank`` number the pieces of a length in a partition. ``with_ids`` adds the ids (little-endian 32-bit).
+    ``room``: bytes of a worker's memo of words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, seen = encoder(tokenizer_file), TaskContext.get().partitionId(), defaultdict(int)
+        coder, part, seen = encoder(tokenizer_file, room), TaskContext.get().partitionId(), defaultdict(int)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for k in range(0, batch.num_rows, 500):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.common import free, map_rows, mix64, place, stored, utf8_column
+from thicket.llm.common import discard, free, map_rows, mix64, place, stored, tidy, utf8_column
 from thicket.llm.words import WordHashes, grams
 
 BITS = 28
@@ -101,7 +101,7 @@ def _minimisers(docs: DataFrame, width: int) -> DataFrame:
             end = np.concatenate([first[1:], [total]])
             yield pa.record_batch([pa.array(x) for x in (low[first], end - first, doc[first], doc[end - 1])], names=["low", "n", "least", "most"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "low long, n long, least long, most long")
+    rows = docs.select("doc_id", "text").mapInArrow(tidy(run), "low long, n long, least long, most long")
     counted = rows.groupBy("low").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
     return stored(counted.where("least < most").select("low", "n"), "minimisers")
 
@@ -236,8 +236,11 @@ def covered_spans(docs: DataFrame, width: int) -> DataFrame:
         if out := list(settle(held)):
             yield _spans(out)
 
-    sent = docs.select("doc_id", "tie", "text").mapInArrow(send, SENT)
-    return stored(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, SPANS), "spans")
+    sent = docs.select("doc_id", "tie", "text").mapInArrow(tidy(send), SENT)
+    found = stored(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(meet), SPANS), "spans")
+    shared.destroy()
+    discard(repeated)
+    return found
 
 
 def _batch(rows: list[list]) -> pa.RecordBatch:
@@ -255,6 +258,7 @@ def _joined_spans(docs: DataFrame, width: int) -> DataFrame:
     spans = covered_spans(docs.where("doc_id is not null"), width)
     # A document has no more spans than words.
     gathered = stored(spans.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "document-spans")
+    discard(spans)
     return gathered
 
 
@@ -320,7 +324,7 @@ def without_repeats(docs: DataFrame, width: int) -> DataFrame:
             columns[i] = pa.array(texts, pa.string())
             yield pa.record_batch(columns, names=batch.schema.names[:-1])
 
-    cut = map_rows(_with_spans(docs, width)[0], run, len(docs.columns))
+    cut = map_rows(_with_spans(docs, width)[0], tidy(run), len(docs.columns))
     if "n_chars" not in (c.lower() for c in docs.columns):
         return cut
     n = place(docs, "n_chars")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.common import LONG, Memo, claim, map_rows, place, stored
+from thicket.llm.common import LONG, Memo, claim, discard, map_rows, place, stored
 
 DECAY = 0.6
 COST = 30.0
@@ -360,11 +360,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, toxic_words: i
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     sample = sample.groupBy(F.sha2("text", 256).alias("h")).agg(F.first("text").alias("text"), F.round(F.avg("toxic")).cast("int").alias("toxic"))
     sample = stored(sample.repartition(32, "h"), "labelled-rows")
+    counts = _word_counts(sample)
+    try:
+        return _fitted(sample, counts, toxic_words, other_words)
+    finally:
+        discard(sample, counts)
+
+
+def _fitted(sample: DataFrame, counts: DataFrame, toxic_words: int, other_words: int) -> Model:
+    """Fits on stored rows (``text``, ``toxic``), whose words ``counts`` has (see ``_word_counts``)."""
     clean_rows, toxic_rows = sample.agg(F.count(F.when(F.col("toxic") == 0, 1)), F.count(F.when(F.col("toxic") == 1, 1))).first()
     if not clean_rows or not toxic_rows:
         return Model(np.zeros(CODES, np.float32), -1.0, (-5.0, 0.0, 0.0, 0.0))
     share = toxic_rows / (clean_rows + toxic_rows)
-    counts = _word_counts(sample)
     evidence = F.col("p") * F.log((F.col("p") + share) / (F.col("p") + F.col("n") + 1) / share)
     toxic = counts.where("p >= 2 and p > n").select("*", evidence.alias("evidence")).orderBy(F.desc("evidence"), "word").limit(toxic_words).collect()
     usual = counts.orderBy(F.desc("n"), "word").limit(other_words // 4).collect()
