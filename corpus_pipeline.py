@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from thicket.llm.common import discard, free, stored, table
+from thicket.llm.common import discard, free, small_batches, stored, table
 from thicket.llm.jaccard import jaccard_tables
 from thicket.llm.mixing import Mixture, repeated
 from thicket.llm.packing import pack, pieces
@@ -24,7 +24,9 @@ ROOM = 64 << 20  # of a worker's memo of words: here executors still hold what f
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity machine rejects go."""
-    return without_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
+    model = train(docs, table(spark, sf_dir, "labels"))
+    small_batches(spark)
+    return without_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,6 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     So of a row that was ingested many times one stays, and rows of one doc_id with texts that are not alike all stay.
     Rows without doc_id, and rows without words, link with nothing and stay.
     """
+    small_batches(spark)
     key = free(docs, "text_hash")
     hashed = docs.withColumn(key, F.sha2(F.coalesce("text", F.lit("")), 256))
     rows, made = jaccard_tables(hashed, 5, 80, 100, key)
@@ -53,6 +56,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words covered by 50-word windows of an earlier document go; other texts stay as they are."""
+    small_batches(spark)
     return without_repeats(docs, width=50)
 
 
@@ -63,6 +67,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenised pieces with their places in sequences of 2048 tokens."""
+    small_batches(spark)
     return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), CAPACITY, end_id=0, room=ROOM), CAPACITY)
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.common import LONG, Memo, claim, discard, map_rows, place, stored
+from thicket.llm.common import LONG, Memo, claim, discard, map_rows, place, stored, tidy
 
 DECAY = 0.6
 COST = 30.0
@@ -432,4 +432,4 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
             keep = model.score(*scorer.pooled([t or "" for t in batch.column(at).to_pylist()])) < 0.5
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return map_rows(docs, run)
+    return map_rows(docs, tidy(run))
