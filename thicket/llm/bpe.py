@@ -1,15 +1,19 @@
 """Byte-level BPE ids of whole texts through the tokenizers library, memoised by unit.
 
 The pre-tokenizer of these vocabularies always starts a new piece at a space that
-follows a non-space character, or that is the last of a run of white space, so
-``text.split(" ")`` yields units that encode independently, unless a unit is empty
+follows a non-space character, or that is the last of a run of white space, and makes
+a line feed between two such characters a piece of its own. So a text's units, cut
+before each space and each such line feed, encode independently, unless a unit is empty
 or starts with white space (runs of white space are one piece) or holds a special
-string. Texts with such units are encoded by the library in one piece.
+string. Texts with such units are encoded by the library in one piece. A first unit is
+treated as if it followed a line feed.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import string
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +21,8 @@ import numpy as np
 from thicket.llm.common import KEPT, LONG, Memo, claim
 
 ROOM = 256 << 20
+LINE = re.compile(r"\n(?<=\S\n)(?=\S)")  # a line feed alone between characters that aren't white space
+TAIL = 3  # ASCII punctuation behind a word is looked up by itself up to this length
 
 
 class Encoder:
@@ -33,9 +39,10 @@ class Encoder:
         self.starts = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
         for token, i in self.library.get_vocab().items():
             self.starts[i] = token.startswith("\u0120")  # how byte-level vocabularies write a space
-        self.ends = {c: self._whole(c) for c in ".,"}
-        # Units behind a space (null: they don't stand alone), and first units of texts.
-        self.memo, self.heads = Memo(room), Memo(room // 8)
+        self.line = int(self._ids("\n")[0])
+        self.ends: dict[str, bytes] = {}  # by punctuation
+        # Units behind a space, or with their line feed (null: they don't stand alone).
+        self.memo = Memo(room)
 
     def _ids(self, text: str) -> np.ndarray:
         # Of one text; this form leaves out places in the text, which nothing here needs.
@@ -44,58 +51,70 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return self._ids(text).tobytes()
 
+    def _cut(self, units: list[str], behind: str, starts: np.ndarray) -> list[bytes]:
+        """The ids of units (each with ``behind`` before it), by one call of the library: these alone have ids in ``starts``, one each."""
+        if not units:
+            return []
+        ids = self._ids("".join([behind + u for u in units]))
+        cuts = np.flatnonzero(starts[ids])
+        if len(cuts) != len(units):
+            raise ValueError("the vocabulary joins words across a space or a line feed")
+        cuts, raw = (4 * cuts).tolist(), ids.tobytes()
+        return [raw[i:j] for i, j in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
+
     def _learn(self, units: set[str]) -> list[str]:
-        """Puts the ids of units (each without its leading space) into the memo, by one call of the library; returns the long units.
+        """Puts the ids of units (each without its leading space, but with its line feed) into the memo, by two calls of the library;
+        returns the long units.
 
-        Units are sent as one line with single spaces between them. Only the first id of each then starts with a space, which is
-        where the line's ids are cut again. Units that don't stand alone get no ids (null).
+        Units are sent as one line with single spaces between them, and those behind a line feed as lines. Only the first id of each
+        then starts with a space, or is a line feed, which is where the ids are cut again. Units that don't stand alone get no ids (null).
         """
-        plain = [u for u in units if u and u.strip() == u]
+        plain = [u for u in units if (w := u.removeprefix("\n")) and w.strip() == w]
         line = " ".join(plain)
         if any(s in line for s in self.special):
             plain = [u for u in plain if not any(s in u for s in self.special)]
         # Letters and punctuation are never one piece.
-        tails = {u: u[:-1] for u in plain if u[-1] in ".," and u[:-1].isalpha()}
+        tails = {u: w for u in plain if (w := u.rstrip(string.punctuation)) is not u and w.removeprefix("\n").isalpha() and len(u) <= len(w) + TAIL}
         stems = set(tails.values())
-        apart = list(self.memo.missing(stems.union(plain).difference(tails), more=True))
-        known, young, raw = {}, self.memo.young, b""
-        if apart:
-            ids = self._ids(" " + " ".join(apart))
-            cuts = np.flatnonzero(self.starts[ids])
-            if len(cuts) != len(apart):
-                raise ValueError("the vocabulary joins words across a space")
-            cuts = (4 * cuts).tolist()
-            raw = ids.tobytes()
-            known = dict(zip(apart, [raw[i:j] for i, j in zip(cuts, [*cuts[1:], len(raw)], strict=True)], strict=True))
+        apart = self.memo.missing(stems.union(plain).difference(tails), more=True)
+        lines = [u for u in apart if u[0] == "\n"]
+        single = [u for u in lines if u.count("\n") == 1]
+        spaced = list(apart.difference(lines))
+        known = dict(zip(spaced, self._cut(spaced, " ", self.starts), strict=True))
+        known.update(zip(single, self._cut(single, "", np.arange(len(self.starts)) == self.line), strict=True))
+        if len(single) < len(lines):
+            known.update({u: self._whole(u) for u in lines if u.count("\n") > 1})
+        size = sum(map(len, known.values()))
+        young, ends = self.memo.young, self.ends
         young.update(known)
-        dots = self.ends
-        known.update({u: young[w] + dots[u[-1]] for u, w in tails.items()})
+        for end in {u[len(w) :] for u, w in tails.items()}.difference(ends):
+            ends[end] = self._whole(end)
+        known.update({u: young[w] + ends[u[len(w) :]] for u, w in tails.items()})
         if len(plain) < len(units):
             known = dict.fromkeys(units) | known
-        self.memo.put(known, 2 * (len(line) + len(raw)))
+        self.memo.put(known, 2 * (len(line) + size))
         return [u for u in units if len(u) > LONG]
 
-    def encode_all(self, texts: list[str], some: int = 400) -> list[bytes]:
+    def encode_all(self, texts: list[str], some: int = 500) -> list[bytes]:
         memo, out = self.memo, []
         for i in range(0, len(texts), some):
             part = texts[i : i + some]
-            split = [t.split(" ") for t in part]
-            heads = [units[0] for units in split]
-            if new := self.heads.missing(set(heads)):
-                self.heads.put({u: self._whole(u) for u in new}, 5 * sum(map(len, new)))
-            first = [self.heads.young[u] for u in heads]
-            self.heads.forget(u for u in new if len(u) > LONG)
-            for units in split:
-                units[0] = ""  # stands for no ids here: a unit that is really empty doesn't stand alone
-            empty = [units.count("") > 1 for units in split]
+            # What stands before the first space, at least an empty unit, has no ids here.
+            split = [(LINE.sub(" \n", t) if t[:1] == " " else " \n" + LINE.sub(" \n", t)).split(" ") for t in part]
+            # Empty units, and units that begin with a line feed behind a space, don't stand alone.
+            broken = [t[-1:] == " " or "  " in t or " \n" in t for t in part]
             new = memo.missing(set().union(*split))
             new.discard("")
             long = self._learn(new) if new else ()
             memo.young[""] = b""
             get = memo.young.__getitem__
-            for text, head, units, apart in zip(part, first, split, empty, strict=True):
+            for text, units, apart in zip(part, split, broken, strict=True):
                 try:
-                    out.append(self._whole(text) if apart else head + b"".join(map(get, units)))
+                    if apart:
+                        out.append(self._whole(text))
+                    else:
+                        ids = b"".join(map(get, units))
+                        out.append(ids if text[0] == " " else ids[4:])
                 except TypeError:  # a unit that doesn't stand alone
                     out.append(self._whole(text))
             memo.forget(long)
