@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thicket.llm.bpe import encoder
+from thicket.llm.bpe import SLICE, encoder
 from thicket.llm.common import mix64, scratch, stored
 
 MAGIC = b"TKSHARD1"
@@ -178,8 +178,8 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str
             column = batch.column(0).cast(pa.int64())
             doc_ids.append(column.fill_null(0).to_numpy(zero_copy_only=False))
             nulls.append(column.is_null().to_numpy(zero_copy_only=False))
-            for k in range(0, batch.num_rows, 500):
-                coded = coder.encode_all([x or "" for x in batch.column(1).slice(k, 500).to_pylist()])
+            for k in range(0, batch.num_rows, SLICE):
+                coded = coder.encode_all([x or "" for x in batch.column(1).slice(k, SLICE).to_pylist()])
                 out.write(np.frombuffer(end.join([*coded, b""]), "<u4").astype(f"<u{width}").tobytes())
                 lengths += [len(raw) // 4 + 1 for raw in coded]
         if out is None:
