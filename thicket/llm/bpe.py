@@ -26,7 +26,7 @@ from thicket.llm.common import KEPT, LONG, Memo, claim
 
 ROOM = 256 << 20
 SOME = 8 << 20  # characters that are cut at a time
-SLICE = 2500  # texts that callers hand over at a time
+SLICE = 800  # texts that callers hand over at a time
 ASKED = 256 << 10  # characters of units in a call of the library, whose results take many times that
 
 
@@ -107,20 +107,21 @@ class Encoder:
         a space, or is a line feed, which is where the ids are cut again. Units that don't stand alone get no ids (null).
         """
         known: dict[bytes, bytes | None] = dict.fromkeys(units)
-        spaced, lines, others = [], [], []  # (unit, its text)
+        spaced, lines, others = ([], []), ([], []), ([], [])  # units, their texts
         for u in units:
             text = u.decode()
             word = text[1:] if text[0] in " \n" else text
             if word and word.strip() == word:
                 kind = spaced if text[0] == " " else lines if text[0] == "\n" and "\n" not in word else others
-                kind.append((u, text))
+                kind[0].append(u)
+                kind[1].append(text)
         feeds = np.arange(len(self.starts)) == np.frombuffer(self.line, "<u4")[0]
-        known.update(zip([u for u, _ in spaced], self._cut([t for _, t in spaced], self.starts), strict=True))
-        known.update(zip([u for u, _ in lines], self._cut([t for _, t in lines], feeds), strict=True))
-        known.update(zip([u for u, _ in others], self._each([t for _, t in others]), strict=True))
+        known.update(zip(spaced[0], self._cut(spaced[1], self.starts), strict=True))
+        known.update(zip(lines[0], self._cut(lines[1], feeds), strict=True))
+        known.update(zip(others[0], self._each(others[1]), strict=True))
         if b"\n" in known:
             known[b"\n"] = self.line  # before an empty text, or one that begins with a space
-        self.memo.put(known, sum(map(len, units)) + sum(len(v) for v in known.values() if v))
+        self.memo.put(known, 2 * (sum(map(len, units)) + sum(len(v) for v in known.values() if v)))
         return [u for u in units if len(u) > LONG]
 
     def encode_all(self, texts: list[str], some: int = SOME) -> list[bytes]:
@@ -147,6 +148,7 @@ class Encoder:
         del units, at, raw
         new = self.memo.missing(set(distinct))
         long = self._learn(new) if new else ()
+        del new
         ids = pa.array(list(map(self.memo.young.__getitem__, distinct)), pa.large_binary())
         self.memo.forget(long)
         taken = ids.take(indices)

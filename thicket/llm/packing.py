@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thicket.llm.bpe import ROOM, encoder
+from thicket.llm.bpe import ROOM, SLICE, encoder
 from thicket.llm.common import stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
@@ -57,25 +57,24 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int, wit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seen = encoder(tokenizer_file, room), TaskContext.get().partitionId(), defaultdict(int)
-        end = np.array([end_id], "<u4").tobytes()
+        end, n = np.array([end_id], "<u4").tobytes(), 8 if with_ids else 7
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                rows: list[list] = [[] for _ in range(8)]
-                doc_ids = batch.column(0).slice(k, 500).to_pylist()
-                for doc_id, raw in zip(doc_ids, coder.encode_all([x or "" for x in batch.column(1).slice(k, 500).to_pylist()]), strict=True):
+            for k in range(0, batch.num_rows, SLICE):
+                rows: list[list] = [[] for _ in range(n)]
+                doc_ids = batch.column(0).slice(k, SLICE).to_pylist()
+                for doc_id, raw in zip(doc_ids, coder.encode_all([x or "" for x in batch.column(1).slice(k, SLICE).to_pylist()]), strict=True):
                     ids = raw + end
                     total, at, piece = len(ids) // 4, 0, 0
                     length = total % capacity or capacity
                     while at < total:
                         own = ids[4 * at : 4 * (at + length)]
-                        for column, v in zip(rows, (doc_id, piece, at, length, zlib.crc32(own), part, seen[length], own), strict=True):
+                        for column, v in zip(rows, (doc_id, piece, at, length, zlib.crc32(own), part, seen[length], own), strict=False):
                             column.append(v)
                         seen[length] += 1
                         at, piece, length = at + length, piece + 1, capacity
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"]
-                n = 8 if with_ids else 7
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(rows[:n], kinds, strict=False)], names=names[:n])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, kinds, strict=False)], names=names[:n])
 
     return stored(docs.select("doc_id", "text").mapInArrow(run, PIECES + (", ids binary" if with_ids else "")), "pieces")
 
